@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from phmspark.llm import decontamination, token_counts
+from phmspark.llm import decontamination, html_text, packing, quality, token_counts, topk_search, toxicity
 
 QUERIES = {
+    "op1_topk_search": topk_search.op1_topk_search,
+    "op2_html_text": html_text.op2_html_text,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op6_quality": quality.op6_quality,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_decontamination": decontamination.op8_decontamination,
+    "op9_packing": packing.op9_packing,
 }
 ORACLE_SQL = {
+    "op1_topk_search": topk_search.OP1_SQL,
     "op8_decontamination": decontamination.OP8_SQL,
 }
