@@ -12,6 +12,7 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -29,10 +30,26 @@ def _hash(term: str) -> int:
     return zlib.crc32(term.encode("utf-8", "surrogatepass")) % DIMS
 
 
-def shape(word: str) -> str:
-    """Runs of capitals, small letters, digits, other letters; punctuation stays. At most 8 signs: the rest is cut."""
-    signs = "".join("A" if c.isupper() else "a" if c.islower() else "0" if c.isdigit() else "l" if c.isalpha() else c for c in word[:64])
-    return _RUN.sub(r"\1", signs)[:8]
+class _Signs(dict):
+    """Kind of each character: capital, small letter, digit, other letter; punctuation is itself."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = kind = "A" if c.isupper() else "a" if c.islower() else "0" if c.isdigit() else "l" if c.isalpha() else c
+        return kind
+
+
+_SIGNS = _Signs()
+
+
+@lru_cache(maxsize=50_000)
+def _shape_hash(signs: str) -> int:
+    return _hash("shape " + _RUN.sub(r"\1", signs)[:8])
+
+
+def shape_hash(word: str) -> int:
+    """Of runs of capitals, small letters, digits, other letters and punctuation: the first 8 runs of 64 characters."""
+    return _shape_hash(word[:64].translate(_SIGNS))
 
 
 def _bin(name: str, x: float, steps: int = 10) -> str:
@@ -57,16 +74,18 @@ def layout(text: str, words: list[str], kinds: int) -> list[str]:
 class Terms:
     """(hashed terms, counts) of texts; remembers the words last met."""
 
-    seen: dict[str, tuple[int, int]] = field(default_factory=dict)
+    seen: dict[str, int] = field(default_factory=dict)
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         words = text.split()
         count = Counter(words)
-        if len(self.seen) > 300_000:
-            self.seen.clear()
-        for w in count.keys() - self.seen.keys():
-            self.seen[w] = (_hash(w.strip(".,;:!?").lower()), _hash("shape " + shape(w)))
-        pairs = np.array([self.seen[w] for w in count], dtype=np.int64).reshape(-1, 2)
+        seen = self.seen
+        if len(seen) > 300_000:
+            seen.clear()
+        for w in count.keys() - seen.keys():
+            seen[w] = _hash(w.strip(".,;:!?").lower()) * DIMS + shape_hash(w)
+        both = np.fromiter(map(seen.__getitem__, count), dtype=np.int64, count=len(count))
+        pairs = np.stack((both // DIMS, both % DIMS), axis=1)
         n = np.fromiter(count.values(), dtype=np.float64, count=len(count))
         # words by the logarithm of their count, shapes by their share of the text, layout by presence
         row = np.bincount(pairs[:, 0], np.log1p(n), DIMS) if len(n) else np.zeros(DIMS)
