@@ -60,7 +60,7 @@ class WordIds:
 
     def of(self, texts: list[str]) -> list[bytes]:
         split = [_BETWEEN_WORDS.split(t) if _SPACES.search(t) else t.split(" ") for t in texts]
-        new = set().union(*(x[1:] for x in split)) - self.words.keys() if split else set()
+        new = set().union(*(x[1:] for x in split)).difference(self.words)
         kept = {w: self.words[w] for x in split for w in x[1:] if w in self.words} if len(self.words) + len(new) > self.max_words else {}
         self.learn(sorted(new))
         self.words.update(kept)

@@ -82,7 +82,7 @@ class Terms:
         seen = self.seen
         if len(seen) > 300_000:
             seen.clear()
-        for w in count.keys() - seen.keys():
+        for w in [w for w in count if w not in seen]:
             seen[w] = _hash(w.strip(".,;:!?").lower()) * DIMS + shape_hash(w)
         both = np.fromiter(map(seen.__getitem__, count), dtype=np.int64, count=len(count))
         pairs = np.stack((both // DIMS, both % DIMS), axis=1)

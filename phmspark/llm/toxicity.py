@@ -106,7 +106,7 @@ def log_odds(counts: DataFrame, n_toxic: float, n_clean: float, prior: float, z:
     return {r["feature"]: r["odds"] for r in bounded_collect(told.select("feature", "odds"), max_features)}
 
 
-def fit(sample: DataFrame, toxic_share: float, prior: float = 100.0, z: float = 5.0, alpha: float = 0.01, max_features: int = 200_000) -> Model:
+def fit(sample: DataFrame, toxic_share: float, prior: float = 100.0, z: float = 3.5, alpha: float = 0.01, max_features: int = 200_000) -> Model:
     """From texts and labels (y). Two thirds of the sample, by hash, give the scores; the rest calibrates."""
     weights, rest = sample.filter(F.pmod("key", F.lit(3)) != 0), sample.filter(F.pmod("key", F.lit(3)) == 0)
 
