@@ -4,11 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+BATCH_BYTES = 4_000_000
+BATCH_ROWS = 1000
+
+
+def cuts(lengths: np.ndarray) -> list[int]:
+    """Where to cut rows of these lengths so that no batch has over BATCH_ROWS rows, or over BATCH_BYTES but for one row."""
+    at, size, rows = [0], 0, 0
+    for k, n in enumerate(lengths.tolist()):
+        if rows and (rows >= BATCH_ROWS or size + n > BATCH_BYTES):
+            at.append(k)
+            size = rows = 0
+        size, rows = size + n, rows + 1
+    return [*at, len(lengths)]
+
 
 def with_text_columns(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[str | None]], dict[str, list]]], new: str) -> DataFrame:
     """``df`` and the columns of the DDL ``new``. ``make`` is called once in each task; what it returns maps a batch of
@@ -23,8 +39,9 @@ def with_text_columns(df: DataFrame, text_col: str, make: Callable[[], Callable[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                some = batch.slice(k, 1000)
+            where = cuts(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy()) if batch.num_rows else []
+            for a, b in zip(where, where[1:]):
+                some = batch.slice(a, b - a)
                 made = f(some.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*some.columns, *(pa.array(made[n], t) for n, t in zip(fields.names, types, strict=True))], names=schema.names)
 

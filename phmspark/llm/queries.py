@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from phmspark.llm import decontamination, html_text, packing, quality, token_counts, topk_search, toxicity
+from phmspark.llm import decontamination, html_text, language, ngram_join, packing, quality, token_counts, topk_search, toxicity
 
 QUERIES = {
     "op1_topk_search": topk_search.op1_topk_search,
     "op2_html_text": html_text.op2_html_text,
+    "op3_language": language.op3_language,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_ngram_join": ngram_join.op5_ngram_join,
     "op6_quality": quality.op6_quality,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_decontamination": decontamination.op8_decontamination,
