@@ -8,20 +8,18 @@ no item has are 0, which is in no pattern.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phmspark.llm.batches import with_text_columns
 from phmspark.llm.common import bounded_collect, table, written
 
 # Of UTF-8 bytes: A-Z to a-z, other ASCII that is not a word character to a space.
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _WORD_BYTE = np.array([c != 32 for c in _NORMAL])
 
-OUT = "_id {id}, n_words long, n_hit long, n_items long, items array<string>, spans array<struct<start:long,end:long>>"
+NEW = "n_words long, n_hit long, n_items long, items array<string>, spans array<struct<start:long,end:long>>"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -66,81 +64,63 @@ def original_spans(text: str, runs: list[tuple[int, int]]) -> list[dict]:
     return [{"start": int(chars[begin[a]]), "end": int(chars[end[b - 1]])} for a, b in runs]
 
 
-def scan(text: str | None, number, automaton, lengths, owners) -> tuple[int, int, list[str], list[dict]]:
-    """Words, hit words, items with occurring windows and the hit spans of one text."""
+def scan(text: str | None, number, automaton, lengths, owners) -> tuple[int, list[tuple[int, int]], list[str]]:
+    """Number of words, runs (first, last + 1) of hit words, items with occurring windows."""
     ws = words(text)
     if automaton is None or not ws:
-        return len(ws), 0, [], []
+        return len(ws), [], []
     ids = tuple([number.get(w, 0) for w in ws])
-    runs: list[list[int]] = []
+    runs: list[tuple[int, int]] = []
     found: set[int] = set()
     for last, k in automaton.iter(ids):
         found.add(k)
         first = last - lengths[k] + 1
         while runs and runs[-1][1] >= first:  # windows end in order, but a longer one may begin before earlier runs
             first = min(first, runs.pop()[0])
-        runs.append([first, last + 1])
-    if not found:
-        return len(ws), 0, [], []
-    items = sorted(set().union(*(owners[k] for k in found)))
-    return len(ws), sum(b - a for a, b in runs), items, original_spans(text, runs)
+        runs.append((first, last + 1))
+    return len(ws), runs, sorted(set().union(*(owners[k] for k in found)))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, n: int = 13, max_items_chars: int = 20_000_000, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``id_col``, n_words, n_hit, n_items, items (ids as strings, sorted) and spans (character offsets) per row of ``docs``.
+def decontaminate(docs: DataFrame, items: DataFrame, n: int = 13, max_items_chars: int = 20_000_000, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``docs`` with n_words, n_hit, n_items, items (ids as strings, sorted) and spans (character offsets, sorted).
 
     The items' size is checked by an aggregate before they are gathered. Up to ``max_items_chars`` characters they make
-    one automaton, which each task builds once; beyond that they are dealt by hash into slices of that size, the texts
-    are scanned once for each slice, and a document's spans and items are united. Null or empty texts and items have no
-    words. Repeated rows each give a row; other columns are not read.
+    one automaton, which each task builds once. Beyond that they are dealt by hash into slices of about that size; the
+    texts are scanned once for each slice, with a written table between, and hits are united. Null or empty texts and
+    items have no words. Repeated rows each keep a row; columns named as the new ones are replaced.
     """
     items = items.filter(F.col(item_text_col).isNotNull() & F.col(item_id_col).isNotNull()).select(F.col(item_id_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
     size = items.agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("rows")).first()
     slices = max(1, -(-(size["chars"] or 0) // max_items_chars))
-    schema = OUT.format(id=docs.schema[id_col].dataType.simpleString())
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    if slices > 1:
-        texts = written(texts.withColumn("_row", F.monotonically_increasing_id()), "decontamination")
-    parts = []
+    out = docs
     for s in range(slices):
         some = items if slices == 1 else items.filter(F.pmod(F.xxhash64("item"), F.lit(slices)) == s)
         shared = docs.sparkSession.sparkContext.broadcast([(r["item"], r["text"]) for r in bounded_collect(some, max(1, size["rows"]))])
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def make(shared=shared):
             model = build(shared.value, n)
-            for batch in batches:
-                out = [scan(t, *model) for t in batch["_text"]]
-                yield pd.DataFrame({c: batch[c] for c in batch if c != "_text"} | {k: [x[i] for x in out] for i, k in enumerate(("n_words", "n_hit", "items", "spans"))} | {"n_items": [len(x[2]) for x in out]})
-
-        parts.append(texts.mapInPandas(run, schema + (", _row long" if slices > 1 else "")))
-    if slices == 1:
-        return parts[0].withColumnRenamed("_id", id_col)
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    whole = every.groupBy("_row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
-    return whole.join(texts, "_row").mapInPandas(_united, schema).withColumnRenamed("_id", id_col)
-
-
-def _united(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row per document from the spans and items of all slices."""
-    for batch in batches:
-        out: dict[str, list] = {"n_words": [], "n_hit": [], "n_items": [], "items": [], "spans": []}
-        for text, items, spans in zip(batch["_text"], batch["items"], batch["spans"], strict=True):
-            runs: list[dict] = []
-            for a, b in sorted((s["start"], s["end"]) for s in spans):
-                if runs and a < runs[-1]["end"]:
-                    runs[-1]["end"] = max(runs[-1]["end"], b)
-                else:
-                    runs.append({"start": a, "end": b})
-            hit = sum(len(words(text[r["start"] : r["end"]])) for r in runs)
-            for k, v in zip(out, (len(words(text)), hit, len(items), list(items), runs), strict=True):
-                out[k].append(v)
-        yield pd.DataFrame({"_id": batch["_id"]} | out)
+
+            def run(texts: list[str | None]) -> dict[str, list]:
+                found = [scan(t, *model) for t in texts]
+                made = {"n_words": [x[0] for x in found], "items": [x[2] for x in found], "spans": [original_spans(t, x[1]) if x[1] else [] for t, x in zip(texts, found, strict=True)]}
+                if slices > 1:
+                    return {f"{k}_{s}": v for k, v in made.items()} | {f"runs_{s}": [[{"first": a, "last": b - 1} for a, b in x[1]] for x in found]}
+                return made | {"n_hit": [sum(b - a for a, b in x[1]) for x in found], "n_items": [len(x[2]) for x in found]}
+
+            return run
+
+        if slices == 1:
+            return with_text_columns(docs, text_col, make, NEW)
+        out = written(with_text_columns(out, text_col, make, f"n_words_{s} long, items_{s} array<string>, spans_{s} array<struct<start:long,end:long>>, runs_{s} array<struct<first:long,last:long>>"), "decontamination")
+    every = lambda c: F.concat(*(F.col(f"{c}_{s}") for s in range(slices)))
+    hit = F.array_distinct(F.flatten(F.transform(every("runs"), lambda r: F.sequence(r["first"], r["last"]))))
+    united = {"n_words": F.col("n_words_0"), "n_hit": F.size(hit).cast("long"), "items": F.array_sort(F.array_distinct(every("items"))), "spans": F.array_sort(F.array_distinct(every("spans")))}
+    out = out.withColumns(united).withColumn("n_items", F.size("items").cast("long"))
+    return out.drop(*(f"{c}_{s}" for c in ("n_words", "items", "spans", "runs") for s in range(slices)))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), contaminated().alias("contaminated"))
 
 

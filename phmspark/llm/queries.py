@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from phmspark.llm import decontamination, html_text, language, ngram_join, packing, quality, token_counts, topk_search, toxicity
+from phmspark.llm import decontamination, html_text, language, ngram_join, packing, quality, token_counts, topk_search, toxicity, warc
 
 QUERIES = {
     "op1_topk_search": topk_search.op1_topk_search,
@@ -14,8 +14,10 @@ QUERIES = {
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_packing": packing.op9_packing,
+    "op10_warc_fixity": warc.op10_warc_fixity,
 }
 ORACLE_SQL = {
     "op1_topk_search": topk_search.OP1_SQL,
     "op8_decontamination": decontamination.OP8_SQL,
+    "op10_warc_fixity": warc.OP10_SQL,
 }
