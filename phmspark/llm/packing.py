@@ -24,46 +24,75 @@ _BETWEEN_WORDS = re.compile(r"(?<!\s) (?!\s)")
 _SPACES = re.compile(r"\s\s")
 
 
+# Fixed value: how a byte-level pre-tokenizer cuts text.
+_BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_of() -> dict[str, int]:
+    """The byte each character of a byte-level vocabulary stands for: printable ones themselves, the rest from 256 up."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+def _merger(tokenizer):
+    """The tokenizer's own vocabulary, in the order of its merges, in a library that merges new words five times as fast."""
+    import tiktoken
+
+    added = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+    byte = _byte_of()
+    ranks = {bytes(byte[c] for c in token): k for token, k in tokenizer.get_vocab(with_added_tokens=True).items() if token not in added}
+    return tiktoken.Encoding("vocabulary", pat_str=_BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+
+
 class WordIds:
-    """Token ids (little-endian uint32 bytes) of texts by a byte-level BPE without prefix space.
+    """Token ids (little-endian uint32 bytes), as ``tokenizers`` gives them, of texts by a byte-level BPE.
 
     Its pre-tokenizer always begins a token at a space between two other characters, so a text's ids are those of its
-    space-led words in a row. Words are looked up among the last ``max_words`` seen; new ones are encoded together.
+    space-led words in a row. Words are looked up among those last seen (two generations of up to ``max_words``); new
+    ones are merged together from the tokenizer's vocabulary. The first new words of every instance are held against
+    ``tokenizers`` itself, which does all the work if there is any difference, and any word with an added token.
     """
 
-    def __init__(self, path: str, max_words: int = 400_000):
+    def __init__(self, path: str, max_words: int = 300_000, checked: int = 2000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        size = self.tokenizer.get_vocab_size()
-        self.led = np.array([(self.tokenizer.id_to_token(k) or "").startswith("Ġ") for k in range(size)])
-        self.max_words, self.words = max_words, {"": self.plain(" ")}
+        self.led = np.array([(self.tokenizer.id_to_token(k) or "").startswith("Ġ") for k in range(self.tokenizer.get_vocab_size())])
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.merger, self.to_check = _merger(self.tokenizer), checked
+        self.max_words, self.words, self.old = max_words, {}, {}
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def learn(self, new: list[str]) -> None:
-        if len(self.words) + len(new) > self.max_words:
-            self.words = {"": self.words[""]}
-        easy = [w for w in new if " " not in w]
-        ids = np.array(self.tokenizer.encode(" " + " ".join(easy), add_special_tokens=False).ids, dtype="<u4") if easy else np.empty(0, "<u4")
+        easy = [w for w in new if w and " " not in w and not any(x in w for x in self.added)] if self.merger else []
+        ids = np.array(self.merger.encode_ordinary(" " + " ".join(easy)), dtype="<u4") if easy else np.empty(0, "<u4")
         starts = np.flatnonzero(self.led[ids])
         if len(starts) == len(easy):
             raw, ends = ids.tobytes(), [*(starts[1:] * 4).tolist(), 4 * len(ids)]
-            self.words.update((w, raw[a:b]) for w, a, b in zip(easy, (starts * 4).tolist(), ends, strict=True))
+            made = {w: raw[a:b] for w, a, b in zip(easy, (starts * 4).tolist(), ends, strict=True)}
+            if self.to_check > 0:
+                self.to_check -= len(easy)
+                if any(self.plain(" " + w) != made[w] for w in easy[:2000]):
+                    self.merger, made = None, {}
+            self.words.update(made)
         for w in new:
             if w not in self.words:
                 self.words[w] = self.plain(" " + w)
 
     def of(self, texts: list[str]) -> list[bytes]:
         split = [_BETWEEN_WORDS.split(t) if _SPACES.search(t) else t.split(" ") for t in texts]
-        new = set().union(*(x[1:] for x in split)).difference(self.words)
-        kept = {w: self.words[w] for x in split for w in x[1:] if w in self.words} if len(self.words) + len(new) > self.max_words else {}
-        self.learn(sorted(new))
-        self.words.update(kept)
+        if len(self.words) > self.max_words:
+            self.words, self.old = {}, self.words
+        new = set().union(*(x[1:] for x in split)).difference(self.words) if split else set()
+        again = new.intersection(self.old)
+        self.words.update((w, self.old[w]) for w in again)
+        self.learn(sorted(new - again))
         return [(self.plain(x[0]) if x[0] else b"") + b"".join(map(self.words.__getitem__, x[1:])) for x in split]
 
 
