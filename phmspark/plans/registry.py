@@ -1,11 +1,14 @@
-"""Every registered query of the monitoring engine: name -> (function of (spark, sf_dir), DuckDB SQL or None)."""
+"""Every registered query of the monitoring engine."""
 
 from __future__ import annotations
 
+from phmspark.plans import features, quality  # noqa: F401
+from phmspark.plans.base import REGISTRY
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for name, (f, _) in REGISTRY.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for name, (_, sql) in REGISTRY.items() if sql}
