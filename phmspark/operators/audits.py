@@ -30,7 +30,7 @@ def audit_lines(lines: DataFrame, header: list[str], keys: list[str], order: str
     told = cells.withColumn("_r", reason).groupBy(*keys).agg(F.count("*").alias("_lines"), F.min("_r").alias("_first"), F.collect_list(F.when(F.col("_r") >= 3, F.struct("_r", "_n"))).alias("_bad"))
     code = F.when(F.col("_lines") <= 1, F.lit(0)).otherwise(F.col("_first"))
     bad = F.array_sort(F.transform(F.filter("_bad", lambda x: x["_r"] == F.col("_code")), lambda x: x["_n"]))
-    return told.withColumn("_code", code).select(*keys, F.element_at(F.array(*map(F.lit, REASONS)), F.col("_code") + 1).alias("reason"), (F.col("_lines") - 1).alias("rows"), bad.alias("bad_rows"))
+    return told.withColumn("_code", code).select(*keys, F.when(F.col("_code").isNotNull(), F.get(F.array(*map(F.lit, REASONS)), F.col("_code"))).alias("reason"), (F.col("_lines") - 1).alias("rows"), bad.alias("bad_rows"))
 
 
 def audit_coverage(df: DataFrame, keys: list[str], item: str, expected: list, needed) -> DataFrame:

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 def means(df: DataFrame, keys: list[str], f: str = "f") -> DataFrame:
     """keys, n, mu: componentwise means."""
-    long = df.select(*keys, F.posexplode(f).alias("i", "x")).groupBy(*keys, "i").agg(F.avg("x").alias("m"), F.count("*").alias("n"))
-    return long.groupBy(*keys).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda r: r["m"]).alias("mu"))
+    long = df.select(*keys, F.posexplode(f).alias("i", "x")).groupBy(*keys, "i").agg(F.avg("x").alias("_m"), F.count("*").alias("_n"))
+    return long.groupBy(*keys).agg(F.max("_n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "_m"))), lambda r: r["_m"]).alias("mu"))
 
 
 def moments(df: DataFrame, keys: list[str], f: str = "f") -> DataFrame:

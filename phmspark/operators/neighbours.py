@@ -10,6 +10,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from phmspark.sources.scratch import written
+
 
 def packed(rows: DataFrame, block_rows: int) -> DataFrame:
     """block, n, ids, cls, m: up to ``block_rows`` rows of (_id long, _c string, f) as one matrix."""
@@ -36,7 +38,7 @@ def nearest(queries: DataFrame, bank: DataFrame, k: int, id_col: str, f: str = "
     one bank block and one query block; ties go to smaller ids. Fewer than ``k`` rows of a class give all of them.
     """
     kind = F.col(cls).cast("string") if cls else F.lit("")
-    b = packed(bank.select(F.col(id_col).cast("long").alias("_id"), kind.alias("_c"), F.col(f).alias("f")), block_rows)
+    b = written(packed(bank.select(F.col(id_col).cast("long").alias("_id"), kind.alias("_c"), F.col(f).alias("f")), block_rows), "bank")
     q = packed(queries.select(F.col(id_col).cast("long").alias("_id"), F.lit("").alias("_c"), F.col(f).alias("f")), block_rows)
     asked = q.drop("block").crossJoin(b.select("block"))  # of blocks, not of rows: every query block meets every bank block
     met = b.withColumn("side", F.lit(0)).unionByName(asked.withColumn("side", F.lit(1))).repartition("block").sortWithinPartitions("block", "side")
@@ -66,7 +68,7 @@ def nearest(queries: DataFrame, bank: DataFrame, k: int, id_col: str, f: str = "
 
     found = met.select("block", "side", "n", "ids", "cls", "m").mapInArrow(run, "query long, cls string, neighbour long, distance double")
     rank = F.row_number().over(Window.partitionBy("query", "cls").orderBy("distance", "neighbour"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "cls", "rank", "neighbour", "distance")
+    return written(found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "cls", "rank", "neighbour", "distance"), "neighbours")
 
 
 def mean_distance(queries: DataFrame, bank: DataFrame, k: int, id_col: str, cls: str | None = None, not_self: bool = False) -> DataFrame:

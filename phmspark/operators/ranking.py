@@ -20,11 +20,11 @@ def hash_rank(df: DataFrame, keys: list[str], id_col: str, seed=42, out: str = "
     hashed = df.withColumn("_h", hash_of(seed, id_col)).withColumn("_part", F.substring("_h", 1, digits))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
-    sizes = hashed.groupBy(*keys, "_part").agg(F.count("*").alias("_k")).withColumn("_before", F.coalesce(F.sum("_k").over(before), F.lit(0))).withColumn("_n", F.sum("_k").over(whole)).drop("_k")
+    sizes = hashed.groupBy(*keys, "_part").agg(F.count("*").alias("_k")).withColumn("_before", F.coalesce(F.sum("_k").over(before), F.lit(0))).withColumn("_rows", F.sum("_k").over(whole)).drop("_k")
     inner = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_h", id_col)) - 1
-    ranked = hashed.withColumn("_r", inner).join(sizes, [*keys, "_part"])
-    ranked = ranked.withColumn(out, (F.col("_r") + F.col("_before")).cast("long"))
-    return (ranked.withColumn(count, F.col("_n").cast("long")) if count else ranked).drop("_h", "_part", "_r", "_before", "_n")
+    ranked = hashed.withColumn("_rank", inner).join(sizes, [*keys, "_part"])
+    ranked = ranked.withColumn(out, (F.col("_rank") + F.col("_before")).cast("long"))
+    return (ranked.withColumn(count, F.col("_rows").cast("long")) if count else ranked).drop("_h", "_part", "_rank", "_before", "_rows")
 
 
 def with_role(df: DataFrame, keys: list[str], id_col: str, seed=42, train: float = 0.6, cal: float = 0.2) -> DataFrame:

@@ -130,12 +130,12 @@ def p5_first_windows(spark, d):
     return chosen.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).filter("r <= 20").drop("r")
 
 
-@query("a1_window_stats", f"SELECT user_id AS win, event_type AS channel, {', '.join(f'round({n}, 5) AS {n}' for n in ('rms', 'mean', 'kurtosis', 'std', 'skewness', 'peak_to_peak', 'crest', 'clearance', 'shape', 'impulse', 'mean_square', 'variance', 'mean_abs'))}, round(\"max\", 5) AS high, round(\"min\", 5) AS low FROM (SELECT user_id, event_type, {_STATS_SQL} FROM (SELECT user_id, event_type, value AS x FROM events) GROUP BY ALL HAVING count(*) > 1)")
+@query("a1_window_stats", f"SELECT user_id AS win, event_type AS channel, {', '.join(f'round({n}, 6) AS {n}' for n in ('rms', 'mean', 'kurtosis', 'std', 'skewness', 'peak_to_peak', 'crest', 'clearance', 'shape', 'impulse', 'mean_square', 'variance', 'mean_abs'))}, round(\"max\", 6) AS high, round(\"min\", 6) AS low FROM (SELECT user_id, event_type, {_STATS_SQL} FROM (SELECT user_id, event_type, value AS x FROM events) GROUP BY ALL HAVING count(*) > 1)")
 def a1_window_stats(spark, d):
     """The fifteen statistics of each window and channel of two samples or more."""
     e = table(spark, d, "events").select(F.col("user_id").alias("win"), F.col("event_type").alias("channel"), "value")
     many = e.groupBy("win", "channel").agg(F.count("*").alias("n"), *(c.alias(n) for n, c in windows.statistics(F.col("value")).items())).filter("n > 1")
-    return many.select("win", "channel", *(F.round(n, 5).alias({"max": "high", "min": "low"}.get(n, n)) for n in _NAMES))
+    return many.select("win", "channel", *(F.round(n, 6).alias({"max": "high", "min": "low"}.get(n, n)) for n in _NAMES))
 
 
 _FS, _BASE = 64.0, 4.0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from phmspark.plans import features, quality  # noqa: F401
+from phmspark.plans import evaluation, features, geometry, matrices, models, quality, series, streams  # noqa: F401
 from phmspark.plans.base import REGISTRY
 
 
