@@ -41,7 +41,7 @@ class Model:
     scale: float = 0.1  # K of it
     intercept: float = -2.0
     slope: float = 1.0
-    alpha: float = 0.01
+    alpha: float = 0.1
     _seen: dict[str, float] = field(default_factory=dict, repr=False)
 
     def word_score(self, word: str) -> float:
@@ -102,12 +102,12 @@ def log_odds(counts: DataFrame, n_toxic: float, n_clean: float, prior: float, z:
     a = F.lit(prior) * (F.col("toxic") + F.col("clean")) / F.lit(n_toxic + n_clean)
     up, uc = F.col("toxic") + a, F.col("clean") + a
     odds = F.log(up / (F.lit(n_toxic + prior) - up)) - F.log(uc / (F.lit(n_clean + prior) - uc))
-    told = counts.withColumn("odds", odds).withColumn("z", F.col("odds") / F.sqrt(1 / up + 1 / uc)).filter((F.col("toxic") >= 3) & (F.col("z") >= z))
+    told = counts.withColumn("odds", odds).withColumn("z", F.col("odds") / F.sqrt(1 / up + 1 / uc)).filter((F.col("toxic") >= 3) & (F.col("z") >= z) & (F.col("odds") >= 1))
     return {r["feature"]: r["odds"] for r in bounded_collect(told.select("feature", "odds"), max_features)}
 
 
-def fit(sample: DataFrame, toxic_share: float, prior: float = 100.0, z: float = 3.5, alpha: float = 0.01, max_features: int = 200_000) -> Model:
-    """From texts and labels (y). Two thirds of the sample, by hash, give the scores; the rest calibrates."""
+def fit(sample: DataFrame, toxic_share: float, prior_share: float = 0.03, z: float = 3.5, alpha: float = 0.1, max_features: int = 200_000) -> Model:
+    """From texts and labels (y). The prior weighs ``prior_share`` of the sample. Two thirds of the sample, by hash, give the scores; the rest calibrates."""
     weights, rest = sample.filter(F.pmod("key", F.lit(3)) != 0), sample.filter(F.pmod("key", F.lit(3)) == 0)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,7 +126,7 @@ def fit(sample: DataFrame, toxic_share: float, prior: float = 100.0, z: float =
     if not nt or not nc:
         return Model({}, -0.05, intercept=float(np.clip(base, -8, 8)), alpha=alpha)
     counts = weights.select("text", "y").mapInPandas(count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    model = Model(log_odds(counts, nt, nc, prior, z, max_features), -0.05, alpha=alpha)
+    model = Model(log_odds(counts, nt, nc, prior_share * (nt + nc), z, max_features), -0.05, alpha=alpha)
     if not model.score:
         return Model({}, -0.05, intercept=float(np.clip(base, -8, 8)), alpha=alpha)
 
@@ -136,19 +136,20 @@ def fit(sample: DataFrame, toxic_share: float, prior: float = 100.0, z: float =
             rows = []
             for text, y in zip(batch["text"], batch["y"], strict=True):
                 s = m.scores(_WORD.findall(text))
-                rows.append((int(y), len(s), int((s > 0).sum()), max((x[2] for x in maximal_segments(s)), default=0.0)))
-            yield pd.DataFrame(rows, columns=["y", "n", "hits", "top"])
+                rows.append((int(y), len(s), int((s > 0).sum()), float(s[s > 0].sum()), max((x[2] for x in maximal_segments(s)), default=0.0)))
+            yield pd.DataFrame(rows, columns=["y", "n", "hits", "gain", "top"])
 
-    got = pd.DataFrame([r.asDict() for r in rest.select("text", "y").mapInPandas(profile, "y int, n long, hits long, top double").collect()], columns=["y", "n", "hits", "top"])  # numbers only, of the bounded sample
+    got = pd.DataFrame([r.asDict() for r in rest.select("text", "y").mapInPandas(profile, "y int, n long, hits long, gain double, top double").collect()], columns=["y", "n", "hits", "gain", "top"])  # numbers only, of the bounded sample
     clean = got[got["y"] == 0]
     n, hits = float(clean["n"].sum()), float(clean["hits"].sum())
-    # Other words: the share of them among toxic against clean words, held below zero as the law needs
+    # A hit's mean score in clean texts; other words bear the log of their share among toxic against clean words, or less:
+    # the law holds only where the scores of clean texts fall on average
     toxic = got[got["y"] == 1]
     there = [(x["n"].sum() - x["hits"].sum() + 1.0) / (x["n"].sum() + 2.0) for x in (toxic, clean)]
-    model.other = float(min(-0.01, np.log(there[0] / there[1])))
-    mean_hit = float(np.mean(list(model.score.values())))
     p = (hits + 0.5) / (n + 1)
-    model.decay = _decay(p, mean_hit, model.other)
+    hit = float(clean["gain"].sum()) / hits if hits else float(np.mean(list(model.score.values())))
+    model.other = float(min(-0.01, np.log(there[0] / there[1]), -2 * p * hit / (1 - p)))
+    model.decay = _decay(p, hit, model.other)
     tops = clean["top"].to_numpy()
     model.scale = float((len(clean) + 1) / (np.sum(np.maximum(clean["n"], 1) * np.exp(-model.decay * tops)) + 1)) if len(clean) else 0.1
     model._seen.clear()
