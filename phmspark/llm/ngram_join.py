@@ -11,9 +11,9 @@ in common. How a band's segments are laid out follows from their cost in index r
   take as many rows as the segment has shingles to be worth two segments, so none is bought there.
 
 A set needs only as many of its segments as it can differ in, and one: those that fewest sets share, so segments made of
-passages that many documents share are left out. Sets that meet in a segment are compared with the first of them, then
-across the components found so far; sizes and parity bitmaps (a lower bound of the difference) decide which pairs
-are verified on their whole texts.
+passages that many documents share are left out. Sets that meet in a segment are compared with a few of them, in turns,
+and what is in different components after that with each other; sizes and parity bitmaps (a lower bound of the
+difference) decide which pairs are verified on their whole texts.
 """
 
 from __future__ import annotations
@@ -36,7 +36,8 @@ from phmspark.llm.components import connect
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-BROADCAST_ROWS = 1_000_000  # of pairs of ids; beyond, the join is a shuffle
+BROADCAST_ROWS = 250_000  # of pairs of ids; beyond, the join is a shuffle
+TURNS = 3  # of comparing with a few sets of each key, before all across components
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -231,12 +232,11 @@ def _may_link(a: str, b: str, num: int, den: int):
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int, salt_rows: int = 512) -> DataFrame:
-    """The pairs (a, b: ids, distinct) whose texts' sets are similar enough, by their whole texts.
+    """The pairs (a, b: ids, distinct, a written table) whose texts' sets are similar enough, by their whole texts.
 
     Each b's text meets those of its a's over one shuffle, b's first; a b with many a's is dealt over several groups of
     about ``salt_rows``, its text repeated in each.
     """
-    pairs = written(pairs, "pairs")
     salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / salt_rows).cast("int").alias("salts"))
     dealt = pairs.join(salts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"))
     leads = salts.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
@@ -264,6 +264,21 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int,
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
+def _across(kept: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Rows of ``kept`` with their components, of keys that more than one component has."""
+    own = kept.withColumn("component", F.col("id")) if found is None else kept.join(found, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id")).drop("node")
+    mixed = own.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("key")
+    return written(own.join(mixed, "key"), "mixed")
+
+
+def _leads(own: DataFrame, turn: int) -> DataFrame:
+    """The sets that the others of their key are held against: the smallest id at first, then three by hash a turn."""
+    order = [F.col("id")] if turn == 0 else [F.xxhash64("id", F.lit(3 * turn + k)) for k in range(3)]
+    rows = ["id", "size", "component", "b0", "b1", "b2", "b3"]
+    picked = own.groupBy("key").agg(*(F.min(F.struct(o.alias("o"), *rows)).alias(f"l{k}") for k, o in enumerate(order)))
+    return picked.select("key", F.explode(F.array_distinct(F.transform(F.array(*(f"l{k}" for k in range(len(order)))), lambda r: F.struct(*(r[c].alias(c) for c in rows))))).alias("l")).select("key", "l.*")
+
+
 def components(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, n_shingles, set_id and component_id per row of ``docs``; sets with a similarity of at least
     ``num / den`` are linked.
@@ -283,19 +298,22 @@ def components(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_
     rank = F.row_number().over(Window.partitionBy("name", "band").orderBy(F.desc("often"), "key"))
     kept = live.join(often, "key").withColumn("rank", rank).filter("rank > spare").select("key", "name").join(nodes, "name")
     kept = written(kept, "kept")
-    # Each set against the first of those it meets
-    first = kept.groupBy("key").agg(F.min(F.struct("id", "size", "b0", "b1", "b2", "b3")).alias("f")).select("key", "f.*")
-    star = kept.alias("x").join(first.alias("y"), "key").filter((F.col("x.id") > F.col("y.id")) & _may_link("x", "y", num, den)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    links = written(verified(star, docs, width, num, den), "links")
-    found = connect(links)
-    # Then across components
-    own = kept.join(found, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id")).drop("node")
-    mixed = own.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("key")
-    own = written(own.join(mixed, "key"), "mixed")
-    cross = own.alias("x").join(own.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & _may_link("x", "y", num, den))
-    rest = cross.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    more = verified(rest.join(star, ["a", "b"], "left_anti"), docs, width, num, den)
-    found = connect(links.unionByName(more))
+    # Each set against a few of those it meets, others each round; then across the components found
+    links = found = tested = None
+    for turn in range(TURNS + 1):
+        own = _across(kept, found)
+        if own.isEmpty():
+            break
+        x, y = own.alias("x"), (own if turn == TURNS else _leads(own, turn)).alias("y")
+        apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.id") > F.col("y.id") if turn == TURNS else F.col("x.id") != F.col("y.id"))
+        pairs = x.join(y, apart & _may_link("x", "y", num, den)).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        new = written(verified(pairs, docs, width, num, den), "links")
+        links = new if links is None else links.unionByName(new)
+        found = connect(links)
+    if found is None:
+        found = nodes.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
     named = nodes.select("name", F.col("id").alias("set_id")).join(found, F.col("set_id") == F.col("node"), "left").select("name", "set_id", F.coalesce("component", "set_id").alias("component"))
     return rows.join(named, "name", "left").select(
         F.col("_id").alias(id_col),
