@@ -160,14 +160,14 @@ def a2_harmonic_bands(spark, d):
     "a3_feature_rows",
     """WITH s AS (SELECT user_id AS win, event_type AS channel, sqrt(avg(value * value)) AS rms, avg(abs(value)) AS mean_abs FROM events GROUP BY ALL),
        c AS (SELECT DISTINCT event_type AS channel FROM events), full_ AS (SELECT win FROM s GROUP BY win HAVING count(*) = (SELECT count(*) FROM c))
-       SELECT win, 15 * count(*) AS n_features, round(list(rms ORDER BY channel)[1], 5) AS first_rms, round(list(mean_abs ORDER BY channel)[-1], 5) AS last_mean_abs FROM s JOIN full_ USING (win) GROUP BY win""",
+       SELECT win, 15 * count(*) AS n_features, round(list(rms ORDER BY channel)[1], 9) AS first_rms, round(list(mean_abs ORDER BY channel)[-1], 9) AS last_mean_abs FROM s JOIN full_ USING (win) GROUP BY win""",
 )
 def a3_feature_rows(spark, d):
     """Windows that have every channel, assembled to one feature array in registry order."""
     e = table(spark, d, "events").select(F.col("user_id").alias("win"), F.col("event_type").alias("channel"), "value")
     kinds = sorted(r[0] for r in e.select("channel").distinct().limit(64).collect())  # channels are few
     wide = windows.assemble(windows.window_stats(e, ["win", "channel"]), ["win"], "channel", kinds)
-    return wide.select("win", F.size("f").cast("long").alias("n_features"), F.round(F.col("f")[0], 5).alias("first_rms"), F.round(F.element_at("f", -1), 5).alias("last_mean_abs"))
+    return wide.select("win", F.size("f").cast("long").alias("n_features"), F.round(F.col("f")[0], 9).alias("first_rms"), F.round(F.element_at("f", -1), 9).alias("last_mean_abs"))
 
 
 @query(

@@ -65,12 +65,12 @@ def w4_w5_alarms(spark, d):
 
 @query(
     "w6_slopes",
-    f"WITH {_N} SELECT event_id, round(regr_slope(score, rn) OVER (PARTITION BY asset ORDER BY rn ROWS BETWEEN 119 PRECEDING AND CURRENT ROW), 5) AS slope FROM n QUALIFY rn >= 5",
+    f"WITH {_N} SELECT event_id, round(regr_slope(score, rn) OVER (PARTITION BY asset ORDER BY rn ROWS BETWEEN 119 PRECEDING AND CURRENT ROW), 9) AS slope FROM n QUALIFY rn >= 5",
 )
 def w6_slopes(spark, d):
     w = Window.partitionBy("asset").orderBy(*ORDER)
     n = scores(spark, d).withColumn("rn", F.row_number().over(w))
-    return n.withColumn("slope", F.round(F.regr_slope("score", F.col("rn").cast("double")).over(w.rowsBetween(-119, 0)), 5)).filter("rn >= 5").select("event_id", "slope")
+    return n.withColumn("slope", F.round(F.regr_slope("score", F.col("rn").cast("double")).over(w.rowsBetween(-119, 0)), 9)).filter("rn >= 5").select("event_id", "slope")
 
 
 @query(

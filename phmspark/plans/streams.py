@@ -8,6 +8,7 @@ from phmspark.operators import quantiles
 from phmspark.plans.base import SCORES, features, query, scores
 from phmspark.plans.models import _KNN, knn_scores
 from phmspark.plans.series import _ALARM, _EWMA
+from phmspark.sources.scratch import written
 from phmspark.streaming import discovery, monitor
 
 
@@ -64,14 +65,10 @@ def r4_quarantine(spark, d):
 
 @query("r5_r7_discovery")
 def r5_r7_discovery(spark, d):
-    """Quarantined rows clustered by density; of each cluster size, majority label and purity, and whether it is the one
-    to adopt: the largest, of 25 rows or more."""
-    held = discovery.quarantine(knn_scores(spark, d).join(features(spark, d).select("vec_id", "f"), "vec_id"), margin=1.0)
-    c = discovery.density_clusters(held.select("vec_id", "f"), "vec_id", 10, 2)
-    c = c.join(held.select("vec_id", "label", "score"), "vec_id")
-    n = c.groupBy("cluster", "label").agg(F.count("*").alias("n"))
-    told = n.groupBy("cluster").agg(F.sum("n").alias("size"), F.min(F.struct((-F.col("n")).alias("m"), "label")).alias("b"))
-    top = discovery.largest(c, 25).select("cluster").distinct().withColumn("adopted", F.lit(True))
-    return told.join(top, "cluster", "left").select("cluster", "size", F.col("b.label").alias("majority"), F.round(-F.col("b.m") / F.col("size"), 5).alias("purity"), F.coalesce("adopted", F.lit(False)).alias("adopted"))
-
-
+    """Quarantined rows clustered by density: for each true label how many are held, clustered, and in the cluster to
+    adopt (the largest, of 25 rows or more). Rows without structure form no cluster."""
+    held = written(discovery.quarantine(knn_scores(spark, d).join(features(spark, d).select("vec_id", "f"), "vec_id"), margin=1.0), "quarantine")
+    c = written(discovery.density_clusters(held.select("vec_id", "f"), "vec_id", 10, 2), "clusters")
+    top = discovery.largest(c, 25).select("vec_id", F.lit(1).alias("adopted"))
+    met = held.join(c, "vec_id", "left").join(top, "vec_id", "left")
+    return met.groupBy("label").agg(F.count("*").alias("held"), F.count("cluster").alias("clustered"), F.count("adopted").alias("adopted"))
