@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phmspark.operators import neighbours
@@ -12,6 +11,7 @@ from phmspark.sources.scratch import written
 
 # Rows needed, least cluster, neighbours for core distances, of the density ladder's steps.
 LADDER = ((25, 25, 3), (75, 15, 3), (100, 10, 2))
+SEGMENT = 1 << 18  # edges of the spanning forest that one task merges
 
 
 def quarantine(scored: DataFrame, f: str = "f", margin: float = 2.0) -> DataFrame:
@@ -21,15 +21,23 @@ def quarantine(scored: DataFrame, f: str = "f", margin: float = 2.0) -> DataFram
 
 
 def spanning_edges(rows: DataFrame, id_col: str, k: int, min_samples: int) -> DataFrame:
-    """a, b, w: minimum spanning forest of the ``k``-neighbour graph under mutual reachability (the largest of the two
-    core distances and the distance), by Boruvka rounds: each takes every component's least edge outward."""
+    """a, b, w: minimum spanning tree of the ``k``-neighbour graph under mutual reachability (the largest of the two
+    core distances and the distance). Trees that nothing joins are joined to the one of the smallest row, infinitely far."""
     near = neighbours.nearest(rows, rows, k, id_col, not_self=True)
     core = near.filter(F.col("rank") == max(1, min_samples - 1)).select(F.col("query").alias("node"), F.col("distance").alias("core"))
     ends = near.join(core.select(F.col("node").alias("query"), F.col("core").alias("ca")), "query").join(core.select(F.col("node").alias("neighbour"), F.col("core").alias("cb")), "neighbour")
     edges = ends.select(F.least("query", "neighbour").alias("a"), F.greatest("query", "neighbour").alias("b"), F.greatest("ca", "cb", "distance").alias("w")).groupBy("a", "b").agg(F.min("w").alias("w"))
-    edges = written(edges, "edges")
-    label = written(rows.select(F.col(id_col).alias("node"), F.col(id_col).alias("c")), "labels")
-    tree = None
+    tree, label = grown(written(edges, "edges"), rows.select(F.col(id_col).cast("long").alias("node")))
+    firsts = written(label.groupBy("c").agg(F.min("node").alias("b")), "trees")
+    first = F.broadcast(firsts.agg(F.min("b").alias("a")))  # one row
+    return tree.unionByName(firsts.crossJoin(first).filter("a <> b").select("a", "b", F.lit(float("inf")).alias("w")))
+
+
+def grown(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b, w) of the minimum spanning forest, and node, c: the tree of each node. Boruvka rounds: each takes
+    every component's least edge outward."""
+    label = written(nodes.select("node", F.col("node").alias("c")), "labels")
+    tree = edges.select("a", "b", "w").limit(0)
     for _ in range(40):  # halves the components each round
         la, lb = label.select(F.col("node").alias("a"), F.col("c").alias("x")), label.select(F.col("node").alias("b"), F.col("c").alias("y"))
         out = edges.join(la, "a").join(lb, "b").filter("x <> y")
@@ -37,8 +45,7 @@ def spanning_edges(rows: DataFrame, id_col: str, k: int, min_samples: int) -> Da
         least = written(both.groupBy("c").agg(F.min("e").alias("e")).select("c", "e.*"), "least")
         if least.isEmpty():
             break
-        new = least.select("a", "b", "w").distinct()
-        tree = new if tree is None else tree.unionByName(new)
+        tree = tree.unionByName(least.select("a", "b", "w").distinct())
         hooks = least.select("c", "to")
         parent = hooks.join(hooks.select(F.col("c").alias("to"), F.col("to").alias("back")), "to", "left").select("c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("p"))
         parent = written(parent, "parents")
@@ -48,14 +55,53 @@ def spanning_edges(rows: DataFrame, id_col: str, k: int, min_samples: int) -> Da
                 break
             parent = up
         label = written(label.join(parent, "c", "left").select("node", F.coalesce("p", "c").alias("c")), "labels")
-    return tree if tree is not None else edges.limit(0)
-
-
-def select_clusters(nodes: int, edges: list[tuple[float, int, int]], least: int) -> np.ndarray:
-    """Labels (-1: none) by excess of mass over the hierarchy of a forest's edges; the whole is never a cluster.
-    Trees of the forest that nothing joins are joined last, at no density."""
-    up, size = list(range(nodes)), [1] * nodes
-    kids: dict[int, tuple[int, int, float]] = {}
+    return tree, label
+
+
+def segmented(tree: DataFrame, segment: int) -> DataFrame:
+    """seg, w, a, b, x, sx, y, sy: the tree's edges in runs of ``segment`` by weight, with the component (its smallest
+    row, and its rows) that holds either end before the run begins. Runs are halved level by level: the trees of every
+    lower half become the nodes of its upper half, all runs at once."""
+    n = tree.count()
+    spread = written(tree.select("w", "a", "b").repartitionByRange("w", "a", "b").withColumn("_p", F.spark_partition_id()), "ordered")
+    sums = spread.groupBy("_p").agg(F.count("*").alias("_n"))
+    sums = sums.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_from"))  # a row for each partition
+    place = F.col("_from") + F.row_number().over(Window.partitionBy("_p").orderBy("w", "a", "b")) - 1
+    edges = spread.join(F.broadcast(sums), "_p").select(F.floor(place / segment).cast("long").alias("seg"), "w", "a", "b", F.col("a").alias("x"), F.lit(1).cast("long").alias("sx"), F.col("b").alias("y"), F.lit(1).cast("long").alias("sy"))
+    edges = written(edges, "segments")
+    for bit in reversed(range(max(0, -(-n // segment) - 1).bit_length())):
+        g = F.shiftright("seg", bit + 1)
+        upper = F.shiftright("seg", bit).bitwiseAND(1) == 1
+        low = edges.filter(~upper).select("w", F.struct(g.alias("g"), F.col("x").alias("id")).alias("a"), F.struct(g.alias("g"), F.col("y").alias("id")).alias("b"), "sx", "sy")
+        nodes = written(low.select(F.col("a").alias("node"), F.col("sx").alias("s")).unionByName(low.select(F.col("b").alias("node"), F.col("sy").alias("s"))).distinct(), "nodes")
+        _, label = grown(written(low.select("w", "a", "b"), "low"), nodes)
+        whole = label.join(nodes, "node").groupBy("c").agg(F.min("node.id").alias("to"), F.sum("s").alias("ts"))
+        moved = written(label.join(whole, "c").select(F.col("node.g").alias("g"), F.col("node.id").alias("id"), "to", "ts"), "moved")
+        high = edges.filter(upper).withColumn("g", g)
+        for x, s in (("x", "sx"), ("y", "sy")):
+            high = high.join(moved.withColumnRenamed("id", x), ["g", x], "left").withColumn(x, F.coalesce("to", x)).withColumn(s, F.coalesce("ts", s)).drop("to", "ts")
+        edges = written(edges.filter(~upper).unionByName(high.drop("g")), "segments")
+    return edges
+
+
+_MERGED = "x long, s long, tx long, ts long, frag long, first double, mass double, last double, up long, side int"
+
+
+def merge_segment(pdf: pd.DataFrame, least: int) -> pd.DataFrame:
+    """What one run of edges does to the hierarchy. Rows without mass: component (x, s) of under ``least`` rows went
+    into component (tx, ts), or into fragment frag. Rows with mass: a fragment of a cluster: the component it began as
+    (null: it was born here), the densities of its first and last merge, its rows times density between them, and
+    either the component it still is (tx, ts) or the fragment ``up`` that it ended in."""
+    base = int(pdf["seg"].iloc[0]) << 32
+    pdf = pdf.sort_values(["w", "a", "b"])
+    at: dict[int, int] = {}
+    up: list[int] = []
+    size: list[int] = []
+    name: list[int] = []
+    own: list[list[tuple[int, int]]] = []  # components of under ``least`` rows that a small root is of
+    frag: list[int] = []  # of a root with ``least`` rows or more
+    frags: list[list] = []  # x, s, tx, ts, first, mass, last, up, side, rows now
+    links: list[tuple] = []
 
     def root(x: int) -> int:
         while up[x] != x:
@@ -63,81 +109,127 @@ def select_clusters(nodes: int, edges: list[tuple[float, int, int]], least: int)
             x = up[x]
         return x
 
-    joins = sorted(edges)
-    roots = None
-    for w, a, b in [*joins, *((np.inf, 0, k) for k in range(1, nodes))]:
-        a, b = root(a), root(b)
-        if a == b:
-            continue
-        k = len(up)
-        up.append(k)
-        size.append(size[a] + size[b])
-        up[a] = up[b] = k
-        kids[k] = (a, b, w)
-        roots = k
-    labels = np.full(nodes, -1)
-    if roots is None:
-        return labels
-
-    def points(x: int) -> list[int]:
-        found, todo = [], [x]
-        while todo:
-            x = todo.pop()
-            if x in kids:
-                todo += kids[x][:2]
-            else:
-                found.append(x)
-        return found
-
-    born, mass, inner, held = [0.0], [0.0], [[]], [roots]
-    todo = [(roots, 0)]
-    while todo:
-        x, c = todo.pop()
-        if x not in kids:
-            continue
-        a, b, w = kids[x]
-        density = 1 / w if w > 0 else np.inf
-        big = [k for k in (a, b) if size[k] >= least]
-        lost = size[x] if len(big) != 1 else size[x] - size[big[0]]
-        mass[c] += lost * (min(density, 1e12) - born[c])
-        if len(big) == 2:
-            for k in big:
-                born.append(min(density, 1e12))
-                mass.append(0.0)
-                inner.append([])
-                held.append(k)
-                inner[c].append(len(held) - 1)
-                todo.append((k, len(held) - 1))
-        elif big:
-            todo.append((big[0], c))
-    chosen, best = [False] * len(held), list(mass)
-    for c in range(len(held) - 1, 0, -1):
-        below = sum(best[k] for k in inner[c])
-        chosen[c] = not inner[c] or mass[c] >= below
-        best[c] = max(mass[c], below)
-    number, todo = 0, list(inner[0])
-    while todo:
-        c = todo.pop(0)
+    def node(x: int, s: int) -> int:
+        k = at.get(x)
+        if k is None:
+            k = at[x] = len(up)
+            up.append(k)
+            size.append(s)
+            name.append(x)
+            own.append([(x, s)] if s < least else [])
+            frag.append(-1)
+            if s >= least:
+                frag[k] = len(frags)
+                frags.append([x, s, None, None, None, 0.0, None, None, 0, s])
+        return root(k)
+
+    def lower(f: list, density: float) -> None:
+        if f[4] is None:
+            f[4] = f[6] = density
+        f[5] += f[9] * (f[6] - density)
+        f[6] = density
+
+    for w, x, sx, y, sy in zip(*(pdf[c].tolist() for c in ("w", "x", "sx", "y", "sy")), strict=True):
+        density = min(1 / w, 1e12) if w > 0 else 1e12
+        a, b = node(x, sx), node(y, sy)
+        both, k = size[a] + size[b], -1
+        if frag[a] >= 0 and frag[b] >= 0:
+            k = len(frags)
+            for side, r in enumerate((a, b)):
+                lower(frags[frag[r]], density)
+                frags[frag[r]][7:9] = [k, side]
+            frags.append([None, None, None, None, density, 0.0, density, None, 0, both])
+        elif frag[a] >= 0 or frag[b] >= 0:
+            k = max(frag[a], frag[b])
+            lower(frags[k], density)
+            frags[k][9] = both
+        elif both >= least:
+            k = len(frags)
+            frags.append([None, None, None, None, density, 0.0, density, None, 0, both])
+        small = own[a] + own[b]
+        if k >= 0:
+            links += [(*c, None, None, base + k, None, None, None, None, None) for c in small]
+            small = []
+        if size[a] < size[b]:
+            a, b = b, a
+        up[b] = a
+        size[a], name[a], own[a], frag[a] = both, min(name[a], name[b]), small, k
+        own[b] = []
+    for k in range(len(up)):
+        if up[k] == k:
+            links += [(*c, name[k], size[k], None, None, None, None, None, None) for c in own[k]]
+            if frag[k] >= 0:
+                frags[frag[k]][2:4] = [name[k], size[k]]
+    rows = links + [(*f[:4], base + k, *f[4:7], None if f[7] is None else base + f[7], f[8]) for k, f in enumerate(frags)]
+    out = pd.DataFrame(rows, columns=[c.split()[0] for c in _MERGED.split(", ")])
+    return out.astype({c: "Int64" for c in ("x", "s", "tx", "ts", "frag", "up", "side")} | {c: "float64" for c in ("first", "mass", "last")})
+
+
+def select_fragments(pdf: pd.DataFrame) -> pd.DataFrame:
+    """frag, cluster: by excess of mass over the clusters that the fragments make up; the whole is never a cluster."""
+    pdf = pdf.sort_values("frag").astype(object).where(pdf.sort_values("frag").notna(), None)
+    of: dict[int, int] = {}  # fragment: its cluster; what a cluster came from is numbered before it
+    mass: list[float] = []
+    last: list[float] = []
+    inner: list[list[tuple[int, int]]] = []
+    still: dict[tuple[int, int], int] = {}
+    below: dict[int, list[tuple[int, int]]] = {}
+    for x, s, tx, ts, frag, first, m, end, up, side in zip(*(pdf[c.split()[0]].tolist() for c in _MERGED.split(", ")), strict=True):
+        if x is None:
+            c = len(mass)
+            mass.append(0.0)
+            last.append(end)
+            inner.append([k for _, k in sorted(below.pop(frag, []))])
+        else:
+            c = still.pop((x, s))
+            mass[c] += s * (last[c] - first)
+        last[c] = end
+        of[frag] = c
+        mass[c] += m
+        if up is None:
+            still[tx, ts] = c
+        else:
+            below.setdefault(up, []).append((side, c))
+    best, chosen = list(mass), [False] * len(mass)
+    for c in range(len(mass)):
+        under = sum(best[k] for k in inner[c])
+        chosen[c] = not inner[c] or mass[c] >= under
+        best[c] = max(mass[c], under)
+    number, label = 0, [-1] * len(mass)
+    todo = [k for c in still.values() for k in inner[c]]
+    for c in todo:
         if chosen[c]:
-            labels[points(held[c])] = number
+            inside = [c]
+            for k in inside:
+                label[k] = number
+                inside += inner[k]
             number += 1
         else:
             todo += inner[c]
-    return labels
-
-
-def density_clusters(rows: DataFrame, id_col: str, least: int, min_samples: int, k: int = 16) -> DataFrame:
-    """id, cluster of clustered rows. Neighbours and spanning forest are jobs; the hierarchy is cut where the edges of
-    one quarantine are (one fewer than its rows, which the trigger bounds)."""
-    tree = spanning_edges(rows, id_col, k, min_samples).withColumn("g", F.lit(0))
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(np.concatenate([pdf["a"], pdf["b"]]))
-        at = {x: k for k, x in enumerate(ids.tolist())}
-        labels = select_clusters(len(ids), [(w, at[a], at[b]) for a, b, w in zip(pdf["a"], pdf["b"], pdf["w"], strict=True)], least)
-        return pd.DataFrame({"node": ids[labels >= 0], "cluster": labels[labels >= 0]})
-
-    return tree.groupBy("g").applyInPandas(cut, "node long, cluster int").withColumnRenamed("node", id_col)
+    return pd.DataFrame([(f, label[c]) for f, c in of.items() if label[c] >= 0], columns=["frag", "cluster"]).astype({"frag": "int64", "cluster": "int32"})
+
+
+def density_clusters(rows: DataFrame, id_col: str, least: int, min_samples: int, k: int = 16, segment: int = SEGMENT) -> DataFrame:
+    """id, cluster of clustered rows; ``least`` is 2 or more. Neighbours, spanning tree and the runs of its edges are
+    jobs; a task merges one run of ``segment`` edges."""
+    return clusters_of(spanning_edges(rows, id_col, k, min_samples), least, segment).withColumnRenamed("node", id_col)
+
+
+def clusters_of(tree: DataFrame, least: int, segment: int = SEGMENT) -> DataFrame:
+    """node, cluster of a spanning tree. What meets in one task is a row for each component of ``least`` rows or more
+    in each run that changes it."""
+    done = written(segmented(tree, segment).groupBy("seg").applyInPandas(lambda pdf: merge_segment(pdf, least), _MERGED), "merged")
+    chosen = done.filter("mass IS NOT NULL").groupBy().applyInPandas(select_fragments, "frag long, cluster int")
+    links = done.filter("mass IS NULL").select("x", "s", "tx", "ts", "frag")
+    found, now = None, links.filter("s = 1").select(F.col("x").alias("node"), "tx", "ts", "frag")
+    for _ in range(least):  # a component grows by a row at least, and is small for that long
+        some = now.filter("frag IS NOT NULL").select("node", "frag")
+        found = some if found is None else found.unionByName(some)
+        rest = now.filter("frag IS NULL").select("node", F.col("tx").alias("x"), F.col("ts").alias("s"))
+        now = written(rest.join(links, ["x", "s"]).select("node", "tx", "ts", "frag"), "climbed")
+        if now.isEmpty():
+            break
+    return found.join(chosen, "frag").select("node", "cluster")
 
 
 def largest(clusters: DataFrame, least: int) -> DataFrame:
