@@ -3,6 +3,8 @@
 Every element gets its characters per tag, adjusted for the characters and tags of links in it and in the whole body.
 The block whose children's densities have the largest sum holds the article; the least density on its path up to the
 body is the threshold by which further blocks are taken, each again by its largest sum inside.
+
+Boilerplate names in class or id only lower a claim: what holds the block that is densest even so keeps its place.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ IN_HEAD = frozenset("base link meta title style script noscript template".split(
 SCOPE = frozenset("html body table td th caption button div article section main aside header footer nav form blockquote figure fieldset ul ol dl".split())
 NOISE_TAGS = frozenset(
     "head title script style noscript template nav footer aside form button select option textarea input label dialog iframe object "
-    "embed svg canvas audio video math menu".split()
+    "embed svg canvas audio video annotation annotation-xml menu".split()
 )
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 NOISE_NAMES = frozenset(
@@ -38,15 +40,20 @@ NOISE_NAMES = frozenset(
     "subscribe subscription signup login share sharing social related recommended comment comments disqus replies respond pagination "
     "pager toolbar copyright banner".split()
 )
+# Elements that no name speaks against; and those whose id is a slug of their heading.
+UNNAMED = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
+SLUGGED = frozenset("section h1 h2 h3 h4 h5 h6".split())
+NAMED_CLAIM = 0.25  # what the density of a block in an element of such a name counts
 _NAME = re.compile(r"[a-z0-9]+")
+_MODIFIER = re.compile(r"(?:has|have|no|not|with|without)[-_]")
 
 
 class _Tree(HTMLParser):
-    """Elements in page order: parent, tag, noise; and the texts with the element each is in."""
+    """Elements in page order: parent, tag, noise, own boilerplate name; and the texts with the element each is in."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.parent, self.tag, self.noise = [-1], ["html"], [False]
+        self.parent, self.tag, self.noise, self.named = [-1], ["html"], [False], [False]
         self.stack = [0]
         self.texts: list[tuple[int, str]] = []  # element, text; None marks a line break
 
@@ -64,9 +71,15 @@ class _Tree(HTMLParser):
             v = (v or "").lower()
             if k == "hidden" or (k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v)) or (k == "role" and v.strip() in NOISE_ROLES):
                 return True
-            if k in ("class", "id"):
-                names = _NAME.findall(v)
-                if not NOISE_NAMES.isdisjoint(names) or ("header" in names and not self._in_article() and tag != "article"):
+        return False
+
+    def _is_named(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        if tag in UNNAMED:
+            return False
+        for k, v in attrs:
+            if k == "class" or (k == "id" and tag not in SLUGGED):
+                names = [n for x in (v or "").lower().split() if not _MODIFIER.match(x) for n in _NAME.findall(x)]
+                if not NOISE_NAMES.isdisjoint(names) or ("header" in names and not self._in_article()):
                     return True
         return False
 
@@ -99,6 +112,7 @@ class _Tree(HTMLParser):
         self.parent.append(up)
         self.tag.append(tag)
         self.noise.append(self.noise[up] or self._is_noise(tag, attrs))
+        self.named.append(self._is_named(tag, attrs))
         if tag in ("br", "hr"):
             self.texts.append((up, " "))
         if tag not in VOID:
@@ -126,18 +140,14 @@ def density(chars: int, tags: int, link_chars: int, link_tags: int, body_chars:
     return chars / tags * max(0.0, math.log(max(1.0, chars / lc * (tags / lt)))) / math.log(base)
 
 
-def main_text(html: str | None) -> str:
-    """Blocks of the article, each with single spaces, in page order, joined by line ends; '' if there are none."""
-    if not html:
-        return ""
-    tree = _Tree()
-    tree.feed(html)
-    tree.close()
-    n, parent, tag, noise = len(tree.tag), tree.parent, tree.tag, tree.noise
+def _weigh(tree: _Tree, noise: list[bool], claim: list[float]) -> tuple[list[int], list[float], list[int]]:
+    """Of each element: characters, density times claim, and the block in it of the largest sum of those."""
+    n, parent, tag = len(tree.tag), tree.parent, tree.tag
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
-    in_link = [False] * n
+    in_link, in_math = [False] * n, [False] * n
     for k in range(1, n):
         in_link[k] = tag[k] == "a" or in_link[parent[k]]
+        in_math[k] = tag[k] == "math" or in_math[parent[k]]
     for k, text in tree.texts:
         if not noise[k]:
             c = len("".join(text.split()))
@@ -149,10 +159,10 @@ def main_text(html: str | None) -> str:
         chars[p] += chars[k]
         link_chars[p] += link_chars[k]
         if not noise[k]:
-            tags[p] += tags[k] + 1
+            tags[p] += tags[k] + (not in_math[k])  # a formula's elements are its letters
             link_tags[p] += link_tags[k] + (tag[k] == "a")
     body = tag.index("body") if "body" in tag else 0
-    dens = [density(chars[k], tags[k], link_chars[k], link_tags[k], chars[body], link_chars[body]) for k in range(n)]
+    dens = [density(chars[k], tags[k], link_chars[k], link_tags[k], chars[body], link_chars[body]) * claim[k] for k in range(n)]
     total = [0.0] * n
     for k in range(1, n):
         total[parent[k]] += dens[k]
@@ -167,6 +177,31 @@ def main_text(html: str | None) -> str:
         p = parent[k]
         if worth[best[k]] > worth[best[p]]:
             best[p] = best[k]
+    return chars, dens, best
+
+
+def main_text(html: str | None) -> str:
+    """Blocks of the article, each with single spaces, in page order, joined by line ends; '' if there are none."""
+    if not html:
+        return ""
+    tree = _Tree()
+    tree.feed(html)
+    tree.close()
+    parent, tag, noise = tree.parent, tree.tag, tree.noise
+    n = len(tag)
+    body = tag.index("body") if "body" in tag else 0
+    if any(tree.named):
+        claim = [1.0] * n
+        for k in range(1, n):
+            claim[k] = claim[parent[k]] * (NAMED_CLAIM if tree.named[k] else 1.0)
+        kept, k = set(), _weigh(tree, noise, claim)[2][body]
+        while k >= 0:
+            kept.add(k)
+            k = parent[k]
+        noise = noise[:]
+        for k in range(1, n):
+            noise[k] = noise[k] or noise[parent[k]] or (tree.named[k] and k not in kept)
+    chars, dens, best = _weigh(tree, noise, [1.0] * n)
     top = best[body]
     threshold, k = dens[top], top
     while k not in (body, -1):
