@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from phmspark.operators import quantiles
 from phmspark.plans.base import SCORES, features, query, scores
-from phmspark.plans.models import _KNN, knn_scores
+from phmspark.plans.models import _KNN, knn_scores, scaled_rows
 from phmspark.plans.series import _ALARM, _EWMA
 from phmspark.sources.scratch import written
 from phmspark.streaming import discovery, monitor
@@ -65,10 +65,27 @@ def r4_quarantine(spark, d):
 
 @query("r5_r7_discovery")
 def r5_r7_discovery(spark, d):
-    """Quarantined rows clustered by density: for each true label how many are held, clustered, and in the cluster to
-    adopt (the largest, of 25 rows or more). Rows without structure form no cluster."""
-    held = written(discovery.quarantine(knn_scores(spark, d).join(features(spark, d).select("vec_id", "f"), "vec_id"), margin=1.0), "quarantine")
-    c = written(discovery.density_clusters(held.select("vec_id", "f"), "vec_id", 10, 2), "clusters")
-    top = discovery.largest(c, 25).select("vec_id", F.lit(1).alias("adopted"))
-    met = held.join(c, "vec_id", "left").join(top, "vec_id", "left")
-    return met.groupBy("label").agg(F.count("*").alias("held"), F.count("cluster").alias("clustered"), F.count("adopted").alias("adopted"))
+    """Rows quarantined (margin 1.0) in one batch, clustered by the density ladder; for each true label how many are
+    held, clustered, rejected, adopted and pruned. The largest cluster of 25 rows or more is adopted if its median score
+    is above the largest calibration score of the known rows, else it leaves the quarantine and the ladder starts again.
+    After the first adoption the detector is refitted and what it then knows is pruned."""
+    scored = knn_scores(spark, d)
+    boundary = scored.filter("label = 0 AND role = 'cal'").agg(F.max("score")).first()[0]
+    held = written(discovery.quarantine(scored.join(features(spark, d).select("vec_id", "f"), "vec_id"), margin=1.0), "quarantine")
+    left, said, verdict = held, held.select("vec_id", F.lit("").alias("fate")).limit(0), "rejected"
+    while verdict == "rejected":
+        clusters, top = discovery.candidate(left)
+        said = said.unionByName(clusters.select("vec_id", F.lit("clustered").alias("fate")))
+        if top.isEmpty():
+            break
+        verdict = discovery.adopt(top.join(held, "vec_id"), boundary)[0]
+        said = said.unionByName(top.select("vec_id", F.lit(verdict).alias("fate")))
+        left = written(left.join(top, "vec_id", "left_anti"), "quarantine")
+        if verdict == "adopted":
+            rows = scaled_rows(spark, d).select("vec_id", "f")
+            again = discovery.refit(rows.join(top, "vec_id", "left_semi"), left.select("vec_id", "score").join(rows, "vec_id"))
+            gone = left.join(discovery.pruned(left, again, 1.0), "vec_id", "left_anti")
+            said = said.unionByName(gone.select("vec_id", F.lit("pruned").alias("fate")))
+    fates = said.groupBy("vec_id").agg(F.collect_set("fate").alias("fates"))
+    met = held.join(fates, "vec_id", "left")
+    return met.groupBy("label").agg(F.count("*").alias("held"), *(F.count_if(F.array_contains("fates", x)).alias(x) for x in ("clustered", "rejected", "adopted", "pruned")))

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from phmspark.operators import neighbours
+from phmspark.operators import neighbours, openset, quantiles, ranking
 from phmspark.sources.scratch import written
 
 # Rows needed, least cluster, neighbours for core distances, of the density ladder's steps.
@@ -238,10 +238,40 @@ def largest(clusters: DataFrame, least: int) -> DataFrame:
     return clusters.join(F.broadcast(top), "cluster", "left_semi")  # one row
 
 
+def candidate(held: DataFrame, least: int = 25, ladder: tuple = LADDER) -> tuple[DataFrame, DataFrame]:
+    """vec_id, cluster of the last step of the ladder that was tried, and of its largest cluster. The first step with a
+    cluster of ``least`` rows ends the ladder; a step is tried only on as many rows as it needs."""
+    n, clusters = held.count(), held.select("vec_id", F.lit(0).alias("cluster")).limit(0)
+    top = clusters
+    for needed, smallest, min_samples in ladder:
+        if n < needed:
+            break
+        clusters = written(density_clusters(held.select("vec_id", "f"), "vec_id", smallest, min_samples), "clusters")
+        top = written(largest(clusters, least), "candidate")
+        if not top.isEmpty():
+            break
+    return clusters, top
+
+
 def adopt(candidate: DataFrame, boundary: float, needed: int = 5) -> tuple[str, int]:
-    """adopted, insufficient (under ``needed`` rows) or rejected (median score not above the known boundary)."""
-    row = candidate.agg(F.count("*").alias("n"), F.percentile_approx("score", 0.5, 10000).alias("m")).first()
-    return ("insufficient" if row["n"] < needed else "rejected" if row["m"] <= boundary else "adopted"), row["n"]
+    """rejected (median score not above the known boundary), insufficient (under ``needed`` rows) or adopted."""
+    n = candidate.count()
+    median = quantiles.exact_quantiles(candidate, [], "score", [0.5]).first()
+    return ("rejected" if median and median["x"] <= boundary else "insufficient" if n < needed else "adopted"), n
+
+
+def refit(adopted: DataFrame, rest: DataFrame, k: int = 5) -> DataFrame:
+    """vec_id, score, nearest, verdict of ``rest`` (vec_id, f, score under the classes known before), once ``adopted``
+    (vec_id, f) is a class too: its training rows are the bank, its calibration rows give the threshold."""
+    new = F.lit("discovered-1")
+    own = written(ranking.with_role(adopted.select("vec_id", "f", new.alias("cls")), ["cls"], "vec_id").select("vec_id", "f", "cls", "role"), "adopted")
+    asked = rest.select("vec_id", "f").unionByName(own.filter("role = 'cal'").select("vec_id", "f"))
+    d = written(neighbours.mean_distance(asked, own.filter("role = 'train'"), k, "vec_id", cls="cls", not_self=True).withColumnRenamed("query", "vec_id"), "distances")
+    t = openset.thresholds(d.join(own.filter("role = 'cal'").select("vec_id"), "vec_id"), "cls", "d")
+    told = openset.decide(d, t, "vec_id", "cls", "d").select("vec_id", F.col("score").alias("_new"))
+    score = F.least("score", "_new")
+    near = F.when(score <= 1, F.when(F.col("_new") <= F.col("score"), new).otherwise("known"))
+    return rest.select("vec_id", "score").join(told, "vec_id").select("vec_id", score.alias("score"), near.alias("nearest"), F.when(score > 1, "unknown").otherwise("known").alias("verdict"))
 
 
 def pruned(held: DataFrame, rescored: DataFrame, margin: float = 2.0) -> DataFrame:

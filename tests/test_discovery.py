@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from phmspark.sources.scratch import written
 from phmspark.streaming import discovery
@@ -98,3 +99,32 @@ def test_clusters_do_not_depend_on_the_runs(spark, ties):
         assert got == {k: int(c) for k, c in enumerate(want) if c >= 0}
     runs = Counter(r["seg"] for r in discovery.segmented(tree, segment).collect())
     assert len(runs) == 4 and max(runs.values()) <= segment and sum(runs.values()) == len(x) - 1
+
+
+def test_the_ladder_stops_at_its_first_success(spark, monkeypatch):
+    held = spark.range(80).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("double")).alias("f"))
+    tried = []
+
+    def clusters(rows, id_col, least, min_samples):
+        tried.append((least, min_samples))
+        return rows.filter(f"vec_id < {24 if least == 25 else 30}").select("vec_id", F.lit(0).alias("cluster"))
+
+    monkeypatch.setattr(discovery, "density_clusters", clusters)
+    assert discovery.candidate(held)[1].count() == 30 and tried == [(25, 3), (15, 3)]
+    tried.clear()
+    assert discovery.candidate(held.filter("vec_id < 70"))[1].isEmpty() and tried == [(25, 3)]
+    tried.clear()
+    assert discovery.candidate(held.filter("vec_id < 24"))[1].isEmpty() and tried == []
+
+
+def test_adoption_and_what_a_refit_explains(spark):
+    score = lambda xs: spark.createDataFrame([(k, float(x)) for k, x in enumerate(xs)], "vec_id long, score double")
+    assert discovery.adopt(score([1, 2, 3, 4, 9]), 3.0) == ("rejected", 5)
+    assert discovery.adopt(score([1, 2, 3.1, 4, 9]), 3.0) == ("adopted", 5)
+    assert discovery.adopt(score([4, 5]), 3.0) == ("insufficient", 2)
+    x = np.random.default_rng(0).normal(size=(40, 2))
+    adopted = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "vec_id long, f array<double>")
+    rest = spark.createDataFrame([(100, [0.0, 0.0], 3.0), (101, [50.0, 50.0], 3.0), (102, [50.0, 0.0], 1.5)], "vec_id long, f array<double>, score double")
+    again = discovery.refit(adopted, rest)
+    assert {r["vec_id"]: (r["nearest"], r["verdict"]) for r in again.collect()} == {100: ("discovered-1", "known"), 101: (None, "unknown"), 102: (None, "unknown")}
+    assert {r["vec_id"] for r in discovery.pruned(rest, again).collect()} == {101}
