@@ -292,7 +292,7 @@ def m9_local_outlier(spark, d):
 def m8_isolation_forest(spark, d):
     """Trees grown on hashed samples of the healthy training rows; the anomaly score of every row."""
     rows = scaled_rows(spark, d)
-    return detectors.isolation_scores(rows, rows.filter("label = 0 AND role = 'train'"), "vec_id", trees=50).select("vec_id", "label", F.round("iso", 6).alias("iso"))
+    return detectors.isolation_scores(rows, rows.filter("label = 0 AND role = 'train'"), "vec_id", trees=200).select("vec_id", "label", F.round("iso", 6).alias("iso"))
 
 
 @query("m11_reconstruction_error")
