@@ -116,7 +116,7 @@ def m26_protocols(spark, d):
     """Two estimators under three seeds as keys of one job: known holdouts and unknown rows to classes, macro figures."""
     from phmspark.operators import openset
 
-    e = table(spark, d, "embeddings").select("vec_id", "label", F.slice(F.col("embedding").cast("array<double>"), 1, 3).alias("f"))
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("f"))
     parts = None
     for seed in (42, 123, 7):  # splits differ by seed; each adds its rows to one keyed table
         rows = ranking.with_role(e, ["label"], "vec_id", seed=seed).withColumn("seed", F.lit(seed))
