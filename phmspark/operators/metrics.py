@@ -6,12 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _beside(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+    """``a`` joined to ``b``; null keys meet."""
+    b = b.withColumnsRenamed({c: f"_b_{c}" for c in on})
+    met = F.lit(True)
+    for c in on:
+        met &= a[c].eqNullSafe(b[f"_b_{c}"])
+    return a.join(b, met).drop(*(f"_b_{c}" for c in on))
+
+
 def histogram(df: DataFrame, keys: list[str], score: str, positive: str) -> DataFrame:
-    """keys, score, p, q (positives and negatives at the score), tp, fp (at it or above), np, nq (in all)."""
+    """keys, score, p, q (positives and negatives at the score), tp, fp (at it or above), np, nq (in all). Distinct scores
+    are dealt to ranges; a task sorts one range, to which the sums of those above are added."""
     h = df.groupBy(*keys, score).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("q"))
+    grid = h.groupBy(*keys).agg(F.percentile_approx(score, [k / 64 for k in range(1, 64)], 1000).alias("_grid"))
+    part = F.coalesce(F.size(F.filter("_grid", lambda g: g < F.col(score))), F.lit(0))
+    dealt = _beside(h, grid, keys).withColumn("_part", part).drop("_grid")
     whole = Window.partitionBy(*keys)
-    above = whole.orderBy(F.desc(score))
-    return h.select("*", F.sum("p").over(above).alias("tp"), F.sum("q").over(above).alias("fp"), F.sum("p").over(whole).alias("np"), F.sum("q").over(whole).alias("nq"))
+    above = whole.orderBy(F.desc("_part"))  # 64 rows of a key at most
+    parts = dealt.groupBy(*keys, "_part").agg(F.sum("p").alias("_p"), F.sum("q").alias("_q"))
+    sums = parts.select(*keys, "_part", (F.sum("_p").over(above) - F.col("_p")).alias("_tp"), (F.sum("_q").over(above) - F.col("_q")).alias("_fp"), F.sum("_p").over(whole).alias("np"), F.sum("_q").over(whole).alias("nq"))
+    own = Window.partitionBy(*keys, "_part").orderBy(F.desc(score))
+    met = _beside(dealt, sums, [*keys, "_part"])
+    return met.select(*keys, score, "p", "q", (F.sum("p").over(own) + F.col("_tp")).alias("tp"), (F.sum("q").over(own) + F.col("_fp")).alias("fp"), "np", "nq")
 
 
 def auroc(df: DataFrame, keys: list[str], score: str, positive: str) -> DataFrame:
