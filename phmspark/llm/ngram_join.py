@@ -2,32 +2,33 @@
 
 Two sets of r <= s shingles have a Jaccard similarity of at least t only if they differ in at most
 ``(r + s) (1 - t) / (1 + t)`` shingles. Sizes are cut into bands. In each band the shingle universe is hashed into
-segments, more of them than two linked sets can differ in, so that linked sets have segments (subsets of either set)
-in common. How a band's segments are laid out follows from their cost in index rows:
-
-* where at most one shingle may differ, one segment with its one-deletion neighbourhood (size + 1 rows, most selective);
-* in short bands, segments of one shingle each;
-* above, the fewest segments of which a set surely fills more than it can differ in. A deletion neighbourhood would
-  take as many rows as the segment has shingles to be worth two segments, so none is bought there.
-
-A set needs only as many of its segments as it can differ in, and one: those that fewest sets share, so segments made of
-passages that many documents share are left out. Sets that meet in a segment are compared with a few of them, in turns,
-and what is in different components after that with each other; sizes and parity bitmaps (a lower bound of the
-difference) decide which pairs are verified on their whole texts.
+segments; the part of a set in a segment is a segment subset, and its hash an index key. Some segments also index their
+one-deletion neighbourhood (the subset without each of its shingles in turn): two sets that share no key of such a
+segment differ in two shingles there, in any other segment in one. So a set indexes segments worth one more than it can
+differ in, and linked sets have a key in common.
+
+Allocation by cost: how many segments of a band get the neighbourhood (each costs as many rows as it has shingles and
+saves another segment) is what makes expected index rows plus expected pairs the least; both are counted for every
+choice on a bounded sample of sets (``sample`` sets, which decides on cost only). Each set indexes a few segments more
+than it must, and then does without as many of its keys, those that most sets share.
+
+Sets that meet in a key are held against two leads of it. What is in different components then meets pair by pair in
+keys of few sets. In keys of many sets a finer partition takes over: every shingle is a segment, a set keeps its rarest,
+and a pair is worth a look only if enough of both sets is left behind the shingle in which it meets. Sizes and parity
+bitmaps (a lower bound of the difference) sort pairs out before they are verified on their whole texts.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phmspark.llm.batches import cuts
@@ -35,248 +36,475 @@ from phmspark.llm.common import table, written
 from phmspark.llm.components import connect
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_IS_BLANK = bytes(c == 32 or 9 <= c <= 13 for c in range(256))
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)  # masks of the first k bytes of eight
+_BLANK = re.compile(rb"[ \t-\r]")
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-BROADCAST_ROWS = 250_000  # of pairs of ids; beyond, the join is a shuffle
-TURNS = 3  # of comparing with a few sets of each key, before all across components
+BROADCAST_ROWS = 100_000  # of nodes to look texts up for; beyond, the join is a shuffle
+FEW = 16  # sets of a key that meet pair by pair
+SAMPLE = 2000  # sets on which the cost of layouts is counted
+PAIR_COST = 30  # index rows that cost as much as one candidate pair
+PARITY_LONGS = 8
+NO_ID = 1 << 62  # rows without an id stand under a number of their text from here on
+_PIECE = 4_000_000  # bytes of one text that are split into words at once
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ np.uint64((salt * 0x9E3779B97F4A7C15) & (2**64 - 1))) * _B
-        x = (x ^ (x >> np.uint64(29))) * _C
-        return x ^ (x >> np.uint64(32))
+    """A 64-bit finaliser; x is not changed."""
+    x = x ^ np.uint64((salt * 0x9E3779B97F4A7C15) & (2**64 - 1))
+    x *= _B
+    x ^= x >> np.uint64(29)
+    x *= _C
+    x ^= x >> np.uint64(32)
+    return x
+
+
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a text, and where they begin: eight bytes at a time, of all words at once."""
+    n = len(text)
+    blank = np.frombuffer(text.translate(_IS_BLANK), dtype=np.bool_)
+    edge = np.flatnonzero(np.diff(blank, prepend=True, append=True))
+    starts, ends = edge[::2], edge[1::2]
+    eight = np.ndarray((n + 1,), dtype="<u8", buffer=text.translate(_LOWER) + bytes(8), strides=(1,))
+    left = ends - starts
+    h = mix(left.astype(np.uint64), 43)
+    some = np.arange(len(starts))
+    at = starts
+    while len(some):
+        part = eight[at] & _FIRST[np.minimum(left, 8)]
+        h[some] = mix(h[some] * _A + part, 47)
+        more = left > 8
+        some, at, left = some[more], at[more] + 8, left[more] - 8
+    return h, starts
 
 
 class Shingles:
-    """Sorted distinct 64-bit hashes of the runs of ``width`` words of a text; of all its words, if they are fewer."""
+    """Sorted distinct 64-bit hashes of the runs of ``width`` words of texts; of all words of a text that has fewer."""
 
     def __init__(self, width: int):
-        self.width, self.seen = width, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
-        if not words:
-            return np.empty(0, np.uint64)
-        seen = self.seen
-        if len(seen) > 500_000:
-            seen.clear()
-        for w in set(words).difference(seen):
-            seen[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(seen.__getitem__, words), dtype=np.uint64, count=len(words))
-        n = max(1, len(h) - self.width + 1)
-        out = np.full(n, min(len(h), self.width), dtype=np.uint64)
-        for k in range(min(len(h), self.width)):
-            out = mix(out + h[k : k + n], k + 1)
-        return np.unique(out)
+        self.width = width
+
+    def _hashes(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of all texts, and how many each has."""
+        hashes, counts, held, size = [], np.zeros(len(texts), dtype=np.int64), [], 0
+
+        def flush():
+            whole = b" ".join(piece for _, piece in held)
+            h, starts = word_hashes(whole)
+            ends = np.cumsum([len(piece) + 1 for _, piece in held])
+            np.add.at(counts, [k for k, _ in held], np.diff(np.searchsorted(starts, ends), prepend=0))
+            hashes.append(h)
+            held.clear()
+
+        for k, t in enumerate(texts):
+            for piece in _pieces(t or b""):
+                held.append((k, piece))
+                size += len(piece)
+                if size >= _PIECE:
+                    flush()
+                    size = 0
+        if held:
+            flush()
+        return np.concatenate([np.empty(0, np.uint64), *hashes]), counts
+
+    def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The sets of all texts one behind the other, and where each begins (and the last ends)."""
+        h, counts = self._hashes(texts)
+        w, starts = self.width, np.concatenate(([0], np.cumsum(counts)))
+        run = np.zeros(max(0, len(h) - w + 1), dtype=np.uint64)
+        for k in range(w):
+            run *= _A
+            run += h[k : k + len(run)]
+        run = mix(run, w)
+        sizes = np.where(counts >= w, counts - w + 1, np.minimum(counts, 1))
+        at = np.concatenate(([0], np.cumsum(sizes)))
+        first = np.repeat(starts[:-1] - at[:-1], sizes) + np.arange(at[-1])
+        sets = run[np.minimum(first, max(0, len(run) - 1))] if len(run) else np.zeros(at[-1], dtype=np.uint64)
+        for k in np.flatnonzero((counts > 0) & (counts < w)).tolist():
+            few = np.zeros(1, dtype=np.uint64)
+            for x in h[starts[k] : starts[k + 1]]:
+                few = few * _A + x
+            sets[at[k]] = mix(few, 100 + int(counts[k]))[0]
+        for a, b in zip(at.tolist(), at[1:].tolist()):
+            if b - a > 1:
+                sets[a:b].sort()
+        new = np.ones(len(sets), dtype=bool)
+        new[1:] = sets[1:] != sets[:-1]
+        new[at[:-1][sizes > 0]] = True
+        return sets[new], np.concatenate(([0], np.cumsum(new)))[at]
+
+
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """A text, cut at blanks if it is very long."""
+    a = 0
+    while len(text) - a > _PIECE and (m := _BLANK.search(text, a + _PIECE)):
+        yield text[a : m.start()]
+        a = m.start()
+    yield text[a:] if a else text
 
 
 @dataclass(frozen=True)
-class Band:
-    number: int
+class Layout:
+    """How the sets of a size band are indexed."""
+
+    band: int
     most: int  # shingles of its largest sets
-    segments: int  # 0: each shingle is one; 1: one with its one-deletion neighbourhood
+    segments: int
+    deletions: int  # of the segments, the first so many, have the one-deletion neighbourhood
+    spare: int  # keys that each set indexes beyond what it must, and then does without
 
 
 class Bands:
     """Size bands for a similarity of ``num / den``: a set meets sets not larger in its own band, larger ones in the next."""
 
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
+    def __init__(self, num: int, den: int, chosen: dict[int, int] | None = None):
+        self.num, self.den, self.chosen = num, den, chosen or {}
         self.over, self.under = den - num, den + num  # difference <= (r + s) * over / under
         most = 1
         while self.differ(most + 1, most + 1) <= 1:
             most += 1
-        self.bands = [Band(0, most, 1)]
+        self.most = [most]
 
     def differ(self, size: int, largest: int) -> int:
         """Most shingles in which a set of ``size`` differs from any linked set of at most ``largest``."""
         return (size + min(size * self.den // self.num, largest)) * self.over // self.under
 
-    def _segments(self, most: int) -> int:
-        need = 1.1 * (self.differ(most, most) + 1) + 2
-        for m in range(int(need), 2 * most):
-            load = most / m
-            mean, var = m * (1 - math.exp(-load)), m * math.exp(-load) * (1 - (1 + load) * math.exp(-load))
-            if mean - 5.5 * math.sqrt(max(var, 0)) >= need:
-                return m if m < 0.75 * most else 0
-        return 0
-
-    def at(self, k: int) -> Band:
-        while len(self.bands) <= k:
-            most = self.bands[-1].most * self.den * self.den // (self.num * self.num) + 1
-            self.bands.append(Band(len(self.bands), most, self._segments(most)))
-        return self.bands[k]
-
-    def of(self, size: int) -> list[Band]:
+    def size_of(self, k: int) -> int:
+        """Shingles of the largest sets of a band."""
+        while len(self.most) <= k:
+            self.most.append(self.most[-1] * self.den**4 // self.num**4 + 1)
+        return self.most[k]
+
+    def of(self, size: int) -> list[int]:
         k = 0
-        while self.at(k).most < size:
+        while self.size_of(k) < size:
             k += 1
-        return [self.at(k)] + ([self.at(k + 1)] if size * self.den >= (self.at(k).most + 1) * self.num else [])
-
-    def keys(self, band: Band, sets: np.ndarray) -> tuple[np.ndarray, int]:
-        """Index keys of a set in a band, and how many of them, the most shared ones, it can do without."""
-        salt, size = 1000 + band.number, len(sets)
-        differ = self.differ(size, band.most)
-        if band.segments == 1:
-            if differ == 0:
-                return np.empty(0, np.uint64), 0  # only equal sets are linked
-            with np.errstate(over="ignore"):
-                one = mix(sets, 3)
-                total = one.sum(dtype=np.uint64)
-                return mix(np.append(total - one, total), salt), 0
-        if band.segments == 0:
-            return mix(sets, salt), max(0, size - differ - 1)
-        m = np.uint64(band.segments)
-        segment = ((mix(sets, 5) >> np.uint64(32)) * m) >> np.uint64(32)
-        order = np.argsort(segment, kind="stable")
-        segment = segment[order]
-        starts = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
-        with np.errstate(over="ignore"):
-            content = np.add.reduceat(mix(sets[order], 3), starts)
-            keys = mix(content + mix(segment[starts], 7), salt)
-            spare = len(keys) - differ - 1
-            if spare < 0:  # too few segments are filled: the first empty ones stand in
-                empty = np.setdiff1d(np.arange(band.segments, dtype=np.uint64), segment[starts])[:-spare]
-                keys = np.append(keys, mix(mix(empty, 11), salt))
-        return keys, max(0, spare)
-
-
-@lru_cache(maxsize=8)
-def bands(num: int, den: int) -> Bands:
-    return Bands(num, den)
-
-
-def _name(sets: np.ndarray) -> int:
-    """64-bit name of a set; equal sets have one name."""
-    with np.errstate(over="ignore"):
-        return int(mix(mix(sets, 13).sum(dtype=np.uint64)[None] + np.uint64(len(sets)), 17).view(np.int64)[0])
-
-
-def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+        return [k] + ([k + 1] if size * self.den >= (self.size_of(k) + 1) * self.num else [])
+
+    def choices(self, k: int) -> list[Layout]:
+        """Layouts of a band: neighbourhoods for none, half or all of what a set can differ in."""
+        most = self.size_of(k)
+        need = self.differ(most, most) + 1
+        spare = min(1 + 3 * need // 20, 0xFFFF)
+        full, found = (need + 1) // 2, []
+        for deletions in dict.fromkeys((0, full // 2, full)):
+            plain = need + spare - 2 * deletions
+            if deletions == full:
+                found.append(Layout(k, most, full, full, 0))
+            else:
+                found.append(Layout(k, most, deletions + math.ceil(1.35 * plain) + 1, deletions, spare))
+        return found
+
+    def layout(self, k: int) -> Layout:
+        found = self.choices(k)
+        return found[min(self.chosen.get(k, 0), len(found) - 1)]
+
+    def keys(self, lay: Layout, sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index keys of sets (sorted, one behind the other, beginning ``at``), the number of the set of each, and of
+        how many keys of its kind the set can do without."""
+        m, salt = np.uint64(lay.segments), np.uint64((1009 * lay.band + 31 * lay.deletions + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
+        sizes = np.diff(at)
+        own = np.repeat(np.arange(len(sizes)), sizes)
+        segment = ((sets >> np.uint64(32)) * m) >> np.uint64(32)  # rises with the shingle, so subsets stand together
+        one = mix(sets, 3)
+        begins = np.ones(len(sets), dtype=bool)
+        begins[1:] = (segment[1:] != segment[:-1]) | (own[1:] != own[:-1])
+        starts = np.flatnonzero(begins)
+        content = np.add.reduceat(one, starts) if len(starts) else np.empty(0, np.uint64)
+        number, of = segment[starts], own[starts]
+        place = mix(number, 7) + salt
+        keys, owners = [], []
+        near = number < np.uint64(lay.deletions)
+        if lay.deletions:
+            keys.append(mix(content[near] + mix(place[near], 23), 29))
+            owners.append(of[near])
+            which = np.cumsum(begins) - 1
+            inside = near[which]
+            keys.append(mix(content[which[inside]] - one[inside] + mix(place[which[inside]], 23), 29))
+            owners.append(own[inside])
+            for k in range(lay.deletions):  # an empty subset is one deletion from any single shingle
+                empty = np.setdiff1d(np.arange(len(sizes)), of[number == np.uint64(k)])
+                keys.append(np.repeat(mix(mix(mix(np.array([k], np.uint64), 7) + salt, 23), 29), len(empty)))
+                owners.append(empty)
+        always = sum(map(len, keys))
+        if lay.segments > lay.deletions:
+            number, of, plain = number[~near], of[~near], mix(content[~near] + place[~near], 31)
+            filled = np.bincount(of, minlength=len(sizes))
+            before = np.concatenate(([0], np.cumsum(filled)))[:-1]
+            wanted = (sizes + np.minimum(sizes * self.den // self.num, lay.most)) * self.over // self.under + 1 + lay.spare - 2 * lay.deletions
+            chosen = np.arange(len(of)) - before[of] < wanted[of]
+            keys.append(plain[chosen])
+            owners.append(of[chosen])
+            for k in np.flatnonzero(filled < wanted).tolist():  # the first empty segments stand in
+                free = np.setdiff1d(np.arange(lay.deletions, lay.segments, dtype=np.uint64), number[before[k] : before[k] + filled[k]])[: wanted[k] - filled[k]]
+                keys.append(mix(mix(free, 7) + salt, 31))
+                owners.append(np.full(len(free), k))
+        spares = np.zeros(sum(map(len, keys)), dtype=np.int32)
+        spares[always:] = lay.spare
+        return np.concatenate(keys), np.concatenate(owners), spares
+
+
+def _name(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Two longs for each set: its name; equal sets have one name."""
+    out = np.zeros((len(at) - 1, 2), dtype=np.uint64)
+    full = np.flatnonzero(np.diff(at))
+    if len(full):
+        for k in range(2):
+            total = np.add.reduceat(mix(sets, 13 + k), at[full])
+            out[full, k] = mix(total + np.diff(at)[full].astype(np.uint64), 17 + k)
+    return out
+
+
+def _parity(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Parity bitmaps of the sets: a bit is whether an odd number of shingles fall on it."""
+    n, bits = len(at) - 1, 64 * PARITY_LONGS
+    on = np.repeat(np.arange(n), np.diff(at)) * bits + (mix(sets, 19) % np.uint64(bits)).astype(np.int64)
+    return np.packbits((np.bincount(on, minlength=n * bits) & 1).astype(np.uint8).reshape(n, bits), axis=1)
+
+
+def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     for batch in batches:
         where = cuts(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()) if batch.num_rows else []
         for a, b in zip(where, where[1:]):
-            yield batch.slice(a, b - a), batch.column(column).slice(a, b - a).to_pylist()
+            yield batch.slice(a, b - a), batch.column(column).slice(a, b - a).cast(pa.binary()).to_pylist()
 
 
-def named_sets(docs: DataFrame, width: int) -> DataFrame:
-    """_id, name, size and parity bitmap (four longs) of each document's shingle set; docs has _id and _text."""
+def _by_band(lay: Bands, at: np.ndarray, fresh: np.ndarray) -> dict[int, np.ndarray]:
+    """Numbers of the sets that are indexed in each band."""
+    found: dict[int, list[int]] = {}
+    sizes = np.diff(at).tolist()
+    for k in fresh.tolist():
+        for band in lay.of(sizes[k]):
+            if lay.differ(sizes[k], lay.size_of(band)):  # else only equal sets are linked
+                found.setdefault(band, []).append(k)
+    return {band: np.array(some) for band, some in found.items()}
+
+
+def _taken(sets: np.ndarray, at: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some of the sets."""
+    sizes = np.diff(at)[some]
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    return sets[np.repeat(at[:-1][some] - ends[:-1], sizes) + np.arange(ends[-1])], ends
 
-    def run(batches):
-        shingles = Shingles(width)
-        for batch, texts in _texts(batches, 1):
-            names, sizes, bits = [], [], np.zeros((len(texts), 4), dtype=np.int64)
-            for k, t in enumerate(texts):
-                s = shingles(t)
-                names.append(_name(s))
-                sizes.append(len(s))
-                bits[k] = np.packbits((np.bincount((mix(s, 19) & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4))], names=["_id", "name", "size", "b0", "b1", "b2", "b3"])
 
-    return docs.mapInArrow(run, "_id long, name long, size long, b0 long, b1 long, b2 long, b3 long")
+_INDEX = "key long, name long, layout int, more binary"
 
 
-def index(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """key, name, spare and band: a row for each index key of each set, once for equal sets of a task."""
+def index(docs: DataFrame, width: int, lay: Bands) -> DataFrame:
+    """Of docs (_id, _text): a row for each index key of each set, once for equal sets of a task (layout: band << 16 and
+    spare keys), and for each document a row of layout -1 with id, name, size and parity bitmap, as ``more``."""
 
     def run(batches):
-        shingles, lay, met = Shingles(width), bands(num, den), set()
+        shingles, met = Shingles(width), set()
         for batch, texts in _texts(batches, 1):
-            keys, names, spares, numbers, counts = [np.empty(0, np.uint64)], [], [], [], []
-            for t in texts:
-                s = shingles(t)
-                if not len(s) or (name := _name(s)) in met:
-                    continue
-                met.add(name)
-                for band in lay.of(len(s)):
-                    found, spare = lay.keys(band, s)
-                    keys.append(found)
-                    names.append(name)
-                    spares.append(spare)
-                    numbers.append(band.number)
-                    counts.append(len(found))
-            c = np.array(counts, dtype=np.int64)
-            of = lambda x, kind: pa.array(np.repeat(np.array(x, dtype=kind), c))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), of(names, np.int64), of(spares, np.int32), of(numbers, np.int32)], names=["key", "name", "spare", "band"])
+            sets, at = shingles(texts)
+            names, sizes = _name(sets, at), np.diff(at)
+            head = np.concatenate((batch.column(0).to_numpy(zero_copy_only=False).astype(">i8").view(np.uint8).reshape(-1, 8), names.astype(">u8").view(np.uint8).reshape(-1, 16), sizes.astype(">i8").view(np.uint8).reshape(-1, 8), _parity(sets, at)), axis=1)
+            first = names[:, 0].tolist()
+            fresh = []
+            for k in np.flatnonzero(sizes).tolist():
+                if first[k] not in met:
+                    met.add(first[k])
+                    fresh.append(k)
+            keys, owner, layouts = [mix(names[:, 0] + np.arange(len(texts), dtype=np.uint64), 41)], [names[:, 0]], [np.full(len(texts), -1, dtype=np.int32)]
+            for band, some in _by_band(lay, at, np.array(fresh, dtype=np.int64)).items():
+                form = lay.layout(band)
+                found, of, spares = lay.keys(form, *_taken(sets, at, some))
+                keys.append(found)
+                owner.append(names[some[of], 0])
+                layouts.append(spares | (band << 16))
+            more = pa.concat_arrays([pa.array(list(map(bytes, head)), pa.binary()), pa.nulls(sum(map(len, keys[1:])), pa.binary())])
+            yield from pa.Table.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owner).view(np.int64)), pa.array(np.concatenate(layouts)), more], names=["key", "name", "layout", "more"]).to_batches(max_chunksize=200_000)
+
+    return docs.mapInArrow(run, _INDEX)
+
+
+def chosen(docs: DataFrame, width: int, num: int, den: int, sample: int = SAMPLE) -> dict[int, int]:
+    """The cheapest layout of each band, by index rows and pairs counted on about ``sample`` texts and carried on to all."""
+    n = docs.count()
+    share = min(1.0, sample / max(1, n))
+    some = docs.filter(F.pmod(F.xxhash64("_id", F.lit(17)), F.lit(1 << 40)) < math.ceil(share * (1 << 40)))
 
-    return docs.mapInArrow(run, "key long, name long, spare int, band int")
+    def run(batches):
+        shingles, lay = Shingles(width), Bands(num, den)
+        for _, texts in _texts(batches, 1):
+            sets, at = shingles(texts)
+            for band, these in _by_band(lay, at, np.flatnonzero(np.diff(at))).items():
+                for k, form in enumerate(lay.choices(band)):
+                    keys = lay.keys(form, *_taken(sets, at, these))[0].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), band, np.int32)), pa.array(np.full(len(keys), k, np.int32)), pa.array(keys)], names=["band", "choice", "key"])
+
+    counted = some.mapInArrow(run, "band int, choice int, key long").groupBy("band", "choice", "key").agg(F.count("*").alias("n"))
+    costs = counted.groupBy("band", "choice").agg(F.sum("n").alias("rows"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).collect()  # a row for each band and choice
+    least: dict[int, tuple[float, int]] = {}
+    for r in costs:
+        cost = (r["rows"] / share + PAIR_COST * r["pairs"] / share**2, r["choice"])
+        least[r["band"]] = min(cost, least.get(r["band"], cost))
+    return {band: choice for band, (_, choice) in least.items()}
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and name: those whose key more than one name has, each once. Holds one row back."""
+    """Of rows sorted by key and name: those whose key more than one name has, each once, and all of layout -1. Holds
+    one row back."""
     held: pa.Table | None = None
     told = False  # whether the held row's key was met before it
-    schema = None
     for batch in batches:
-        schema = batch.schema
         rows = pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks() if held else pa.Table.from_batches([batch])
         key, name = rows.column(0).to_numpy(), rows.column(1).to_numpy()
         new = np.concatenate(([True], (key[1:] != key[:-1]) | (name[1:] != name[:-1])))
-        rows, key = rows.filter(pa.array(new)), key[new]
+        head = rows.column(2).to_numpy() < 0
+        new |= head
+        if not new.all():
+            rows, key, head = rows.filter(pa.array(new)), key[new], head[new]
         same = key[1:] == key[:-1]
-        keep = np.concatenate(([told], same)) | np.concatenate((same, [False]))
+        keep = np.concatenate(([told], same)) | np.concatenate((same, [False])) | head
         told, held = bool(np.concatenate(([told], same))[-1]), rows.slice(len(key) - 1)
         out = rows.slice(0, len(key) - 1).filter(pa.array(keep[:-1]))
         if out.num_rows:
             yield from out.combine_chunks().to_batches()
-    if held is not None and told:
+    if held is not None and (told or held.column(2)[0].as_py() < 0):
         yield from held.combine_chunks().to_batches()
 
 
-def _may_link(a: str, b: str, num: int, den: int):
+def _long(at: int) -> Column:
+    return F.conv(F.hex(F.substring("more", at, 8)), 16, -10).cast("long")
+
+
+def _may_link(a: str, b: str, num: int, den: int) -> Column:
     """Sizes and parity bitmaps allow the link."""
     c = lambda side, name: F.col(f"{side}.{name}")
-    apart = sum((F.bit_count(c(a, f"b{k}").bitwiseXOR(c(b, f"b{k}"))) for k in range(4)), F.lit(0))
+    apart = sum((F.bit_count(c(a, f"b{k}").bitwiseXOR(c(b, f"b{k}"))) for k in range(PARITY_LONGS)), F.lit(0))
     total = c(a, "size") + c(b, "size")
     return (F.least(c(a, "size"), c(b, "size")) * den >= F.greatest(c(a, "size"), c(b, "size")) * num) & (apart * (den + num) <= total * (den - num))
 
 
+_NODE = ["node", "id", "size", *(f"b{k}" for k in range(PARITY_LONGS))]
+
+
+def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``wanted`` (id, ...) with the texts of their ids: the smaller side travels."""
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    return docs.join(wanted, docs["_id"] == wanted["id"]).drop("_id", "id")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int, salt_rows: int = 512) -> DataFrame:
-    """The pairs (a, b: ids, distinct, a written table) whose texts' sets are similar enough, by their whole texts.
+    """The pairs (a, a_id, b, b_id: nodes and ids of documents that have their sets; a written table) that are similar
+    enough, by their whole texts.
 
     Each b's text meets those of its a's over one shuffle, b's first; a b with many a's is dealt over several groups of
-    about ``salt_rows``, its text repeated in each.
+    about ``salt_rows``, its text repeated in each. Texts of other sets under the same id are passed over.
     """
-    salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / salt_rows).cast("int").alias("salts"))
-    dealt = pairs.join(salts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"))
-    leads = salts.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    if pairs.count() <= BROADCAST_ROWS:
-        dealt, leads = F.broadcast(dealt), F.broadcast(leads)
-    docs = docs.filter(F.col("_id").isNotNull())
-    texts = docs.join(dealt, docs["_id"] == F.col("a")).select("b", "salt", F.col("a").alias("_id"), "_text").unionByName(docs.join(leads, docs["_id"] == F.col("b")).select("b", "salt", F.lit(None).cast("long").alias("_id"), "_text"))
-    met = texts.repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("_id").asc_nulls_first())
+    salts = pairs.groupBy("b").agg(F.min("b_id").alias("b_id"), F.ceil(F.count("*") / salt_rows).cast("int").alias("salts"))
+    dealt = pairs.join(salts.select("b", "salts"), "b").select("b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("a").alias("node"), F.col("a_id").alias("id"))
+    leads = salts.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("b").alias("node"), F.col("b_id").alias("id"))
+    met = _with_texts(docs, written(dealt.unionByName(leads), "dealt")).select("b", "salt", "role", "node", "_text")
+    met = met.repartition("b", "salt").sortWithinPartitions("b", "salt", "role")
 
     def run(batches):
         shingles, lead, own = Shingles(width), None, np.empty(0, np.uint64)
-        for batch, texts in _texts(batches, 3):
-            a, b, out_a, out_b = batch.column(2).to_pylist(), batch.column(0).to_pylist(), [], []
-            for x, y, t in zip(a, b, texts, strict=True):
-                if x is None:
-                    lead, own = y, shingles(t)
+        for batch, texts in _texts(batches, 4):
+            sets, at = shingles(texts)
+            names = [x.tobytes() for x in _name(sets, at).astype(">u8")]
+            b, role, node = (batch.column(k).to_pylist() for k in (0, 2, 3))
+            out_a, out_b = [], []
+            for k in range(len(texts)):
+                if names[k] != node[k]:
+                    continue
+                s = sets[at[k] : at[k + 1]]
+                if role[k] == 0:
+                    lead, own = b[k], s.copy()
                     continue
-                s = shingles(t)
-                both = len(np.intersect1d(s, own, assume_unique=True)) if y == lead else 0
-                if both and den * both >= num * (len(s) + len(own) - both):
-                    out_a.append(x)
-                    out_b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+                if lead != b[k]:
+                    continue
+                met = np.sort(np.concatenate((own, s)))
+                both = int((met[1:] == met[:-1]).sum())
+                if den * both >= num * (len(met) - both):
+                    out_a.append(node[k])
+                    out_b.append(b[k])
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], names=["a", "b"])
+
+    return met.mapInArrow(run, "a binary, b binary").distinct()
+
+
+class _Search:
+    """Links found so far, and the components that they make."""
+
+    def __init__(self, docs: DataFrame, width: int, num: int, den: int):
+        self.docs, self.width, self.num, self.den = docs, width, num, den
+        self.found: DataFrame | None = None  # node, component
+        self.tested: DataFrame | None = None
+
+    def components_of(self, rows: DataFrame) -> DataFrame:
+        if self.found is None:
+            return rows.withColumn("component", F.col("node"))
+        return rows.join(self.found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    def mixed(self, rows: DataFrame) -> DataFrame:
+        """Rows (key, node, ...) with their components and how many sets their key has, of keys of more than one component."""
+        own = self.components_of(rows)
+        of = own.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("sets")).filter("least < most").select("key", "sets")
+        return written(own.join(of, "key"), "mixed")
+
+    def pairs(self, x: DataFrame, y: DataFrame, also: Column | None = None, ordered: bool = True) -> DataFrame:
+        """Rows of x and of y of the same key and another component that may link; ``ordered``: each pair one way."""
+        x, y = x.alias("x"), y.alias("y")
+        apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
+        if ordered:
+            apart &= F.col("x.node") > F.col("y.node")
+        joined = x.join(y, apart & _may_link("x", "y", self.num, self.den) & (F.lit(True) if also is None else also))
+        first = F.col("x.node") > F.col("y.node")
+        pick = lambda c: [F.when(first, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")), F.when(first, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}"))]
+        (a, b), (a_id, b_id) = pick("node"), pick("id")
+        return joined.select(a.alias("a"), b.alias("b"), a_id.alias("a_id"), b_id.alias("b_id")).distinct()
+
+    def look(self, pairs: DataFrame) -> None:
+        """Verifies pairs that were not tested before."""
+        pairs = written(pairs if self.tested is None else pairs.join(self.tested, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            return
+        self.tested = pairs.select("a", "b") if self.tested is None else self.tested.unionByName(pairs.select("a", "b"))
+        links = written(verified(pairs, self.docs, self.width, self.num, self.den), "links")
+        if links.isEmpty():
+            return
+        # New links join components, so that only those are gone through again
+        of = lambda side: self.components_of(links.select(F.col(side).alias("node"), F.col("a").alias("_a"), F.col("b").alias("_b"))).select("_a", "_b", F.col("component").alias(side))
+        over = connect(of("a").join(of("b"), ["_a", "_b"]).select("a", "b"))
+        if self.found is None:
+            self.found = written(over, "components")
+        else:
+            moved = self.found.join(over.select(F.col("node").alias("component"), F.col("component").alias("_to")), "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+            self.found = written(moved.unionByName(over.join(self.found.select("node"), "node", "left_anti")), "components")
+
 
-    return met.mapInArrow(run, "a long, b long").distinct()
+def _leads(own: DataFrame, turn: int) -> DataFrame:
+    """Two sets of each key, by hash and others each turn, that its other sets are held against."""
+    order = [F.xxhash64("node", F.lit(2 * turn)), F.xxhash64("node", F.lit(2 * turn + 1))]
+    rows = [*_NODE, "component"]
+    picked = own.groupBy("key").agg(*(F.min(F.struct(o.alias("o"), *rows)).alias(f"l{k}") for k, o in enumerate(order)))
+    return picked.select("key", F.explode(F.array_distinct(F.transform(F.array("l0", "l1"), lambda r: F.struct(*(r[c].alias(c) for c in rows))))).alias("l")).select("key", "l.*")
 
 
-def _across(kept: DataFrame, found: DataFrame | None) -> DataFrame:
-    """Rows of ``kept`` with their components, of keys that more than one component has."""
-    own = kept.withColumn("component", F.col("id")) if found is None else kept.join(found, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id")).drop("node")
-    mixed = own.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("key")
-    return written(own.join(mixed, "key"), "mixed")
+def _rarest_shingles(some: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """key (a shingle), node, left and the node's columns: the shingles of sets (rows of nodes) by which a linked one of
+    ``some`` must be met, rarest first, and how many of the set stand from there on."""
 
+    def run(batches):
+        shingles = Shingles(width)
+        for batch, texts in _texts(batches, 1):
+            sets, at = shingles(texts)
+            names = [x.tobytes() for x in _name(sets, at).astype(">u8")]
+            right = np.array([a == b for a, b in zip(names, batch.column(0).to_pylist(), strict=True)], dtype=bool)
+            these = np.flatnonzero(right)
+            keys, ends = _taken(sets, at, these)
+            yield from pa.Table.from_arrays([pa.array(keys.view(np.int64)), pa.array([names[k] for k in these.tolist()], pa.binary()).take(pa.array(np.repeat(np.arange(len(these)), np.diff(ends))))], names=["key", "node"]).to_batches(max_chunksize=200_000)
 
-def _leads(own: DataFrame, turn: int) -> DataFrame:
-    """The sets that the others of their key are held against: the smallest id at first, then three by hash a turn."""
-    order = [F.col("id")] if turn == 0 else [F.xxhash64("id", F.lit(3 * turn + k)) for k in range(3)]
-    rows = ["id", "size", "component", "b0", "b1", "b2", "b3"]
-    picked = own.groupBy("key").agg(*(F.min(F.struct(o.alias("o"), *rows)).alias(f"l{k}") for k, o in enumerate(order)))
-    return picked.select("key", F.explode(F.array_distinct(F.transform(F.array(*(f"l{k}" for k in range(len(order)))), lambda r: F.struct(*(r[c].alias(c) for c in rows))))).alias("l")).select("key", "l.*")
+    texts = _with_texts(docs, some.select("node", "id")).select("node", "_text")
+    rows = written(texts.mapInArrow(run, "key long, node binary").distinct(), "shingles")
+    often = rows.groupBy("key").agg(F.count("*").alias("often")).filter("often > 1")
+    met = rows.join(often, "key")  # those before the first met are the set's own
+    back = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("often"), "key"))
+    return written(met.withColumn("left", back).join(some, "node").filter(F.col("left") * den >= F.col("size") * num).drop("often"), "rarest")
 
 
 def components(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,40 +514,50 @@ def components(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_
     Null and empty texts, and texts of blanks only, have no shingles, are linked with nothing and are components of
     their own. Equal sets are one node (set_id: its smallest id), however many copies there are. Rows with a null id are
     linked by their text like others, but never name a component unless all of its ids are null: then its name is null.
-    Repeated rows each keep a row. Other columns are not read. Ids are taken as longs.
+    Repeated rows each keep a row, also those of one id with different texts. Other columns are not read. Ids are longs
+    below 2^62. Shingles are compared by 64-bit hashes, sets by 128 bits.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    rows = written(named_sets(docs, width), "sets")
-    nodes = rows.filter("size > 0").groupBy("name").agg(F.min("_id").alias("id"), *(F.max(c).alias(c) for c in ("size", "b0", "b1", "b2", "b3")))
-    nodes = written(nodes.filter(F.col("id").isNotNull()), "nodes")
-    sorted_keys = index(docs, width, num, den).repartition("key").sortWithinPartitions("key", "name")
-    live = written(sorted_keys.mapInArrow(_shared, "key long, name long, spare int, band int"), "live")
-    often = live.groupBy("key").agg(F.count("*").alias("often"))
-    rank = F.row_number().over(Window.partitionBy("name", "band").orderBy(F.desc("often"), "key"))
-    kept = live.join(often, "key").withColumn("rank", rank).filter("rank > spare").select("key", "name").join(nodes, "name")
+    text_id = F.lit(NO_ID) + F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).bitwiseAND(F.lit(NO_ID // 2 - 1))
+    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), text_id).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    lay = Bands(num, den, chosen(docs, width, num, den))
+    live = index(docs, width, lay).repartition("key").sortWithinPartitions("key", "name").mapInArrow(_shared, _INDEX)
+    live = written(live, "live")
+    rows = live.filter("layout = -1").select("name", _long(1).alias("_id"), F.substring("more", 9, 16).alias("node"), _long(25).alias("size"), *(_long(33 + 8 * k).alias(f"b{k}") for k in range(PARITY_LONGS)))
+    nodes = written(rows.filter("size > 0").groupBy("name", "node").agg(F.min("_id").alias("id"), *(F.max(c).alias(c) for c in _NODE[2:])), "nodes")
+    keys = live.filter("layout >= 0").select("key", "name", "layout")
+    often = keys.groupBy("key").agg(F.count("*").alias("often"))
+    rank = F.row_number().over(Window.partitionBy("name", "layout").orderBy(F.desc("often"), "key"))
+    kept = keys.join(often, "key").withColumn("rank", rank).filter(F.col("rank") > F.col("layout").bitwiseAND(F.lit(0xFFFF))).select("key", "name")
     kept = written(kept, "kept")
-    # Each set against a few of those it meets, others each round; then across the components found
-    links = found = tested = None
-    for turn in range(TURNS + 1):
-        own = _across(kept, found)
-        if own.isEmpty():
-            break
-        x, y = own.alias("x"), (own if turn == TURNS else _leads(own, turn)).alias("y")
-        apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.id") > F.col("y.id") if turn == TURNS else F.col("x.id") != F.col("y.id"))
-        pairs = x.join(y, apart & _may_link("x", "y", num, den)).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
-        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        new = written(verified(pairs, docs, width, num, den), "links")
-        links = new if links is None else links.unionByName(new)
-        found = connect(links)
-    if found is None:
-        found = nodes.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
-    named = nodes.select("name", F.col("id").alias("set_id")).join(found, F.col("set_id") == F.col("node"), "left").select("name", "set_id", F.coalesce("component", "set_id").alias("component"))
-    return rows.join(named, "name", "left").select(
-        F.col("_id").alias(id_col),
+    # Keys of the same sets say the same: one of them does
+    members = kept.groupBy("key").agg(F.count("*").alias("n"), *(F.bit_xor(F.xxhash64("name", F.lit(k))).alias(f"m{k}") for k in range(2)))
+    one = members.filter("n > 1").groupBy("n", "m0", "m1").agg(F.min("key").alias("key")).select("key")
+    kept = written(kept.join(one, "key").join(nodes, "name").drop("name"), "kept")
+
+    search = _Search(docs, width, num, den)
+    own = search.mixed(kept)
+    search.look(search.pairs(own, _leads(own, 0), ordered=False))
+    own = search.mixed(kept)
+    few, many = own.filter(F.col("sets") <= FEW), own.filter(F.col("sets") > FEW)
+    search.look(search.pairs(few, few).unionByName(search.pairs(many, _leads(many, 1), ordered=False)).distinct())
+    some = written(search.mixed(many.select("key", *_NODE)).select(_NODE).distinct(), "crowded")
+    if not some.isEmpty():
+        rare = _rarest_shingles(some, docs, width, num, den)
+        own = search.mixed(rare)
+        search.look(search.pairs(own, _leads(own, 0), ordered=False))
+        own = search.mixed(rare)
+        need = (F.col("x.size") + F.col("y.size")) * num
+        search.look(search.pairs(own, own, also=F.least("x.left", "y.left") * (num + den) >= need))
+
+    named = search.components_of(nodes.select("node", "id"))
+    named = named.join(named.groupBy("component").agg(F.min("id").alias("least")), "component").select("node", F.col("id").alias("set_id"), "least")
+    real = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
+    alone = F.col("size") == 0
+    return rows.join(named, "node", "left").select(
+        real("_id").alias(id_col),
         F.col("size").alias("n_shingles"),
-        F.when(F.col("size") == 0, F.col("_id")).otherwise(F.col("set_id")).alias("set_id"),
-        F.when(F.col("size") == 0, F.col("_id")).otherwise(F.col("component")).alias("component_id"),
+        F.when(alone, real("_id")).otherwise(real("set_id")).alias("set_id"),
+        F.when(alone, real("_id")).otherwise(real("least")).alias("component_id"),
     )
 
 

@@ -202,18 +202,68 @@ def test_components_equal_brute_force(spark, seed):
     assert got == sorted(brute_components(rows), key=str)
 
 
-def test_index_shares_a_key_wherever_sets_link():
+@pytest.mark.parametrize("choice", [0, 1, 2])
+def test_index_shares_more_keys_than_are_spared_wherever_sets_link(choice):
     rng = np.random.default_rng(4)
-    lay = ngram_join.bands(8, 10)
-    for size in [4, 5, 6, 7, 8, 9, 10, 12, 20, 33, 52, 80, 130, 400] * 8:
-        a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+    lay = ngram_join.Bands(8, 10, dict.fromkeys(range(20), choice))
+    met = 0
+    for size in [4, 5, 6, 7, 8, 9, 10, 12, 20, 33, 52, 80, 130, 400, 900] * 40:
+        a = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
         swaps = max(0, int(size * rng.uniform(0, 0.24)))
-        b = np.unique(np.concatenate([a[rng.permutation(len(a))[: len(a) - swaps // 2]], rng.integers(0, 2**63, swaps - swaps // 2, dtype=np.uint64)]))
+        b = np.unique(np.concatenate([a[rng.permutation(len(a))[: len(a) - swaps // 2]], rng.integers(0, 2**64, int((swaps - swaps // 2) * rng.random()), dtype=np.uint64)]))
         k = len(np.intersect1d(a, b))
         if a.tolist() == b.tolist() or 10 * k < 8 * (len(a) + len(b) - k):
             continue
-        found = [{x for band in lay.of(len(s)) for x in lay.keys(band, s)[0].tolist()} for s in (a, b)]
-        assert found[0] & found[1], (size, swaps)
+        met += 1
+        found = [{(x, spare) for band in lay.of(len(s)) for x, spare in zip(*(v.tolist() for v in lay.keys(lay.layout(band), s, np.array([0, len(s)]))[::2]))} for s in (a, b)]
+        both = [spare for _, spare in found[0] & found[1]]
+        assert 0 in both or len(both) > max(both, default=0), (size, swaps)
+    assert met > 200
+
+
+def test_layout_does_not_change_components(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = []
+    for size in (5, 8, 12, 20, 40, 90):
+        base = text_of(rng, size)
+        for _ in range(12):
+            ws = base.split()
+            for _ in range(rng.randint(0, 1 + size // 20)):
+                ws[rng.randrange(len(ws))] = rng.choice(WORDS)
+            texts.append(" ".join(ws))
+    rows = list(enumerate(texts))
+    want = sorted(brute_components(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(ngram_join, "FEW", 3)  # most keys are crowded
+    for choice in (0, 1, 2):
+        monkeypatch.setattr(ngram_join, "chosen", lambda *_: dict.fromkeys(range(20), choice))
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.components(df).collect()) == want
+
+
+def test_shared_passage_in_many_texts(spark):
+    rng = random.Random(9)
+    passage = text_of(rng, 60)
+    texts = [f"{passage} {text_of(rng, 8 + k % 40)}" for k in range(1000)]
+    texts += [t + " again" for t in texts[:20]]
+    rows = list(enumerate(texts))
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    assert got == sorted(brute_components(rows))
+
+
+def test_one_id_with_different_texts(spark):
+    rng = random.Random(10)
+    a, b = text_of(rng, 40), text_of(rng, 40)
+    got = ngram_join.components(spark.createDataFrame([(1, a), (1, b), (5, a + " tail"), (3, b + " tail"), (None, a + " end")], "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=str) == [(1, 1), (1, 1), (3, 1), (5, 1), (None, 1)]
+
+
+def test_long_text_is_split_like_a_short_one(monkeypatch):
+    words = ["w%d" % (k % 37) for k in range(500)] + ["x%d" % k for k in range(40)]
+    text = "  \n".join(words).encode()
+    whole, at = ngram_join.Shingles(5)([text, b"a b", None])
+    monkeypatch.setattr(ngram_join, "_PIECE", 50)
+    cut, at2 = ngram_join.Shingles(5)([text, b"a b", None])
+    assert whole.tolist() == cut.tolist() and at.tolist() == at2.tolist()
 
 
 def test_components_of_long_chains(spark):
