@@ -4,7 +4,8 @@ Every element gets its characters per tag, adjusted for the characters and tags
 The block whose children's densities have the largest sum holds the article; the least density on its path up to the
 body is the threshold by which further blocks are taken, each again by its largest sum inside.
 
-Boilerplate names in class or id only lower a claim: what holds the block that is densest even so keeps its place.
+Boilerplate names in class or id, and forms, only lower a claim: what holds the block that is densest even so keeps its
+place.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ IN_HEAD = frozenset("base link meta title style script noscript template".split(
 # Elements an implied end of p or li does not reach across.
 SCOPE = frozenset("html body table td th caption button div article section main aside header footer nav form blockquote figure fieldset ul ol dl".split())
 NOISE_TAGS = frozenset(
-    "head title script style noscript template nav footer aside form button select option textarea input label dialog iframe object "
+    "head title script style noscript template nav footer aside button select option textarea input dialog iframe object "
     "embed svg canvas audio video annotation annotation-xml menu".split()
 )
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
@@ -40,6 +41,8 @@ NOISE_NAMES = frozenset(
     "subscribe subscription signup login share sharing social related recommended comment comments disqus replies respond pagination "
     "pager toolbar copyright banner".split()
 )
+# What a form asks for, beside its controls; the form itself is only a bad name, as some pages are one form.
+FORM_PARTS = frozenset(("label", "legend"))
 # Elements that no name speaks against; and those whose id is a slug of their heading.
 UNNAMED = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
 SLUGGED = frozenset("section h1 h2 h3 h4 h5 h6".split())
@@ -55,13 +58,14 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.parent, self.tag, self.noise, self.named = [-1], ["html"], [False], [False]
         self.stack = [0]
+        self.open: dict[str, list[int]] = {}  # places in the stack of each tag's open elements
         self.texts: list[tuple[int, str]] = []  # element, text; None marks a line break
 
     def _in_article(self) -> bool:
-        return any(self.tag[k] in ("article", "main") for k in self.stack)
+        return bool(self.open.get("article") or self.open.get("main"))
 
     def _is_noise(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in NOISE_TAGS:
+        if tag in NOISE_TAGS or (tag in FORM_PARTS and self.open.get("form")):
             return True
         if tag == "header":
             return not self._in_article()
@@ -76,6 +80,8 @@ class _Tree(HTMLParser):
     def _is_named(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in UNNAMED:
             return False
+        if tag == "form":
+            return True
         for k, v in attrs:
             if k == "class" or (k == "id" and tag not in SLUGGED):
                 names = [n for x in (v or "").lower().split() if not _MODIFIER.match(x) for n in _NAME.findall(x)]
@@ -83,31 +89,33 @@ class _Tree(HTMLParser):
                     return True
         return False
 
-    def _close(self, tags: frozenset, stop: frozenset) -> None:
+    def _close(self, tags: tuple[str, ...], stop: frozenset) -> None:
         """End the nearest open element of ``tags`` that no element of ``stop`` shields, and all inside it."""
-        for at in range(len(self.stack) - 1, 0, -1):
-            t = self.tag[self.stack[at]]
-            if t in tags:
-                del self.stack[at:]
-                return
-            if t in stop:
-                return
+        at = max((places[-1] for t in tags if (places := self.open.get(t))), default=0)
+        if not at or (at < len(self.stack) - 1 and any(places[-1] > at for t in stop if (places := self.open.get(t)))):
+            return
+        for k in self.stack[at:]:
+            self.open[self.tag[k]].pop()
+        del self.stack[at:]
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        return self.parse_bogus_comment(i)  # as browsers do, whatever stands in it
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag == "html" or (tag == "body" and any(self.tag[k] == "body" for k in self.stack)):
+        if tag == "html" or (tag == "body" and self.open.get("body")):
             return
         if tag == "body" or tag not in IN_HEAD:
-            self._close(frozenset(("head",)), frozenset())
+            self._close(("head",), frozenset())
         if tag in BLOCK:
-            self._close(frozenset("p"), SCOPE)
+            self._close(("p",), SCOPE)
         if tag == "li":
-            self._close(frozenset(("li",)), frozenset(("ul", "ol", "menu")))
+            self._close(("li",), frozenset(("ul", "ol", "menu")))
         elif tag in ("dt", "dd"):
-            self._close(frozenset(("dt", "dd")), frozenset(("dl",)))
+            self._close(("dt", "dd"), frozenset(("dl",)))
         elif tag in ("td", "th"):
-            self._close(frozenset(("td", "th")), frozenset(("tr", "table")))
+            self._close(("td", "th"), frozenset(("tr", "table")))
         elif tag == "tr":
-            self._close(frozenset(("tr",)), frozenset(("table",)))
+            self._close(("tr",), frozenset(("table",)))
         up = self.stack[-1]
         self.parent.append(up)
         self.tag.append(tag)
@@ -116,6 +124,7 @@ class _Tree(HTMLParser):
         if tag in ("br", "hr"):
             self.texts.append((up, " "))
         if tag not in VOID:
+            self.open.setdefault(tag, []).append(len(self.stack))
             self.stack.append(len(self.tag) - 1)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -123,11 +132,11 @@ class _Tree(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in ("html", "body"):  # what follows them still belongs to the body
-            self._close(frozenset((tag,)), frozenset() if tag in BLOCK or tag == "head" else BLOCK)
+            self._close((tag,), frozenset() if tag in BLOCK or tag == "head" else BLOCK)
 
     def handle_data(self, data: str) -> None:
         if self.tag[self.stack[-1]] == "head" and data.strip():
-            self._close(frozenset(("head",)), frozenset())
+            self._close(("head",), frozenset())
         self.texts.append((self.stack[-1], data))
 
 
@@ -240,7 +249,7 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` with main_text, read from the whole html. Null, empty and article-less pages have the empty text;
     repeated rows each keep a row; a column named main_text is replaced. Elements are walked in page order without
-    recursion, so depth is no limit."""
+    recursion or searches of the open elements, so depth is no limit; malformed declarations are comments."""
     return with_text_columns(pages, html_col, lambda: lambda htmls: {"main_text": [main_text(h) for h in htmls]}, "main_text string")
 
 
