@@ -41,10 +41,20 @@ def share(key, counts: dict, per_class: int, label):
     return test
 
 
+def one_label(labels: DataFrame, label_col: str) -> DataFrame:
+    """doc_id and y of documents whose labels (0 or 1) agree; null ids and labels, and documents labelled both ways, are
+    left out."""
+    usable = labels.filter(F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1))
+    said = usable.groupBy("doc_id").agg(F.min(label_col).cast("int").alias("y"), F.max(label_col).cast("int").alias("most"))
+    return said.filter("y = most").select("doc_id", "y")
+
+
 def distinct_texts(chosen: DataFrame, name: str) -> DataFrame:
-    """text and y of ``chosen`` (text, y), written, with copies and near copies left out: of texts that share a minimum
-    hash one stays, so that a group of copies counts once. Empty and null texts are left out."""
-    one = chosen.filter(F.length(F.trim("text")) > 0).groupBy("text").agg(F.max("y").alias("y"))
+    """text and y of ``chosen`` (doc_id, text, y), written, with copies and near copies left out: of texts that share a
+    minimum hash one stays, so that a group of copies counts once. Of several texts under one id and label the least
+    counts. Empty and null texts are left out."""
+    one = chosen.filter(F.length(F.trim("text")) > 0).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    one = one.groupBy("text").agg(F.max("y").alias("y"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 
 from phmspark.llm.batches import with_text_columns
 from phmspark.llm.common import bounded_collect, fold, table
-from phmspark.llm.fit_sample import distinct_texts, share
+from phmspark.llm.fit_sample import distinct_texts
 
 _WORD = re.compile(r"[^\W\d_]+")
 HASHED = 1 << 16  # places of n-grams and affixes
 WINDOW = 48  # words of a chain
+CELLS = 2_000_000  # potentials (words x languages) held at once
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -113,14 +114,14 @@ class Model:
     _row: dict[str, int] = field(default_factory=dict, repr=False)
     _rows: np.ndarray | None = field(default=None, repr=False)
 
-    def emissions(self, words: list[str], remembered: int = 400_000) -> np.ndarray:
+    def emissions(self, words: list[str], remembered: int = 200_000) -> np.ndarray:
         """Log-potential of each language for each word; those of the words last met are remembered."""
         row = self._row
         new = list(set(words).difference(row))
         if self._rows is None or len(row) + len(new) > len(self._rows):
             row.clear()
             new = list(set(words))
-            self._rows = np.empty((max(remembered, len(new)), len(self.languages)), dtype=np.float32)
+            self._rows = np.empty((max(min(remembered, 4 * CELLS // len(self.languages)), len(new)), len(self.languages)), dtype=np.float32)
         for k in range(0, len(new), 20_000):
             some = new[k : k + 20_000]
             ids, starts = self.features(some)
@@ -128,27 +129,35 @@ class Model:
             row.update(zip(some, range(len(row), len(row) + len(some))))
         return self._rows[np.fromiter(map(row.__getitem__, words), dtype=np.int64, count=len(words))]
 
-    def label(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """Language and its share of the text's letters; ``und`` and 0 where there is no letter."""
+    def label(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Language, its share of the text's letters, and how sure the letters' languages are, whichever they be;
+        ``und``, 0 and 0 where there is no letter."""
         found = [words_of(t) for t in texts]
         counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         words = [w for x in found for w in x]
         if not words or not self.languages:
-            return ["und"] * len(texts), [0.0] * len(texts)
+            return ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         of_text = np.repeat(np.arange(len(texts)), counts)
         begin = np.concatenate(([0], np.cumsum(counts)[:-1]))
         place = np.arange(len(words)) - begin[of_text]
         windows = (counts + WINDOW - 1) // WINDOW
         window = np.concatenate(([0], np.cumsum(windows)[:-1]))[of_text] + place // WINDOW
-        potentials = np.zeros((int(windows.sum()), WINDOW, len(self.languages)), dtype=np.float32)
-        potentials[window, place % WINDOW] = self.emissions(words)
-        marginal, _, _ = chains(potentials, np.bincount(window), self.transitions)
         letters = np.fromiter(map(len, words), dtype=np.float64, count=len(words))
-        of_word = marginal[window, place % WINDOW]
-        total = np.stack([np.bincount(of_text, of_word[:, k] * letters, len(texts)) for k in range(len(self.languages))], axis=1)
+        total, sure = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
+        step = max(1, CELLS // (WINDOW * len(self.languages)))  # chains are labelled so many at once, also those of one text
+        for first in range(0, int(windows.sum()), step):
+            a, b = np.searchsorted(window, [first, first + step])
+            row, column = window[a:b] - first, place[a:b] % WINDOW
+            potentials = np.zeros((int(row[-1]) + 1, WINDOW, len(self.languages)), dtype=np.float32)
+            potentials[row, column] = self.emissions(words[a:b])
+            of_word = chains(potentials, np.bincount(row), self.transitions)[0][row, column]
+            for k in range(len(self.languages)):
+                total[:, k] += np.bincount(of_text[a:b], of_word[:, k] * letters[a:b], len(texts))
+            sure += np.bincount(of_text[a:b], of_word.max(axis=1) * letters[a:b], len(texts))
         best = total.argmax(axis=1)
+        sure /= np.maximum(total.sum(axis=1), 1e-300)
         share_ = total[np.arange(len(texts)), best] / np.maximum(total.sum(axis=1), 1e-300)
-        return [self.languages[b] if c else "und" for b, c in zip(best, counts)], [min(1.0, float(x)) if c else 0.0 for x, c in zip(share_, counts)]
+        return [self.languages[b] if c else "und" for b, c in zip(best, counts)], [min(1.0, float(x)) if c else 0.0 for x, c in zip(share_, counts)], [min(1.0, float(x)) for x in sure]
 
 
 def fit(texts: list[str], langs: list[str], windows_per_text: int = 8, steps: int = 60, rate: float = 0.15, decay: float = 1e-4, lexicon_words: int = 5000) -> Model:
@@ -205,31 +214,35 @@ def fit(texts: list[str], langs: list[str], windows_per_text: int = 8, steps: in
     return Model(names, features, w.astype(np.float32), trans)
 
 
-def fit_tables(docs: DataFrame, per_language: int = 300, max_languages: int = 200) -> Model:
+def fit_tables(docs: DataFrame, per_language: int = 300, most_texts: int = 60_000) -> Model:
     """From about ``per_language`` texts of each language, chosen by hash, of the documents with a language whose fold is
-    not held out; copies and near copies count once. Without any, nothing is learned and every text is ``und``."""
+    not held out; copies and near copies count once. Beyond ``most_texts / per_language`` languages each gives fewer
+    texts. Without any, nothing is learned and every text is ``und``."""
     usable = docs.filter(F.col("lang").isNotNull() & (fold(F.col("doc_id"), 5) != 0)).select("doc_id", "text", F.col("lang").alias("y"))
-    counts = {r["y"]: r["n"] for r in bounded_collect(usable.groupBy("y").agg(F.count("*").alias("n")), max_languages)}
+    counts = {r["y"]: r["n"] for r in bounded_collect(usable.groupBy("y").agg(F.count("*").alias("n")), most_texts)}
     if not counts:
         return Model([], Features(np.empty(0, np.uint64)), np.zeros((HASHED + 1, 0), np.float32), np.zeros((0, 0)))
-    chosen = usable.filter(share(F.col("doc_id"), counts, per_language, F.col("y"))).select("text", "y")
+    per_language = max(1, min(per_language, most_texts // len(counts)))
+    share_of = F.broadcast(docs.sparkSession.createDataFrame([(y, float(min(1.0, per_language / n))) for y, n in counts.items()], "y string, _share double"))
+    by_hash = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < F.floor(F.col("_share") * (1 << 30))
+    chosen = usable.join(share_of, "y").filter(by_hash).select("doc_id", "text", "y")
     rows = sorted(((r["key"], r["text"], r["y"]) for r in bounded_collect(distinct_texts(chosen, "language-sample"), 8 * per_language * len(counts))), key=lambda r: (r[0], r[1]))
     return fit([r[1] for r in rows], [r[2] for r in rows])
 
 
 def label_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and lang_score, of whole texts. Null texts and texts without a letter are ``und`` with 0;
+    """``docs`` with lang_pred, lang_score (its share of the letters) and lang_sure (the mean probability of each
+    letter's own language), of whole texts. Null texts and texts without a letter are ``und`` with 0 and 0;
     repeated rows each keep a row; columns named as the new ones are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         def run(texts: list[str | None]) -> dict[str, list]:
-            labels, scores = shared.value.label(texts)
-            return {"lang_pred": labels, "lang_score": scores}
+            return dict(zip(("lang_pred", "lang_score", "lang_sure"), shared.value.label(texts), strict=True))
 
         return run
 
-    return with_text_columns(docs, text_col, make, "lang_pred string, lang_score double")
+    return with_text_columns(docs, text_col, make, "lang_pred string, lang_score double, lang_sure double")
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,6 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 
 from phmspark.llm.batches import with_text_columns
 from phmspark.llm.common import bounded_collect, fold, table
-from phmspark.llm.fit_sample import class_counts, distinct_texts, share
+from phmspark.llm.fit_sample import class_counts, distinct_texts, one_label, share
 
 DIMS = 4096  # hashed terms
 _RUN = re.compile(r"(.)\1+")
@@ -42,14 +41,9 @@ class _Signs(dict):
 _SIGNS = _Signs()
 
 
-@lru_cache(maxsize=50_000)
-def _shape_hash(signs: str) -> int:
-    return _hash("shape " + _RUN.sub(r"\1", signs)[:8])
-
-
 def shape_hash(word: str) -> int:
-    """Of runs of capitals, small letters, digits, other letters and punctuation: the first 8 runs of 64 characters."""
-    return _shape_hash(word[:64].translate(_SIGNS))
+    """Of the word's runs of capitals, small letters, digits, other letters and punctuation."""
+    return _hash("shape " + _RUN.sub(r"\1", word.translate(_SIGNS)))
 
 
 def _bin(name: str, x: float, steps: int = 10) -> str:
@@ -72,7 +66,7 @@ def layout(text: str, words: list[str], kinds: int) -> list[str]:
 
 @dataclass
 class Terms:
-    """(hashed terms, counts) of texts; remembers the words last met."""
+    """(hashed terms, counts) of texts; remembers the words last met, but for very long ones."""
 
     seen: dict[str, int] = field(default_factory=dict)
 
@@ -80,11 +74,14 @@ class Terms:
         words = text.split()
         count = Counter(words)
         seen = self.seen
-        if len(seen) > 300_000:
+        if len(seen) > 150_000:
             seen.clear()
+        long = [w for w in count if w not in seen and len(w) > 200]
         for w in [w for w in count if w not in seen]:
             seen[w] = _hash(w.strip(".,;:!?").lower()) * DIMS + shape_hash(w)
         both = np.fromiter(map(seen.__getitem__, count), dtype=np.int64, count=len(count))
+        for w in long:
+            del seen[w]
         pairs = np.stack((both // DIMS, both % DIMS), axis=1)
         n = np.fromiter(count.values(), dtype=np.float64, count=len(count))
         # words by the logarithm of their count, shapes by their share of the text, layout by presence
@@ -154,13 +151,13 @@ def fit(texts: list[str], labels: list[int], share_one: float, rank: int = 64, k
 
 def fit_tables(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> tuple[Model | None, float]:
     """Model and base rate from about ``per_class`` labelled rows of either class whose fold is not held out. Copies and
-    near copies count once. Rows with a null id, label or text teach nothing."""
-    usable = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (fold(F.col("doc_id"), 4) != 2)).select("doc_id", F.col("quality").cast("int").alias("y")).dropDuplicates(["doc_id"])
+    near copies count once. Rows with a null id, label or text, and documents labelled both ways, teach nothing."""
+    usable = one_label(labels.filter(fold(F.col("doc_id"), 4) != 2), "quality")
     counts = class_counts(usable, "y")
     if not counts:
         return None, 0.5
     chosen = usable.filter(share(F.col("doc_id"), counts, per_class, F.col("y")))
-    sample = distinct_texts(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y"), "quality-sample")
+    sample = distinct_texts(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y"), "quality-sample")
     rows = sorted(((r["key"], r["text"], r["y"]) for r in bounded_collect(sample, 8 * per_class)), key=lambda r: (r[0], r[1]))
     base = counts.get(1, 0) / sum(counts.values())
     return fit([r[1] for r in rows], [r[2] for r in rows], base), base

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from phmspark.llm.batches import with_text_columns
 from phmspark.llm.common import bounded_collect, fold, table
-from phmspark.llm.fit_sample import class_counts, distinct_texts, share
+from phmspark.llm.fit_sample import class_counts, distinct_texts, one_label, share
 
 _WORD = re.compile(r"\w+")
 PREFIXES = (4, 5, 6)
@@ -52,7 +52,7 @@ class Model:
 
     def scores(self, words: list[str]) -> np.ndarray:
         seen = self._seen
-        if len(seen) > 500_000:
+        if len(seen) > 200_000:
             seen.clear()
         for w in set(words).difference(seen):
             seen[w] = self.word_score(w)
@@ -223,14 +223,14 @@ def fit_tables(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> Mod
     """Fit on about ``per_class`` labelled rows of either class, of those whose fold is not held out.
 
     Labels are chosen by hash before they meet their texts, so the join's small side is bounded by ``2 * per_class``.
-    Rows with a null id or label teach nothing; without labels, or labels of one class, every score is the base rate.
+    Rows with a null id or label, and documents labelled both ways, teach nothing; without labels, or labels of one class, every score is the base rate.
     """
-    usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold(F.col("doc_id"), 3) != 1)).select("doc_id", F.col("toxic").cast("int").alias("y")).dropDuplicates(["doc_id"])
+    usable = one_label(labels.filter(fold(F.col("doc_id"), 3) != 1), "toxic")
     counts = class_counts(usable, "y")
     if not counts:
         return Model({}, -0.05)
     chosen = usable.filter(share(F.col("doc_id"), counts, per_class, F.col("y")))
-    sample = distinct_texts(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y"), "toxicity-sample")
+    sample = distinct_texts(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y"), "toxicity-sample")
     return fit(sample, counts.get(1, 0) / sum(counts.values()))
 
 
