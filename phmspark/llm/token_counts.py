@@ -10,13 +10,16 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from phmspark.llm.common import new_path, table
+from phmspark.llm.batches import cuts
+from phmspark.llm.common import new_path, table, written
 
+BROADCAST_ROWS = 100_000  # standing rows; beyond, texts move over a shuffle
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 
 
@@ -55,8 +58,9 @@ def count_tokens(df: DataFrame, tokenizer_path: str, cache_path: str, id_col: st
 
     Null and empty texts have 0 bytes and the tokenizer's count of the empty text (0). Repeated rows and null ids each
     give a row. Other columns are not read. Copies, however many, are encoded once: the copy with the smallest id
-    stands for its digest (found by map-side-combined minimum), and only standing rows carry their text over the
-    shuffle. Both joins on the digest are plain joins, so a digest held by a third of all rows is split by AQE.
+    stands for its digest (found by map-side-combined counts and minimum); where several rows have that id and text, one
+    of them does. If few digests are missing, their ids are broadcast and no other text moves; else the texts are
+    shuffled once. Both joins on the digest are plain joins, so a digest held by a third of all rows is split by AQE.
     Appending is by whole Parquet files; two runs that append the same digest give it twice with the same count, and
     reading takes one of them.
     """
@@ -67,15 +71,24 @@ def count_tokens(df: DataFrame, tokenizer_path: str, cache_path: str, id_col: st
     known = read_cache(spark, cache_path).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     # _key: an id that joins even where it is null
     keyed = docs.withColumn("_key", F.coalesce(F.col("_id").cast("string"), F.lit("")))
-    standing = keyed.groupBy("digest").agg(F.min("_key").alias("_key")).join(known, "digest", "left_anti")
-    misses = keyed.join(standing.hint("shuffle_hash"), ["digest", "_key"], "left_semi").select("digest", "_text")
-
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    least = keyed.groupBy("digest", "_key").agg(F.count("*").alias("n")).groupBy("digest").agg(F.min(F.struct("_key", "n")).alias("x"))
+    standing = written(least.join(known, "digest", "left_anti").select("digest", "x._key", "x.n"), "standing")
+    many = standing.filter("n > 1")
+    single = standing.filter("n = 1")
+    joined = lambda some: keyed.join(F.broadcast(some) if standing.count() <= BROADCAST_ROWS else some.hint("shuffle_hash"), ["digest", "_key"], "left_semi").select("digest", "_text")
+    misses = joined(single)
+    if not many.isEmpty():
+        misses = misses.unionByName(joined(many).dropDuplicates(["digest"]))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _counter(tokenizer_path)
         for batch in batches:
-            yield pd.DataFrame({"digest": batch["digest"], "tokenizer": version, "n_tokens": count(list(batch["_text"]))})
+            where = cuts(pc.binary_length(batch.column(1)).to_numpy()) if batch.num_rows else []
+            for a, b in zip(where, where[1:]):
+                n = count(batch.column(1).slice(a, b - a).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([version] * (b - a)), pa.array(n, pa.int64())], names=["digest", "tokenizer", "n_tokens"])
 
-    misses.mapInPandas(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
+    misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     counts = read_cache(spark, cache_path).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     sized = docs.select("_id", "digest", F.octet_length("_text").cast("long").alias("n_bytes"))
     return sized.join(counts, "digest").select(F.col("_id").alias(id_col), "n_bytes", "n_tokens", "digest")
