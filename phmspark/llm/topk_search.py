@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from phmspark.llm.common import bounded_collect, table, written
 
 _CHUNK = "part long, dim int, n int, longest double, ids binary, vectors binary, lengths binary"
+SEED_BYTES = 64_000_000  # of the vectors from which queries get their first thresholds
 _SLACK = 1e-9  # of rounding in lengths and cosines; products are exact
 
 
@@ -81,6 +82,11 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     largest = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
     if largest < 2.0**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+    if largest >= 2.0**63:
+        exact = a.astype(object) @ b.astype(object).T
+        if any(abs(x) >= 2**63 for x in exact.flat):
+            raise OverflowError("products beyond 64 bits: vectors are too long for integer scores")
+        return exact.astype(np.int64)
     return a.astype(np.int64) @ b.astype(np.int64).T
 
 
@@ -131,17 +137,24 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     """query_id, rank, vec_id, score: for each query (a row where ``is_query`` of ``_id`` holds) its ``k`` largest integer
     inner products with all other rows, ties to smaller ids; all of them, if there are fewer.
 
-    Rows with a null id, and vectors null or with null or non-finite components, take no part. Repeated rows count once,
-    rows of the query's own id never. Vectors of another dimension than the query's are no candidates. Other columns are
-    not read; an empty table gives no rows. Buckets and query blocks meet over one shuffle on the bucket, the bucket's
-    row first, so a task holds one bucket and one block. Only one bucket for each dimension is broadcast (at most
-    ``bucket_rows`` vectors), and one row of numbers for each bucket if those are at most a million.
+    Rows with a null id, and vectors null or with null or non-finite components, take no part. Repeated rows (of one id
+    and vector) count once; rows of one id with different vectors are rows of their own, as queries and as candidates;
+    rows of the query's own id are never found. Vectors of another dimension than the query's are no candidates. Scores
+    beyond 64 bits raise OverflowError. Other columns are not read; an empty table gives no rows. Buckets and query
+    blocks meet over one shuffle on the bucket, the bucket's row first, so a task holds one bucket and one block. Only
+    one bucket for each dimension is broadcast (in all at most SEED_BYTES; queries of other dimensions start without a
+    threshold), and one row of numbers for each bucket if those are at most a million.
     """
     rows = quantised(vectors, id_col, vec_col).dropDuplicates(["_id", "_v"])
     rows = written(rows, "vectors")
     buckets = written(chunked(rows, bucket_rows), "buckets")
-    first = buckets.groupBy("dim").agg(F.max_by(F.struct("part", "n"), F.struct("longest", "n")).alias("x")).select("dim", "x.part")
-    seeds = {r["dim"]: _open(r.asDict()) for r in bounded_collect(buckets.join(F.broadcast(first), ["dim", "part"]), 1000)}
+    first = buckets.groupBy("dim").agg(F.max_by(F.struct("part", "n"), F.struct("longest", "n")).alias("x"), F.sum("n").alias("rows"))
+    kept, size = [], 0
+    for r in first.select("dim", "x.part", "x.n", "rows").orderBy(F.desc("rows"), "dim").limit(1000).collect():
+        size += 8 * r["n"] * (r["dim"] + 2)
+        if size <= SEED_BYTES:
+            kept.append(r["part"])
+    seeds = {r["dim"]: _open(r.asDict()) for r in bounded_collect(buckets.filter(F.col("part").isin(kept)), 1000)}
     shared = vectors.sparkSession.sparkContext.broadcast(seeds)
 
     def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,10 +164,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
             floor, reach = [], []
             for row in batch.to_pylist():
                 q_ids, q, q_len = _open(row)
-                ids, v, _ = shared.value[row["dim"]]
-                s = _products(q, v)
                 f = np.full(len(q_ids), -np.inf)
-                for i in range(len(q_ids)):
+                ids, v, _ = shared.value.get(row["dim"], (np.empty(0, np.int64), np.empty((0, row["dim"]), np.int32), None))
+                s = _products(q, v)
+                for i in range(len(q_ids) if len(ids) else 0):
                     own = s[i, ids != q_ids[i]]
                     if len(own) >= k:
                         f[i] = np.partition(own, len(own) - k)[len(own) - k]
@@ -181,7 +194,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
                 found = search_bucket(*_open(row), np.frombuffer(row["floor"], np.float64), *bucket, k)
                 yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
 
-    found = met.mapInArrow(multiply, "query_id long, vec_id long, score long").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    found = met.mapInArrow(multiply, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -191,7 +204,7 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
 SELECT query_id, rank, vec_id, score FROM (
   SELECT query_id, vec_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank
