@@ -7,8 +7,11 @@ no item has are 0, which is in no pattern.
 
 from __future__ import annotations
 
-import hashlib
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +57,34 @@ def build(items: list[tuple[str, str | None]], n: int):
     return number, automaton, [len(ids) for ids in pattern], owners
 
 
+_built: dict[str, tuple] = {}  # of this worker: the automaton last built
+
+
+def _kept(key: str, items: list[tuple[str, str | None]], n: int) -> tuple:
+    """The automaton of these items; a worker builds it once for all of its tasks."""
+    if key not in _built:
+        _built.clear()
+        _built[key] = build(items, n)
+    return _built[key]
+
+
+def in_parts(items: DataFrame, n: int, most_chars: int) -> DataFrame:
+    """Rows (item, text); the text of a very long item in several rows, which have all of its windows between them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, parts = [], []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ws = [] if len(text) <= most_chars else words(text)
+                step = max(n, len(ws) * most_chars // max(1, len(text)))
+                for some in [ws[k : k + step + n - 1] for k in range(0, max(1, len(ws) - n + 1), step)]:
+                    names.append(item)
+                    parts.append(b" ".join(some).decode("utf-8", "surrogatepass") if ws else text)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(parts, pa.string())], names=["item", "text"])
+
+    return items.mapInArrow(run, "item string, text string")
+
+
 def original_spans(text: str, runs: list[tuple[int, int]]) -> list[dict]:
     """Character offsets in ``text`` of runs (first, last + 1) of words."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass").translate(_NORMAL), dtype=np.uint8)
@@ -81,24 +112,28 @@ def scan(text: str | None, number, automaton, lengths, owners) -> tuple[int, lis
     return len(ws), runs, sorted(set().union(*(owners[k] for k in found)))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, n: int = 13, max_items_chars: int = 20_000_000, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, n: int = 13, max_items_chars: int = 2_000_000, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` with n_words, n_hit, n_items, items (ids as strings, sorted) and spans (character offsets, sorted).
 
-    The items' size is checked by an aggregate before they are gathered. Up to ``max_items_chars`` characters they make
-    one automaton, which each task builds once. Beyond that they are dealt by hash into slices of about that size; the
-    texts are scanned once for each slice, with a written table between, and hits are united. Null or empty texts and
+    The items' size is checked by an aggregate before they are gathered. Up to ``max_items_chars`` characters (about 300
+    MB of automaton) they make one automaton, which each worker builds once. Beyond that they are dealt by hash into
+    slices of about that size, very long items in parts that overlap by a window; the texts are scanned once for each
+    slice, with a written table between, and hits are united. Null or empty texts and
     items have no words. Repeated rows each keep a row; columns named as the new ones are replaced.
     """
     items = items.filter(F.col(item_text_col).isNotNull() & F.col(item_id_col).isNotNull()).select(F.col(item_id_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
     size = items.agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("rows")).first()
     slices = max(1, -(-(size["chars"] or 0) // max_items_chars))
     out = docs
+    if slices > 1:
+        items = written(in_parts(items, n, max(1, max_items_chars // 8)), "items")
+        size = items.agg(F.count("*").alias("rows")).first()
     for s in range(slices):
-        some = items if slices == 1 else items.filter(F.pmod(F.xxhash64("item"), F.lit(slices)) == s)
+        some = items if slices == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == s)
         shared = docs.sparkSession.sparkContext.broadcast([(r["item"], r["text"]) for r in bounded_collect(some, max(1, size["rows"]))])
 
-        def make(shared=shared):
-            model = build(shared.value, n)
+        def make(shared=shared, key=uuid.uuid4().hex):
+            model = _kept(key, shared.value, n)
 
             def run(texts: list[str | None]) -> dict[str, list]:
                 found = [scan(t, *model) for t in texts]
