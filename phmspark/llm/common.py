@@ -17,10 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or where that is unset (tests) a temporary one."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset on one machine, a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not f"{spark.conf.get('spark.master', '')}[".startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_scratch:
         _own_scratch.append(tempfile.mkdtemp(prefix="phmspark-"))
     return "file://" + _own_scratch[0]
@@ -31,7 +33,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage is cut, and a lost executor costs nothing."""
+    """``df`` as a Parquet table in the shared folder: the plan behind it is cut off, and a lost executor costs nothing."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

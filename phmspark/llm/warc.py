@@ -19,6 +19,7 @@ from phmspark.llm.common import table, written
 
 FANOUT = 16
 SEGMENT_IDS = 1024  # page ids of a segment
+NO_ID_SEGMENTS = 4096
 _LENGTH = re.compile(rb"\r\ncontent-length:[ \t]*(\d+)", re.I)
 
 
@@ -32,12 +33,12 @@ def record_text(url: Column, payload: Column, date: str) -> Column:
 def records(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, segment, ordinal, start, length and record (text) for every page.
 
-    Pages of neighbouring ids make a segment (null ids: segment -1), in the order of id, url and content; a null url or
-    html is empty. Repeated rows each give a record. Other columns are not read.
+    Pages of neighbouring ids make a segment, in the order of id, url and content; pages without an id are dealt by
+    content over ``NO_ID_SEGMENTS`` segments below 0. A null url or html is empty. Repeated rows each give a record. Other columns are not read.
     """
     url, html = F.coalesce(F.col(url_col), F.lit("")), F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page_id"), record_text(url, html, date).alias("record"))
-    rows = rows.withColumn("segment", F.coalesce(F.floor(F.col("page_id") / SEGMENT_IDS), F.lit(-1)).cast("long")).withColumn("length", F.octet_length("record").cast("long"))
+    rows = rows.withColumn("segment", F.coalesce(F.floor(F.col("page_id") / SEGMENT_IDS), -1 - F.pmod(F.xxhash64("record"), F.lit(NO_ID_SEGMENTS))).cast("long")).withColumn("length", F.octet_length("record").cast("long"))
     order = Window.partitionBy("segment").orderBy("page_id", "record")
     rows = rows.withColumn("ordinal", (F.row_number().over(order) - 1).cast("long"))
     before = Window.partitionBy("segment").orderBy("page_id", "record").rowsBetween(Window.unboundedPreceding, -1)
@@ -51,7 +52,10 @@ def write_warc(rows: DataFrame, path: str) -> None:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """file, ordinal, start, length, uri and payload (binary) of every record of WARC files; a task holds one file."""
+    """file, ordinal, start, length, uri and payload (binary) of every record of WARC files; a task holds one file.
+
+    What is no whole record (no length, or a length beyond the file) is one row up to the next record's beginning, with
+    a null payload."""
     files = spark.read.format("binaryFile").load(path).filter(F.col("length") > 0).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,8 +63,15 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 at, rows = 0, []
                 while at < len(content):
-                    body = content.index(b"\r\n\r\n", at) + 4
-                    size = int(_LENGTH.search(content, at, body)[1])
+                    body = content.find(b"\r\n\r\n", at) + 4
+                    size = _LENGTH.search(content, at, body) if body > 3 and content.startswith(b"WARC/", at) else None
+                    if not size or body + int(size[1]) > len(content):
+                        end = content.find(b"WARC/1.", at + 1)
+                        end = len(content) if end < 0 else end
+                        rows.append((name, len(rows), at, end - at, None, None))
+                        at = end
+                        continue
+                    size = int(size[1])
                     uri = re.search(rb"\r\nWARC-Target-URI:[ \t]*([^\r]*)", content[at:body], re.I)
                     end = body + size + 4
                     rows.append((name, len(rows), at, end - at, uri[1].decode("utf-8", "replace") if uri else None, content[body : body + size]))
@@ -95,8 +106,8 @@ def tree(rows: DataFrame, depth: tuple[int, int]) -> list[DataFrame]:
 
 
 def depth_of(*replicas: DataFrame) -> tuple[int, int]:
-    """Levels that bring every replica to one root (and segment -1, of null ids, to its own)."""
-    most = [r.agg(F.max("ordinal").alias("o"), F.max("segment").alias("s")).first() for r in replicas]
+    """Levels that bring every replica to one root (and segments below 0, of null ids, to their own)."""
+    most = [r.agg(F.max("ordinal").alias("o"), F.max(F.abs("segment")).alias("s")).first() for r in replicas]
 
     def levels(n: int) -> int:
         k = 0
@@ -143,7 +154,7 @@ def damaged(rows: DataFrame) -> DataFrame:
 def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = written(records(table(spark, sf_dir, "pages")), "records")
     found = audit(rows, damaged(rows))
-    return found.join(rows.select("segment", "ordinal", "page_id"), ["segment", "ordinal"]).select("page_id", "segment", "ordinal", "start", "length", "status", "digest", "found")
+    return found.join(rows.select("segment", "ordinal", "page_id"), ["segment", "ordinal"], "left").select("page_id", "segment", "ordinal", "start", "length", "status", "digest", "found")
 
 
 OP10_SQL = """
