@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from phmspark.llm import decontamination, language, ngram_join, packing, toxicity
 from phmspark.llm.common import new_path, table
 
-_NO_ID = 1 << 62  # rows without an id stand under a number of their text from here on
+_NO_ID = 1 << 61  # rows that their id does not tell apart stand under a number of their text from here on
 
 
 def _kept(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], new: list[str], keep) -> DataFrame:
@@ -28,24 +28,30 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without texts that are in no known language: null, without a letter, or with less than half of their letters in
-    any one."""
+    """Without texts that are in no known language: null, without a letter, or of letters whose languages, one or more,
+    are less than half sure."""
     model = language.fit_tables(docs)
-    return _kept(docs, lambda d: language.label_texts(d, model), ["lang_pred", "lang_score"], (F.col("lang_pred") != "und") & (F.col("lang_score") >= 0.5))
+    return _kept(docs, lambda d: language.label_texts(d, model), ["lang_pred", "lang_score", "lang_sure"], (F.col("lang_pred") != "und") & (F.col("lang_sure") >= 0.5))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of linked texts. Rows of one id count as one document; rows
-    without an id stay only if no row with an id is in their group, one for each text."""
-    text_id = F.lit(_NO_ID) + F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(_NO_ID // 2 - 1))
+    """One document, that of the smallest id, of each group of linked texts. Repeated rows of one id and text count as
+    one document (of rows that differ in other columns the least stays); different texts under one id are documents of
+    their own. These, and rows without an id, stay only if no other row is in their group, one for each text."""
+    text_id = F.lit(_NO_ID) + F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(_NO_ID - 1))
     named = docs.withColumn("_row_id", F.coalesce(F.col("doc_id").cast("long"), text_id))
-    found = ngram_join.components(named, id_col="_row_id").groupBy("_row_id").agg(F.first("component_id").alias("c"), F.count("*").alias("n"))
+    texts = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b"))
+    shared = texts.filter("a != b").select("doc_id", F.lit(True).alias("_shared"))
+    if not shared.isEmpty():
+        named = named.join(shared, "doc_id", "left").withColumn("_row_id", F.when(F.col("_shared"), text_id).otherwise(F.col("_row_id"))).select(*docs.columns, "_row_id")
+    found = ngram_join.components(named, id_col="_row_id").groupBy("_row_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n"))
     marked = found.filter((F.col("c") != F.col("_row_id")) | (F.col("n") > 1)).select("_row_id", (F.col("c") == F.col("_row_id")).alias("stays"))
     if marked.count() <= ngram_join.BROADCAST_ROWS:
         marked = F.broadcast(marked)
     met = named.join(marked, "_row_id", "left")
-    once = met.filter("stays").dropDuplicates(["_row_id"])
-    return met.filter("stays IS NULL").unionByName(once).select(docs.columns)
+    by = [f.name for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    once = met.filter("stays").groupBy("_row_id").agg(F.min_by(F.struct(*docs.columns), F.struct(*by)).alias("r")).select("r.*")
+    return met.filter("stays IS NULL").select(docs.columns).unionByName(once)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
