@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -101,7 +100,3 @@ def tokens(text: Column) -> Column:
     runs = F.regexp_extract_all(text, F.lit("([\\u4e00-\\u9fff]{2,})"), 1)
     pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.char_length(r) - 1), lambda k: F.substring(r, k, F.lit(2)))))
     return F.array_distinct(F.concat(words, pairs))
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

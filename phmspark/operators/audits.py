@@ -10,10 +10,11 @@ REASONS = ("empty file", "duplicate header", "header mismatch", "row width", "no
 
 
 def audit_lines(lines: DataFrame, header: list[str], keys: list[str], order: str, line: str) -> DataFrame:
-    """keys, reason (null: accepted), rows and bad_rows (numbers, from 1, of rows the reason holds for) of text files.
+    """keys, reason (null: accepted), rows, bad and first_bad (how many rows the reason holds for, and the number, from 1,
+    of the first; null for none) of text files.
 
     ``lines`` has every line of every file, the header first by ``order``. A file is rejected whole, for the first reason
-    that holds. Numbers are tested line by line; only line numbers of bad rows are gathered.
+    that holds. Lines are tested one by one and only counted.
     """
     w = Window.partitionBy(*keys).orderBy(order)
     n = len(header)
@@ -27,10 +28,10 @@ def audit_lines(lines: DataFrame, header: list[str], keys: list[str], order: str
         .when(~first & F.exists(number, lambda x: x.isNull()), 4)
         .when(~first & F.exists(number, lambda x: F.isnan(x) | (F.abs(x) == float("inf"))), 5)
     )
-    told = cells.withColumn("_r", reason).groupBy(*keys).agg(F.count("*").alias("_lines"), F.min("_r").alias("_first"), F.collect_list(F.when(F.col("_r") >= 3, F.struct("_r", "_n"))).alias("_bad"))
+    told = cells.withColumn("_r", reason).groupBy(*keys).agg(F.count("*").alias("_lines"), F.min("_r").alias("_first"), *(x for r in (3, 4, 5) for x in (F.count_if(F.col("_r") == r).alias(f"_k{r}"), F.min(F.when(F.col("_r") == r, F.col("_n"))).alias(f"_n{r}"))))
     code = F.when(F.col("_lines") <= 1, F.lit(0)).otherwise(F.col("_first"))
-    bad = F.array_sort(F.transform(F.filter("_bad", lambda x: x["_r"] == F.col("_code")), lambda x: x["_n"]))
-    return told.withColumn("_code", code).select(*keys, F.when(F.col("_code").isNotNull(), F.get(F.array(*map(F.lit, REASONS)), F.col("_code"))).alias("reason"), (F.col("_lines") - 1).alias("rows"), bad.alias("bad_rows"))
+    of = lambda c: F.coalesce(*(F.when(F.col("_code") == r, F.col(f"_{c}{r}")) for r in (3, 4, 5)))
+    return told.withColumn("_code", code).select(*keys, F.when(F.col("_code").isNotNull(), F.get(F.array(*map(F.lit, REASONS)), F.col("_code"))).alias("reason"), (F.col("_lines") - 1).alias("rows"), F.coalesce(of("k"), F.lit(0)).alias("bad"), of("n").alias("first_bad"))
 
 
 def audit_coverage(df: DataFrame, keys: list[str], item: str, expected: list, needed) -> DataFrame:

@@ -73,6 +73,13 @@ def per_class(counts: DataFrame, keys: list[str], truth: str, pred: str) -> Data
     return both.groupBy(*keys).agg((F.sum("hit") / F.sum("t")).alias("accuracy"), F.avg(recall).alias("balanced_accuracy"), F.avg(f1).alias("macro_f1"))
 
 
+def label_f1(counts: DataFrame, keys: list[str], truth: str, pred: str, label) -> DataFrame:
+    """keys, f1 of one label (0 where neither truth nor prediction has it)."""
+    t, p = F.col(truth) == F.lit(label), F.col(pred) == F.lit(label)
+    part = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("double")
+    return counts.groupBy(*keys).agg(F.coalesce(2 * part(t & p) / F.nullif(part(t) + part(p), F.lit(0.0)), F.lit(0.0)).alias("f1"))
+
+
 def average_rank(x: str, keys: list[str]) -> Column:
     """Rank from 1 within ``keys``; equal values share the mean of their ranks."""
     w = Window.partitionBy(*keys)

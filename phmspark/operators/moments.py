@@ -74,26 +74,60 @@ def fit_mahalanobis(df: DataFrame, keys: list[str], f: str = "f", estimator: str
     return held.mapInPandas(invert, kinds + "n long, mu array<double>, precision array<double>, shrinkage double")
 
 
-def distances(rows: DataFrame, models: DataFrame, cls: str, f: str = "f", max_models: int = 2000) -> DataFrame:
-    """``rows`` with ds: map of class to Mahalanobis distance, for every model; models are few and broadcast."""
-    own = models.select(cls, "mu", "precision").limit(max_models + 1).collect()
-    if len(own) > max_models:
-        raise ValueError(f"over {max_models} models: fit and score them by key instead")
-    shared = rows.sparkSession.sparkContext.broadcast([(str(r[cls]), np.array(r["mu"]), np.array(r["precision"]).reshape(len(r["mu"]), -1)) for r in own])
+def whiten(rows: DataFrame, model: DataFrame, f: str = "f") -> DataFrame:
+    """``rows`` with z = W (f - mu), W the transposed Cholesky factor of the precision of ``model`` (one row)."""
+    m = model.select("mu", "precision").first()
+    if m is None:
+        raise ValueError("no model to whiten by")
+    p = len(m["mu"])
+    shared = rows.sparkSession.sparkContext.broadcast((np.array(m["mu"]), np.linalg.cholesky(np.array(m["precision"]).reshape(p, p))))
     kinds = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mu, lower = shared.value
         for batch in batches:
-            if not len(batch):
-                continue
-            x, out = np.stack(batch[f].to_numpy()), [{} for _ in range(len(batch))]
-            for name, mu, p in shared.value:
-                z = x - mu
-                for row, v in zip(out, np.sqrt(np.maximum(0.0, np.einsum("ij,ij->i", z @ p, z))), strict=True):
-                    row[name] = float(v)
-            yield batch.assign(ds=out)
-
-    return rows.mapInPandas(run, kinds + ", ds map<string,double>")
+            if len(batch):
+                yield batch.assign(z=list((np.stack(batch[f].to_numpy()) - mu) @ lower))
+
+    return rows.mapInPandas(run, kinds + ", z array<double>")
+
+
+def distances(rows: DataFrame, models: DataFrame, cls: str, f: str = "f", key: str | None = None, at_once: int = 2000) -> DataFrame:
+    """``rows`` with ds: map of class to Mahalanobis distance, for every model; ``key``: for those of the row's key only.
+
+    Models are broadcast ``at_once`` at a time, in slices by hash: with more, rows are scored once for each slice and
+    their maps are put together in a written table."""
+    names = [cls] + ([key] if key else [])
+    slices = max(1, -(-models.count() // at_once))
+    out = rows
+    for s in range(slices):
+        some = models if slices == 1 else models.filter(F.pmod(F.xxhash64(*names), F.lit(slices)) == s)
+        own = [((r[key] if key else None), str(r[cls]), np.array(r["mu"]), np.array(r["precision"]).reshape(len(r["mu"]), -1)) for r in some.select(*names, "mu", "precision").collect()]
+        out = _to_models(out, rows.sparkSession.sparkContext.broadcast(own), f, key, f"ds{s}")
+        if slices > 1:
+            from phmspark.sources.scratch import written
+
+            out = written(out, "distances")
+    maps = [f"ds{s}" for s in range(slices)]
+    return out.withColumn("ds", F.map_concat(*maps) if slices > 1 else F.col(maps[0])).drop(*maps)
+
+
+def _to_models(rows: DataFrame, shared, f: str, key: str | None, new: str) -> DataFrame:
+    kinds = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [{} for _ in range(len(batch))]
+            for k, at in batch.reset_index(drop=True).groupby(key).indices.items() if key else [(None, np.arange(len(batch)))]:
+                x = np.stack(batch[f].to_numpy()[at]) if len(at) else None
+                for own, name, mu, p in shared.value:
+                    if own == k and x is not None:
+                        z = x - mu
+                        for i, v in zip(at, np.sqrt(np.maximum(0.0, np.einsum("ij,ij->i", z @ p, z))), strict=True):
+                            out[i][name] = float(v)
+            yield batch.assign(**{new: out})
+
+    return rows.mapInPandas(run, f"{kinds}, {new} map<string,double>")
 
 
 def scaling(train: DataFrame, keys: list[str], f: str = "f") -> DataFrame:

@@ -21,7 +21,7 @@ def packed(rows: DataFrame, block_rows: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, block_rows):
                 some = batch.slice(at, block_rows)
-                m = np.stack([np.asarray(x, dtype=float) for x in some.column(2).to_pylist()])
+                m = some.column(2).flatten().to_numpy().reshape(some.num_rows, -1)
                 yield pa.RecordBatch.from_pydict({"block": [(part << 32) + seq], "n": [len(m)], "ids": [some.column(0).to_pylist()], "cls": [some.column(1).to_pylist()], "m": [m.tobytes()]}, schema=_SCHEMA)
                 seq += 1
 
@@ -53,18 +53,22 @@ def nearest(queries: DataFrame, bank: DataFrame, k: int, id_col: str, f: str = "
                     names = np.array(row["cls"])[order]
                     held = (ids[order], m[order], {c: np.flatnonzero(names == c) for c in sorted(set(names))})
                     continue
-                out: list[list] = [[], [], [], []]
+                out: list[tuple] = []
                 square = (m * m).sum(axis=1)[:, None] + (held[1] * held[1]).sum(axis=1)[None] - 2 * m @ held[1].T
+                if not_self:
+                    square[held[0][None] == ids[:, None]] = np.inf
                 for c, at in held[2].items():
-                    for i in range(len(ids)):
-                        own = at[held[0][at] != ids[i]] if not_self else at
-                        d = square[i, own]
-                        near = own[np.argpartition(d, k + 7)[: k + 8]] if len(own) > k + 8 else own
-                        exact = np.sqrt(((held[1][near] - m[i]) ** 2).sum(axis=1))
-                        for j in np.lexsort((held[0][near], exact))[:k]:
-                            for col, v in zip(out, (int(ids[i]), c, int(held[0][near[j]]), float(exact[j])), strict=True):
-                                col.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.int64(), pa.float64()), strict=True)], names=["query", "cls", "neighbour", "distance"])
+                    own = square[:, at]
+                    few = min(k + 8, len(at))  # a few more than asked for: their distances are worked out exactly
+                    near = np.sort(at[np.argpartition(own, few - 1, axis=1)[:, :few]], axis=1)  # by id
+                    exact = np.sqrt(((held[1][near] - m[:, None]) ** 2).sum(axis=2))
+                    exact[np.isinf(np.take_along_axis(square, near, axis=1))] = np.inf
+                    order = np.argsort(exact, axis=1, kind="stable")[:, :k]
+                    exact, near = np.take_along_axis(exact, order, axis=1), np.take_along_axis(near, order, axis=1)
+                    row, place = np.nonzero(np.isfinite(exact))
+                    out.append((ids[row], np.full(len(row), c, dtype=object), held[0][near[row, place]], exact[row, place]))
+                for q, c, n, d in out:
+                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(c, pa.string()), pa.array(n), pa.array(d)], names=["query", "cls", "neighbour", "distance"])
 
     found = met.select("block", "side", "n", "ids", "cls", "m").mapInArrow(run, "query long, cls string, neighbour long, distance double")
     rank = F.row_number().over(Window.partitionBy("query", "cls").orderBy("distance", "neighbour"))

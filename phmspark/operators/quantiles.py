@@ -6,27 +6,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float], parts: int = 64) -> DataFrame:
-    """keys, q and x: linearly interpolated quantiles of the non-null values.
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float], accuracy: int = 2000) -> DataFrame:
+    """keys, q and x: linearly interpolated quantiles of the non-null values. Rows with a null key are left out.
 
-    An approximate quantile grid cuts every group into parts; counts of the parts tell which hold the wanted ranks, and
-    only those parts' rows are ranked. The result is exact whatever the grid is; the grid only sizes the parts.
+    Approximate quantiles give each wanted one a window of about ``4 / accuracy`` of its group; the rows below the
+    windows are counted, and only the distinct values inside are put in order, so neither a large group nor a value that
+    many rows have meets in a task. Where a window should miss its ranks it is the whole group: the result is exact
+    whatever the approximation is worth.
     """
     df = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
-    grid = df.groupBy(*keys).agg(F.percentile_approx("_x", [(k + 1) / parts for k in range(parts - 1)], 1000).alias("_grid"))
-    held = df.join(grid, keys) if keys else df.crossJoin(F.broadcast(grid))
-    dealt = held.withColumn("_part", F.size(F.filter("_grid", lambda g: g < F.col("_x")))).drop("_grid")
-    w = Window.partitionBy(*keys)
-    sizes = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_k"))
-    sizes = sizes.withColumn("_n", F.sum("_k").over(w)).withColumn("_to", F.sum("_k").over(w.orderBy("_part"))).withColumn("_from", F.col("_to") - F.col("_k"))
-    asked = sizes.withColumn("q", F.explode(F.array(*(F.lit(float(q)) for q in qs)))).withColumn("_at", F.col("q") * (F.col("_n") - 1))
-    asked = asked.withColumn("_low", F.floor("_at")).filter((F.col("_low") < F.col("_to")) & (F.least(F.col("_low") + 1, F.col("_n") - 1) >= F.col("_from")))
-    asked = asked.select(*keys, "_part", "q", "_at", "_low", "_n", "_from")
-    rows = dealt.join(asked.select(*keys, "_part", "_from").distinct(), [*keys, "_part"])
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_x")) - 1 + F.col("_from")).drop("_from")
-    met = ranked.join(asked, [*keys, "_part"]).filter((F.col("_r") == F.col("_low")) | (F.col("_r") == F.least(F.col("_low") + 1, F.col("_n") - 1)))
-    weight = F.when(F.col("_r") == F.col("_low"), 1 - (F.col("_at") - F.col("_low"))).otherwise(0.0) + F.when((F.col("_r") == F.least(F.col("_low") + 1, F.col("_n") - 1)), F.col("_at") - F.col("_low")).otherwise(0.0)
-    return met.groupBy(*keys, "q").agg(F.sum(F.col("_x") * weight).alias("x"))
+    qs = sorted(set(float(q) for q in qs))
+    around = [min(1.0, max(0.0, q + side * 2 / accuracy)) for q in qs for side in (-1, 1)]
+    grid = df.groupBy(*keys).agg(F.percentile_approx("_x", around, accuracy).alias("_g"))
+    beside = lambda rows, few: rows.join(F.broadcast(few) if not keys else few, keys) if keys else rows.crossJoin(F.broadcast(few))
+    held, x = beside(df, grid), F.col("_x")
+    counts = held.groupBy(*keys).agg(F.count("*").alias("_n"), F.first("_g").alias("_g"), *(c for k in range(len(qs)) for c in (F.count_if(x < F.col("_g")[2 * k]).alias(f"_b{k}"), F.count_if(x <= F.col("_g")[2 * k + 1]).alias(f"_u{k}"))))
+    asked = []
+    for k, q in enumerate(qs):
+        at = F.lit(q) * (F.col("_n") - 1)
+        low = F.floor(at)
+        fits = (F.col(f"_b{k}") <= low) & (F.col(f"_u{k}") > F.least(low + 1, F.col("_n") - 1))
+        asked.append(F.struct(F.lit(q).alias("q"), at.alias("at"), low.alias("low"), F.least(low + 1, F.col("_n") - 1).alias("high"), F.when(fits, F.col("_g")[2 * k]).otherwise(float("-inf")).alias("a"), F.when(fits, F.col("_g")[2 * k + 1]).otherwise(float("nan")).alias("b"), F.when(fits, F.col(f"_b{k}")).otherwise(0).alias("below")))
+    windows = counts.select(*keys, F.array(*asked).alias("_w"))
+    inside = beside(df, windows).withColumn("_k", F.explode(F.filter("_w", lambda w: (w["a"] <= x) & (x <= w["b"])))).select(*keys, "_k", "_x")  # NaN is above all
+    distinct = inside.groupBy(*keys, "_k", "_x").agg(F.count("*").alias("_c"))
+    upto = F.col("_k.below") + F.sum("_c").over(Window.partitionBy(*keys, "_k").orderBy("_x"))
+    ranked = distinct.withColumn("_to", upto).withColumn("_from", upto - F.col("_c"))
+    at_rank = lambda name: F.when((F.col("_from") <= F.col(f"_k.{name}")) & (F.col(f"_k.{name}") < F.col("_to")), F.col("_x"))
+    ends = ranked.groupBy(*keys, "_k").agg(F.max(at_rank("low")).alias("_low"), F.max(at_rank("high")).alias("_high"))
+    share = F.col("_k.at") - F.col("_k.low")
+    return ends.select(*keys, F.col("_k.q").alias("q"), F.when(share == 0, F.col("_low")).otherwise(F.col("_low") * (1 - share) + F.col("_high") * share).alias("x"))
 
 
 def bounds(df: DataFrame, keys: list[str], cols: list[str], scale: float) -> DataFrame:

@@ -27,6 +27,18 @@ def hash_rank(df: DataFrame, keys: list[str], id_col: str, seed=42, out: str = "
     return (ranked.withColumn(count, F.col("_rows").cast("long")) if count else ranked).drop("_h", "_part", "_rank", "_before", "_rows")
 
 
+def placed(df: DataFrame, by: list[str], out: str = "n") -> DataFrame:
+    """``df`` with each row's number from 1 in the order of ``by``: ranges are numbered each by itself, and the counts of
+    those before are added, so that no task sorts all rows."""
+    from phmspark.sources.scratch import written
+
+    spread = written(df.repartitionByRange(*by).withColumn("_p", F.spark_partition_id()), "ordered")
+    counts = spread.groupBy("_p").agg(F.count("*").alias("_k"))
+    before = counts.select("_p", (F.sum("_k").over(Window.orderBy("_p")) - F.col("_k")).alias("_from"))  # a row for each partition
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(*by))
+    return spread.withColumn("_own", own).join(F.broadcast(before), "_p").withColumn(out, (F.col("_from") + F.col("_own")).cast("long")).drop("_p", "_own", "_from")
+
+
 def with_role(df: DataFrame, keys: list[str], id_col: str, seed=42, train: float = 0.6, cal: float = 0.2) -> DataFrame:
     """role: train (floor(train * n)), cal (floor(cal * n), 1 at least) or holdout (the rest), by hash within ``keys``."""
     n_train, n_cal = F.floor(F.lit(train) * F.col("n")), F.greatest(F.lit(1), F.floor(F.lit(cal) * F.col("n")))

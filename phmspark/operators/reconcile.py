@@ -31,7 +31,7 @@ def compare_ids(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> Data
     return x.join(y, keys, "full_outer").select(*keys, "left", "right", status.alias("status"))
 
 
-def range_lineage(rows: DataFrame, ranges: DataFrame, keys: list[str], at: str, start: str, stop: str, width: int = 1000) -> DataFrame:
+def range_origins(rows: DataFrame, ranges: DataFrame, keys: list[str], at: str, start: str, stop: str, width: int = 1000) -> DataFrame:
     """Each row with the range [start, stop) of its keys that holds it. Ranges are cut at multiples of ``width`` and meet
     rows by an equi-join on the cut, so no row meets every range."""
     cut = ranges.filter(F.col(stop) > F.col(start)).withColumn("_cut", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(stop) - 1) / width))))

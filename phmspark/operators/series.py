@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -34,36 +36,67 @@ def fold(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], o
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, f"{kinds}, {new}")
 
 
-class Trend:
+class TrendState(NamedTuple):
+    """What a trend knows after a row: rows so far, rows at arming, smoothed share, drift sum, the alarm's kind, and
+    which of the last values lay in the middle band (bits, the latest lowest, in hexadecimal digits)."""
+
+    rows: int = 0
+    armed: int = 0
+    ewma: float = 0.0
+    cusum: float = 0.0
+    kind: str | None = None
+    middle: str = "0"
+
+
+@dataclass(frozen=True)
+class TrendRule:
     """Share of scores above 1, smoothed from 0, its alarm, and the drift sum with floor 0.
 
     The alarm is the first row, later than ``warmup`` rows after arming, at which the smoothed share is ``alarm`` or
     more; it is sudden if at most ``sudden`` of the ``window`` values before it lay between ``onset`` and ``alarm``.
     """
 
+    alpha: float = 0.08
+    onset: float = 0.2
+    alarm: float = 0.5
+    sudden: int = 12
+    window: int = 120
+    warmup: int = 10
+
+    def after(self, was: TrendState, score: float) -> tuple[TrendState, tuple]:
+        """The state after a score, and the row's columns."""
+        share = was.ewma + self.alpha * (float(score > 1) - was.ewma)
+        drift = max(0.0, was.cusum + score - 1)
+        fires = was.kind is None and was.rows + 1 - was.armed > self.warmup and share >= self.alarm
+        dwell = int(was.middle, 16).bit_count() if fires else None
+        kind = was.kind if not fires else "sudden" if dwell <= self.sudden else "gradual"
+        middle = (int(was.middle, 16) << 1 | (self.onset <= share < self.alarm)) & ((1 << self.window) - 1)
+        return TrendState(was.rows + 1, was.armed, share, drift, kind, f"{middle:x}"), (share, drift, fires, kind, dwell)
+
+    @staticmethod
+    def rearmed(was: TrendState) -> TrendState:
+        """Waits for the next alarm from nothing; rows go on being counted."""
+        return TrendState(rows=was.rows, armed=was.rows)
+
+
+class Trend:
+    """A trend's rule and its state, row by row."""
+
     NEW = "ewma double, cusum double, alarm_now boolean, verdict string, dwell int"
+    STATE = "rows long, armed long, ewma double, cusum double, kind string, middle string"
 
-    def __init__(self, alpha=0.08, onset=0.2, alarm=0.5, sudden=12, window=120, warmup=10):
-        self.alpha, self.onset, self.alarm, self.sudden, self.warmup = alpha, onset, alarm, sudden, warmup
-        self.t = self.armed = 0
-        self.ewma = self.cusum = 0.0
-        self.kind, self.before = None, deque(maxlen=window)
+    def __init__(self, state: tuple = (), **rule):
+        self.rule, self.state = TrendRule(**rule), TrendState(*state)
 
     def step(self, score: float) -> tuple:
-        self.t += 1
-        self.ewma += self.alpha * ((1.0 if score > 1 else 0.0) - self.ewma)
-        self.cusum = max(0.0, self.cusum + score - 1)
-        fires = self.kind is None and self.t - self.armed > self.warmup and self.ewma >= self.alarm
-        dwell = sum(self.onset <= e < self.alarm for e in self.before) if fires else None
-        if fires:
-            self.kind = "sudden" if dwell <= self.sudden else "gradual"
-        self.before.append(self.ewma)
-        return self.ewma, self.cusum, fires, self.kind, dwell
+        self.state, out = self.rule.after(self.state, score)
+        return out
 
     def rearm(self) -> None:
-        """Wait for the next alarm; rows go on being counted."""
-        self.kind, self.armed = None, self.t
-        self.before.clear()
+        self.state = self.rule.rearmed(self.state)
+
+    def held(self) -> tuple:
+        return tuple(self.state)
 
 
 LEVELS = ("normal", "warning", "critical")
@@ -105,10 +138,16 @@ class Trajectory:
     """Health of a session: median of three, smoothed from its first value, change-point streak and alarm level."""
 
     NEW = "robust double, smoothed double, change string, alarm_state string"
+    STATE = "last array<double>, smoothed double, streak int, level int, way int, pulled int"
 
-    def __init__(self, alpha=0.2, delta=0.15, persist=2):
+    def __init__(self, state: tuple = ((), None, 0, 0, 0, 0), alpha=0.2, delta=0.15, persist=2):
         self.alpha, self.delta, self.persist = alpha, delta, persist
-        self.last, self.smoothed, self.streak, self.alarm = deque(maxlen=3), None, 0, Hysteresis()
+        last, self.smoothed, self.streak, *alarm = state
+        self.last, self.alarm = deque(last, maxlen=3), Hysteresis()
+        self.alarm.level, self.alarm.way, self.alarm.streak = alarm
+
+    def held(self) -> tuple:
+        return [float(x) for x in self.last], self.smoothed, self.streak, self.alarm.level, self.alarm.way, self.alarm.streak
 
     def step(self, health: float) -> tuple:
         self.last.append(health)

@@ -117,11 +117,13 @@ def e5_binary_summary(spark, d):
 
 @query(
     "e6_multiclass",
-    f"{_GRID}, t AS (SELECT k, truth AS c, sum(n) AS t, sum(n) FILTER (truth = pred) AS hit FROM cf GROUP BY ALL), p AS (SELECT k, pred AS c, sum(n) AS p FROM cf GROUP BY ALL), b AS (SELECT * FROM t JOIN p USING (k, c) WHERE t + p > 0) SELECT k, round(sum(hit) / sum(t), 6) AS accuracy, round(avg(hit / t) FILTER (t > 0), 6) AS balanced_accuracy, round(avg(2 * hit / (t + p)), 6) AS macro_f1 FROM b GROUP BY k",
+    f"{_GRID}, t AS (SELECT k, truth AS c, sum(n) AS t, sum(n) FILTER (truth = pred) AS hit FROM cf GROUP BY ALL), p AS (SELECT k, pred AS c, sum(n) AS p FROM cf GROUP BY ALL), b AS (SELECT * FROM t JOIN p USING (k, c) WHERE t + p > 0) SELECT k, round(sum(hit) / sum(t), 6) AS accuracy, round(avg(hit / t) FILTER (t > 0), 6) AS balanced_accuracy, round(avg(2 * hit / (t + p)), 6) AS macro_f1, round(coalesce(sum(2 * hit / (t + p)) FILTER (c = 'c'), 0), 6) AS unknown_f1 FROM b GROUP BY k",
 )
 def e6_multiclass(spark, d):
-    m = metrics.per_class(metrics.confusion(outcomes(spark, d), ["k"], "truth", "pred", ["a", "b", "c", "d"]), ["k"], "truth", "pred")
-    return m.select("k", *(F.round(c, 6).alias(c) for c in ("accuracy", "balanced_accuracy", "macro_f1")))
+    """Label c plays the unknown class."""
+    counts = metrics.confusion(outcomes(spark, d), ["k"], "truth", "pred", ["a", "b", "c", "d"])
+    m = metrics.per_class(counts, ["k"], "truth", "pred").join(metrics.label_f1(counts, ["k"], "truth", "pred", "c").withColumnRenamed("f1", "unknown_f1"), "k")
+    return m.select("k", *(F.round(c, 6).alias(c) for c in ("accuracy", "balanced_accuracy", "macro_f1", "unknown_f1")))
 
 
 @query(
@@ -138,6 +140,13 @@ def e7_signed_rank(spark, d):
     return r.agg(F.count("*").alias("n"), F.round(F.least(part(F.col("dx") > 0), part(F.col("dx") < 0)), 1).alias("statistic"), F.round(F.avg("dx"), 3).alias("mean"))
 
 
+@query("e7_signed_rank_p")
+def e7_signed_rank_p(spark, d):
+    """The signed-rank test with its two-sided p, worked out from the one row of the statistic."""
+    p = F.udf(signed_rank_p, "double")
+    return e7_signed_rank(spark, d).withColumn("p", F.round(p("n", "statistic"), 6))
+
+
 def signed_rank_p(n: int, statistic: float) -> float:
     """Two-sided p of a signed-rank statistic without ties: exact counts of rank sums up to 50 pairs, else normal."""
     if n == 0:
@@ -218,11 +227,17 @@ def q9_run_cells(spark, d):
 
 @query(
     "q10_result_matrix",
-    f"WITH {_CELLS}, want AS (SELECT dataset, seed, method FROM (SELECT DISTINCT dataset FROM cells), (SELECT unnest([0, 1, 2]) AS seed), (SELECT unnest(['mahalanobis', 'knn']) AS method)), g AS (SELECT w.dataset, w.seed, w.method, c.x, c.n FROM want w LEFT JOIN cells c ON c.dataset = w.dataset AND c.seed = w.seed AND c.method = w.method) SELECT dataset, count(*) FILTER (x IS NULL) AS missing, count(*) FILTER (x <= 0) AS out_of_range, count(DISTINCT n) = 1 AS same_counts FROM g GROUP BY dataset",
+    f"WITH {_CELLS}, want AS (SELECT dataset, seed, method FROM (SELECT DISTINCT dataset FROM cells), (SELECT unnest([0, 1, 2]) AS seed), (SELECT unnest(['mahalanobis', 'knn']) AS method)), g AS (SELECT w.dataset, w.seed, w.method, c.x, c.n FROM want w LEFT JOIN cells c ON c.dataset = w.dataset AND c.seed = w.seed AND c.method = w.method) SELECT dataset, count(*) FILTER (x IS NULL) AS missing, count(*) FILTER (x <= 0) AS out_of_range, count(DISTINCT n) = 1 AS same_counts, max(dup) AS duplicates, coalesce(abs((avg(x) FILTER (method = 'knn') - avg(x) FILTER (method = 'mahalanobis')) - (sum(CASE method WHEN 'knn' THEN x ELSE -x END) / 3)) <= 1.5e-6, false) AS gap_agrees FROM g JOIN (SELECT dataset, count(*) - count(DISTINCT seed || method) AS dup FROM cells GROUP BY dataset) USING (dataset) GROUP BY dataset",
 )
 def q10_result_matrix(spark, d):
-    """The full grid of a condition: cells missing, out of range, and whether paired cells have equal counts."""
+    """The full grid of a condition: cells missing, out of range, met twice, whether paired cells have equal counts, and
+    whether the difference of the methods' means is the mean difference of their pairs."""
     c = cells(spark, d)
     want = c.select("dataset").distinct().select("dataset", F.explode(F.array(*map(F.lit, range(3)))).alias("seed")).select("dataset", "seed", F.explode(F.array(F.lit("mahalanobis"), F.lit("knn"))).alias("method"))
     g = want.join(c, ["dataset", "seed", "method"], "left")
-    return g.groupBy("dataset").agg(F.count_if(F.col("x").isNull()).alias("missing"), F.count_if(F.col("x") <= 0).alias("out_of_range"), (F.count_distinct("n") == 1).alias("same_counts"))
+    twice = c.groupBy("dataset", "seed", "method").count().groupBy("dataset").agg(F.sum(F.col("count") - 1).alias("duplicates"))
+    knn = F.col("method") == "knn"
+    gap = F.avg(F.when(knn, F.col("x"))) - F.avg(F.when(~knn, F.col("x")))
+    agrees = F.abs(gap - F.sum(F.when(knn, F.col("x")).otherwise(-F.col("x"))) / 3) <= 1.5e-6
+    told = g.groupBy("dataset").agg(F.count_if(F.col("x").isNull()).alias("missing"), F.count_if(F.col("x") <= 0).alias("out_of_range"), (F.count_distinct("n") == 1).alias("same_counts"), F.coalesce(agrees, F.lit(False)).alias("gap_agrees"))
+    return told.join(twice, "dataset")

@@ -10,14 +10,15 @@ from phmspark.operators import metrics, moments, quantiles, ranking
 from phmspark.plans.base import query, table
 from phmspark.sources.scratch import written
 
-# Conditions' healthy (label < 3) and other rows in two components; a condition's model is its training mean and the
-# 95th percentile of its calibration rows' distances from it.
-_FIT = """v AS (SELECT vec_id, vec_id % 3 AS cond, label < 5 AS healthy, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
+# Conditions' healthy (label < 5) and other rows; a condition's model is its training mean and the 95th percentile of
+# its calibration rows' distances from it.
+_ROWS = """v AS (SELECT vec_id, vec_id % 3 AS cond, label < 5 AS healthy, list_transform(embedding, lambda x: x::DOUBLE) AS f FROM embeddings),
   r AS (SELECT *, CASE WHEN NOT healthy THEN 'fault' WHEN k < floor(0.6 * n) THEN 'train' WHEN k < floor(0.6 * n) + greatest(1, floor(0.2 * n)) THEN 'cal' ELSE 'holdout' END AS role FROM (
-    SELECT *, row_number() OVER (PARTITION BY cond, healthy ORDER BY md5('42:' || vec_id), vec_id) - 1 AS k, count(*) OVER (PARTITION BY cond, healthy) AS n FROM v)),
-  m AS (SELECT cond AS src, avg(x) AS mx, avg(y) AS my FROM r WHERE role = 'train' GROUP BY cond),
-  t AS (SELECT src, quantile_cont(sqrt((x - mx) ** 2 + (y - my) ** 2), 0.95) AS t FROM r JOIN m ON src = cond WHERE role = 'cal' GROUP BY src),
-  pairs AS (SELECT src, cond AS dst, role, healthy, sqrt((x - mx) ** 2 + (y - my) ** 2) / t AS score FROM r, m JOIN t USING (src) WHERE src <> cond OR role IN ('holdout', 'fault')),
+    SELECT *, row_number() OVER (PARTITION BY cond, healthy ORDER BY md5('42:' || vec_id), vec_id) - 1 AS k, count(*) OVER (PARTITION BY cond, healthy) AS n FROM v))"""
+_FIT = f"""{_ROWS},
+  m AS (SELECT src, list(a ORDER BY i) AS mu, list(b ORDER BY i) AS med FROM (SELECT src, i, avg(x) AS a, quantile_cont(x, 0.5) AS b FROM (SELECT cond AS src, generate_subscripts(f, 1) AS i, unnest(f) AS x FROM r WHERE role = 'train') GROUP BY ALL) GROUP BY src),
+  t AS (SELECT src, quantile_cont(list_distance(f, mu), 0.95) AS t FROM r JOIN m ON src = cond WHERE role = 'cal' GROUP BY src),
+  pairs AS (SELECT src, cond AS dst, role, healthy, list_distance(f, mu) / t AS score FROM r, m JOIN t USING (src) WHERE src <> cond OR role IN ('holdout', 'fault')),
   labelled AS (SELECT src || ':' || dst AS k, src, dst, score, NOT healthy AS pos FROM pairs),
   h AS (SELECT k, src, dst, score, count(*) FILTER (pos) AS p, count(*) FILTER (NOT pos) AS q FROM labelled GROUP BY ALL),
   c AS (SELECT *, sum(p) OVER w AS tp, sum(p) OVER (PARTITION BY k) AS np, sum(q) OVER (PARTITION BY k) AS nq FROM h WINDOW w AS (PARTITION BY k ORDER BY score DESC)),
@@ -26,8 +27,7 @@ _FIT = """v AS (SELECT vec_id, vec_id % 3 AS cond, label < 5 AS healthy, embeddi
 
 def conditioned(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    f = F.slice(F.col("embedding").cast("array<double>"), 1, 2)
-    rows = ranking.with_role(e.select("vec_id", (F.col("vec_id") % 3).alias("cond"), (F.col("label") < 5).alias("healthy"), f.alias("f")), ["cond", "healthy"], "vec_id")
+    rows = ranking.with_role(e.select("vec_id", (F.col("vec_id") % 3).alias("cond"), (F.col("label") < 5).alias("healthy"), F.col("embedding").cast("array<double>").alias("f")), ["cond", "healthy"], "vec_id")
     return written(rows.withColumn("role", F.when(F.col("healthy"), F.col("role")).otherwise("fault")), "conditions")
 
 
@@ -71,11 +71,11 @@ def a17_drift(spark, d):
 
 @query(
     "a18_strategies",
-    """WITH v AS (SELECT vec_id, vec_id % 3 AS cond, label < 5 AS healthy, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
-       r AS (SELECT *, CASE WHEN NOT healthy THEN 'fault' WHEN k < floor(0.6 * n) THEN 'train' WHEN k < floor(0.6 * n) + greatest(1, floor(0.2 * n)) THEN 'cal' ELSE 'holdout' END AS role FROM (SELECT *, row_number() OVER (PARTITION BY cond, healthy ORDER BY md5('42:' || vec_id), vec_id) - 1 AS k, count(*) OVER (PARTITION BY cond, healthy) AS n FROM v)),
+    f"""WITH {_ROWS},
        z AS (SELECT r.*, s.strategy, CASE s.strategy WHEN 'per_condition' THEN 'c' || cond WHEN 'all_mixed' THEN 'all' ELSE 'p' || cond % 2 END AS g FROM r, (SELECT unnest(['per_condition', 'all_mixed', 'per_rpm']) AS strategy) s),
-       m AS (SELECT g, avg(x) AS mx, avg(y) AS my FROM z WHERE role = 'train' GROUP BY g), t AS (SELECT g, quantile_cont(sqrt((x - mx) ** 2 + (y - my) ** 2), 0.95) AS t FROM z JOIN m USING (g) WHERE role = 'cal' GROUP BY g)
-       SELECT strategy, round(avg((s <= 1)::INT) FILTER (healthy), 5) AS accept, round(avg((s > 1)::INT) FILTER (NOT healthy), 5) AS detect FROM (SELECT strategy, healthy, sqrt((x - mx) ** 2 + (y - my) ** 2) / t AS s FROM z JOIN m USING (g) JOIN t USING (g) WHERE role IN ('holdout', 'fault')) GROUP BY strategy""",
+       m AS (SELECT g, list(a ORDER BY i) AS mu FROM (SELECT g, i, avg(x) AS a FROM (SELECT g, generate_subscripts(f, 1) AS i, unnest(f) AS x FROM z WHERE role = 'train') GROUP BY ALL) GROUP BY g),
+       t AS (SELECT g, quantile_cont(list_distance(f, mu), 0.95) AS t FROM z JOIN m USING (g) WHERE role = 'cal' GROUP BY g)
+       SELECT strategy, round(avg((s <= 1)::INT) FILTER (healthy), 5) AS accept, round(avg((s > 1)::INT) FILTER (NOT healthy), 5) AS detect FROM (SELECT strategy, healthy, list_distance(f, mu) / t AS s FROM z JOIN m USING (g) JOIN t USING (g) WHERE role IN ('holdout', 'fault')) GROUP BY strategy""",
 )
 def a18_strategies(spark, d):
     """A baseline for each condition, for all, or for each speed: rows bear all three keys, one job fits every baseline."""
@@ -87,33 +87,58 @@ def a18_strategies(spark, d):
     return s.groupBy("strategy").agg(F.round(F.avg(F.when(h, (F.col("s") <= 1).cast("int"))), 5).alias("accept"), F.round(F.avg(F.when(~h, (F.col("s") > 1).cast("int"))), 5).alias("detect"))
 
 
-@query(
-    "m25_a27_transfer",
-    f"""WITH {_FIT}, sup AS (SELECT r.*, nn.n AS size, row_number() OVER (PARTITION BY cond, nn.n ORDER BY md5('13:' || vec_id), vec_id) <= nn.n AS support FROM r, (SELECT unnest([10, 20]) AS n) nn WHERE healthy),
-        shift AS (SELECT src, dst, size, quantile_cont(x, 0.5) AS sx, quantile_cont(y, 0.5) AS sy FROM (SELECT m.src, s.cond AS dst, s.size, s.x, s.y FROM sup s, m WHERE support AND s.cond <> m.src) GROUP BY ALL),
-        base AS (SELECT cond AS src, quantile_cont(x, 0.5) AS bx, quantile_cont(y, 0.5) AS by_ FROM r WHERE role = 'train' GROUP BY cond),
-        sc AS (SELECT s.size, sqrt((s.x - (sx - bx) - mx) ** 2 + (s.y - (sy - by_) - my) ** 2) / t AS adapted, sqrt((s.x - mx) ** 2 + (s.y - my) ** 2) / t AS direct FROM sup s JOIN shift h ON h.dst = s.cond AND h.size = s.size JOIN base USING (src) JOIN m USING (src) JOIN t USING (src) WHERE NOT support)
-        SELECT size AS n_support, round(avg((adapted <= 1)::INT), 5) AS accept_adapted, round(avg((direct <= 1)::INT), 5) AS accept_direct FROM sc GROUP BY size""",
-)
-def m25_a27_transfer(spark, d):
-    """Each ordered pair of conditions: the source's model as it is, and moved by the difference of medians that a few
-    support rows of the target tell; acceptance of the target's other healthy rows, averaged over pairs."""
+# Scores of the strategies: the source's model as it is (all rows of the target), moved by the difference of medians
+# that ``size`` support rows tell, and a model of these support rows alone (rows that are no support)
+_TRANSFER = f"""{_FIT}, sup AS (SELECT r.* EXCLUDE (k, n), nn.n AS size, row_number() OVER (PARTITION BY cond, nn.n ORDER BY md5('13:' || vec_id), vec_id) - 1 AS k FROM r, (SELECT unnest([10, 20]) AS n) nn WHERE healthy),
+  med AS (SELECT cond AS dst, size, list(b ORDER BY i) AS med FROM (SELECT cond, size, i, quantile_cont(x, 0.5) AS b FROM (SELECT cond, size, generate_subscripts(f, 1) AS i, unnest(f) AS x FROM sup WHERE k < size) GROUP BY ALL) GROUP BY ALL),
+  own AS (SELECT cond AS dst, size, list(a ORDER BY i) AS mu FROM (SELECT cond, size, i, avg(x) AS a FROM (SELECT cond, size, generate_subscripts(f, 1) AS i, unnest(f) AS x FROM sup WHERE k < floor(0.6 * size)) GROUP BY ALL) GROUP BY ALL),
+  lim AS (SELECT dst, own.size, quantile_cont(list_distance(f, mu), 0.95) AS t FROM sup JOIN own ON dst = cond AND own.size = sup.size WHERE k >= floor(0.6 * sup.size) AND k < floor(0.6 * sup.size) + greatest(1, floor(0.2 * sup.size)) GROUP BY ALL),
+  ev AS (SELECT cond AS dst, size, healthy, f FROM sup WHERE k >= size UNION ALL SELECT cond, nn.n, healthy, f FROM r, (SELECT unnest([10, 20]) AS n) nn WHERE NOT healthy),
+  said AS (SELECT 'direct' AS strategy, 0 AS size, src, dst, healthy, score FROM (SELECT src, cond AS dst, healthy, list_distance(f, mu) / t AS score FROM r, m JOIN t USING (src) WHERE src <> cond)
+    UNION ALL SELECT 'adapted', size, src, dst, healthy, list_distance(list_transform(f, lambda x, i: x - (tm[i] - m.med[i])), m.mu) / t FROM (SELECT ev.*, med.med AS tm FROM ev JOIN med USING (dst, size)), m JOIN t USING (src) WHERE src <> dst
+    UNION ALL SELECT 'scratch', ev.size, -1, ev.dst, healthy, list_distance(f, own.mu) / greatest(lim.t, 1e-12) FROM ev JOIN own USING (dst, size) JOIN lim USING (dst, size)),
+  th AS (SELECT strategy, size, src, dst, score, count(*) FILTER (NOT healthy) AS p, count(*) FILTER (healthy) AS q FROM said GROUP BY ALL),
+  tc AS (SELECT *, sum(p) OVER w AS tp, sum(p) OVER (PARTITION BY strategy, size, src, dst) AS np, sum(q) OVER (PARTITION BY strategy, size, src, dst) AS nq FROM th WINDOW w AS (PARTITION BY strategy, size, src, dst ORDER BY score DESC)),
+  au AS (SELECT strategy, size, src, dst, sum(q * (tp - p) + q * p / 2) / max(np * nq) AS auroc FROM tc GROUP BY ALL),
+  ra AS (SELECT strategy, size, src, dst, avg((score <= 1)::INT) FILTER (healthy) AS accept, avg((score > 1)::INT) FILTER (NOT healthy) AS detect FROM said GROUP BY ALL)"""
+
+
+def transfer_scores(spark: SparkSession, d: str) -> DataFrame:
+    """strategy, size, src, dst, healthy, score: one grouped fit for the conditions' models, one for all scratch models."""
     rows = conditioned(spark, d)
     models = baselines(rows, "cond").withColumnRenamed("cond", "src")
-    sized = rows.filter("healthy").withColumn("size", F.explode(F.array(F.lit(10), F.lit(20))))
-    ranked = ranking.hash_rank(sized.drop("r", "n"), ["cond", "size"], "vec_id", seed=13, count=None).withColumn("support", F.col("r") < F.col("size"))
+    sized = rows.withColumn("size", F.explode(F.array(F.lit(10), F.lit(20)))).drop("r", "n")
+    ranked = written(ranking.hash_rank(sized.filter("healthy"), ["cond", "size"], "vec_id", seed=13, count=None), "ranked")
     median = lambda df, keys: quantiles.exact_quantiles(df.select(*keys, F.posexplode("f").alias("i", "x")), [*keys, "i"], "x", [0.5]).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda r: r["x"]).alias("med"))
-    target = median(ranked.filter("support"), ["cond", "size"]).withColumnRenamed("med", "tmed")
+    target = median(ranked.filter("r < size"), ["cond", "size"]).withColumnRenamed("med", "tmed")
     source = median(rows.filter("role = 'train'"), ["cond"]).select(F.col("cond").alias("src"), F.col("med").alias("smed"))
-    held = ranked.filter("NOT support").join(target, ["cond", "size"]).crossJoin(F.broadcast(models.join(source, "src"))).filter("src <> cond")  # models: a row for each condition
+    train, cal = F.floor(0.6 * F.col("size")), F.greatest(F.lit(1), F.floor(0.2 * F.col("size")))
+    part = F.when(F.col("r") < train, "train").when(F.col("r") < train + cal, "cal").otherwise("rest")
+    own = baselines(ranked.filter("r < size").withColumn("role", part).withColumn("g", F.struct("cond", "size")), "g").select("g.cond", "g.size", F.col("mu").alias("own"), F.greatest("t", F.lit(1e-12)).alias("own_t"))
+    held = ranked.filter("r >= size").drop("r").unionByName(sized.filter("NOT healthy"))
+    near = F.broadcast(models.join(source, "src"))  # models: a row for each condition
     moved = F.zip_with("f", F.zip_with("tmed", "smed", lambda a, b: a - b), lambda x, s: x - s)
-    scored = held.select("size", (S.distance(moved, F.col("mu")) / F.col("t")).alias("a"), (S.distance(F.col("f"), F.col("mu")) / F.col("t")).alias("b"))
-    return scored.groupBy(F.col("size").alias("n_support")).agg(F.round(F.avg((F.col("a") <= 1).cast("int")), 5).alias("accept_adapted"), F.round(F.avg((F.col("b") <= 1).cast("int")), 5).alias("accept_direct"))
+    kept = lambda df, strategy, size, src, score: df.select(F.lit(strategy).alias("strategy"), size.alias("size"), src.alias("src"), F.col("cond").alias("dst"), "healthy", score.alias("score"))
+    direct = kept(rows.crossJoin(F.broadcast(models)).filter("src <> cond"), "direct", F.lit(0), F.col("src"), S.distance(F.col("f"), F.col("mu")) / F.col("t"))
+    adapted = kept(held.join(target, ["cond", "size"]).crossJoin(near).filter("src <> cond"), "adapted", F.col("size"), F.col("src"), S.distance(moved, F.col("mu")) / F.col("t"))
+    scratch = kept(held.join(own, ["cond", "size"]), "scratch", F.col("size"), F.lit(-1).cast("long"), S.distance(F.col("f"), F.col("own")) / F.col("own_t"))
+    return written(direct.unionByName(adapted).unionByName(scratch), "transfer")
+
+
+@query("m25_a27_transfer", f"WITH {_TRANSFER} SELECT strategy, size AS n_support, round(avg(auroc), 5) AS auroc, round(avg(accept), 5) AS accept, round(avg(detect), 5) AS detect FROM au JOIN ra USING (strategy, size, src, dst) GROUP BY ALL")
+def m25_a27_transfer(spark, d):
+    """Each ordered pair of conditions under every strategy; AUROC, acceptance and detection averaged over pairs."""
+    s, keys = transfer_scores(spark, d), ["strategy", "size", "src", "dst"]
+    h = F.col("healthy")
+    rates = s.groupBy(*keys).agg(F.avg(F.when(h, (F.col("score") <= 1).cast("int"))).alias("accept"), F.avg(F.when(~h, (F.col("score") > 1).cast("int"))).alias("detect"))
+    auroc = metrics.auroc(s.withColumn("pos", ~h), keys, "score", "pos")
+    return auroc.join(rates, keys).groupBy("strategy", F.col("size").alias("n_support")).agg(*(F.round(F.avg(c), 5).alias(c) for c in ("auroc", "accept", "detect")))
 
 
 @query("m26_protocols")
 def m26_protocols(spark, d):
-    """Two estimators under three seeds as keys of one job: known holdouts and unknown rows to classes, macro figures."""
+    """Protocols (A: labels below 6 known; B: the healthy label alone), seeds and estimators as keys of grouped jobs: known
+    holdouts and all unknown rows to classes; accuracies, macro F1 and the F1 of unknown rows."""
     from phmspark.operators import openset
 
     e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("f"))
@@ -121,18 +146,20 @@ def m26_protocols(spark, d):
     for seed in (42, 123, 7):  # splits differ by seed; each adds its rows to one keyed table
         rows = ranking.with_role(e, ["label"], "vec_id", seed=seed).withColumn("seed", F.lit(seed))
         parts = rows if parts is None else parts.unionByName(rows)
-    out = None
     parts = written(parts, "protocol-rows")
-    known = parts.filter("label < 6")
+    known = (F.col("protocol") == "A") & (F.col("label") < 6) | (F.col("label") == 0)
+    out = None
     for estimator in ("ledoit_wolf", "pooled"):
-        models = moments.fit_mahalanobis(known.filter("role = 'train'").withColumn("m", F.concat_ws(":", "seed", "label")), ["m"], estimator=estimator)
-        dist = moments.distances(parts, models, "m").select("vec_id", "seed", "label", "role", F.explode("ds").alias("m", "d")).withColumn("cls", F.split("m", ":")[1].cast("int")).filter(F.split("m", ":")[0].cast("int") == F.col("seed"))
-        long = written(dist.withColumn("row", F.concat_ws(":", "seed", "vec_id")), "distances")
-        fit = openset.thresholds(long.filter("label = cls AND role = 'cal'"), "m", "d")
+        models = moments.fit_mahalanobis(parts.filter("role = 'train' AND label < 6"), ["seed", "label"], estimator=estimator)
+        dist = moments.distances(parts, models, "label", key="seed").select("vec_id", "seed", "label", "role", F.explode("ds").alias("cls", "d")).withColumn("cls", F.col("cls").cast("int"))
+        long = dist.withColumn("m", F.concat_ws(":", "seed", "cls")).withColumn("protocol", F.explode(F.array(F.lit("A"), F.lit("B")))).filter("protocol = 'A' OR cls = 0")
+        long = written(long.withColumn("row", F.concat_ws(":", "protocol", "seed", "vec_id")), "distances")
+        fit = openset.thresholds(long.filter("protocol = 'A' AND label = cls AND role = 'cal'"), "m", "d")
         told = openset.decide(long, fit, "row", "m", "d").withColumn("pred", F.when(F.col("verdict") == "unknown", -1).otherwise(F.split("nearest", ":")[1].cast("int")))
-        truth = parts.filter("role = 'holdout' OR label >= 6").select(F.concat_ws(":", "seed", "vec_id").alias("row"), "seed", F.when(F.col("label") < 6, F.col("label")).otherwise(-1).alias("truth"))
-        met = told.join(truth, "row").withColumn("estimator", F.lit(estimator)).select("estimator", "seed", "truth", "pred")
+        truth = long.select("row", "protocol", "seed", "label", "role").distinct().filter(~known | (F.col("role") == "holdout")).select("row", "protocol", "seed", F.when(known, F.col("label")).otherwise(-1).alias("truth"))
+        met = told.join(truth, "row").withColumn("estimator", F.lit(estimator)).select("protocol", "estimator", "seed", "truth", "pred")
         out = met if out is None else out.unionByName(met)
-    counts = out.groupBy("estimator", "seed", "truth", "pred").agg(F.count("*").alias("n"))
-    m = metrics.per_class(counts, ["estimator", "seed"], "truth", "pred")
-    return m.select("estimator", "seed", *(F.round(c, 5).alias(c) for c in ("accuracy", "balanced_accuracy", "macro_f1")))
+    keys = ["protocol", "estimator", "seed"]
+    counts = written(out.groupBy(*keys, "truth", "pred").agg(F.count("*").alias("n")), "counts")
+    m = metrics.per_class(counts, keys, "truth", "pred").join(metrics.label_f1(counts, keys, "truth", "pred", -1).withColumnRenamed("f1", "unknown_f1"), keys)
+    return m.select(*keys, *(F.round(c, 5).alias(c) for c in ("accuracy", "balanced_accuracy", "macro_f1", "unknown_f1")))

@@ -82,42 +82,51 @@ def a5_class_means(spark, d):
     return m.select("label", "n", F.posexplode("mu").alias("i", "m")).select("label", (F.col("i") + 1).cast("long").alias("i"), "n", F.round("m", 6).alias("mean"))
 
 
-_LW = f"""v AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), role AS ({ROLES}),
-  m AS (SELECT label, count(*) AS k, avg(x) AS mx, avg(y) AS my FROM role WHERE role = 'train' GROUP BY label),
-  g AS (SELECT label, k, mx, my, avg((x - mx) ** 2) AS a, avg((x - mx) * (y - my)) AS b, avg((y - my) ** 2) AS c, sum(((x - mx) ** 2 + (y - my) ** 2) ** 2) AS f4 FROM role JOIN m USING (label) WHERE role = 'train' GROUP BY ALL),
-  h AS (SELECT *, (a + c) / 2 AS mu, a * a + 2 * b * b + c * c AS sq FROM g),
-  s AS (SELECT *, (sq - 2 * mu * (a + c) + 2 * mu * mu) / 2 AS delta, (f4 / k - sq) / (2 * k) AS beta FROM h),
-  w AS (SELECT *, CASE WHEN beta <= 0 OR delta = 0 THEN 0 ELSE least(beta, delta) / delta END AS sh FROM s),
-  cov AS (SELECT label, k, mx, my, sh, (1 - sh) * a + sh * mu AS a, (1 - sh) * b AS b, (1 - sh) * c + sh * mu AS c FROM w),
-  p AS (SELECT label, k, mx, my, sh, c / (a * c - b * b) AS pa, -b / (a * c - b * b) AS pb, a / (a * c - b * b) AS pc FROM cov),
-  dist AS (SELECT r.vec_id, r.label AS truth, r.role, p.label AS cls, sqrt(greatest(0, pa * (x - mx) ** 2 + 2 * pb * (x - mx) * (y - my) + pc * (y - my) ** 2)) AS d FROM role r, p),
+# An inverse in SQL: one pivot a step, in place; "c" is a list of rows
+SWEEP = "list_transform(c, lambda r, i: CASE WHEN i = t THEN list_transform(r, lambda x, j: CASE WHEN j = t THEN 1 / x ELSE x / c[t][t] END) ELSE list_transform(r, lambda x, j: CASE WHEN j = t THEN -x / c[t][t] ELSE x - r[t] * c[t][j] / c[t][t] END) END)"
+_QUADRATIC = "sqrt(greatest(0, list_inner_product(z, list_transform(p, lambda r: list_inner_product(r, z)))))"
+# Shrunk covariances of each label's training rows, their inverses, distances of all rows to all labels, thresholds
+_LW = f"""v AS ({FEATURES}), role AS ({ROLES}),
+  mean AS (SELECT label, max(k) AS k, list(a ORDER BY i) AS mu FROM (SELECT label, i, count(*) AS k, avg(x) AS a FROM (SELECT label, generate_subscripts(f, 1) AS i, unnest(f) AS x FROM role WHERE role = 'train') GROUP BY label, i) GROUP BY label),
+  away AS (SELECT vec_id, label, k, list_transform(f, lambda a, i: a - mu[i]) AS z FROM role JOIN mean USING (label) WHERE role = 'train'),
+  cell AS (SELECT vec_id, label, k, generate_subscripts(z, 1) AS i, unnest(z) AS x FROM away),
+  prod AS (SELECT a.label, a.i, b.i AS j, sum(a.x * b.x) / any_value(a.k) AS s FROM cell a JOIN cell b USING (vec_id) GROUP BY ALL),
+  four AS (SELECT label, any_value(k) AS k, sum(list_inner_product(z, z) ** 2) AS f4 FROM away GROUP BY label),
+  whole AS (SELECT label, k, f4, count(*) FILTER (i = j) AS p, sum(s) FILTER (i = j) AS tr, sum(s * s) AS sq FROM prod JOIN four USING (label) GROUP BY ALL),
+  part AS (SELECT label, tr / p AS m, (sq - tr * tr / p) / p AS delta, (f4 / k - sq) / (p * k) AS beta FROM whole),
+  shrink AS (SELECT label, m, CASE WHEN beta <= 0 OR delta = 0 THEN 0 ELSE least(beta, delta) / delta END AS sh FROM part),
+  cov AS (SELECT label, list(r ORDER BY i) AS c FROM (SELECT label, i, list((1 - sh) * s + CASE WHEN i = j THEN sh * m ELSE 0 END ORDER BY j) AS r FROM prod JOIN shrink USING (label) GROUP BY ALL) GROUP BY ALL),
+  sweep AS (SELECT label, 1 AS t, c FROM cov UNION ALL SELECT label, t + 1, {SWEEP} FROM sweep WHERE t <= len(c)),
+  p AS (SELECT label, k, mu, sh, c AS p FROM sweep JOIN mean USING (label) JOIN shrink USING (label) WHERE t = len(c) + 1),
+  dist AS (SELECT vec_id, truth, role, cls, {_QUADRATIC} AS d FROM (SELECT r.vec_id, r.label AS truth, r.role, p.label AS cls, p.p, list_transform(f, lambda a, i: a - mu[i]) AS z FROM role r, p)),
   thr AS (SELECT cls, quantile_cont(d, 0.95) AS threshold FROM dist WHERE truth = cls AND role = 'cal' GROUP BY cls)"""
 
 
-def lw_models(spark: SparkSession, d: str, dims: int = 2) -> tuple[DataFrame, DataFrame]:
+def lw_models(spark: SparkSession, d: str, dims: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows with roles, and Ledoit-Wolf models of every label's training rows."""
     rows = written(ranking.with_role(features(spark, d, dims), ["label"], "vec_id").select("vec_id", "label", "role", "f"), "roles")
     return rows, moments.fit_mahalanobis(rows.filter("role = 'train'"), ["label"])
 
 
-def class_distances(spark: SparkSession, d: str, dims: int = 2) -> DataFrame:
+def class_distances(spark: SparkSession, d: str, dims: int | None = None) -> DataFrame:
     """vec_id, truth, role, cls, d: of each row to each class."""
     rows, models = lw_models(spark, d, dims)
     wide = moments.distances(rows, models, "label")
     return written(wide.select("vec_id", F.col("label").alias("truth"), "role", F.explode("ds").alias("cls", "d")).withColumn("cls", F.col("cls").cast("int")), "distances")
 
 
-@query("a6_ledoit_wolf", f"WITH {_LW} SELECT label, k AS n, round(sh, 6) AS shrinkage, round(pa, 4) AS p11, round(pb, 4) AS p12, round(pc, 4) AS p22 FROM p")
+@query("a6_ledoit_wolf", f"WITH RECURSIVE {_LW} SELECT label, k AS n, round(sh, 6) AS shrinkage, round(p[1][1], 4) AS p11, round(p[1][2], 4) AS p12, round(p[-1][-1], 4) AS p_last, round(list_sum(list_transform(p, lambda r, i: r[i])), 3) AS trace FROM p")
 def a6_ledoit_wolf(spark, d):
-    """Shrunk precision of each label's training rows (first two components, so that SQL can hold it against)."""
+    """Shrunk precision of each label's training rows."""
     _, m = lw_models(spark, d)
-    p = F.col("precision")
-    return m.select("label", "n", F.round("shrinkage", 6).alias("shrinkage"), F.round(p[0], 4).alias("p11"), F.round(p[1], 4).alias("p12"), F.round(p[3], 4).alias("p22"))
+    p, width = F.col("precision"), F.size("mu")
+    trace = F.aggregate(F.transform("mu", lambda _, k: F.element_at("precision", (k * (width + 1) + 1).cast("int"))), F.lit(0.0), lambda a, x: a + x)
+    return m.select("label", "n", F.round("shrinkage", 6).alias("shrinkage"), F.round(p[0], 4).alias("p11"), F.round(p[1], 4).alias("p12"), F.round(F.element_at("precision", -1), 4).alias("p_last"), F.round(trace, 3).alias("trace"))
 
 
 @query("a6_ledoit_wolf_wide")
 def a6_ledoit_wolf_wide(spark, d):
-    """The same at full width."""
+    """The same of all rows of each label."""
     m = moments.fit_mahalanobis(features(spark, d), ["label"])
     trace = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.element_at("precision", k * 65 + 1)), F.lit(0.0), lambda a, x: a + x)
     return m.select("label", "n", F.round("shrinkage", 6).alias("shrinkage"), F.round(trace, 3).alias("trace"))
@@ -129,32 +138,43 @@ def a7_oas_wide(spark, d):
     return m.select("label", "n", F.round("shrinkage", 6).alias("shrinkage"), F.round(F.element_at("precision", 1), 4).alias("p11"))
 
 
-@query("a9_pooled", "WITH v AS (SELECT embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings WHERE label < 3) SELECT count(*) AS n, round(a, 6) AS c11, round(b, 6) AS c12 FROM (SELECT var_samp(x) + 1e-6 AS a, covar_samp(x, y) AS b FROM v), v GROUP BY a, b")
+# Mean and unbiased covariance, with a small ridge, of the known rows (labels 0 to 2)
+_POOLED = f"""v AS ({FEATURES}), known AS (SELECT vec_id, f FROM v WHERE label < 3),
+  cell AS (SELECT vec_id, generate_subscripts(f, 1) AS i, unnest(f) AS x FROM known), mean AS (SELECT list(a ORDER BY i) AS mu FROM (SELECT i, avg(x) AS a FROM cell GROUP BY i)),
+  prod AS (SELECT i, j, s + CASE WHEN i = j THEN 1e-6 ELSE 0 END AS s FROM (SELECT a.i, b.i AS j, covar_samp(a.x, b.x) AS s FROM cell a JOIN cell b USING (vec_id) GROUP BY ALL))"""
+
+
+@query("a9_pooled", f"WITH {_POOLED} SELECT (SELECT count(*) FROM known) AS n, round(max(s) FILTER (i = 1 AND j = 1), 6) AS c11, round(max(s) FILTER (i = 1 AND j = 2), 6) AS c12, round(sum(s) FILTER (i = j), 6) AS trace, round(sum(s * s), 6) AS square FROM prod")
 def a9_pooled(spark, d):
     """One unbiased covariance of all known rows, with a small ridge, as the legacy estimator has it."""
-    m = moments.moments(features(spark, d, 2).filter("label < 3").select("f"), [])
-    return m.select("n", F.round(F.col("gram")[0] / (F.col("n") - 1) + 1e-6, 6).alias("c11"), F.round(F.col("gram")[1] / (F.col("n") - 1), 6).alias("c12"))
+    m = moments.moments(features(spark, d).filter("label < 3").select("f"), [])
+    width = F.size("mu")
+    ridge = lambda x, k: x / (F.col("n") - 1) + F.when(k % (width + 1) == 0, 1e-6).otherwise(0.0)
+    c = m.withColumn("c", F.transform("gram", ridge))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    trace = total(F.transform("mu", lambda _, k: F.element_at("c", (k * (width + 1) + 1).cast("int"))))
+    return c.select("n", F.round(F.col("c")[0], 6).alias("c11"), F.round(F.col("c")[1], 6).alias("c12"), F.round(trace, 6).alias("trace"), F.round(total(F.transform("c", lambda x: x * x)), 6).alias("square"))
 
 
 @query("a8_robust_covariance")
 def a8_robust_covariance(spark, d):
     """Concentration steps: the half of each class's rows that are nearest to the estimate make the next one."""
-    m = detectors.robust_moments(features(spark, d, 4), ["label"], "vec_id", steps=3)
+    m = detectors.robust_moments(features(spark, d), ["label"], "vec_id", steps=3)
     return m.select("label", "n", F.round(F.element_at("mu", 1), 6).alias("m1"), F.round(F.element_at("precision", 1), 4).alias("p11"))
 
 
-@query("m1_mahalanobis", f"WITH {_LW} SELECT vec_id, cls, round(d, 5) AS d FROM dist")
+@query("m1_mahalanobis", f"WITH RECURSIVE {_LW} SELECT vec_id, cls, round(d, 5) AS d FROM dist")
 def m1_mahalanobis(spark, d):
     return class_distances(spark, d).select("vec_id", "cls", F.round("d", 5).alias("d"))
 
 
 @query("m1_mahalanobis_wide")
 def m1_mahalanobis_wide(spark, d):
-    rows, models = lw_models(spark, d, 64)
+    rows, models = lw_models(spark, d)
     return moments.distances(rows, models, "label").select("vec_id", F.explode("ds").alias("cls", "d")).withColumn("d", F.round("d", 5))
 
 
-@query("m2_thresholds", f"WITH {_LW} SELECT cls, round(threshold, 5) AS threshold FROM thr")
+@query("m2_thresholds", f"WITH RECURSIVE {_LW} SELECT cls, round(threshold, 5) AS threshold FROM thr")
 def m2_thresholds(spark, d):
     own = class_distances(spark, d).filter("truth = cls AND role = 'cal'")
     return openset.thresholds(own, "cls", "d").select("cls", F.round("threshold", 5).alias("threshold"))
@@ -162,7 +182,7 @@ def m2_thresholds(spark, d):
 
 @query(
     "m3_openset",
-    f"WITH {_LW}, b AS (SELECT vec_id, truth, role, d / greatest(threshold, 1e-12) AS s, cls FROM dist JOIN thr USING (cls)), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s, cls) AS r FROM b) SELECT vec_id, round(s, 5) AS score, cls AS nearest, CASE WHEN s > 1 THEN 'unknown' ELSE 'known' END AS verdict FROM r WHERE r = 1",
+    f"WITH RECURSIVE {_LW}, b AS (SELECT vec_id, truth, role, d / greatest(threshold, 1e-12) AS s, cls FROM dist JOIN thr USING (cls)), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s, cls) AS r FROM b) SELECT vec_id, round(s, 5) AS score, cls AS nearest, CASE WHEN s > 1 THEN 'unknown' ELSE 'known' END AS verdict FROM r WHERE r = 1",
 )
 def m3_openset(spark, d):
     """Least calibrated distance over the classes; above 1 is unknown."""
@@ -171,7 +191,7 @@ def m3_openset(spark, d):
     return openset.decide(long, fit, "vec_id", "cls", "d").withColumn("score", F.round("score", 5))
 
 
-@query("m28_known_boundary", f"WITH {_LW} SELECT round(max(d / greatest(threshold, 1e-12)), 5) AS boundary FROM dist JOIN thr USING (cls) WHERE truth = cls AND role = 'cal'")
+@query("m28_known_boundary", f"WITH RECURSIVE {_LW} SELECT round(max(d / greatest(threshold, 1e-12)), 5) AS boundary FROM dist JOIN thr USING (cls) WHERE truth = cls AND role = 'cal'")
 def m28_known_boundary(spark, d):
     """The largest calibrated score of any known class's calibration rows."""
     own = class_distances(spark, d).filter("truth = cls AND role = 'cal'")
@@ -181,16 +201,17 @@ def m28_known_boundary(spark, d):
 
 @query(
     "m4_legacy_rule",
-    """WITH v AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), c AS (SELECT label AS cls, avg(x) AS cx, avg(y) AS cy FROM v WHERE label < 3 GROUP BY 1),
-       g AS (SELECT avg(x) AS mx, avg(y) AS my, var_samp(x) + 1e-6 AS a, covar_samp(x, y) AS b, var_samp(y) + 1e-6 AS c FROM v WHERE label < 3),
-       s AS (SELECT vec_id, label, x, y, sqrt((c * (x - mx) ** 2 - 2 * b * (x - mx) * (y - my) + a * (y - my) ** 2) / (a * c - b * b)) AS d FROM v, g),
+    f"""WITH RECURSIVE {_POOLED}, start AS (SELECT list(r ORDER BY i) AS c FROM (SELECT i, list(s ORDER BY j) AS r FROM prod GROUP BY i)),
+       sweep AS (SELECT 1 AS t, c FROM start UNION ALL SELECT t + 1, {SWEEP} FROM sweep WHERE t <= len(c)),
+       c AS (SELECT cls, list(a ORDER BY i) AS centre FROM (SELECT label AS cls, i, avg(x) AS a FROM cell JOIN v USING (vec_id) GROUP BY ALL) GROUP BY cls),
+       s AS (SELECT vec_id, label, {_QUADRATIC} AS d FROM (SELECT vec_id, label, c AS p, list_transform(f, lambda a, i: a - mu[i]) AS z FROM v, sweep, mean WHERE t = len(c) + 1)),
        t AS (SELECT quantile_cont(d, 0.95) AS t FROM s WHERE label < 3),
-       n AS (SELECT vec_id, cls, row_number() OVER (PARTITION BY vec_id ORDER BY sqrt((x - cx) ** 2 + (y - cy) ** 2), cls) AS r FROM v, c)
+       n AS (SELECT vec_id, cls, row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(f, centre), cls) AS r FROM v, c)
        SELECT vec_id, round(d / t, 5) AS score, CASE WHEN d / t > 1 THEN NULL ELSE cls END AS label_pred FROM s JOIN n USING (vec_id), t WHERE r = 1""",
 )
 def m4_legacy_rule(spark, d):
     """One pooled Gaussian decides known or unknown; a known row takes the nearest class mean."""
-    rows = features(spark, d, 2)
+    rows = features(spark, d)
     known = rows.filter("label < 3")
     model = moments.fit_mahalanobis(known.select("f"), [], estimator="pooled").withColumn("all", F.lit("all"))
     dist = moments.distances(rows, model, "all").withColumn("d", F.col("ds")["all"])
@@ -278,14 +299,14 @@ def e1_e4_openset_metrics(spark, d):
     "m9_local_outlier",
     f"""WITH v AS ({FEATURES}), r AS ({ROLES}), b AS (SELECT vec_id, f FROM r WHERE label = 0 AND role = 'train'),
         nn AS (SELECT q.vec_id AS q, b.vec_id AS o, list_distance(q.f, b.f) AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.f, b.f), b.vec_id) AS k FROM r q JOIN b ON q.vec_id <> b.vec_id),
-        n AS (SELECT * FROM nn WHERE k <= 10), kd AS (SELECT q AS o, max(d) AS kd FROM n WHERE q IN (SELECT vec_id FROM b) GROUP BY q),
+        n AS (SELECT * FROM nn WHERE k <= 20), kd AS (SELECT q AS o, max(d) AS kd FROM n WHERE q IN (SELECT vec_id FROM b) GROUP BY q),
         lrd AS (SELECT q, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM n JOIN kd USING (o) GROUP BY q)
         SELECT n.q AS vec_id, round(avg(l.lrd) / any_value(m.lrd), 5) AS lof FROM n JOIN lrd l ON l.q = n.o JOIN lrd m ON m.q = n.q GROUP BY n.q""",
 )
 def m9_local_outlier(spark, d):
-    """Local outlier factor against the healthy training rows, 10 neighbours, a row never its own."""
+    """Local outlier factor against the healthy training rows, 20 neighbours, a row never its own."""
     rows = written(ranking.with_role(features(spark, d), ["label"], "vec_id").select("vec_id", "label", "role", "f"), "roles")
-    return detectors.local_outlier(rows, rows.filter("label = 0 AND role = 'train'"), 10, "vec_id").withColumn("lof", F.round("lof", 5))
+    return detectors.local_outlier(rows, rows.filter("label = 0 AND role = 'train'"), 20, "vec_id").withColumn("lof", F.round("lof", 5))
 
 
 @query("m8_isolation_forest")
@@ -309,16 +330,18 @@ def m12_one_class_boundary(spark, d):
     return detectors.one_class(rows, rows.filter("label = 0 AND role = 'train'"), nu=0.05, steps=10).select("vec_id", "label", F.round("margin", 6).alias("margin"))
 
 
-@query("m7_shared_calibration", "WITH v AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x FROM embeddings), r AS (" + ROLES + "), c AS (SELECT quantile_cont(x, 0.95) AS t, min(x) AS low FROM r WHERE label = 0 AND role = 'cal') SELECT vec_id, round((x + CASE WHEN t > 0 THEN 0 ELSE 1e-9 - low END) / (t + CASE WHEN t > 0 THEN 0 ELSE 1e-9 - low END), 5) AS score FROM r, c")
+@query("m7_shared_calibration", "WITH v AS (SELECT vec_id, label, list_sum(list_transform(embedding, lambda x: x::DOUBLE ** 3)) AS x FROM embeddings), r AS (" + ROLES + "), c AS (SELECT quantile_cont(x, 0.95) AS t, min(x) AS low FROM r WHERE label = 0 AND role = 'cal') SELECT vec_id, round((x + CASE WHEN t > 0 THEN 0 ELSE 1e-9 - low END) / (t + CASE WHEN t > 0 THEN 0 ELSE 1e-9 - low END), 5) AS score FROM r, c")
 def m7_shared_calibration(spark, d):
-    """Any raw score over its calibration quantile, shifted first where that is not positive."""
-    rows = ranking.with_role(features(spark, d, 1), ["label"], "vec_id").select("vec_id", "label", "role", F.col("f")[0].alias("x"))
+    """Any raw score (here the components' sum of cubes) over its calibration quantile, shifted first where that is not
+    positive."""
+    raw = F.aggregate("f", F.lit(0.0), lambda a, x: a + F.pow(x, F.lit(3.0)))
+    rows = ranking.with_role(features(spark, d), ["label"], "vec_id").select("vec_id", "label", "role", raw.alias("x"))
     return openset.calibrated(rows, [], "x", (F.col("label") == 0) & (F.col("role") == "cal")).select("vec_id", F.round("score", 5).alias("score"))
 
 
 @query(
     "m27_model_summary",
-    f"WITH {_LW} SELECT label, count(*) FILTER (role = 'train') AS n_train, count(*) FILTER (role = 'cal') AS n_cal, count(*) FILTER (role = 'holdout') AS n_holdout, round(any_value(threshold), 5) AS threshold, round(any_value(sh), 6) AS shrinkage FROM role JOIN thr ON thr.cls = label JOIN p USING (label) GROUP BY label",
+    f"WITH RECURSIVE {_LW} SELECT label, count(*) FILTER (role = 'train') AS n_train, count(*) FILTER (role = 'cal') AS n_cal, count(*) FILTER (role = 'holdout') AS n_holdout, round(any_value(threshold), 5) AS threshold, round(any_value(sh), 6) AS shrinkage FROM role JOIN thr ON thr.cls = label JOIN p USING (label) GROUP BY label",
 )
 def m27_model_summary(spark, d):
     rows, models = lw_models(spark, d)
@@ -327,23 +350,33 @@ def m27_model_summary(spark, d):
     return counts.join(fit, "label").join(models.select("label", "shrinkage"), "label").select("label", "n_train", "n_cal", "n_holdout", F.round("threshold", 5).alias("threshold"), F.round("shrinkage", 6).alias("shrinkage"))
 
 
-@query("m24_registration")
+@query(
+    "m24_registration",
+    f"""WITH RECURSIVE {_LW}, s AS (SELECT vec_id, truth, role, cls, d / greatest(threshold, 1e-12) AS s FROM dist JOIN thr USING (cls)),
+        b AS (SELECT v, truth, role, cls, s, row_number() OVER (PARTITION BY v, vec_id ORDER BY s, cls) AS k FROM s, (SELECT unnest(range(0, 10)) AS v) WHERE cls <= v)
+        SELECT v::INTEGER AS model_version, count(*) AS n_rows, count(*) FILTER (s > 1) AS n_unknown, count(*) FILTER (s > 1 AND truth > v) AS n_novel, count(*) FILTER (truth <= v AND role = 'holdout') AS n_holdout, count(*) FILTER (truth <= v AND role = 'holdout' AND s <= 1 AND cls = truth) AS n_right FROM b WHERE k = 1 GROUP BY v""",
+)
 def m24_registration(spark, d):
-    """Classes registered one after another: a version for each, every version fitted on all classes up to it in one job."""
-    rows = features(spark, d)
-    versions = rows.withColumn("model_version", F.explode(F.sequence(F.col("label"), F.lit(9))))
-    centre = moments.means(versions, ["model_version"])
-    return centre.select("model_version", "n", F.round(F.element_at("mu", 1), 6).alias("m1"))
+    """Classes registered one after another: version v knows the labels up to v, is fitted on their rows and scores all
+    rows. A class's model depends on its own rows alone, so all versions come from one fit, as from one after another."""
+    long = class_distances(spark, d)
+    fit = openset.thresholds(long.filter("truth = cls AND role = 'cal'"), "cls", "d")
+    ratio = F.col("d") / F.greatest("threshold", F.lit(1e-12))
+    versions = long.join(F.broadcast(fit), "cls").withColumn("model_version", F.explode(F.sequence(F.col("cls"), F.lit(9))))
+    best = versions.groupBy("model_version", "vec_id", "truth", "role").agg(F.min(F.struct(ratio.alias("s"), "cls")).alias("b"))
+    unknown, later = F.col("b.s") > 1, F.col("truth") > F.col("model_version")
+    held = ~later & (F.col("role") == "holdout")
+    return best.groupBy("model_version").agg(F.count("*").alias("n_rows"), F.count_if(unknown).alias("n_unknown"), F.count_if(unknown & later).alias("n_novel"), F.count_if(held).alias("n_holdout"), F.count_if(held & ~unknown & (F.col("b.cls") == F.col("truth"))).alias("n_right"))
 
 
 @query(
     "m29_group_verdict",
-    """WITH v AS (SELECT label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), c AS (SELECT label, avg(x) AS cx, avg(y) AS cy FROM v GROUP BY 1), g AS (SELECT avg(cx) AS gx, avg(cy) AS gy FROM c WHERE label < 6),
-       s AS (SELECT label, sqrt((cx - gx) ** 2 + (cy - gy) ** 2) AS dist FROM c, g), t AS (SELECT quantile_cont(dist, 0.95) AS t FROM s WHERE label < 6) SELECT label, round(dist, 6) AS distance, dist > t AS unknown FROM s, t""",
+    f"""WITH v AS ({FEATURES}), m AS (SELECT label, i, avg(x) AS a FROM (SELECT label, generate_subscripts(f, 1) AS i, unnest(f) AS x FROM v) GROUP BY ALL), c AS (SELECT label, list(a ORDER BY i) AS centre FROM m GROUP BY label),
+       g AS (SELECT list(a ORDER BY i) AS middle FROM (SELECT i, avg(a) AS a FROM m WHERE label < 6 GROUP BY i)), s AS (SELECT label, list_distance(centre, middle) AS dist FROM c, g), t AS (SELECT quantile_cont(dist, 0.95) AS t FROM s WHERE label < 6) SELECT label, round(dist, 6) AS distance, dist > t AS unknown FROM s, t""",
 )
 def m29_group_verdict(spark, d):
     """Centres of groups against the 95th percentile of the known centres' distances to their mean."""
-    c = moments.means(features(spark, d, 2), ["label"]).select("label", "mu")
+    c = moments.means(features(spark, d), ["label"]).select("label", "mu")
     g = moments.means(c.filter("label < 6").select(F.col("mu").alias("f")), []).select(F.col("mu").alias("g"))
     s = c.crossJoin(F.broadcast(g)).withColumn("dist", S.distance(F.col("mu"), F.col("g")))
     t = s.filter("label < 6").agg(F.percentile("dist", 0.95).alias("t"))
@@ -352,11 +385,12 @@ def m29_group_verdict(spark, d):
 
 @query(
     "t2_top_scores",
-    "SELECT label, vec_id, x FROM (SELECT label, vec_id, round(embedding[1]::DOUBLE, 6) AS x, row_number() OVER (PARTITION BY label ORDER BY embedding[1] DESC, vec_id) AS r FROM embeddings) WHERE r <= 5",
+    "SELECT label, vec_id, round(x, 6) AS x FROM (SELECT label, vec_id, x, row_number() OVER (PARTITION BY label ORDER BY round(x, 6) DESC, vec_id) AS r FROM (SELECT label, vec_id, list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))) AS x FROM embeddings)) WHERE r <= 5",
 )
 def t2_top_scores(spark, d):
     """The five highest of each class: top-k is the operator."""
-    e = table(spark, d, "embeddings").select("label", "vec_id", F.col("embedding")[0].alias("x"))
-    return e.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("x"), "vec_id"))).filter("r <= 5").select("label", "vec_id", F.round(F.col("x").cast("double"), 6).alias("x"))
+    high = F.aggregate("f", F.lit(0.0), lambda a, x: a + F.abs(x))  # the score: the components' sum of sizes
+    e = features(spark, d).select("label", "vec_id", F.round(high, 6).alias("x"))
+    return e.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("x"), "vec_id"))).filter("r <= 5").select("label", "vec_id", "x")
 
 

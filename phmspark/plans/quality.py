@@ -31,7 +31,7 @@ def q1_schema_audit(spark, d):
     body = F.concat(F.col("l_quantity").cast("long").cast("string"), F.lit(","), F.when((k == 3) & (n == 7), "x").otherwise(n.cast("string")), F.when((k == 4) & (n == 6), "").otherwise(",1"))
     lines = head.unionByName(li.select(F.col("l_suppkey").alias("file"), F.col("l_orderkey").alias("a"), n.alias("b"), body.alias("line"))).withColumn("pos", F.struct("a", "b"))
     found = audits.audit_lines(lines, ["a", "b", "c"], ["file"], "pos", "line")
-    return found.select("file", "reason", "rows", F.size("bad_rows").cast("long").alias("bad"), F.coalesce(F.get("bad_rows", F.lit(0)), F.lit(-1)).cast("long").alias("first_bad"))
+    return found.select("file", "reason", "rows", "bad", F.coalesce("first_bad", F.lit(-1)).cast("long").alias("first_bad"))
 
 
 @query(
@@ -152,8 +152,8 @@ def j9_manifest(spark, d):
 _RANGES = "SELECT l_returnflag, l_suppkey AS file, sum(n) OVER (PARTITION BY l_returnflag ORDER BY l_suppkey) - n AS start, sum(n) OVER (PARTITION BY l_returnflag ORDER BY l_suppkey) AS stop FROM (SELECT l_returnflag, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL)"
 
 
-@query("w10_lineage_offsets", f"SELECT l_returnflag, file, start::BIGINT AS start, stop::BIGINT AS stop FROM ({_RANGES})")
-def w10_lineage_offsets(spark, d):
+@query("w10_origin_offsets", f"SELECT l_returnflag, file, start::BIGINT AS start, stop::BIGINT AS stop FROM ({_RANGES})")
+def w10_origin_offsets(spark, d):
     """Pool rows [start, stop) of every file, in the order of files."""
     n = table(spark, d, "lineitem").groupBy("l_returnflag", F.col("l_suppkey").alias("file")).agg(F.count("*").alias("n"))
     stop = F.sum("n").over(Window.partitionBy("l_returnflag").orderBy("file"))
@@ -161,14 +161,14 @@ def w10_lineage_offsets(spark, d):
 
 
 @query(
-    "j10_row_lineage",
+    "j10_row_origins",
     f"WITH r AS ({_RANGES}), p AS (SELECT l_returnflag, o AS row_idx FROM (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1), LATERAL (SELECT unnest(range(0, n, 7)) AS o)) SELECT p.l_returnflag, row_idx, file, (row_idx - start)::BIGINT AS csv_row FROM p JOIN r ON p.l_returnflag = r.l_returnflag AND row_idx >= start AND row_idx < stop",
 )
-def j10_row_lineage(spark, d):
+def j10_row_origins(spark, d):
     """Every seventh pool row back to its file and row there, by a range join."""
     n = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"))
     asked = n.select("l_returnflag", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(7).cast("long"))).alias("row_idx"))
-    met = reconcile.range_lineage(asked, w10_lineage_offsets(spark, d), ["l_returnflag"], "row_idx", "start", "stop")
+    met = reconcile.range_origins(asked, w10_origin_offsets(spark, d), ["l_returnflag"], "row_idx", "start", "stop")
     return met.select("l_returnflag", "row_idx", "file", (F.col("row_idx") - F.col("start")).alias("csv_row"))
 
 
@@ -267,6 +267,19 @@ def x8_seconds(spark, d):
     return table(spark, d, "events").select("event_id", S.seconds(text).alias("s"))
 
 
+@query("x11_half_even", "SELECT l_orderkey, l_linenumber, round_even(l_quantity + l_linenumber / 8, 2) AS half_even, round_even(l_quantity / 2, 0) AS whole FROM lineitem")
+def x11_half_even(spark, d):
+    """Rounding for output: halves go to the even neighbour."""
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.bround(F.col("l_quantity") + F.col("l_linenumber") / 8, 2).alias("half_even"), F.bround(F.col("l_quantity") / 2, 0).alias("whole"))
+
+
+@query("x14_canonical_hash", "SELECT o_orderkey, sha256(to_json({'o_custkey': o_custkey, 'o_orderkey': o_orderkey, 'o_orderpriority': o_orderpriority, 'o_orderstatus': o_orderstatus})::VARCHAR) AS sha FROM orders")
+def x14_canonical_hash(spark, d):
+    """SHA-256 of a row's canonical JSON: fields in the order of their names, no blanks."""
+    names = sorted(("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+    return table(spark, d, "orders").select("o_orderkey", F.sha2(F.to_json(F.struct(*names)), 256).alias("sha"))
+
+
 @query("x12_nearly_equal", "SELECT l_orderkey, l_linenumber, abs(a - b) <= greatest(1e-9 * greatest(abs(a), abs(b)), 1e-12) AS same FROM (SELECT *, l_extendedprice AS a, l_extendedprice * (1 + (l_linenumber % 3) * 6e-10) AS b FROM lineitem)")
 def x12_nearly_equal(spark, d):
     a = F.col("l_extendedprice")

@@ -56,11 +56,18 @@ def r10_sessions(spark, d):
     return monitor.drain(s.select("asset", F.unix_micros("start").alias("start"), "n", F.round("mean", 5).alias("mean")), "sessions", "complete")
 
 
-@query("r4_quarantine", f"{_KNN} SELECT label, count(*) AS held, round(min(score), 5) AS least FROM score WHERE score > 1.1 GROUP BY label")
+@query("r4_quarantine", f"{_KNN} SELECT label, count(*) AS held, round(min(score), 5) AS least FROM score WHERE score > 0.9 GROUP BY label")
 def r4_quarantine(spark, d):
-    """Rows beyond the margin (here 1.1), equal vectors once, by true label."""
+    """Rows beyond the margin (here 0.9), equal vectors once, by true label."""
     rows = knn_scores(spark, d).join(features(spark, d).select("vec_id", "f"), "vec_id")
-    return discovery.quarantine(rows, margin=1.1).groupBy("label").agg(F.count("*").alias("held"), F.round(F.min("score"), 5).alias("least"))
+    return discovery.quarantine(rows, margin=0.9).groupBy("label").agg(F.count("*").alias("held"), F.round(F.min("score"), 5).alias("least"))
+
+
+@query("r4_attempts", f"{_KNN} SELECT vec_id, n, n >= 25 AND (n - 25) % 10 = 0 AS attempt FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS n FROM score WHERE score > 0.9)")
+def r4_attempts(spark, d):
+    """Quarantined rows (margin here 0.9) as they arrive, and at which of them clustering is tried."""
+    rows = knn_scores(spark, d).join(features(spark, d).select("vec_id", "f"), "vec_id")
+    return discovery.attempts(discovery.quarantine(rows, margin=0.9).select("vec_id"), "vec_id")
 
 
 @query("r5_r7_discovery")

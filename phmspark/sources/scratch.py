@@ -11,9 +11,11 @@ _own: list[str] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; where that is unset (tests), under a temporary folder."""
+    """A new path under ``spark.checkpoint.dir``; where that is unset on one machine, under a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not f"{spark.conf.get('spark.master', '')}[".startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="phmspark-"))
         base = "file://" + _own[0]

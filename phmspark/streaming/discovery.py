@@ -20,6 +20,12 @@ def quarantine(scored: DataFrame, f: str = "f", margin: float = 2.0) -> DataFram
     return far.groupBy(f).agg(F.min(F.struct("vec_id", "label", "score")).alias("x"), F.count("*").alias("attempts")).select("x.*", f, "attempts")
 
 
+def attempts(held: DataFrame, order: str, least: int = 25, every: int = 10) -> DataFrame:
+    """``held`` with n, each row's number in the quarantine in the order of arrival, and attempt: whether clustering is
+    tried at it, with at least ``least`` rows held and ``every`` of them new since the last attempt."""
+    return ranking.placed(held, [order]).withColumn("attempt", (F.col("n") >= least) & ((F.col("n") - least) % every == 0))
+
+
 def spanning_edges(rows: DataFrame, id_col: str, k: int, min_samples: int) -> DataFrame:
     """a, b, w: minimum spanning tree of the ``k``-neighbour graph under mutual reachability (the largest of the two
     core distances and the distance). Trees that nothing joins are joined to the one of the smallest row, infinitely far."""

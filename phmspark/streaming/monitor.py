@@ -6,7 +6,6 @@ table. Rows of a key are put in order inside each micro-batch; states are those
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,29 +24,30 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("user_id").alias("asset"), F.col("ts").cast("timestamp").alias("ts"), "event_id", (F.col("value") / 50).alias("score"), F.col("event_type").alias("kind"))
 
 
-def folded(stream: DataFrame, key: str, order: list[str], make, value: str, new: str) -> DataFrame:
-    """``stream`` with the columns of ``new`` from a state by key that ``make()`` begins and ``step(value)`` moves.
-    Rows without a key have no state and are left out."""
+def folded(stream: DataFrame, key: str, order: list[str], make: type, value: str, **rule) -> DataFrame:
+    """``stream`` with the columns of ``new`` from a state by key that ``step(value)`` moves; ``make`` is its class, with
+    STATE, the state's columns, and ``held()``, their values. Rows without a key have no state and are left out."""
     rows = stream.filter(F.col(key).isNotNull())
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    new = make.NEW
     names = [c.split()[0] for c in new.split(", ")]
 
     def run(_key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = pickle.loads(state.get[0]) if state.exists else make()
+        held = make(state.get, **rule) if state.exists else make(**rule)
         batch = pd.concat(list(frames)).sort_values(order)
         out = [held.step(x) for x in batch[value]]
-        state.update((pickle.dumps(held),))
+        state.update(held.held())
         yield batch.assign(**{n: [r[k] for r in out] for k, n in enumerate(names)})
 
-    return rows.groupBy(key).applyInPandasWithState(run, f"{kinds}, {new}", "held binary", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(key).applyInPandasWithState(run, f"{kinds}, {new}", make.STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def trend_stream(stream: DataFrame, key: str = "asset", order: list[str] | None = None, score: str = "score", **params) -> DataFrame:
-    return folded(stream, key, order or ["ts", "event_id"], lambda: series.Trend(**params), score, series.Trend.NEW)
+    return folded(stream, key, order or ["ts", "event_id"], series.Trend, score, **params)
 
 
 def trajectory_stream(stream: DataFrame, key: str = "asset", order: list[str] | None = None, health: str = "health") -> DataFrame:
-    return folded(stream, key, order or ["ts", "event_id"], series.Trajectory, health, series.Trajectory.NEW)
+    return folded(stream, key, order or ["ts", "event_id"], series.Trajectory, health)
 
 
 def score_stream(stream: DataFrame, models: DataFrame, cls: str) -> DataFrame:

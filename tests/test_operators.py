@@ -87,6 +87,26 @@ def test_trend_cases():
     fired = [k for k in range(1, 11) if t.step(10)[2]]
     t.rearm()
     assert fired == [4] and [k for k in range(1, 9) if t.step(10)[2]] == [4]
+    t = series.Trend()
+    for _ in range(60):
+        t.step(10)
+    t.rearm()
+    assert (t.state.ewma, t.state.cusum, t.state.rows) == (0.0, 0.0, 60)
+    share, fired = 0.0, None
+    for k in range(1, 200):  # high two rows of three, from nothing
+        share += 0.08 * ((k % 3 != 0) - share)
+        if t.step(10 if k % 3 else 0.5)[2]:
+            fired = k
+            break
+    assert fired is not None and fired > 10 and share >= 0.5
+
+
+def test_quantiles_of_a_hot_value_and_of_few(spark):
+    xs = [("a", 7.0)] * 5000 + [("a", float(k)) for k in range(100)] + [("b", 1.0)] + [("c", float("nan")), ("c", 2.0), ("c", -1.0)]
+    got = {(r["k"], r["q"]): r["x"] for r in quantiles.exact_quantiles(spark.createDataFrame(xs, "k string, x double").repartition(3), ["k"], "x", [0.001, 0.5, 0.999]).collect()}
+    a = np.array([x for k, x in xs if k == "a"])
+    assert [got["a", q] for q in (0.001, 0.5, 0.999)] == pytest.approx(np.quantile(a, [0.001, 0.5, 0.999]).tolist())
+    assert got["b", 0.5] == 1.0 and got["c", 0.5] == 2.0
 
 
 def test_hysteresis_needs_rows_in_a_row():
