@@ -160,6 +160,32 @@ class Trajectory:
         return robust, self.smoothed, change, *self.alarm.step(self.smoothed)
 
 
+class LiveTrajectory(Trajectory):
+    """A trajectory that also keeps its last smoothed values, and tells how fast they fall: the stream's twin of
+    ``trajectory``."""
+
+    NEW = Trajectory.NEW + ", rate double, trend string"
+    STATE = Trajectory.STATE + ", history array<double>"
+
+    def __init__(self, state: tuple = ((), None, 0, 0, 0, 0, ()), history=120, least=5, stable=0.005, **rule):
+        *own, before = state
+        super().__init__(tuple(own), **rule)
+        self.history, self.least, self.stable = deque(before, maxlen=history), least, stable
+
+    def step(self, health: float) -> tuple:
+        out = super().step(health)
+        self.history.append(self.smoothed)
+        n = len(self.history)
+        if n < self.least:
+            return *out, None, "insufficient_history"
+        middle = (n - 1) / 2
+        rate = -sum((k - middle) * y for k, y in enumerate(self.history)) / sum((k - middle) ** 2 for k in range(n))
+        return *out, rate, "worsening" if rate > self.stable else "recovering" if rate < -self.stable else "stable"
+
+    def held(self) -> tuple:
+        return *super().held(), [float(x) for x in self.history]
+
+
 def trend(df: DataFrame, keys: list[str], order: list[str], score: str, **params) -> DataFrame:
     return fold(df, keys, order, lambda: Trend(**params), Trend.step, score, Trend.NEW)
 

@@ -27,7 +27,11 @@ def r2_trend_stream(spark, d):
     return monitor.drain(s.select("event_id", F.round("ewma", 6).alias("ewma"), F.round("cusum", 6).alias("cusum")), "trend")
 
 
-@query("r3_trajectory_stream", f"WITH RECURSIVE {_ALARM} SELECT s.event_id, round(a.smoothed, 6) AS smoothed, ['normal', 'warning', 'critical'][level + 1] AS alarm_state FROM al a JOIN sm s USING (asset, rn)")
+@query(
+    "r3_trajectory_stream",
+    f"""WITH RECURSIVE {_ALARM}, sl AS (SELECT asset, rn, CASE WHEN rn >= 5 THEN -regr_slope(smoothed, rn) OVER (PARTITION BY asset ORDER BY rn ROWS BETWEEN 119 PRECEDING AND CURRENT ROW) END AS rate FROM sm)
+        SELECT s.event_id, round(a.smoothed, 6) AS smoothed, ['normal', 'warning', 'critical'][level + 1] AS alarm_state, round(rate, 5) AS rate, CASE WHEN rate IS NULL THEN 'insufficient_history' WHEN rate > 0.005 THEN 'worsening' WHEN rate < -0.005 THEN 'recovering' ELSE 'stable' END AS trend FROM al a JOIN sm s USING (asset, rn) JOIN sl USING (asset, rn)""",
+)
 def r3_trajectory_stream(spark, d):
     """Health trajectory state by asset."""
     from phmspark.operators import series
@@ -36,7 +40,7 @@ def r3_trajectory_stream(spark, d):
     q = quantiles.exact_quantiles(e, [], "score", [0.1, 0.95]).agg(F.min("x").alias("low"), F.max("x").alias("high")).first()
     h = monitor.read_events(spark, f"{d}/events.parquet").withColumn("health", series.health_index(F.col("score"), F.lit(q["low"]), F.lit(q["high"])))
     s = monitor.trajectory_stream(h)
-    return monitor.drain(s.select("event_id", F.round("smoothed", 6).alias("smoothed"), "alarm_state"), "trajectory")
+    return monitor.drain(s.select("event_id", F.round("smoothed", 6).alias("smoothed"), "alarm_state", F.round("rate", 5).alias("rate"), "trend"), "trajectory")
 
 
 @query("r9_live_metrics", f"SELECT kind, count(*) AS streamed, count(*) FILTER (score > 1) AS \"unknown\", round(avg(score), 5) AS mean FROM ({SCORES}) GROUP BY kind")

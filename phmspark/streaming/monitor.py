@@ -47,7 +47,11 @@ def trend_stream(stream: DataFrame, key: str = "asset", order: list[str] | None
 
 
 def trajectory_stream(stream: DataFrame, key: str = "asset", order: list[str] | None = None, health: str = "health") -> DataFrame:
-    return folded(stream, key, order or ["ts", "event_id"], series.Trajectory, health)
+    """Rows without a key or health have no state; their trend is ``insufficient`` and the other new columns are null."""
+    there = F.col(key).isNotNull() & F.col(health).isNotNull()
+    rows = folded(stream.filter(there), key, order or ["ts", "event_id"], series.LiveTrajectory, health)
+    empty = [F.lit("insufficient" if c == "trend" else None).cast(t).alias(c) for c, t in (x.split() for x in series.LiveTrajectory.NEW.split(", "))]
+    return rows.unionByName(stream.filter(~there).select("*", *empty))
 
 
 def score_stream(stream: DataFrame, models: DataFrame, cls: str) -> DataFrame:

@@ -177,3 +177,18 @@ def test_replay_has_every_row_each_lap(spark):
     rows = ranking.replay(spark.range(9).withColumn("k", F.lit(1)), ["k"], "id", 2).collect()
     assert sorted(r["t"] for r in rows) == list(range(1, 19))
     assert all(sorted(r["id"] for r in rows if r["lap"] == n) == list(range(9)) for n in (1, 2))
+
+
+def test_trajectory_stream_marks_rows_without_identity(spark, tmp_path):
+    from phmspark.streaming import monitor
+
+    rows = [(k, "a" if k % 7 else None, float(k), 0.9 - 0.02 * k if k % 5 else None) for k in range(30)]
+    spark.createDataFrame(rows, "event_id long, asset string, ts double, health double").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("event_id long, asset string, ts double, health double").parquet(str(tmp_path / "in"))
+    got = {r["event_id"]: r for r in monitor.drain(monitor.trajectory_stream(stream), "trajectory").collect()}
+    assert len(got) == 30
+    assert all((got[k]["trend"] == "insufficient") == (k % 7 == 0 or k % 5 == 0) for k in got)
+    own = [got[k] for k in sorted(got) if k % 7 and k % 5]
+    batch = series.trajectory(spark.createDataFrame(rows, "event_id long, asset string, ts double, health double"), ["asset"], ["ts"], "health").orderBy("ts").collect()
+    assert [(r["alarm_state"], r["trend"]) for r in own] == [(r["alarm_state"], r["trend"]) for r in batch]
+    assert [r["rate"] for r in own[5:]] == pytest.approx([r["rate"] for r in batch[5:]])
