@@ -15,11 +15,11 @@ BATCH_BYTES = 4_000_000
 BATCH_ROWS = 1000
 
 
-def cuts(lengths: np.ndarray) -> list[int]:
-    """Where to cut rows of these lengths so that no batch has over BATCH_ROWS rows, or over BATCH_BYTES but for one row."""
+def cuts(lengths: np.ndarray, most_bytes: int = BATCH_BYTES) -> list[int]:
+    """Where to cut rows of these lengths so that no batch has over BATCH_ROWS rows, or over ``most_bytes`` but for one row."""
     at, size, rows = [0], 0, 0
     for k, n in enumerate(lengths.tolist()):
-        if rows and (rows >= BATCH_ROWS or size + n > BATCH_BYTES):
+        if rows and (rows >= BATCH_ROWS or size + n > most_bytes):
             at.append(k)
             size = rows = 0
         size, rows = size + n, rows + 1
@@ -44,5 +44,6 @@ def with_text_columns(df: DataFrame, text_col: str, make: Callable[[], Callable[
                 some = batch.slice(a, b - a)
                 made = f(some.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*some.columns, *(pa.array(made[n], t) for n, t in zip(fields.names, types, strict=True))], names=schema.names)
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return df.mapInArrow(run, schema)

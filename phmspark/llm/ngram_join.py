@@ -46,7 +46,7 @@ SAMPLE = 2000  # sets on which the cost of layouts is counted
 PAIR_COST = 30  # index rows that cost as much as one candidate pair
 PARITY_LONGS = 8
 NO_ID = 1 << 62  # rows without an id stand under a number of their text from here on
-_PIECE = 4_000_000  # bytes of one text that are split into words at once
+_PIECE = 1_000_000  # bytes of texts that are split into words and made into sets at once, but for one long text
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -264,9 +264,10 @@ def _parity(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     for batch in batches:
-        where = cuts(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()) if batch.num_rows else []
+        where = cuts(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(), _PIECE) if batch.num_rows else []
         for a, b in zip(where, where[1:]):
             yield batch.slice(a, b - a), batch.column(column).slice(a, b - a).cast(pa.binary()).to_pylist()
+    pa.default_memory_pool().release_unused()  # the worker lives on
 
 
 def _by_band(lay: Bands, at: np.ndarray, fresh: np.ndarray) -> dict[int, np.ndarray]:

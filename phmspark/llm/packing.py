@@ -14,10 +14,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from phmspark.llm.batches import cuts
 from phmspark.llm.common import table, written
 
 _BETWEEN_WORDS = re.compile(r"(?<!\s) (?!\s)")
@@ -54,7 +57,7 @@ class WordIds:
     ``tokenizers`` itself, which does all the work if there is any difference, and any word with an added token.
     """
 
-    def __init__(self, path: str, max_words: int = 300_000, checked: int = 2000):
+    def __init__(self, path: str, max_words: int = 120_000, checked: int = 2000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -100,16 +103,19 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id:
     """Pieces of at most ``capacity`` tokens: _id, piece, start, length, ids_crc32, part and nth (number among the part's
     pieces of this length), and ids where asked for. A document's ids end with ``end_id``; only documents longer than
     ``capacity`` are cut, and their first piece takes the remainder."""
+    fields = [("_id", pa.string()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("nth", pa.int64())]
+    fields += [("ids", pa.list_(pa.int32()))] * with_ids
     out = "_id string, piece int, start long, length long, ids_crc32 long, part int, nth long" + (", ids array<int>" if with_ids else "")
     end = np.array([end_id], dtype="<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, part, seen = WordIds(tokenizer_path), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
-            for at in range(0, len(batch), 200):
+            where = cuts(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(), 1_000_000) if batch.num_rows else []
+            for a, b in zip(where, where[1:]):
                 rows = []
-                some = batch.iloc[at : at + 200]
-                for doc, raw in zip(some["_id"], ids.of([t or "" for t in some["_text"]]), strict=True):
+                docs_, texts = (batch.column(c).slice(a, b - a).to_pylist() for c in range(2))
+                for doc, raw in zip(docs_, ids.of([t or "" for t in texts]), strict=True):
                     raw += end
                     n = len(raw) // 4
                     first = n % capacity or capacity
@@ -118,9 +124,53 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id:
                         piece = raw[4 * start : 4 * (start + length)]
                         rows.append((doc, k, start, length, zlib.crc32(piece), part, seen[length]) + ((np.frombuffer(piece, dtype="<u4").astype(np.int32),) if with_ids else ()))
                         seen[length] += 1
-                yield pd.DataFrame(rows, columns=["_id", "piece", "start", "length", "ids_crc32", "part", "nth"] + ["ids"] * with_ids)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
-    return docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInPandas(run, out)
+    return docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, out)
+
+
+class Sums:
+    """Index of the sums of one, two and three lengths under the counts that are left.
+
+    For every sum it keeps the place of the first pair, as equal as can be, and of the first triple, by its least length
+    from the largest, that the counts still allow. Counts only fall, so places only move on."""
+
+    def __init__(self, left: np.ndarray):
+        self.left = left
+        self.pairs = [total // 2 for total in range(len(left))]  # the lesser length of the first pair
+        self.triples = [total // 3 for total in range(len(left))]  # the least length of the first triple
+
+    def _pair(self, total: int, free: np.ndarray) -> list[int]:
+        left, moving = self.left, True
+        for a in range(self.pairs[total], 0, -1):
+            b = total - a
+            if left[a] > (a == b) and left[b] > 0:
+                moving = False
+                if free[a] > (a == b) and free[b] > 0:
+                    return [b, a]
+            elif moving:
+                self.pairs[total] = a - 1
+        return []
+
+    def _triple(self, total: int, free: np.ndarray) -> list[int]:
+        moving = True
+        for c in range(self.triples[total], 0, -1):
+            if self.left[c] > 0 and self.pairs[total - c] > 0:
+                moving = False
+                if free[c] > 0:
+                    free[c] -= 1
+                    pair = self._pair(total - c, free)
+                    free[c] += 1
+                    if pair:
+                        return [*pair, c]
+            elif moving:
+                self.triples[total] = c - 1
+        return []
+
+    def exact(self, total: int, free: np.ndarray) -> list[int]:
+        """One, two or three lengths with this sum that are still free (``free``: left but for the sequence at hand)."""
+        return [total] if free[total] > 0 else self._pair(total, free) or self._triple(total, free)
 
 
 class Plan:
@@ -128,32 +178,12 @@ class Plan:
 
     def __init__(self, counts: np.ndarray, capacity: int):
         self.capacity, self.left = capacity, counts.astype(np.int64).copy()
+        self.sums = Sums(self.left)
         self.runs: list[tuple[list[int], int]] = []
         for length in range(capacity, 0, -1):
             while self.left[length] > 0:
                 self._add(length)
 
-    def _pair(self, total: int, free: np.ndarray) -> list[int]:
-        """Two lengths with this sum, as equal as can be: small pieces are kept for later gaps."""
-        a = np.arange(total // 2, 0, -1)
-        both = (free[a] > 0) & (free[total - a] > (a == total - a))
-        k = int(np.argmax(both)) if len(both) else 0
-        return [total - int(a[k]), int(a[k])] if len(both) and both[k] else []
-
-    def _exact(self, gap: int, free: np.ndarray) -> list[int]:
-        """One, two or three lengths that fill the gap and are still free."""
-        if free[gap] > 0:
-            return [gap]
-        if pair := self._pair(gap, free):
-            return pair
-        for c in np.flatnonzero(free[1 : gap // 3 + 1] > 0)[::-1] + 1:
-            free[c] -= 1
-            pair = self._pair(gap - int(c), free)
-            free[c] += 1
-            if pair:
-                return [*pair, int(c)]
-        return []
-
     def _add(self, length: int) -> None:
         free, lengths, gap = self.left.copy(), [length], self.capacity - length
         free[length] -= 1
@@ -162,7 +192,7 @@ class Plan:
             if not len(there):
                 break
             largest = int(there[-1])
-            fill = self._exact(gap, free) if gap <= 3 * largest else []
+            fill = self.sums.exact(gap, free) if gap <= 3 * largest else []
             for x in fill or [largest]:
                 lengths.append(x)
                 free[x] -= 1
