@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from phmspark.functions import scalars as S
-from phmspark.operators import audits, ranking, reconcile
+from phmspark.operators import audits, ranking, reconcile, search
 from phmspark.plans.base import query, table
+from phmspark.sources.scratch import spread
 
 _LINES = """SELECT l_suppkey AS file, 0 AS pos, CASE WHEN l_suppkey % 5 = 1 THEN 'a,b,b' WHEN l_suppkey % 5 = 2 THEN 'a,c,b' ELSE 'a,b,c' END AS line FROM (SELECT DISTINCT l_suppkey FROM lineitem)
   UNION ALL SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber), l_quantity::BIGINT || ',' || CASE WHEN l_suppkey % 5 = 3 AND l_linenumber = 7 THEN 'x' ELSE l_linenumber::VARCHAR END || CASE WHEN l_suppkey % 5 = 4 AND l_linenumber = 6 THEN '' ELSE ',1' END FROM lineitem"""
@@ -241,12 +242,11 @@ def t7_conditions(spark, d):
 )
 def t8_section_search(spark, d):
     """The three sections with the best term overlap for each question; a title's terms count three times."""
-    asked = table(spark, d, "benchmark").select("item_id", F.explode(S.tokens(F.col("text"))).alias("term"))
-    docs = table(spark, d, "documents").select("doc_id", F.split("text", "\n", 2).alias("p"))
-    told = docs.select("doc_id", F.explode(S.tokens(F.col("p")[0])).alias("term"), F.lit(3).alias("w")).unionByName(docs.select("doc_id", F.explode(S.tokens(F.coalesce(F.get("p", F.lit(1)), F.lit("")))).alias("term"), F.lit(1).alias("w")))
-    scored = asked.join(told, "term").groupBy("item_id", "doc_id").agg(F.sum("w").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
-    return scored.withColumn("rank", rank.cast("long")).filter("rank <= 3").select("item_id", "rank", "doc_id", "score")
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), S.tokens(F.col("text")).alias("terms"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.split("text", "\n", 2).alias("p"))
+    told = docs.select(F.col("doc_id").alias("section"), S.tokens(F.col("p")[0]).alias("title"), S.tokens(F.coalesce(F.get("p", F.lit(1)), F.lit(""))).alias("body"))
+    found = search.best_sections(asked, told, {"title": 3, "body": 1}, 3)
+    return found.select(F.col("query").alias("item_id"), "rank", F.col("section").alias("doc_id"), "score")
 
 
 @query(

@@ -192,3 +192,22 @@ def test_trajectory_stream_marks_rows_without_identity(spark, tmp_path):
     batch = series.trajectory(spark.createDataFrame(rows, "event_id long, asset string, ts double, health double"), ["asset"], ["ts"], "health").orderBy("ts").collect()
     assert [(r["alarm_state"], r["trend"]) for r in own] == [(r["alarm_state"], r["trend"]) for r in batch]
     assert [r["rate"] for r in own[5:]] == pytest.approx([r["rate"] for r in batch[5:]])
+
+
+def test_section_search_by_index_and_by_term(spark):
+    from phmspark.operators import search
+
+    rng = np.random.default_rng(5)
+    words = [f"t{k}" for k in range(30)]
+    pick = lambda n: list(dict.fromkeys(rng.choice(words, n).tolist()))
+    asked = [(f"q{k}", pick(4)) for k in range(9)] + [("none", [])]
+    told = [(k, pick(3), pick(6)) for k in range(60)] + [(90, [], None)]
+    a, t = spark.createDataFrame(asked, "query string, terms array<string>"), spark.createDataFrame(told, "section long, title array<string>, body array<string>").repartition(3)
+    want = []
+    for q, terms in asked:
+        scores = sorted((-sum(3 * (x in title) + (x in (body or [])) for x in terms), k) for k, title, body in told)
+        want += [(q, r + 1, k, -s) for r, (s, k) in enumerate(scores[:3]) if s]
+    for most in (10**6, 0):
+        got = search.best_sections(a, t, {"title": 3, "body": 1}, 3, most_terms=most).collect()
+        assert sorted((r["query"], r["rank"], r["section"], r["score"]) for r in got) == sorted(want)
+    assert search.best_sections(a.limit(0), t, {"title": 3, "body": 1}, 3).count() == 0
