@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phmspark.sources.scratch import spread  # noqa: F401
+
 _own_scratch: list[str] = []
 
 

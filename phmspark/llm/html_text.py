@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phmspark.llm.batches import with_text_columns
-from phmspark.llm.common import table
+from phmspark.llm.common import spread, table
 
 # HTML's elements without content, and those that begin a block of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -254,5 +254,5 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    found = extract(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))

@@ -16,13 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phmspark.llm.batches import with_text_columns
-from phmspark.llm.common import bounded_collect, fold, table
+from phmspark.llm.common import bounded_collect, fold, spread, table
 from phmspark.llm.fit_sample import distinct_texts
 
 _WORD = re.compile(r"[^\W\d_]+")
 HASHED = 1 << 16  # places of n-grams and affixes
 WINDOW = 48  # words of a chain
-CELLS = 2_000_000  # potentials (words x languages) held at once
+CELLS = 500_000  # potentials (words x languages) held at once
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -246,6 +246,6 @@ def label_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     labelled = label_texts(docs.select("doc_id", "text"), fit_tables(docs))
     return labelled.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))

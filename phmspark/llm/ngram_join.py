@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phmspark.llm.batches import cuts
-from phmspark.llm.common import table, written
+from phmspark.llm.common import spread, table, written
 from phmspark.llm.components import connect
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -563,4 +563,4 @@ def components(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "set_id")
+    return components(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "n_shingles", "component_id", "set_id")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phmspark.llm.batches import cuts
-from phmspark.llm.common import table, written
+from phmspark.llm.common import spread, table, written
 
 _BETWEEN_WORDS = re.compile(r"(?<!\s) (?!\s)")
 _SPACES = re.compile(r"\s\s")
@@ -255,4 +255,4 @@ def sequences(packed: DataFrame) -> DataFrame:
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), public_tokenizers.path("byte_bpe_50k.json"))

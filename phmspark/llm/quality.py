@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phmspark.llm.batches import with_text_columns
-from phmspark.llm.common import bounded_collect, fold, table
+from phmspark.llm.common import bounded_collect, fold, spread, table
 from phmspark.llm.fit_sample import class_counts, distinct_texts, one_label, share
 
 DIMS = 4096  # hashed terms
@@ -176,7 +176,7 @@ def score_texts(docs: DataFrame, model: Model | None, base: float, text_col: str
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     model, base = fit_tables(docs, table(spark, sf_dir, "labels"))
     scored = score_texts(docs, model, base)
     return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.7).cast("int").alias("predicted"))

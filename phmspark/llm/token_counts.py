@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from phmspark.llm.batches import cuts
-from phmspark.llm.common import new_path, table, written
+from phmspark.llm.common import new_path, spread, table, written
 
 BROADCAST_ROWS = 100_000  # standing rows; beyond, texts move over a shuffle
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
@@ -97,5 +97,5 @@ def count_tokens(df: DataFrame, tokenizer_path: str, cache_path: str, id_col: st
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    counted = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), new_path(spark, "token-cache"))
+    counted = count_tokens(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), public_tokenizers.path("piece_bpe_32k.model"), new_path(spark, "token-cache"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))

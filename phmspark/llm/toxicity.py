@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phmspark.llm.batches import with_text_columns
-from phmspark.llm.common import bounded_collect, fold, table
+from phmspark.llm.common import bounded_collect, fold, spread, table
 from phmspark.llm.fit_sample import class_counts, distinct_texts, one_label, share
 
 _WORD = re.compile(r"\w+")
@@ -235,7 +235,7 @@ def fit_tables(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> Mod
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     model = fit_tables(docs, table(spark, sf_dir, "labels"))
     scored = score_texts(docs, model)
     return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), F.col("tox_score").alias("score"), (F.col("tox_score") >= 0.7).cast("int").alias("predicted"), F.size("tox_passages").alias("n_passages"))
