@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phmspark.llm import decontamination, language, ngram_join, packing, toxicity
-from phmspark.llm.common import new_path, table
+from phmspark.llm.common import new_path, spread, table
 
 _NO_ID = 1 << 61  # rows that their id does not tell apart stand under a number of their text from here on
 
@@ -76,7 +76,7 @@ ORACLE_SQL = None  # learned models, components and packing are beyond SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for name, stage in STAGES:
         path = new_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
