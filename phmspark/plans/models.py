@@ -341,13 +341,16 @@ def m7_shared_calibration(spark, d):
 
 @query(
     "m27_model_summary",
-    f"WITH RECURSIVE {_LW} SELECT label, count(*) FILTER (role = 'train') AS n_train, count(*) FILTER (role = 'cal') AS n_cal, count(*) FILTER (role = 'holdout') AS n_holdout, round(any_value(threshold), 5) AS threshold, round(any_value(sh), 6) AS shrinkage FROM role JOIN thr ON thr.cls = label JOIN p USING (label) GROUP BY label",
+    f"WITH RECURSIVE {_LW} SELECT label, count(*) FILTER (role = 'train') AS n_train, count(*) FILTER (role = 'cal') AS n_cal, count(*) FILTER (role = 'holdout') AS n_holdout, round(any_value(threshold), 5) AS threshold, round(any_value(sh), 6) AS shrinkage, round(any_value(mu)[1], 6) AS centre1, round(sqrt(list_inner_product(any_value(mu), any_value(mu))), 6) AS centre_norm, 'mahalanobis' AS score_type, 'own_p95' AS strategy, 1 AS model_version FROM role JOIN thr ON thr.cls = label JOIN p USING (label) GROUP BY label",
 )
 def m27_model_summary(spark, d):
     rows, models = lw_models(spark, d)
     fit = openset.thresholds(class_distances(spark, d).filter("truth = cls AND role = 'cal'"), "cls", "d").withColumnRenamed("cls", "label")
     counts = rows.groupBy("label").agg(*(F.count_if(F.col("role") == r).alias(f"n_{r}") for r in ("train", "cal", "holdout")))
-    return counts.join(fit, "label").join(models.select("label", "shrinkage"), "label").select("label", "n_train", "n_cal", "n_holdout", F.round("threshold", 5).alias("threshold"), F.round("shrinkage", 6).alias("shrinkage"))
+    return counts.join(fit, "label").join(models.select("label", "shrinkage", "mu"), "label").select(
+        *("label", "n_train", "n_cal", "n_holdout", F.round("threshold", 5).alias("threshold"), F.round("shrinkage", 6).alias("shrinkage")),
+        *(F.round(F.col("mu")[0], 6).alias("centre1"), F.round(S.norm(F.col("mu")), 6).alias("centre_norm"), F.lit("mahalanobis").alias("score_type"), F.lit("own_p95").alias("strategy"), F.lit(1).alias("model_version")),
+    )
 
 
 @query(

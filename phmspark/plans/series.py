@@ -169,11 +169,31 @@ def m22_diagnosis(spark, d):
     return e.select("event_id", F.when(F.col("score") > 1, "unknown").otherwise(F.coalesce("name", F.lit("uncertain"))).alias("diagnosis"))
 
 
-@query("p13_projections", f"SELECT mode, count(*) AS n, round(sum(x), 3) AS total FROM (SELECT unnest(['binary', 'health', 'full']) AS mode, unnest([(score > 1)::INT, score, score + 1]) AS x FROM ({SCORES})) GROUP BY mode")
+# Columns of the result modes
+MODES = {"binary": ["event_id", "unknown"], "health": ["event_id", "score", "margin"], "full": ["event_id", "score", "margin", "unknown"]}
+
+
+def projection(rows: DataFrame, mode: str) -> DataFrame:
+    """The columns of a result mode; an unknown mode raises."""
+    if mode not in MODES:
+        raise ValueError(f"no result mode {mode}: one of {', '.join(MODES)}")
+    return rows.select(*MODES[mode])
+
+
+@query(
+    "p13_projections",
+    f"""WITH e AS (SELECT event_id::DOUBLE AS event_id, score, score - 1 AS margin, (score > 1)::INT::DOUBLE AS "unknown" FROM ({SCORES})),
+        c AS (SELECT unnest(['event_id', 'score', 'margin', 'unknown']) AS field, unnest([event_id, score, margin, "unknown"]) AS x FROM e), m AS (SELECT * FROM (VALUES ('binary', ['event_id', 'unknown']), ('health', ['event_id', 'score', 'margin']), ('full', ['event_id', 'score', 'margin', 'unknown'])) t(mode, fields))
+        SELECT mode, field, count(*) AS n, round(sum(x), 3) AS total FROM c JOIN m ON list_contains(fields, field) GROUP BY ALL""",
+)
 def p13_projections(spark, d):
-    """Column sets of the three result modes, as rows of mode and value."""
-    e = scores(spark, d).select((F.col("score") > 1).cast("double").alias("binary"), F.col("score").alias("health"), (F.col("score") + 1).alias("full"))
-    return e.unpivot([], ["binary", "health", "full"], "mode", "x").groupBy("mode").agg(F.count("*").alias("n"), F.round(F.sum("x"), 3).alias("total"))
+    """The column sets of the three result modes, each column with its rows and sum."""
+    e = scores(spark, d).select(F.col("event_id").cast("double").alias("event_id"), "score", (F.col("score") - 1).alias("margin"), (F.col("score") > 1).cast("int").cast("double").alias("unknown"))
+    out = None
+    for mode, fields in MODES.items():
+        one = projection(e, mode).unpivot([], fields, "field", "x").groupBy("field").agg(F.count("*").alias("n"), F.round(F.sum("x"), 3).alias("total")).select(F.lit(mode).alias("mode"), "field", "n", "total")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("p14_blinded", "SELECT vec_id, 'S' || lpad((dense_rank() OVER (ORDER BY label) - 1)::VARCHAR, 2, '0') AS blind FROM embeddings")
