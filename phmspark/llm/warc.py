@@ -33,12 +33,16 @@ def record_text(url: Column, payload: Column, date: str) -> Column:
 def records(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, segment, ordinal, start, length and record (text) for every page.
 
-    Pages of neighbouring ids make a segment, in the order of id, url and content; pages without an id are dealt by
-    content over ``NO_ID_SEGMENTS`` segments below 0. A null url or html is empty. Repeated rows each give a record. Other columns are not read.
+    Pages of neighbouring ids make a segment, in the order of id, url and content; pages without an id, and those of an
+    id that more than ``SEGMENT_IDS`` pages have, are dealt by content over ``NO_ID_SEGMENTS`` segments below 0. A null
+    url or html is empty. Repeated rows each give a record. Other columns are not read.
     """
     url, html = F.coalesce(F.col(url_col), F.lit("")), F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page_id"), record_text(url, html, date).alias("record"))
-    rows = rows.withColumn("segment", F.coalesce(F.floor(F.col("page_id") / SEGMENT_IDS), -1 - F.pmod(F.xxhash64("record"), F.lit(NO_ID_SEGMENTS))).cast("long")).withColumn("length", F.octet_length("record").cast("long"))
+    crowded = pages.groupBy(F.col(id_col).alias("page_id")).agg(F.count("*").alias("n")).filter((F.col("n") > SEGMENT_IDS) & F.col("page_id").isNotNull()).select("page_id", F.lit(True).alias("crowded"))
+    rows = rows.withColumn("crowded", F.lit(None).cast("boolean")) if crowded.isEmpty() else rows.join(crowded, "page_id", "left")
+    rows = rows.withColumn("segment", F.coalesce(F.when(F.col("crowded").isNull(), F.floor(F.col("page_id") / SEGMENT_IDS)), -1 - F.pmod(F.xxhash64("record"), F.lit(NO_ID_SEGMENTS))).cast("long")).withColumn("length", F.octet_length("record").cast("long"))
+    rows = rows.drop("crowded")
     order = Window.partitionBy("segment").orderBy("page_id", "record")
     rows = rows.withColumn("ordinal", (F.row_number().over(order) - 1).cast("long"))
     before = Window.partitionBy("segment").orderBy("page_id", "record").rowsBetween(Window.unboundedPreceding, -1)

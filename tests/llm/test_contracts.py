@@ -259,3 +259,21 @@ def test_plan_against_the_optimum():
         assert n <= fewest(sizes, capacity) + 1
         worse += n > fewest(sizes, capacity)
     assert worse <= 10
+
+
+def test_crowded_and_missing_page_ids_are_dealt(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from phmspark.llm import warc
+
+    monkeypatch.setattr(warc, "SEGMENT_IDS", 20)
+    rows = [(7, f"u{k}", f"<p>{k}") for k in range(300)] + [(None, f"n{k}", f"<p>{k}") for k in range(300)] + [(k, "u", "<p>x") for k in range(40, 60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    laid = warc.records(pages)
+    assert laid.count() == len(rows)
+    assert max(r["count"] for r in laid.groupBy("segment").count().collect()) <= 20
+    assert {r["segment"] for r in laid.filter("page_id >= 40").collect()} == {2}
+    broken = F.when(F.col("record").contains("<p>17\r"), "broken").otherwise(F.col("record"))
+    other = laid.withColumn("record", broken)
+    found = warc.audit(laid, other).collect()
+    assert sorted(r["status"] for r in found) == ["changed", "changed"]
