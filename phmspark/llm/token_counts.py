@@ -19,7 +19,7 @@ from pyspark.sql.utils import AnalysisException
 from phmspark.llm.batches import cuts
 from phmspark.llm.common import new_path, spread, table, written
 
-BROADCAST_ROWS = 100_000  # standing rows; beyond, texts move over a shuffle
+BROADCAST_ROWS = 10_000  # standing rows; beyond, texts move over a shuffle
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 
 
