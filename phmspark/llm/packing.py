@@ -76,7 +76,7 @@ class WordIds:
         easy = [w for w in new if w and " " not in w and not any(x in w for x in self.added)] if self.merger else []
         ids = np.array(self.merger.encode_ordinary(" " + " ".join(easy)), dtype="<u4") if easy else np.empty(0, "<u4")
         starts = np.flatnonzero(self.led[ids])
-        if len(starts) == len(easy):
+        if easy and len(starts) == len(easy):
             raw, ends = ids.tobytes(), [*(starts[1:] * 4).tolist(), 4 * len(ids)]
             made = {w: raw[a:b] for w, a, b in zip(easy, (starts * 4).tolist(), ends, strict=True)}
             if self.to_check > 0:
