@@ -447,13 +447,17 @@ class _Search:
         of = own.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("sets")).filter("least < most").select("key", "sets")
         return written(own.join(of, "key"), "mixed")
 
+    def may_link(self) -> Column:
+        """What rows x and y of a key show of their sets allows a link."""
+        return _may_link("x", "y", self.num, self.den)
+
     def pairs(self, x: DataFrame, y: DataFrame, also: Column | None = None, ordered: bool = True) -> DataFrame:
         """Rows of x and of y of the same key and another component that may link; ``ordered``: each pair one way."""
         x, y = x.alias("x"), y.alias("y")
         apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
         if ordered:
             apart &= F.col("x.node") > F.col("y.node")
-        joined = x.join(y, apart & _may_link("x", "y", self.num, self.den) & (F.lit(True) if also is None else also))
+        joined = x.join(y, apart & self.may_link() & (F.lit(True) if also is None else also))
         first = F.col("x.node") > F.col("y.node")
         pick = lambda c: [F.when(first, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")), F.when(first, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}"))]
         (a, b), (a_id, b_id) = pick("node"), pick("id")
@@ -465,7 +469,10 @@ class _Search:
         if pairs.isEmpty():
             return
         self.tested = pairs.select("a", "b") if self.tested is None else self.tested.unionByName(pairs.select("a", "b"))
-        links = written(verified(pairs, self.docs, self.width, self.num, self.den), "links")
+        self.join(written(verified(pairs, self.docs, self.width, self.num, self.den), "links"))
+
+    def join(self, links: DataFrame) -> None:
+        """Joins the components of linked nodes (a, b; a written table)."""
         if links.isEmpty():
             return
         # New links join components, so that only those are gone through again
@@ -523,18 +530,12 @@ def components(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_
     lay = Bands(num, den, chosen(docs, width, num, den))
     live = index(docs, width, lay).repartition("key").sortWithinPartitions("key", "name").mapInArrow(_shared, _INDEX)
     live = written(live, "live")
-    rows = live.filter("layout = -1").select("name", _long(1).alias("_id"), F.substring("more", 9, 16).alias("node"), _long(25).alias("size"), *(_long(33 + 8 * k).alias(f"b{k}") for k in range(PARITY_LONGS)))
-    nodes = written(rows.filter("size > 0").groupBy("name", "node").agg(F.min("_id").alias("id"), *(F.max(c).alias(c) for c in _NODE[2:])), "nodes")
+    rows, nodes = documents(live)
     keys = live.filter("layout >= 0").select("key", "name", "layout")
     often = keys.groupBy("key").agg(F.count("*").alias("often"))
     rank = F.row_number().over(Window.partitionBy("name", "layout").orderBy(F.desc("often"), "key"))
     kept = keys.join(often, "key").withColumn("rank", rank).filter(F.col("rank") > F.col("layout").bitwiseAND(F.lit(0xFFFF))).select("key", "name")
-    kept = written(kept, "kept")
-    # Keys of the same sets say the same: one of them does
-    members = kept.groupBy("key").agg(F.count("*").alias("n"), *(F.bit_xor(F.xxhash64("name", F.lit(k))).alias(f"m{k}") for k in range(2)))
-    one = members.filter("n > 1").groupBy("n", "m0", "m1").agg(F.min("key").alias("key")).select("key")
-    kept = written(kept.join(one, "key").join(nodes, "name").drop("name"), "kept")
-
+    kept = once_for_equal_keys(kept, nodes)
     search = _Search(docs, width, num, den)
     own = search.mixed(kept)
     search.look(search.pairs(own, _leads(own, 0), ordered=False))
@@ -550,6 +551,26 @@ def components(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_
         need = (F.col("x.size") + F.col("y.size")) * num
         search.look(search.pairs(own, own, also=F.least("x.left", "y.left") * (num + den) >= need))
 
+    return labelled(search, rows, nodes, id_col)
+
+
+def documents(live: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of a live index: its documents (name, _id, node, size, b0...) and their different sets (a written table)."""
+    rows = live.filter("layout = -1").select("name", _long(1).alias("_id"), F.substring("more", 9, 16).alias("node"), _long(25).alias("size"), *(_long(33 + 8 * k).alias(f"b{k}") for k in range(PARITY_LONGS)))
+    nodes = rows.filter("size > 0").groupBy("name", "node").agg(F.min("_id").alias("id"), *(F.max(c).alias(c) for c in _NODE[2:]))
+    return rows, written(nodes, "nodes")
+
+
+def once_for_equal_keys(kept: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows (key, name) as rows of key and node; keys of the same sets say the same, so one of them does."""
+    kept = written(kept, "kept")
+    members = kept.groupBy("key").agg(F.count("*").alias("n"), *(F.bit_xor(F.xxhash64("name", F.lit(k))).alias(f"m{k}") for k in range(2)))
+    one = members.filter("n > 1").groupBy("n", "m0", "m1").agg(F.min("key").alias("key")).select("key")
+    return written(kept.join(one, "key").join(nodes, "name").drop("name"), "kept")
+
+
+def labelled(search: _Search, rows: DataFrame, nodes: DataFrame, id_col: str) -> DataFrame:
+    """``id_col``, n_shingles, set_id and component_id for each document."""
     named = search.components_of(nodes.select("node", "id"))
     named = named.join(named.groupBy("component").agg(F.min("id").alias("least")), "component").select("node", F.col("id").alias("set_id"), "least")
     real = lambda c: F.when(F.col(c) < NO_ID, F.col(c))

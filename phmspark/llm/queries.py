@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from phmspark.llm import decontamination, divergence, html_text, language, ngram_join, packing, quality, token_counts, topk_search, toxicity, warc
+from phmspark.llm import alignment, decontamination, divergence, html_text, language, minhash, ngram_join, packing, quality, token_counts, topk_search, toxicity, warc
 
 QUERIES = {
     "op1_topk_search": topk_search.op1_topk_search,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_packing": packing.op9_packing,
     "op10_warc_fixity": warc.op10_warc_fixity,
+    "op11_alignment": alignment.op11_alignment,
+    "op12_minhash": minhash.op12_minhash,
     "op13_source_divergence": divergence.op13_source_divergence,
 }
 ORACLE_SQL = {
