@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,17 +30,108 @@ def attempts(held: DataFrame, order: str, least: int = 25, every: int = 10) -> D
     return ranking.placed(held, [order]).withColumn("attempt", (F.col("n") >= least) & ((F.col("n") - least) % every == 0))
 
 
-def spanning_edges(rows: DataFrame, id_col: str, k: int, min_samples: int) -> DataFrame:
-    """a, b, w: minimum spanning tree of the ``k``-neighbour graph under mutual reachability (the largest of the two
-    core distances and the distance). Trees that nothing joins are joined to the one of the smallest row, infinitely far."""
-    near = neighbours.nearest(rows, rows, k, id_col, not_self=True)
-    core = near.filter(F.col("rank") == max(1, min_samples - 1)).select(F.col("query").alias("node"), F.col("distance").alias("core"))
-    ends = near.join(core.select(F.col("node").alias("query"), F.col("core").alias("ca")), "query").join(core.select(F.col("node").alias("neighbour"), F.col("core").alias("cb")), "neighbour")
-    edges = ends.select(F.least("query", "neighbour").alias("a"), F.greatest("query", "neighbour").alias("b"), F.greatest("ca", "cb", "distance").alias("w")).groupBy("a", "b").agg(F.min("w").alias("w"))
-    tree, label = grown(written(edges, "edges"), rows.select(F.col(id_col).cast("long").alias("node")))
-    firsts = written(label.groupBy("c").agg(F.min("node").alias("b")), "trees")
-    first = F.broadcast(firsts.agg(F.min("b").alias("a")))  # one row
-    return tree.unionByName(firsts.crossJoin(first).filter("a <> b").select("a", "b", F.lit(float("inf")).alias("w")))
+BLOCK_ROWS = 1024  # rows of a block of the spanning tree; a task holds two
+
+
+def _tree_of(ids: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """a, b, w: minimum spanning tree of rows under mutual reachability, by growing it row by row. The last component of
+    a row is its core distance."""
+    x, core = m[:, :-1], m[:, -1]
+    n, at = len(ids), 0
+    least, to, out = np.full(n, np.inf), np.zeros(n, np.int64), np.ones(n, dtype=bool)
+    a, b, w = np.empty(n - 1, np.int64), np.empty(n - 1, np.int64), np.empty(n - 1)
+    for k in range(n - 1):
+        out[at] = False
+        d = np.maximum(np.maximum(core, core[at]), np.sqrt(((x - x[at]) ** 2).sum(axis=1)))
+        closer = out & (d < least)
+        least[closer], to[closer] = d[closer], at
+        at = int(np.where(out, least, np.inf).argmin())
+        a[k], b[k], w[k] = ids[at], ids[to[at]], least[at]
+    return np.minimum(a, b), np.maximum(a, b), w
+
+
+def _edges(ids: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in _tree_of(ids, m)], names=["a", "b", "w"])
+
+
+def _needed(index: neighbours.Cells, low: np.ndarray, high: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of cells between which an edge may be in the tree. Pivots are rows, so a row reaches any other over its own
+    pivot, pivots, and the other's pivot; a pair of cells whose least possible weight is above the heaviest edge of the
+    best such way has no edge in the tree. ``low``, ``high``: least and largest core distance in a cell."""
+    there = np.flatnonzero(index.first >= 0)
+    p, r, low, high = index.pivots[there], index.radius[there], low[there], high[there]
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(axis=2)) if len(p) <= 64 else neighbours._distances(p, p)
+    over = np.maximum(d, np.maximum(high[:, None], high[None]))
+    n = len(there)
+    way, inside, least, to = np.zeros((n, n)), [0], over[0].copy(), np.zeros(n, np.int64)
+    left = set(range(1, n))
+    while left:  # the heaviest edge of the ways in the pivots' own tree
+        k = min(left, key=lambda x: least[x])
+        left.remove(k)
+        way[k, inside] = way[inside, k] = np.maximum(way[to[k], inside], least[k])
+        inside.append(k)
+        closer = over[k] < least
+        least[closer], to[closer] = over[k][closer], k
+    own = np.maximum(r, high)
+    best = np.maximum(way, np.maximum(own[:, None], own[None]))
+    floor = np.maximum(d - r[:, None] - r[None], np.maximum(low[:, None], low[None]))
+    a, b = np.nonzero(np.triu(floor <= best * (1 + neighbours.SLACK) + neighbours.SLACK))
+    return list(zip(there[a].tolist(), there[b].tolist(), strict=True))
+
+
+def spanning_edges(rows: DataFrame, id_col: str, min_samples: int, block_rows: int = BLOCK_ROWS, meter=None) -> DataFrame:
+    """a, b, w: minimum spanning tree under mutual reachability (the largest of the two core distances and the distance),
+    of all pairs of rows. The core distance is that to the ``min_samples``-th nearest row, the row itself the first.
+
+    Rows are dealt to blocks around pivots. Every two blocks that may share an edge of the tree give the tree of their
+    rows; whatever edge joins two rows, one of these trees joins them by edges no heavier, so the tree of those trees'
+    edges is the whole's. ``meter``, an accumulator, adds up the pairs of rows that were compared."""
+    near = neighbours.nearest(rows, rows, max(1, min_samples - 1), id_col, not_self=True)
+    core = near.groupBy(F.col("query").alias("_id")).agg(F.max("distance").alias("core"))
+    own = rows.select(F.col(id_col).cast("long").alias("_id"), "f").join(core, "_id", "left")
+    own = written(own.select("_id", F.lit("").alias("_c"), F.concat("f", F.array(F.coalesce("core", F.lit(0.0)))).alias("f")), "cores")
+    n = own.count()
+    if n <= block_rows:
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [(x.column(0).to_numpy(), neighbours._matrix(x.column(2))) for x in batches if x.num_rows]
+            if held:
+                yield _edges(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+
+        return written(own.coalesce(1).mapInArrow(whole, "a long, b long, w double"), "tree")
+    index = neighbours.cells(own, block_rows, aside=1)
+
+    def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                c = np.frombuffer(row["m"]).reshape(row["n"], -1)[:, -1]
+                yield pa.RecordBatch.from_pydict({"cell": [row["cell"]], "low": [float(c.min())], "high": [float(c.max())]}, schema=pa.schema([("cell", pa.int32()), ("low", pa.float64()), ("high", pa.float64())]))
+
+    low, high = np.zeros(len(index.pivots)), np.zeros(len(index.pivots))
+    for r in index.blocks.select("cell", "n", "m").mapInArrow(cores, "cell int, low double, high double").groupBy("cell").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect():
+        low[r["cell"]], high[r["cell"]] = r["low"], r["high"]
+    wanted = rows.sparkSession.createDataFrame(_needed(index, low, high), "x int, y int")
+    at = index.blocks.select("block", "cell")
+    pairs = wanted.join(at.select(F.col("cell").alias("x"), F.col("block").alias("a")), "x").join(at.select(F.col("cell").alias("y"), F.col("block").alias("b")), "y")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+    other = pairs.join(index.blocks.withColumnRenamed("block", "b"), "b").select("a", F.lit(1).alias("side"), "n", "ids", "m")
+    met = index.blocks.select(F.col("block").alias("a"), F.lit(0).alias("side"), "n", "ids", "m").unionByName(other).repartition("a").sortWithinPartitions("a", "side")
+
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = None
+        for batch in batches:
+            for row in batch.to_pylist():
+                mine = np.array(row["ids"], dtype=np.int64), np.frombuffer(row["m"]).reshape(row["n"], -1)
+                if row["side"] == 0:
+                    first = mine
+                    yield _edges(*mine)
+                    continue
+                if meter is not None:
+                    meter.add(len(first[0]) * len(mine[0]))
+                yield _edges(np.concatenate((first[0], mine[0])), np.concatenate((first[1], mine[1])))
+
+    edges = written(met.select("side", "n", "ids", "m").mapInArrow(trees, "a long, b long, w double").groupBy("a", "b").agg(F.min("w").alias("w")), "edges")
+    return grown(edges, own.select(F.col("_id").alias("node")))[0]
 
 
 def grown(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -215,10 +310,10 @@ def select_fragments(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(f, label[c]) for f, c in of.items() if label[c] >= 0], columns=["frag", "cluster"]).astype({"frag": "int64", "cluster": "int32"})
 
 
-def density_clusters(rows: DataFrame, id_col: str, least: int, min_samples: int, k: int = 16, segment: int = SEGMENT) -> DataFrame:
+def density_clusters(rows: DataFrame, id_col: str, least: int, min_samples: int, segment: int = SEGMENT, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """id, cluster of clustered rows; ``least`` is 2 or more. Neighbours, spanning tree and the runs of its edges are
     jobs; a task merges one run of ``segment`` edges."""
-    return clusters_of(spanning_edges(rows, id_col, k, min_samples), least, segment).withColumnRenamed("node", id_col)
+    return clusters_of(spanning_edges(rows, id_col, min_samples, block_rows), least, segment).withColumnRenamed("node", id_col)
 
 
 def clusters_of(tree: DataFrame, least: int, segment: int = SEGMENT) -> DataFrame:

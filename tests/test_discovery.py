@@ -91,7 +91,7 @@ def test_clusters_do_not_depend_on_the_runs(spark, ties):
     x = np.concatenate([rng.normal(c, s, size=(n, 2)) for c, s, n in ((0, 0.3, 40), (3, 0.2, 30), (4, 0.2, 25), (40, 0.5, 30))] + [rng.uniform(-9, 9, size=(20, 2))])
     x = np.unique(np.round(x * 2), axis=0) if ties else x
     df = spark.createDataFrame([(3 * k, r.tolist()) for k, r in enumerate(x)], "vec_id long, f array<double>").repartition(2)
-    tree = written(discovery.spanning_edges(df, "vec_id", 6, 3), "tree")
+    tree = written(discovery.spanning_edges(df, "vec_id", 3), "tree")
     want = select_clusters(len(x), [(r["w"], r["a"] // 3, r["b"] // 3) for r in tree.collect() if r["w"] < np.inf], 8)
     assert ties or want.max() >= 2
     for segment in (1000, -(-(len(x) - 1) // 4)):
@@ -128,3 +128,40 @@ def test_adoption_and_what_a_refit_explains(spark):
     again = discovery.refit(adopted, rest)
     assert {r["vec_id"]: (r["nearest"], r["verdict"]) for r in again.collect()} == {100: ("discovered-1", "known"), 101: (None, "unknown"), 102: (None, "unknown")}
     assert {r["vec_id"] for r in discovery.pruned(rest, again).collect()} == {101}
+
+
+def dense_weight(x: np.ndarray, min_samples: int) -> float:
+    """Weight of the minimum spanning tree under mutual reachability, of the whole matrix of distances."""
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    core = np.sort(d, axis=1)[:, min_samples - 1]
+    w = np.maximum(d, np.maximum(core[:, None], core[None]))
+    least, out, total = w[0].copy(), np.ones(len(x), dtype=bool), 0.0
+    out[0] = False
+    for _ in range(len(x) - 1):
+        k = int(np.where(out, least, np.inf).argmin())
+        total += least[k]
+        out[k] = False
+        least = np.minimum(least, w[k])
+    return total
+
+
+@pytest.mark.parametrize("block_rows", [2048, 100])
+def test_the_tree_is_that_of_all_distances(spark, block_rows):
+    """Two thousand rows, groups of over 16 rows far apart, copies; far blocks do not meet."""
+    rng = np.random.default_rng(3)
+    groups = [rng.normal(c, 1, size=(n, 4)) for c, n in ((0, 700), (1000, 600), (1e4, 20), (-500, 400), (3, 200))]
+    x = np.concatenate([*groups, np.repeat(groups[0][:1], 80, axis=0)])
+    df = spark.createDataFrame([(7 * k, r.tolist()) for k, r in enumerate(x)], "vec_id long, f array<double>").repartition(4)
+    meter = spark.sparkContext.accumulator(0)
+    tree = discovery.spanning_edges(df, "vec_id", 3, block_rows=block_rows, meter=meter).collect()
+    assert len(tree) == len(x) - 1 and len({v for r in tree for v in (r["a"], r["b"])}) == len(x)
+    assert sum(r["w"] for r in tree) == pytest.approx(dense_weight(x, 3), rel=1e-9)
+    assert block_rows > 2000 or 0 < meter.value < len(x) ** 2 / 3
+
+
+def test_tree_of_few_rows(spark):
+    one = spark.createDataFrame([(5, [1.0, 2.0])], "vec_id long, f array<double>")
+    assert discovery.spanning_edges(one, "vec_id", 3).count() == 0
+    assert discovery.spanning_edges(one.filter("vec_id < 0"), "vec_id", 3).count() == 0
+    two = spark.createDataFrame([(5, [0.0]), (6, [3.0])], "vec_id long, f array<double>")
+    assert [tuple(r) for r in discovery.spanning_edges(two, "vec_id", 3).collect()] == [(5, 6, 3.0)]
