@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phmspark.llm import decontamination, language, ngram_join, packing, toxicity
-from phmspark.llm.common import new_path, spread, table
+from phmspark.llm.common import new_path, spread, table, written
 
 _NO_ID = 1 << 61  # rows that their id does not tell apart stand under a number of their text from here on
 
@@ -46,12 +46,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         named = named.join(shared, "doc_id", "left").withColumn("_row_id", F.when(F.col("_shared"), text_id).otherwise(F.col("_row_id"))).select(*docs.columns, "_row_id")
     found = ngram_join.components(named, id_col="_row_id").groupBy("_row_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n"))
     marked = found.filter((F.col("c") != F.col("_row_id")) | (F.col("n") > 1)).select("_row_id", (F.col("c") == F.col("_row_id")).alias("stays"))
-    if marked.count() <= ngram_join.BROADCAST_ROWS:
-        marked = F.broadcast(marked)
-    met = named.join(marked, "_row_id", "left")
+    marked = written(marked, "marked")
+    named = ngram_join.flagged(named, F.col("_row_id"), marked, "_row_id")  # other texts stay where they are
+    met = named.filter("_may").join(marked, "_row_id", "left")
     by = [f.name for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
     once = met.filter("stays").groupBy("_row_id").agg(F.min_by(F.struct(*docs.columns), F.struct(*by)).alias("r")).select("r.*")
-    return met.filter("stays IS NULL").select(docs.columns).unionByName(once)
+    return named.filter("NOT _may").select(docs.columns).unionByName(met.filter("stays IS NULL").select(docs.columns)).unionByName(once)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
