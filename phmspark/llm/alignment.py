@@ -3,9 +3,8 @@
 For each text both id lists are laid over the same bytes. A dictionary from cumulative end to index is made of each list;
 the ends that both have, in order, slice the lists into groups, and the links of a group are all pairs of its ids.
 
-A space between two other characters begins a token of both tokenizers, so the groups of a text are those of its
-space-led words in a row: a task aligns each different word once while it remembers it. A text with a word whose bytes
-do not come back is aligned as a whole.
+A space between two other characters begins a token of both tokenizers, so a text's ids are those of its space-led words
+in a row, and words are encoded once while a task remembers them. The texts of a batch are aligned one behind the other.
 
 Counts of linked id pairs are added up over all documents. The most frequent pairs, a bounded number, travel to the tasks;
 the documents' other links meet their counts over a shuffle, in which no key is frequent.
@@ -18,7 +17,8 @@ import os
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,132 +28,186 @@ from pyspark.sql import functions as F
 
 from phmspark.llm.batches import cuts
 from phmspark.llm.common import spread, table, written
-from phmspark.llm.packing import _BETWEEN_WORDS, _SPACES, WordIds, _byte_of
+from phmspark.llm.packing import _SPACES, WordIds, _byte_of
 
 TOP_PAIRS = 1_000_000  # id pairs whose counts every task holds, most frequent first: 16 bytes each
 _SPACE = "▁"  # stands for the space in pieces
+_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
-_EMPTY = hashlib.sha256(b"").hexdigest()
+LONG_GROUP = 4096  # links of a group that are expanded one by one
 HELD_CODES = 1_000_000  # link codes that a task counts at once
 
 
-def ends(lengths: list[int]) -> dict[int, int]:
-    """Cumulative end -> how many tokens end there or before; of tokens without bytes the last counts."""
-    return {end: k + 1 for k, end in enumerate(accumulate(lengths))}
+def common_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many tokens of either side end at or before each cumulative end that both sides have, in order."""
+    at_a, at_b = (dict(zip(x.tolist(), range(1, len(x) + 1))) for x in (a, b))
+    both = sorted(at_a.keys() & at_b.keys())
+    return np.array([at_a[x] for x in both], dtype=np.int64), np.array([at_b[x] for x in both], dtype=np.int64)
 
 
-def groups(a: list[int], b: list[int], a_lengths: list[int], b_lengths: list[int]) -> list[tuple[list[int], list[int]]]:
-    """The groups of two id lists over the same bytes: id lists that begin and end at the same bytes, as short as can be."""
-    at_a, at_b = ends(a_lengths), ends(b_lengths)
-    found, i, j = [], 0, 0
-    for end in sorted(at_a.keys() & at_b.keys()):
-        found.append((a[i : at_a[end]], b[j : at_b[end]]))
-        i, j = at_a[end], at_b[end]
-    return found
+def link_codes(a: list[int], b: list[int], width: int) -> dict[int, int]:
+    """a * width + b -> how many links of the pair a group holds: copies of an id are multiplied, not paired."""
+    some = Counter(b).items()
+    return {x * width + y: n * m for x, n in Counter(a).items() for y, m in some}
 
 
-def link_codes(found: list[tuple[list[int], list[int]]], width: int) -> dict[int, int]:
-    """a * width + b -> how many links of the pair the groups hold; copies of an id in a long group are multiplied."""
-    codes: dict[int, int] = {}
-    for a, b in found:
-        if len(a) == len(b) == 1:
-            code = a[0] * width + b[0]
-            codes[code] = codes.get(code, 0) + 1
-            continue
-        some = Counter(b).items()
-        for x, n in Counter(a).items():
-            for y, m in some:
-                codes[x * width + y] = codes.get(x * width + y, 0) + n * m
-    return codes
+@dataclass
+class Aligned:
+    """What a batch of texts gives."""
 
-
-class Unit:
-    """What a word, or a whole text, gives."""
-
-    __slots__ = ("n_a", "n_b", "n_groups", "n_links", "groups", "codes", "times")
-
-    def __init__(self, a: list[int], b: list[int], found: list[tuple[list[int], list[int]]], width: int):
-        self.n_a, self.n_b, self.n_groups = len(a), len(b), len(found)
-        self.n_links = sum(len(x) * len(y) for x, y in found)
-        self.groups = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in found)
-        codes = link_codes(found, width)
-        self.codes = np.fromiter(codes.keys(), np.int64, len(codes))
-        self.times = np.fromiter(codes.values(), np.int64, len(codes))
+    sums: np.ndarray  # texts x (n_a, n_b, n_groups, n_links)
+    groups: list[str]
+    at: np.ndarray  # where each text's codes begin, and the last end
+    codes: np.ndarray
+    times: np.ndarray
 
 
 class Aligner:
-    """Units of texts under a byte-level BPE file (A, of a space and the text) and a piece model (B, which adds the space)."""
+    """Aligns texts under a byte-level BPE file (A, of a space and the text) and a piece model (B, which adds the space).
+
+    If no piece has a space behind another character, no token of either side crosses a space between two other
+    characters, and a text gives what its words give, one behind the other. A word gives its codes, its groups' text and
+    its numbers; what was met last is remembered (two generations of up to ``max_words``), and new words are aligned
+    together. Otherwise, or if some of the first texts say otherwise, texts are aligned as a whole."""
 
-    def __init__(self, path_a: str, path_b: str, max_words: int = 60_000, checked: int = 20):
+    def __init__(self, path_a: str, path_b: str, max_words: int = 160_000, checked: int = 20):
         import sentencepiece
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.words_a = WordIds(path_a, max_words)
-        self.words_a.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        self.a = WordIds(path_a)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        byte, tokenizer = _byte_of(), self.words_a.tokenizer
+        tokenizer, byte = self.a.tokenizer, _byte_of()
+        tokenizer.encode_special_tokens = True  # their strings are ordinary text
         added = tokenizer.get_added_tokens_decoder()
-        self.bytes_a = [added[k].content.encode() if k in added else bytes(byte[c] for c in tokenizer.id_to_token(k) or "") for k in range(tokenizer.get_vocab_size())]
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
+        self.bytes_a = [added[k].content.encode() if k in added else bytes(byte[c] for c in tokenizer.id_to_token(k) or "") for k in range(tokenizer.get_vocab_size())]
         self.bytes_b = [bytes([int(m[1], 16)]) if (m := _BYTE.fullmatch(p)) else p.replace(_SPACE, " ").encode() for p in pieces]
-        self.width = len(pieces)
-        # A piece with a space behind another character could cross from word to word
-        self.by_word = not any(_SPACE in p.lstrip(_SPACE) for p in pieces)
+        self.length_a, self.length_b = (np.array(list(map(len, x))) for x in (self.bytes_a, self.bytes_b))
+        self.width, self.to_check = len(pieces), checked
         if len(self.bytes_a) * self.width > 1 << 32:
             raise ValueError("the product of the vocabularies' sizes must be at most 2^32")
-        self.max_words, self.units, self.old, self.to_check = max_words, {}, {}, checked
-
-    def unit(self, text: str, a: list[int], b: list[int]) -> Unit | None:
-        """Of a space and ``text``; None if the bytes of the ids are others."""
-        a_bytes, b_bytes = [self.bytes_a[k] for k in a], [self.bytes_b[k] for k in b]
-        want = b" " + text.encode()
-        if b"".join(a_bytes) != want or b"".join(b_bytes) != want:
-            return None
-        return Unit(a, b, groups(a, b, list(map(len, a_bytes)), list(map(len, b_bytes))), self.width)
-
-    def whole(self, text: str) -> Unit | None:
-        return self.unit(text, np.frombuffer(self.words_a.plain(" " + text), "<u4").tolist(), self.b.encode(text, num_threads=1))
+        self.by_word = not any(_SPACE in p.lstrip(_SPACE) for p in pieces)
+        # Ids as they stand in a group's text: followed by a comma, or by the end of their side
+        self.shown = [f"{k}{c}" for k in range(len(self.bytes_a)) for c in ",|"] + [f"{k}{c}" for k in range(self.width) for c in ",;"]
+        self.max_words = max_words
+        self.words: dict[str, tuple | None] = {}
+        self.old: dict[str, tuple | None] = {}
+
+    def ids(self, words: list[str]) -> tuple[list[bytes], list[list[int]]]:
+        """Ids of both sides of words or texts, each as a whole."""
+        self.a.learn(words)
+        a = list(map(self.a.words.__getitem__, words))
+        self.a.words.clear()
+        return a, self.b.encode(words, num_threads=1)
+
+    def made(self, words: list[str]) -> list[tuple | None]:
+        """For each word or text (none empty): codes (uint32) and times (None: once each) as bytes, the groups' text, and
+        n_a, n_b, n_groups, n_links as bytes; None if the bytes of its ids are others."""
+        out: list[tuple | None] = [None] * len(words)
+        raw_a, list_b = self.ids(words)
+        sizes_a, sizes_b = np.array(list(map(len, raw_a)), dtype=np.int64) // 4, np.array(list(map(len, list_b)), dtype=np.int64)
+        a, b = np.frombuffer(b"".join(raw_a), "<u4").astype(np.int64), np.fromiter(chain.from_iterable(list_b), np.int64, int(sizes_b.sum()))
+        want = [b" " + w.encode() for w in words]
+        bytes_a, bytes_b = b"".join(map(self.bytes_a.__getitem__, a.tolist())), b"".join(map(self.bytes_b.__getitem__, b.tolist()))
+        upto = np.cumsum(list(map(len, want)), dtype=np.int64)
+        upto_a, upto_b = np.cumsum(sizes_a), np.cumsum(sizes_b)
+        ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        last = lambda ends, at: np.concatenate(([0], ends))[at]
+        whole = b"".join(want)
+        if bytes_a != whole or bytes_b != whole or (last(ends_a, upto_a) != upto).any() or (last(ends_b, upto_b) != upto).any():
+            if len(words) == 1:
+                return out
+            half = len(words) // 2  # what does not come back is found by halves
+            return self.made(words[:half]) + self.made(words[half:])
+        # All stand one behind the other: their ends are common ends, so no group goes over them
+        end_a, end_b = common_ends(ends_a, ends_b)
+        m, n = np.diff(end_a, prepend=0), np.diff(end_b, prepend=0)
+        start_a, start_b, links = end_a - m, end_b - n, m * n
+        first = np.concatenate(([0], np.searchsorted(end_a, upto_a, side="right")))  # group of each word, and the end
+        order = np.empty(len(a) + len(b), np.int64)
+        last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        last_a[end_a - 1], last_b[end_b - 1] = 1, 1
+        order[np.arange(len(a)) + np.repeat(start_b, m)] = 2 * a + last_a
+        order[np.arange(len(b)) + np.repeat(end_a, n)] = 2 * (len(self.bytes_a) + b) + last_b
+        shown = list(map(self.shown.__getitem__, order.tolist()))
+        # Links: all pairs of a group, one by one; a long group's are counted
+        each = np.where(links <= LONG_GROUP, links, 0)
+        place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        per = np.repeat(n, each)
+        codes = (a[np.repeat(start_a, each) + place // per] * self.width + b[np.repeat(start_b, each) + place % per]).astype("<u4").tobytes()
+        at = (4 * np.concatenate(([0], np.cumsum(each)))[first]).tolist()
+        numbers = np.stack((sizes_a, sizes_b, np.diff(first), np.diff(np.concatenate(([0], np.cumsum(links)))[first])), axis=1).astype("<i8").tobytes()
+        shown_at = np.concatenate(([0], upto_a + upto_b)).tolist()
+        out = [(codes[at[k] : at[k + 1]], None, "".join(shown[shown_at[k] : shown_at[k + 1]]), numbers[32 * k : 32 * k + 32]) for k in range(len(words))]
+        for g in np.flatnonzero(links > LONG_GROUP).tolist():
+            k = int(np.searchsorted(first, g, side="right")) - 1
+            found = link_codes(a[start_a[g] : end_a[g]].tolist(), b[start_b[g] : end_b[g]].tolist(), self.width)
+            codes_, times, text, numbers_ = out[k]
+            times = np.ones(len(codes_) // 4, "<i8").tobytes() if times is None else times
+            out[k] = codes_ + np.fromiter(found.keys(), "<u4", len(found)).tobytes(), times + np.fromiter(found.values(), "<i8", len(found)).tobytes(), text, numbers_
+        return out
 
     def _split(self, text: str) -> list[str]:
         if not self.by_word:
             return [text]
         if text[0].isspace() or text[-1].isspace() or _SPACES.search(text):
-            return _BETWEEN_WORDS.split(text)
+            return _BETWEEN.split(text)
         return text.split(" ")
 
-    def _learn(self, new: list[str]) -> None:
-        a = WordIds.of(self.words_a, [" " + w for w in new])
-        for w, ids, b in zip(new, a, self.b.encode(new, num_threads=1), strict=True):
-            self.units[w] = self.unit(w, np.frombuffer(ids, "<u4").tolist(), b)
-
-    def of(self, texts: list[str]) -> list[list[Unit] | None]:
-        """The units of each text, none empty; None where its bytes do not come back. The first texts of an instance are
-        held against what they give as a whole; with any difference all texts are aligned so."""
-        if self.by_word and self.to_check > 0:
-            some = texts[: self.to_check]
-            self.to_check = 0
-            for text, units in zip(some, self.of(some), strict=True):
-                one = self.whole(text)
-                self.by_word &= (None if one is None else one.groups) == (None if units is None else ";".join(u.groups for u in units))
-            self.units = {} if not self.by_word else self.units
-        split = [self._split(t) for t in texts]
-        if len(self.units) > self.max_words:
-            self.units, self.old = {}, self.units
-        new = set().union(*split).difference(self.units) if split else set()
+    def of(self, texts: list[str]) -> Aligned:
+        """Texts that are empty, or whose bytes do not come back, give zeros and no groups."""
+        full = [k for k, t in enumerate(texts) if t]
+        if self.by_word and self.to_check > 0 and full:
+            some = [texts[k] for k in full[: self.to_check]]
+            self.to_check -= len(some)
+            whole, parts = self.made(some), [self._made_of(self._split(t), self.made(self._split(t))) for t in some]
+            if any((x is None) != (y is None) or x is not None and x[2] != y[2] for x, y in zip(whole, parts, strict=True)):
+                self.by_word, self.words, self.old = False, {}, {}
+        split = [self._split(texts[k]) for k in full]
+        if len(self.words) > self.max_words or not self.by_word:
+            self.words, self.old = {}, self.words if self.by_word else {}
+        new = set().union(*split).difference(self.words)
         again = new.intersection(self.old)
-        self.units.update((w, self.old[w]) for w in again)
-        self._learn(sorted(new - again))
-        made: list[list[Unit] | None] = []
-        for text, words in zip(texts, split, strict=True):
-            units = list(map(self.units.__getitem__, words))
-            if None in units:
-                one = self.whole(text)
-                units = None if one is None else [one]
-            made.append(units)
-        return made
-
-
-_FIELDS = [("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("codes", pa.list_(pa.int32())), ("times", pa.list_(pa.int64()))]
+        self.words.update((w, self.old[w]) for w in again)
+        fresh = sorted(new - again)
+        for k in range(0, len(fresh), 4000):  # dictionaries of a few thousand words stay near
+            self.words.update(zip(fresh[k : k + 4000], self.made(fresh[k : k + 4000]), strict=True))
+        rows, found = [], []
+        for k, words in zip(full, split, strict=True):
+            one = self._made_of(words, list(map(self.words.__getitem__, words)))
+            if one is not None:
+                rows.append(k)
+                found.append(one)
+        groups, sums = [""] * len(texts), np.zeros((len(texts), 4), np.int64)
+        keys, times = [], []
+        for k, (codes, counts, text, numbers) in zip(rows, found, strict=True):
+            groups[k] = text[:-1]
+            sums[k] = np.frombuffer(numbers, "<i8").reshape(-1, 4).sum(axis=0)
+            code = np.frombuffer(codes, "<u4")
+            keys.append(code.astype(np.int64) + (k << 32))
+            times.append(None if counts is None else np.frombuffer(counts, "<i8"))
+        key = np.concatenate([np.empty(0, np.int64), *keys])
+        if all(t is None for t in times):
+            key, count = np.unique(key, return_counts=True)
+        else:
+            key, where = np.unique(key, return_inverse=True)
+            count = np.zeros(len(key), np.int64)
+            np.add.at(count, where, np.concatenate([np.ones(len(x), np.int64) if t is None else t for x, t in zip(keys, times, strict=True)]))
+        at = np.searchsorted(key, np.arange(len(texts) + 1, dtype=np.int64) << 32)
+        return Aligned(sums, groups, at, (key & 0xFFFFFFFF).astype(np.uint32), count)
+
+    @staticmethod
+    def _made_of(words: list[str], made: list[tuple | None]) -> tuple | None:
+        """What a text's words give, one behind the other."""
+        if None in made:
+            return None
+        codes, times, texts, numbers = zip(*made)
+        counts = None
+        if any(times):
+            counts = b"".join(np.ones(len(c) // 4, "<i8").tobytes() if t is None else t for c, t in zip(codes, times, strict=True))
+        return b"".join(codes), counts, "".join(texts), b"".join(numbers)
+
+
 _ALIGNED = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, codes array<int>, times array<long>"
 
 
@@ -163,6 +217,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", t
     (``a1,a2|b1;a3|b2,b3``: ids in order)."""
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"_uid long, `{id_col}` {id_type}, {_ALIGNED}" + (", groups string" if with_groups else "")
+    names = ["_uid", id_col, *(c.split()[0] for c in _ALIGNED.split(", ")), *(["groups"] * with_groups)]
     own = docs.select(F.monotonically_increasing_id().alias("_uid"), F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,22 +226,10 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", t
             where = cuts(pc.binary_length(batch.column(2)).to_numpy(), 1_000_000) if batch.num_rows else []
             for x, y in zip(where, where[1:]):
                 some = batch.slice(x, y - x)
-                texts = some.column(2).to_pylist()
-                found = iter(aligner.of([t for t in texts if t]))
-                rows = []
-                for units in (next(found) if t else None for t in texts):
-                    if units is None:
-                        rows.append((0, 0, 0, 0, "", [], [], ""))
-                        continue
-                    text = ";".join([u.groups for u in units])
-                    codes, place = np.unique(np.concatenate([u.codes for u in units]), return_inverse=True)
-                    times = np.zeros(len(codes), np.int64)
-                    np.add.at(times, place, np.concatenate([u.times for u in units]))
-                    sums = np.array([(u.n_a, u.n_b, u.n_groups, u.n_links) for u in units]).sum(0).tolist()
-                    rows.append((*sums, hashlib.sha256(text.encode()).hexdigest(), codes.astype(np.uint32).view(np.int32), times, text))
-                columns = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _FIELDS)]
-                extra = [pa.array([r[7] for r in rows])] * with_groups
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *columns, *extra], names=["_uid", id_col, *(n for n, _ in _FIELDS), *(["groups"] * with_groups)])
+                found = aligner.of(some.column(2).to_pylist())
+                digests = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in found.groups]
+                lists = [pa.ListArray.from_arrays(pa.array(found.at, pa.int32()), pa.array(v)) for v in (found.codes.view(np.int32), found.times)]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *map(pa.array, found.sums.T), pa.array(digests), *lists, *([pa.array(found.groups)] * with_groups)], names=names)
         pa.default_memory_pool().release_unused()  # the worker lives on
 
     return own.mapInArrow(run, schema)

@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter, defaultdict
 from itertools import accumulate
 
+import numpy as np
 import pytest
 
 from phmspark.llm import alignment
@@ -15,6 +16,9 @@ TEXTS = [
 ]
 
 
+TEXTS_THERE = [t for t in TEXTS if t]
+
+
 def paths():
     import public_tokenizers as own
 
@@ -85,15 +89,22 @@ def test_groups_and_empty_table(spark):
     assert alignment.align(empty, *paths()).count() == 0
 
 
-def test_links_of_long_groups_are_multiplied():
-    codes = alignment.link_codes([([1, 1, 2], [5, 5]), ([1], [5])], 10)
-    assert codes == {15: 5, 25: 2}
-    assert alignment.groups([1, 2, 3], [4, 5], [1, 2, 1], [3, 1]) == [([1, 2], [4]), ([3], [5])]
+def test_links_of_long_groups_are_multiplied(monkeypatch):
+    assert alignment.link_codes([1, 1, 2], [5, 5], 10) == {15: 4, 25: 2}
+    a, b = alignment.common_ends(np.array([1, 3, 4]), np.array([3, 4]))
+    assert a.tolist() == [2, 3] and b.tolist() == [1, 2]
+    aligner = alignment.Aligner(*paths())
+    one = aligner.of(TEXTS_THERE)
+    monkeypatch.setattr(alignment, "LONG_GROUP", 0)
+    two = aligner.of(TEXTS_THERE)
+    assert (one.codes == two.codes).all() and (one.times == two.times).all() and (one.at == two.at).all()
 
 
 def test_words_are_as_whole_texts():
-    aligner = alignment.Aligner(*paths())
+    aligner, whole = alignment.Aligner(*paths(), max_words=10), alignment.Aligner(*paths())
     assert aligner.by_word
-    for text, units in zip(TEXTS, aligner.of([t for t in TEXTS if t])):
-        whole = aligner.whole(text)
-        assert (whole is None) == (units is None) and (whole is None or whole.groups == ";".join(u.groups for u in units))
+    whole.by_word = False
+    for texts in (TEXTS_THERE, TEXTS_THERE[::-1], TEXTS_THERE[:3]):
+        x, y = aligner.of(texts), whole.of(texts)
+        assert x.groups == y.groups and (x.sums == y.sums).all() and (x.codes == y.codes).all() and (x.times == y.times).all()
+    assert aligner.by_word and [bool(g) for g in x.groups] == [True] * 3
