@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phmspark.functions import scalars as S
-from phmspark.operators import detectors, metrics, moments, neighbours, openset, ranking
+from phmspark.operators import detectors, metrics, moments, neighbours, openset, ranking, registered
 from phmspark.sources.scratch import written
 from phmspark.plans.base import FEATURES, ROLES, SCALED, features, query, table
 
@@ -90,7 +90,7 @@ _LW = f"""v AS ({FEATURES}), role AS ({ROLES}),
   mean AS (SELECT label, max(k) AS k, list(a ORDER BY i) AS mu FROM (SELECT label, i, count(*) AS k, avg(x) AS a FROM (SELECT label, generate_subscripts(f, 1) AS i, unnest(f) AS x FROM role WHERE role = 'train') GROUP BY label, i) GROUP BY label),
   away AS (SELECT vec_id, label, k, list_transform(f, lambda a, i: a - mu[i]) AS z FROM role JOIN mean USING (label) WHERE role = 'train'),
   cell AS (SELECT vec_id, label, k, generate_subscripts(z, 1) AS i, unnest(z) AS x FROM away),
-  prod AS (SELECT a.label, a.i, b.i AS j, sum(a.x * b.x) / any_value(a.k) AS s FROM cell a JOIN cell b USING (vec_id) GROUP BY ALL),
+  prod AS (SELECT a.label, a.i, b.i AS j, sum(a.x * b.x) / any_value(a.k) AS s FROM cell a JOIN cell b USING (vec_id, label) GROUP BY ALL),
   four AS (SELECT label, any_value(k) AS k, sum(list_inner_product(z, z) ** 2) AS f4 FROM away GROUP BY label),
   whole AS (SELECT label, k, f4, count(*) FILTER (i = j) AS p, sum(s) FILTER (i = j) AS tr, sum(s * s) AS sq FROM prod JOIN four USING (label) GROUP BY ALL),
   part AS (SELECT label, tr / p AS m, (sq - tr * tr / p) / p AS delta, (f4 / k - sq) / (p * k) AS beta FROM whole),
@@ -353,23 +353,36 @@ def m27_model_summary(spark, d):
     )
 
 
+# Models of versions: version ver knows the labels up to ver, scales by their training rows and fits each of them; the
+# models' label is 100 * ver + label. "v" is the relation of rows, "upto" the last version
+def versions_sql(v: str, upto: int) -> str:
+    models = _LW[_LW.index("mean AS (") : _LW.index("dist AS (")]
+    return f"""v AS ({v}), role_ AS ({ROLES}), ver AS (SELECT unnest(range(0, {upto + 1}))::INT AS ver),
+  dims AS (SELECT vec_id, label, role, generate_subscripts(f, 1) AS i, unnest(f) AS x FROM role_),
+  scaler AS (SELECT ver, i, quantile_cont(x, 0.5) AS centre, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS spread FROM dims JOIN ver ON label <= ver WHERE role = 'train' GROUP BY ver, i),
+  every AS (SELECT ver, vec_id, label, role, list((x - centre) / CASE WHEN spread = 0 THEN 1 ELSE spread END ORDER BY i) AS f FROM dims JOIN scaler USING (i) GROUP BY ver, vec_id, label, role),
+  role AS (SELECT 100 * ver + label AS label, vec_id, role, f FROM every WHERE label <= ver),
+  {models} dist AS (SELECT ver, vec_id, truth, role, cls, {_QUADRATIC} AS d FROM (SELECT e.ver, e.vec_id, e.label AS truth, e.role, p.label % 100 AS cls, p.p, list_transform(f, lambda a, i: a - mu[i]) AS z FROM every e JOIN p ON p.label // 100 = e.ver)),
+  thr AS (SELECT ver, cls, quantile_cont(d, 0.95) AS threshold FROM dist WHERE truth = cls AND role = 'cal' GROUP BY ver, cls),
+  best AS (SELECT *, row_number() OVER (PARTITION BY ver, vec_id ORDER BY s, cls) AS k FROM (SELECT ver, vec_id, truth, role, cls, d / greatest(threshold, 1e-12) AS s FROM dist JOIN thr USING (ver, cls)))"""
+
+
 @query(
     "m24_registration",
-    f"""WITH RECURSIVE {_LW}, s AS (SELECT vec_id, truth, role, cls, d / greatest(threshold, 1e-12) AS s FROM dist JOIN thr USING (cls)),
-        b AS (SELECT v, truth, role, cls, s, row_number() OVER (PARTITION BY v, vec_id ORDER BY s, cls) AS k FROM s, (SELECT unnest(range(0, 10)) AS v) WHERE cls <= v)
-        SELECT v::INTEGER AS model_version, count(*) AS n_rows, count(*) FILTER (s > 1) AS n_unknown, count(*) FILTER (s > 1 AND truth > v) AS n_novel, count(*) FILTER (truth <= v AND role = 'holdout') AS n_holdout, count(*) FILTER (truth <= v AND role = 'holdout' AND s <= 1 AND cls = truth) AS n_right FROM b WHERE k = 1 GROUP BY v""",
+    f"""WITH RECURSIVE {versions_sql(FEATURES, 9)} SELECT ver::INTEGER AS model_version, count(*) AS n_rows, count(*) FILTER (s > 1) AS n_unknown, count(*) FILTER (s > 1 AND truth > ver) AS n_novel,
+        count(*) FILTER (truth <= ver AND role = 'holdout') AS n_holdout, count(*) FILTER (truth <= ver AND role = 'holdout' AND s <= 1 AND cls = truth) AS n_right, round(avg(s), 5) AS mean_score FROM best WHERE k = 1 GROUP BY ver""",
 )
 def m24_registration(spark, d):
-    """Classes registered one after another: version v knows the labels up to v, is fitted on their rows and scores all
-    rows. A class's model depends on its own rows alone, so all versions come from one fit, as from one after another."""
-    long = class_distances(spark, d)
-    fit = openset.thresholds(long.filter("truth = cls AND role = 'cal'"), "cls", "d")
-    ratio = F.col("d") / F.greatest("threshold", F.lit(1e-12))
-    versions = long.join(F.broadcast(fit), "cls").withColumn("model_version", F.explode(F.sequence(F.col("cls"), F.lit(9))))
-    best = versions.groupBy("model_version", "vec_id", "truth", "role").agg(F.min(F.struct(ratio.alias("s"), "cls")).alias("b"))
-    unknown, later = F.col("b.s") > 1, F.col("truth") > F.col("model_version")
+    """Classes registered one after another: version v knows the labels up to v. Every version scales anew by all rows it
+    is fitted on and fits all its classes; versions are keys of one job, and each scores all rows."""
+    rows = written(ranking.with_role(features(spark, d), ["label"], "vec_id").select("vec_id", "label", "role", "f"), "roles")
+    every = rows.withColumn("version", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    models, scalers = registered.fit(every.filter("label <= version").select("version", F.col("label").alias("cls"), "role", "f"))
+    told = registered.scores(every, models, scalers)
+    unknown, later = F.col("score") > 1, F.col("label") > F.col("version")
     held = ~later & (F.col("role") == "holdout")
-    return best.groupBy("model_version").agg(F.count("*").alias("n_rows"), F.count_if(unknown).alias("n_unknown"), F.count_if(unknown & later).alias("n_novel"), F.count_if(held).alias("n_holdout"), F.count_if(held & ~unknown & (F.col("b.cls") == F.col("truth"))).alias("n_right"))
+    counts = (F.count("*").alias("n_rows"), F.count_if(unknown).alias("n_unknown"), F.count_if(unknown & later).alias("n_novel"), F.count_if(held).alias("n_holdout"), F.count_if(held & ~unknown & (F.col("cls") == F.col("label"))).alias("n_right"))
+    return told.groupBy(F.col("version").alias("model_version")).agg(*counts, F.round(F.avg("score"), 5).alias("mean_score"))
 
 
 @query(

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from phmspark.operators import quantiles
+from phmspark.operators.registered import ModelTable
 from phmspark.plans.base import SCORES, features, query, scores
-from phmspark.plans.models import _KNN, knn_scores, scaled_rows
+from phmspark.plans.models import _KNN, knn_scores, scaled_rows, versions_sql
 from phmspark.plans.series import _ALARM, _EWMA
-from phmspark.sources.scratch import written
-from phmspark.streaming import discovery, monitor
+from phmspark.sources.scratch import new_path, written
+from phmspark.streaming import discovery, monitor, replay
 
 
 @query("r1_score_stream", f"WITH s AS ({SCORES}), m AS (SELECT kind, quantile_cont(score, 0.9) AS t FROM s GROUP BY kind) SELECT event_id, round(score / t, 5) AS ratio, CASE WHEN score / t > 1 THEN 'unknown' ELSE 'known' END AS verdict FROM s JOIN m USING (kind)")
@@ -100,3 +101,60 @@ def r5_r7_discovery(spark, d):
     fates = said.groupBy("vec_id").agg(F.collect_set("fate").alias("fates"))
     met = held.join(fates, "vec_id", "left")
     return met.groupBy("label").agg(F.count("*").alias("held"), *(F.count_if(F.array_contains("fates", x)).alias(x) for x in ("clustered", "rejected", "adopted", "pruned")))
+
+
+# Configurations far from healthy: component k of the rows of label k is moved by 10
+_MOVED = "SELECT vec_id, label, list_transform(embedding, lambda x, i: x::DOUBLE + CASE WHEN label > 0 AND i = label + 1 THEN 10 ELSE 0 END) AS f FROM embeddings"
+
+
+def moved(spark, d):
+    """vec_id, label, config, f: the given vectors, those of each fault label moved along an axis of its own."""
+    f = F.transform("f", lambda x, i: x + F.when((F.col("label") > 0) & (i == F.col("label")), 10.0).otherwise(0.0))
+    return features(spark, d).select("vec_id", "label", F.concat(F.lit("c"), F.col("label").cast("string")).alias("config"), f.alias("f"))
+
+
+def _streamed(spark, rows, order: str):
+    """Rows as a stream of one file for each parity of ``order``, the even first."""
+    path = new_path(spark, "rows")
+    for k in (0, 1):
+        rows.filter(F.col(order) % 2 == k).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("r1_latest_version", f"WITH RECURSIVE {versions_sql(_MOVED, 1)} SELECT vec_id, ver AS version, round(s, 5) AS score, CASE WHEN s > 1 THEN 'unknown' WHEN cls = 0 THEN 'healthy' ELSE 'known' END AS verdict FROM best WHERE k = 1")
+def r1_latest_version(spark, d):
+    """All rows streamed under version 0, then, by a second stream, under version 1 that is published in between."""
+    rows = moved(spark, d)
+    table = ModelTable(spark, new_path(spark, "models"))
+    out = None
+    for label in (0, 1):
+        table.register(rows.filter(F.col("label") == label))
+        path = new_path(spark, "scored")
+        replay.score_latest(_streamed(spark, rows.select("vec_id", "f"), "vec_id"), table, path, new_path(spark, "state")).awaitTermination()
+        told = spark.read.parquet(path).select("vec_id", "version", F.round("score", 5).alias("score"), "verdict")
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
+@query("r4_quarantine_stream", f"WITH RECURSIVE {versions_sql(_MOVED, 0)}, q AS (SELECT vec_id, s, row_number() OVER (ORDER BY vec_id % 2, vec_id) AS n FROM best WHERE k = 1 AND s > 2) SELECT vec_id, n, round(s, 5) AS score, n >= 25 AND (n - 25) % 10 = 0 AS attempt FROM q")
+def r4_quarantine_stream(spark, d):
+    """Rows beyond the margin of 2, held batch by batch, and at which of them clustering is tried."""
+    rows = moved(spark, d)
+    table = ModelTable(spark, new_path(spark, "models"))
+    table.register(rows.filter("label = 0"))
+    held = replay.Quarantine(spark, new_path(spark, "quarantine"))
+    stream = _streamed(spark, rows.select("vec_id", "f"), "vec_id")
+    replay.quarantine_stream(stream, table, held, new_path(spark, "state")).awaitTermination()
+    return held.rows().select("vec_id", "n", F.round("score", 5).alias("score"), "attempt")
+
+
+@query("r7_replay")
+def r7_replay(spark, d):
+    """The fault labels injected one after another: what each stage found, and what the last version makes of each
+    configuration's external rows."""
+    rows = moved(spark, d)
+    labels = [r["label"] for r in rows.filter("label > 0").select("label").distinct().orderBy("label").collect()]  # configurations: a stage each
+    run = replay.Replay(rows.select("vec_id", "config", "f"), "c0", [f"c{x}" for x in labels], new_path(spark, "replay"))
+    stages = spark.createDataFrame([(s.config, s.ticks, s.discovered, s.matched, s.cluster_size, s.purity, s.pruned, s.held, s.version, s.duplicates, s.own_holdout, s.healthy_holdout) for s in run.run()], "config string, ticks long, discovered boolean, matched string, cluster_size long, purity double, pruned long, held long, version long, duplicates long, own_holdout double, healthy_holdout double")
+    rejected = run.rejections.groupBy("config").agg(F.count("*").alias("rejections"))
+    return stages.join(run.external(), "config", "left").join(rejected, "config", "left").na.fill(0, ["rejections"])
