@@ -4,8 +4,11 @@ Every element gets its characters per tag, adjusted for the characters and tags
 The block whose children's densities have the largest sum holds the article; the least density on its path up to the
 body is the threshold by which further blocks are taken, each again by its largest sum inside.
 
-Boilerplate names in class or id, and forms, only lower a claim: what holds the block that is densest even so keeps its
-place.
+Where an article element (or else a main element) outside a named block has text, the article is in it, and nothing else
+on the page competes, however many dense blocks there are; of several, those count that have a fair share of the longest's
+text. A section under a heading of comments or related pages is boilerplate. Boilerplate names in class or id, and forms,
+only lower a claim: a named block wins only if it holds the block that is densest even so and the best block without a
+name has next to no text beside it.
 """
 
 from __future__ import annotations
@@ -47,6 +50,13 @@ FORM_PARTS = frozenset(("label", "legend"))
 UNNAMED = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
 SLUGGED = frozenset("section h1 h2 h3 h4 h5 h6".split())
 NAMED_CLAIM = 0.25  # what the density of a block in an element of such a name counts
+NEXT_TO_NONE = 20  # a named block wins only over an unnamed one of so many times fewer characters
+FAIR_SHARE = 0.25  # of the longest article's characters, that another article of the page needs to count as one
+# Headings of sections that are no part of an article, without numbers and punctuation
+BESIDE = frozenset(
+    "comments|comment|reader comments|user comments|leave a comment|post a comment|leave a reply|replies|related|related articles|"
+    "related posts|related stories|related content|more stories|more articles|you may also like|you might also like|read next|recommended|recommended for you".split("|")
+)
 _NAME = re.compile(r"[a-z0-9]+")
 _MODIFIER = re.compile(r"(?:has|have|no|not|with|without)[-_]")
 
@@ -189,6 +199,67 @@ def _weigh(tree: _Tree, noise: list[bool], claim: list[float]) -> tuple[list[int
     return chars, dens, best
 
 
+def _beside(tree: _Tree) -> list[bool]:
+    """Of each element: whether it is a block that begins with a heading of comments or related pages."""
+    n, parent, tag = len(tree.tag), tree.parent, tree.tag
+    heading: dict[int, list[str]] = {}
+    first: dict[int, int] = {}  # block: the heading it begins with; -1: something else
+    of = list(range(n))
+    for k in range(1, n):
+        if tag[k] not in HEADINGS:
+            of[k] = of[parent[k]] if tag[of[parent[k]]] in HEADINGS else k
+    for k, text in tree.texts:
+        if tree.noise[k] or not text.strip():
+            continue
+        h = of[k] if tag[of[k]] in HEADINGS else -1
+        if h >= 0:
+            heading.setdefault(h, []).append(text)
+        up = parent[h] if h >= 0 else k
+        while up >= 0 and up not in first:
+            first[up] = h
+            up = parent[up]
+    out = [False] * n
+    for k, h in first.items():
+        if h >= 0 and tag[k] in ("section", "div", "ul", "ol"):
+            out[k] = " ".join(re.findall(r"[a-z]+", "".join(heading[h]).lower())) in BESIDE
+    return out
+
+
+def _inside(parent: list[int], marks: set[int]) -> list[bool]:
+    out = [k in marks for k in range(len(parent))]
+    for k in range(1, len(parent)):
+        out[k] = out[k] or out[parent[k]]
+    return out
+
+
+def _articles(tree: _Tree, noise: list[bool]) -> set[int]:
+    """Outermost article elements (or else main elements) that are in no named block and have a fair share of text."""
+    n, parent, tag = len(tree.tag), tree.parent, tree.tag
+    named = _inside(parent, {k for k in range(n) if tree.named[k]})
+    chars = [0] * n
+    for k, text in tree.texts:
+        if not noise[k]:
+            chars[k] += len("".join(text.split()))
+    for k in range(n - 1, 0, -1):
+        chars[parent[k]] += chars[k]
+    for name in ("article", "main"):
+        all_of = {k for k in range(n) if tag[k] == name}
+        found = [k for k in all_of if chars[k] and not noise[k] and not named[k] and not _inside_any(parent, k, all_of)]
+        if found:
+            most = max(chars[k] for k in found)
+            return {k for k in found if chars[k] >= FAIR_SHARE * most}
+    return set()
+
+
+def _inside_any(parent: list[int], k: int, some: set[int]) -> bool:
+    k = parent[k]
+    while k >= 0:
+        if k in some:
+            return True
+        k = parent[k]
+    return False
+
+
 def main_text(html: str | None) -> str:
     """Blocks of the article, each with single spaces, in page order, joined by line ends; '' if there are none."""
     if not html:
@@ -196,20 +267,36 @@ def main_text(html: str | None) -> str:
     tree = _Tree()
     tree.feed(html)
     tree.close()
-    parent, tag, noise = tree.parent, tree.tag, tree.noise
+    parent, tag = tree.parent, tree.tag
     n = len(tag)
     body = tag.index("body") if "body" in tag else 0
+    beside = _beside(tree)
+    noise = [a or b for a, b in zip(tree.noise, _inside(parent, {k for k in range(n) if beside[k]}), strict=True)]
+    articles = _articles(tree, noise)
+    if not articles:  # a page may be one such section: then its heading only speaks against it
+        noise, tree.named = tree.noise, [a or b for a, b in zip(tree.named, beside, strict=True)]
+        articles = _articles(tree, noise)
+    open_to_all = noise
+    if articles:
+        noise = [a or not b for a, b in zip(noise, _inside(parent, articles), strict=True)]
     if any(tree.named):
         claim = [1.0] * n
         for k in range(1, n):
             claim[k] = claim[parent[k]] * (NAMED_CLAIM if tree.named[k] else 1.0)
-        kept, k = set(), _weigh(tree, noise, claim)[2][body]
+        weighed = _weigh(tree, noise, claim)
+        winner = weighed[2][body]
+        plain = [a or b for a, b in zip(noise, _inside(parent, {k for k in range(n) if tree.named[k]}), strict=True)]
+        other = _weigh(tree, plain, [1.0] * n)
+        kept, k = set(), winner
         while k >= 0:
             kept.add(k)
             k = parent[k]
+        if other[0][other[2][body]] * NEXT_TO_NONE >= weighed[0][winner]:
+            kept = set()
         noise = noise[:]
         for k in range(1, n):
-            noise[k] = noise[k] or noise[parent[k]] or (tree.named[k] and k not in kept)
+            noise[k] = noise[k] or (tree.named[k] and k not in kept)
+        noise = [a or b for a, b in zip(noise, _inside(parent, {k for k in range(n) if tree.named[k] and k not in kept}), strict=True)]
     chars, dens, best = _weigh(tree, noise, [1.0] * n)
     top = best[body]
     threshold, k = dens[top], top
@@ -223,6 +310,9 @@ def main_text(html: str | None) -> str:
             taken[k] = True
         elif not noise[k] and chars[k] and tag[k] in BLOCK and dens[k] >= threshold and not taken[k]:
             taken[best[k]] = True
+    if articles:  # headings above the article, such as its title
+        begin = taken.index(True) if True in taken else 0
+        noise = [a and not (k < begin and tag[k] in HEADINGS and not open_to_all[k]) for k, a in enumerate(noise)]
     holds = taken[:]  # has taken elements inside: its own headings belong to them
     for k in range(n - 1, 0, -1):
         holds[parent[k]] |= holds[k]
