@@ -190,23 +190,34 @@ def fit(texts: list[str], langs: list[str], windows_per_text: int = 8, steps: in
     seq, place = np.repeat(np.arange(s), lengths), np.concatenate([np.arange(x) for x in lengths])
     word = np.array([number[w] for ws, _ in mixed for w in ws])
     y = np.array([z for _, ys in mixed for z in ys])
-    told = np.zeros((len(y), n), dtype=np.float32)
-    told[np.arange(len(y)), y] = 1
     pairs = np.flatnonzero(place[1:] > 0)
     seen = np.zeros((n, n))
     np.add.at(seen, (y[pairs], y[pairs + 1]), 1)
     w, trans = np.zeros((features.size, n), dtype=np.float32), np.zeros((n, n))
     m = [[np.zeros_like(w), np.zeros_like(w)], [np.zeros_like(trans), np.zeros_like(trans)]]
-    padded = np.zeros((s, WINDOW, n), dtype=np.float32)
+    # Windows, and words, so many at once that no array grows with their number times that of the languages
+    some = max(1, CELLS // (WINDOW * n))
+    blocks = [(k, min(s, k + some), *np.searchsorted(seq, [k, k + some]).tolist()) for k in range(0, s, some)]
+    ends = np.append(starts, len(ids))
+    spans = [(k, min(len(vocabulary), k + 20_000)) for k in range(0, len(vocabulary), 20_000)]
     for step in range(1, steps + 1):
-        padded[seq, place] = np.add.reduceat(w[ids], starts)[word]
-        marginal, forward, ahead = chains(padded, lengths, trans)
-        off = told - marginal[seq, place]
-        by_word = np.stack([np.bincount(word, off[:, k], len(vocabulary)) for k in range(n)], axis=1)
-        gw = np.stack([np.bincount(ids, by_word[owner, k], features.size) for k in range(n)], axis=1) / len(y) - decay * w
-        before, after = forward[seq[pairs], place[pairs]], ahead[seq[pairs], place[pairs + 1]]
-        joint = before[:, :, None] * np.exp(trans)[None] * after[:, None, :]
-        gt = (seen - (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)) / len(y) - decay * trans
+        emitted = np.concatenate([np.add.reduceat(w[ids[ends[c] : ends[d]]], starts[c:d] - ends[c]) for c, d in spans])
+        by_word, gt, move = np.zeros((n, len(vocabulary))), seen.copy(), np.exp(trans)
+        for first, last, c, d in blocks:
+            row, column = seq[c:d] - first, place[c:d]
+            padded = np.zeros((last - first, WINDOW, n), dtype=np.float32)
+            padded[row, column] = emitted[word[c:d]]
+            marginal, forward, ahead = chains(padded, lengths[first:last], trans)
+            off = -marginal[row, column]
+            off[np.arange(d - c), y[c:d]] += 1
+            for k in range(n):
+                by_word[k] += np.bincount(word[c:d], off[:, k], len(vocabulary))
+            here = np.flatnonzero(column[1:] > 0)
+            before, after = forward[row[here], column[here]], ahead[row[here + 1], column[here + 1]]
+            z = ((before @ move) * after).sum(axis=1)  # of all pairs of languages in closed form
+            gt -= move * ((before / z[:, None]).T @ after)
+        gw = np.stack([np.bincount(ids, by_word[k][owner], features.size) for k in range(n)], axis=1) / len(y) - decay * w
+        gt = gt / len(y) - decay * trans
         for x, g, (g1, g2) in ((w, gw, m[0]), (trans, gt, m[1])):
             g1 += 0.1 * (g - g1)
             g2 += 0.01 * (g * g - g2)
