@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phmspark.llm.batches import with_text_columns
-from phmspark.llm.common import bounded_collect, fold, spread, table
+from phmspark.llm.common import bounded_collect, fold, spread, table, written
 from phmspark.llm.fit_sample import class_counts, distinct_texts, one_label, share
 
 _WORD = re.compile(r"\w+")
@@ -98,48 +98,66 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def log_odds(counts: DataFrame, n_toxic: float, n_clean: float, prior: float, z: float, max_features: int) -> dict[str, float]:
-    """Significant log-odds of (feature, toxic, clean) document counts under a Dirichlet prior of ``prior`` documents."""
-    a = F.lit(prior) * (F.col("toxic") + F.col("clean")) / F.lit(n_toxic + n_clean)
+    """Significant log-odds of (feature, toxic, clean) document counts under a Dirichlet prior of ``prior`` documents,
+    which shrinks what few documents have. Significance is the signed root of the likelihood ratio of the counts against
+    one share for both classes: unlike the odds over their deviation it holds for features that no clean text has."""
+    whole = F.col("toxic") + F.col("clean")
+    a = F.lit(prior) * whole / F.lit(n_toxic + n_clean)
     up, uc = F.col("toxic") + a, F.col("clean") + a
     odds = F.log(up / (F.lit(n_toxic + prior) - up)) - F.log(uc / (F.lit(n_clean + prior) - uc))
-    told = counts.withColumn("odds", odds).withColumn("z", F.col("odds") / F.sqrt(1 / up + 1 / uc)).filter((F.col("toxic") >= 3) & (F.col("z") >= z) & (F.col("odds") >= 1))
+    share_ = whole / F.lit(n_toxic + n_clean)
+    part = lambda k, n, p: F.when(k > 0, k * F.log(k / (F.lit(n) * p))).otherwise(0.0)
+    ratio = sum(part(F.col(c), n, share_) + part(F.lit(n) - F.col(c), n, 1 - share_) for c, n in (("toxic", n_toxic), ("clean", n_clean)))
+    told = counts.withColumn("odds", odds).withColumn("z", F.sqrt(F.greatest(2 * ratio, F.lit(0.0)))).filter((F.col("z") >= z) & (F.col("odds") >= 1))
     return {r["feature"]: r["odds"] for r in bounded_collect(told.select("feature", "odds"), max_features)}
 
 
-def fit(sample: DataFrame, toxic_share: float, prior_share: float = 0.03, z: float = 3.5, alpha: float = 0.1, max_features: int = 200_000) -> Model:
-    """From texts and labels (y). The prior weighs ``prior_share`` of the sample. Two thirds of the sample, by hash, give the scores; the rest calibrates."""
-    weights, rest = sample.filter(F.pmod("key", F.lit(3)) != 0), sample.filter(F.pmod("key", F.lit(3)) == 0)
+FOLDS = 3
+
+
+def fit(sample: DataFrame, toxic_share: float, prior_share: float = 0.03, z: float = 3.7, alpha: float = 0.1, max_features: int = 200_000) -> Model:
+    """From texts and labels (y). The prior weighs ``prior_share`` of the sample. All of the sample gives the scores; what
+    they are worth is found by cross-fitting: each third, by hash, is scored with the odds of the two others, and the law
+    of clean segments and the curve of probabilities are fitted to all thirds together."""
+    sample = sample.withColumn("fold", F.pmod("key", F.lit(FOLDS)).cast("int"))
+    names = [f"{c}{k}" for c in ("clean", "toxic") for k in range(FOLDS)]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        toxic, clean = Counter(), Counter()
+        met = [Counter() for _ in names]
         for batch in batches:
-            for text, y in zip(batch["text"], batch["y"], strict=True):
-                (toxic if y == 1 else clean).update({f for w in set(_WORD.findall(text)) for f in features(w)})
-        names = sorted(toxic)  # what only clean texts have is never significant here
-        yield pd.DataFrame({"feature": names, "toxic": [toxic[x] for x in names], "clean": [clean[x] for x in names]})
-        names = sorted(set(clean) - set(toxic))
-        yield pd.DataFrame({"feature": names, "toxic": 0, "clean": [clean[x] for x in names]})
-
-    size = {r["y"]: r["count"] for r in weights.groupBy("y").count().collect()}
-    nt, nc = float(size.get(1, 0)), float(size.get(0, 0))
+            for text, y, k in zip(batch["text"], batch["y"], batch["fold"], strict=True):
+                met[FOLDS * int(y == 1) + k].update({f for w in set(_WORD.findall(text)) for f in features(w)})
+        found = sorted(set().union(*met))
+        yield pd.DataFrame({"feature": found} | {name: [m[x] for x in found] for name, m in zip(names, met, strict=True)})
+
+    size = {(int(r["y"] == 1), r["fold"]): float(r["count"]) for r in sample.groupBy("y", "fold").count().collect()}
+    n_of = lambda y, but=None: sum(n for (c, k), n in size.items() if c == y and k != but)
     base = float(np.log((toxic_share + 1e-6) / (1 - toxic_share + 1e-6)))
-    if not nt or not nc:
+    if not n_of(1) or not n_of(0):
         return Model({}, -0.05, intercept=float(np.clip(base, -8, 8)), alpha=alpha)
-    counts = weights.select("text", "y").mapInPandas(count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    model = Model(log_odds(counts, nt, nc, prior_share * (nt + nc), z, max_features), -0.05, alpha=alpha)
+    counts = sample.select("text", "y", "fold").mapInPandas(count, "feature string, " + ", ".join(f"{c} long" for c in names)).groupBy("feature").agg(*(F.sum(c).alias(c) for c in names))
+    counts = written(counts, "feature-counts")
+
+    def scores(but: int | None = None) -> dict[str, float]:
+        nt, nc = n_of(1, but), n_of(0, but)
+        some = counts.select("feature", *(sum((F.col(f"{c}{k}") for k in range(FOLDS) if k != but), F.lit(0)).alias(c) for c in ("toxic", "clean")))
+        return log_odds(some.filter("toxic > 0"), nt, nc, prior_share * (nt + nc), z, max_features) if nt and nc else {}
+
+    model = Model(scores(), -0.05, alpha=alpha)
     if not model.score:
         return Model({}, -0.05, intercept=float(np.clip(base, -8, 8)), alpha=alpha)
+    others = [Model(scores(k), -0.05, alpha=alpha) for k in range(FOLDS)]
+    rest = sample
 
     def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = model
         for batch in batches:
             rows = []
-            for text, y in zip(batch["text"], batch["y"], strict=True):
-                s = m.scores(_WORD.findall(text))
+            for text, y, k in zip(batch["text"], batch["y"], batch["fold"], strict=True):
+                s = others[k].scores(_WORD.findall(text))
                 rows.append((int(y), len(s), int((s > 0).sum()), float(s[s > 0].sum()), max((x[2] for x in maximal_segments(s)), default=0.0)))
             yield pd.DataFrame(rows, columns=["y", "n", "hits", "gain", "top"])
 
-    got = pd.DataFrame([r.asDict() for r in rest.select("text", "y").mapInPandas(profile, "y int, n long, hits long, gain double, top double").collect()], columns=["y", "n", "hits", "gain", "top"])  # numbers only, of the bounded sample
+    got = pd.DataFrame([r.asDict() for r in rest.select("text", "y", "fold").mapInPandas(profile, "y int, n long, hits long, gain double, top double").collect()], columns=["y", "n", "hits", "gain", "top"])  # numbers only, of the bounded sample
     clean = got[got["y"] == 0]
     n, hits = float(clean["n"].sum()), float(clean["hits"].sum())
     # A hit's mean score in clean texts; other words bear the log of their share among toxic against clean words, or less:
@@ -152,13 +170,16 @@ def fit(sample: DataFrame, toxic_share: float, prior_share: float = 0.03, z: flo
     model.decay = _decay(p, hit, model.other)
     tops = clean["top"].to_numpy()
     model.scale = float((len(clean) + 1) / (np.sum(np.maximum(clean["n"], 1) * np.exp(-model.decay * tops)) + 1)) if len(clean) else 0.1
-    model._seen.clear()
+    for m in (model, *others):
+        m.other, m.decay, m.scale = model.other, model.decay, model.scale
+        m._seen.clear()
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"y": batch["y"].astype("int32"), "x": [model.evidence(model.passages(model.scores(_WORD.findall(t)))) for t in batch["text"]]})
+            by = [others[k] for k in batch["fold"]]
+            yield pd.DataFrame({"y": batch["y"].astype("int32"), "x": [m.evidence(m.passages(m.scores(_WORD.findall(t)))) for m, t in zip(by, batch["text"], strict=True)]})
 
-    told = [(r["y"], r["x"]) for r in rest.select("text", "y").mapInPandas(weigh, "y int, x double").collect()]
+    told = [(r["y"], r["x"]) for r in rest.select("text", "y", "fold").mapInPandas(weigh, "y int, x double").collect()]
     y, x = np.array([t[0] for t in told], dtype=float), np.array([t[1] for t in told])
     sampled = max(1e-6, y.mean()) if len(y) else 0.5
     a, model.slope = _logistic(x, y)
