@@ -138,15 +138,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     inner products with all other rows, ties to smaller ids; all of them, if there are fewer.
 
     Rows with a null id, and vectors null or with null or non-finite components, take no part. Repeated rows (of one id
-    and vector) count once; rows of one id with different vectors are rows of their own, as queries and as candidates;
-    rows of the query's own id are never found. Vectors of another dimension than the query's are no candidates. Scores
+    and vector) are candidates each, and one query; rows of one id with different vectors are rows of their own, as
+    queries and as candidates; rows of the query's own id are never found. Vectors of another dimension than the query's are no candidates. Scores
     beyond 64 bits raise OverflowError. Other columns are not read; an empty table gives no rows. Buckets and query
     blocks meet over one shuffle on the bucket, the bucket's row first, so a task holds one bucket and one block. Only
     one bucket for each dimension is broadcast (in all at most SEED_BYTES; queries of other dimensions start without a
     threshold), and one row of numbers for each bucket if those are at most a million.
     """
-    rows = quantised(vectors, id_col, vec_col).dropDuplicates(["_id", "_v"])
-    rows = written(rows, "vectors")
+    rows = written(quantised(vectors, id_col, vec_col), "vectors")
     buckets = written(chunked(rows, bucket_rows), "buckets")
     first = buckets.groupBy("dim").agg(F.max_by(F.struct("part", "n"), F.struct("longest", "n")).alias("x"), F.sum("n").alias("rows"))
     kept, size = [], 0
@@ -175,7 +174,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
                 reach.append(float(np.min(np.where(f > 0, f / np.maximum(q_len, 1e-300), -1.0))) * (1 - _SLACK))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(floor, pa.binary()), pa.array(reach, pa.float64())], names=[*batch.schema.names, "floor", "reach"])
 
-    blocks = chunked(rows.filter(is_query), query_rows).mapInArrow(floors, _CHUNK + ", floor binary, reach double")
+    blocks = chunked(rows.filter(is_query).dropDuplicates(["_id", "_v"]), query_rows).mapInArrow(floors, _CHUNK + ", floor binary, reach double")
     sizes = buckets.select(F.col("part").alias("bucket"), F.col("dim").alias("b_dim"), F.col("longest").alias("b_longest"))
     sizes = F.broadcast(sizes) if sizes.count() <= 1_000_000 else sizes
     asked = blocks.join(sizes, (F.col("dim") == F.col("b_dim")) & (F.col("b_longest") >= F.col("reach")))
@@ -204,10 +203,10 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = """
-WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
 SELECT query_id, rank, vec_id, score FROM (
   SELECT query_id, vec_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank
-  FROM (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND q.vec_id % 50 = 0))
+  FROM (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM (SELECT DISTINCT * FROM v) q JOIN v c ON q.vec_id <> c.vec_id AND q.vec_id % 50 = 0))
 WHERE rank <= 5
 """
