@@ -119,9 +119,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 13, max_items_char
     MB of automaton) they make one automaton, which each worker builds once. Beyond that they are dealt by hash into
     slices of about that size, very long items in parts that overlap by a window; the texts are scanned once for each
     slice, with a written table between, and hits are united. Null or empty texts and
-    items have no words. Repeated rows each keep a row; columns named as the new ones are replaced.
+    items have no words; items without an id are one item of the empty id. Repeated rows each keep a row; columns named as the new ones are replaced.
     """
-    items = items.filter(F.col(item_text_col).isNotNull() & F.col(item_id_col).isNotNull()).select(F.col(item_id_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
+    items = items.filter(F.col(item_text_col).isNotNull()).select(F.coalesce(F.col(item_id_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("text"))
     size = items.agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("rows")).first()
     slices = max(1, -(-(size["chars"] or 0) // max_items_chars))
     out = docs
@@ -168,7 +168,7 @@ OP8_SQL = r"""
 WITH letters AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS up, 'abcdefghijklmnopqrstuvwxyz' AS low),
 item AS (
   SELECT item_id, ws, len(ws) AS n FROM (
-    SELECT item_id, regexp_extract_all(translate(text, up, low), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark, letters WHERE text IS NOT NULL)),
+    SELECT coalesce(item_id::VARCHAR, '') AS item_id, regexp_extract_all(translate(text, up, low), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark, letters WHERE text IS NOT NULL)),
 win AS (
   SELECT DISTINCT item_id, len(w) AS k, array_to_string(w, ' ') AS w FROM (
     SELECT item_id, ws[i : i + 12] AS w FROM (SELECT item_id, ws, n, unnest(range(1, greatest(1, n - 12) + 1)) AS i FROM item WHERE n > 0))),
