@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phmspark.llm.batches import cuts
+from phmspark.llm.bits import flagged
 from phmspark.llm.common import spread, table, written
 from phmspark.llm.components import connect
 
@@ -40,7 +41,6 @@ _IS_BLANK = bytes(c == 32 or 9 <= c <= 13 for c in range(256))
 _FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)  # masks of the first k bytes of eight
 _BLANK = re.compile(rb"[ \t-\r]")
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-FILTER_BITS = 1 << 26  # of the filter by which texts are looked up (8 MB)
 FEW = 16  # sets of a key that meet pair by pair
 SAMPLE = 2000  # sets on which the cost of layouts is counted
 PAIR_COST = 30  # index rows that cost as much as one candidate pair
@@ -382,18 +382,6 @@ def _may_link(a: str, b: str, num: int, den: int) -> Column:
 _NODE = ["node", "id", "size", *(f"b{k}" for k in range(PARITY_LONGS))]
 
 
-def flagged(rows: DataFrame, key: Column, wanted: DataFrame, name: str) -> DataFrame:
-    """Rows with _may: whether the key has the bit of a wanted one (column ``name``), as all that are wanted have, and few
-    others while the wanted are few beside ``FILTER_BITS``. The bits travel to the rows, so that texts stay where they are."""
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    page, place = F.floor(F.col("_bit") / 32768).cast("int"), (F.col("_bit") % 32768).cast("int")
-    bits = wanted.select(bit(F.col(name)).alias("_bit")).groupBy(page.alias("_page")).agg(F.bitmap_construct_agg(place).alias("_bits"))
-    met = rows.withColumn("_bit", bit(key)).withColumn("_page", page).join(F.broadcast(bits), "_page", "left")  # pages of 4 KB, FILTER_BITS / 32768 at most
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    may = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) != 0, F.lit(False))
-    return met.withColumn("_may", may).select(*rows.columns, "_may")
-
-
 def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows of ``wanted`` (id, ...) with the texts of their ids: only texts that are wanted travel."""
     some = flagged(docs, F.col("_id"), wanted, "id").filter("_may").drop("_may")

@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from phmspark.llm.batches import cuts
+from phmspark.llm.bits import flagged
 from phmspark.llm.common import new_path, spread, table, written
 
-BROADCAST_ROWS = 10_000  # standing rows; beyond, texts move over a shuffle
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 
 
@@ -59,8 +59,9 @@ def count_tokens(df: DataFrame, tokenizer_path: str, cache_path: str, id_col: st
     Null and empty texts have 0 bytes and the tokenizer's count of the empty text (0). Repeated rows and null ids each
     give a row. Other columns are not read. Copies, however many, are encoded once: the copy with the smallest id
     stands for its digest (found by map-side-combined counts and minimum); where several rows have that id and text, one
-    of them does. If few digests are missing, their ids are broadcast and no other text moves; else the texts are
-    shuffled once. Both joins on the digest are plain joins, so a digest held by a third of all rows is split by AQE.
+    of them does. The bits of cached and of repeated digests travel to the rows: a text without its bit is encoded where
+    it is read, and only texts that have it move. Both joins on the digest are plain joins, so a digest held by a third of
+    all rows is split by AQE.
     Appending is by whole Parquet files; two runs that append the same digest give it twice with the same count, and
     reading takes one of them.
     """
@@ -71,14 +72,11 @@ def count_tokens(df: DataFrame, tokenizer_path: str, cache_path: str, id_col: st
     known = read_cache(spark, cache_path).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     # _key: an id that joins even where it is null
     keyed = docs.withColumn("_key", F.coalesce(F.col("_id").cast("string"), F.lit("")))
-    least = keyed.groupBy("digest", "_key").agg(F.count("*").alias("n")).groupBy("digest").agg(F.min(F.struct("_key", "n")).alias("x"))
-    standing = written(least.join(known, "digest", "left_anti").select("digest", "x._key", "x.n"), "standing")
-    many = standing.filter("n > 1")
-    single = standing.filter("n = 1")
-    joined = lambda some: keyed.join(F.broadcast(some) if standing.count() <= BROADCAST_ROWS else some.hint("shuffle_hash"), ["digest", "_key"], "left_semi").select("digest", "_text")
-    misses = joined(single)
-    if not many.isEmpty():
-        misses = misses.unionByName(joined(many).dropDuplicates(["digest"]))
+    least = written(keyed.groupBy("digest", "_key").agg(F.count("*").alias("n")).groupBy("digest").agg(F.min("_key").alias("_key"), F.sum("n").alias("n")), "digests")
+    may = flagged(keyed, F.col("digest"), known.select("digest").unionByName(least.filter("n > 1").select("digest")), "digest")
+    fresh = may.filter("NOT _may").select("digest", "_text")  # surely neither cached nor repeated: encoded where it is read
+    standing = least.join(known, "digest", "left_anti").select("digest", "_key")
+    misses = fresh.unionByName(may.filter("_may").join(standing, ["digest", "_key"], "left_semi").select("digest", "_text").dropDuplicates(["digest"]))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _counter(tokenizer_path)
