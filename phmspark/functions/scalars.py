@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 # Configurations in the order of severity, their alias, aliases of method names.
 CONFIG_ORDER = ("8screws", "7screws", "6screws", "5screws", "4screws", "3screws", "2screws", "1screws", "0screws")
 CONFIG_ALIAS = {"1screw": "1screws"}
-METHOD_ALIAS = {"lw": "mahalanobis", "ledoit-wolf": "mahalanobis", "mahalanobis": "mahalanobis", "knn": "knn", "k-nn": "knn"}
+METHOD_ALIAS = {"lw": "mahalanobis", "ledoit-wolf": "mahalanobis", "mahalanobis": "mahalanobis", "maha": "mahalanobis", "knn": "knn", "k-nn": "knn", "k_nn": "knn"}
+ESTIMATORS = ("legacy", "ledoit_wolf", "oas", "mcd")
 
 
 def _map(pairs: dict) -> Column:
@@ -29,6 +30,27 @@ def canonical_method(c: Column) -> Column:
     return _map(METHOD_ALIAS)[F.lower(F.trim(c))]
 
 
+def resolved(method: Column, confidence: Column, estimator: Column, neighbours: Column) -> Column:
+    """error (null if there is none: the first parameter that is not allowed), method_id, effective parameters by name,
+    and ignored ones with the reason, of a requested configuration. Without a valid one all but the error is null."""
+    kind = canonical_method(method)
+    error = (
+        F.when(kind.isNull(), "openset_method")
+        .when(confidence.isNull() | F.isnan(confidence) | (confidence <= 0) | (confidence >= 1), "confidence")
+        .when(neighbours.isNull() | (neighbours < 1), "knn_neighbors")
+        .when(estimator.isNull() | ~estimator.isin(*ESTIMATORS), "mahalanobis_method")
+    )
+    number, text = neighbours.cast("long").cast("string"), lambda x: x.cast("string")
+    is_knn = kind == "knn"
+    common = [F.lit("confidence"), text(confidence), F.lit("threshold"), F.lit("1.0")]
+    effective = F.when(is_knn, F.create_map(*common, F.lit("knn_neighbors"), number)).otherwise(F.create_map(*common, F.lit("mahalanobis_method"), estimator))
+    left = lambda name, value, reason: F.array(F.struct(F.lit(name).alias("parameter"), value.alias("value"), F.lit(reason).alias("reason")))
+    ignored = F.when(is_knn, left("mahalanobis_method", estimator, "only used by mahalanobis")).otherwise(left("knn_neighbors", number, "only used by knn"))
+    name = F.when(is_knn, F.concat(F.lit("knn/k"), number)).otherwise(F.concat(F.lit("mahalanobis/"), estimator))
+    good = lambda x: F.when(error.isNull(), x)
+    return F.struct(error.alias("error"), good(name).alias("method_id"), good(effective).alias("effective"), good(ignored).alias("ignored"))
+
+
 def channel_of(name: Column) -> Column:
     """current, x, y, z or delta_t, from a file's name with or without the word Acceleration; null for others."""
     suffix = F.regexp_extract(name, r"_(Current|Delta_T|(?:Acceleration_)?[XYZ])_data$", 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,3 +103,40 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: correlation of the average ranks."""
     ra, rb = histogram_ranks(df, a).withColumnRenamed("rank", "_ra"), histogram_ranks(df, b).withColumnRenamed("rank", "_rb")
     return df.join(ra, a).join(rb, b).agg(F.corr("_ra", "_rb").alias("spearman"))
+
+
+def signed_rank(pairs: DataFrame, diff: str, exact: int = 50) -> DataFrame:
+    """One row n, statistic, mean, p of paired differences (null: no pair): the smaller sum of the average ranks of either
+    sign over the differences that are not 0, and its two-sided p. Up to ``exact`` of those p counts all signs, ties
+    included, over doubled ranks; beyond it is normal with the ties' correction. Without pairs all but n is null; with
+    zeros only the statistic is 0 and p is 1. mean is over all pairs, n counts them."""
+    there = pairs.select(F.col(diff).cast("double").alias("x")).filter("x IS NOT NULL")
+    moved = there.filter("x <> 0").withColumn("size", F.abs("x"))
+    ranks = histogram_ranks(moved, "size")
+    r = moved.join(ranks, "size")
+    side = lambda c: F.coalesce(F.sum(F.when(c, F.col("rank"))), F.lit(0.0))
+    whole = there.agg(F.count("*").alias("n"), F.avg("x").alias("mean"))
+    told = r.agg(F.count("*").alias("m"), F.least(side(F.col("x") > 0), side(F.col("x") < 0)).alias("w"))
+    ties = moved.groupBy("size").agg(F.count("*").cast("double").alias("t")).agg(F.coalesce(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")), F.lit(0.0)).alias("ties"))
+    row = whole.crossJoin(F.broadcast(told)).crossJoin(F.broadcast(ties)).first()  # one row each
+    n, mean, m, w = row["n"], row["mean"], row["m"], row["w"]
+    if n == 0:
+        statistic = p = None
+    elif m == 0:
+        statistic, p = 0.0, 1.0
+    elif m <= exact:
+        statistic, p = w, exact_signed_rank_p([x["rank"] for x in r.select("rank").collect()], w)  # at most ``exact`` ranks
+    else:
+        sd = math.sqrt(m * (m + 1) * (2 * m + 1) / 24 - row["ties"] / 48)
+        statistic, p = w, min(1.0, math.erfc((m * (m + 1) / 4 - w) / sd / math.sqrt(2)))
+    return pairs.sparkSession.createDataFrame([(n, statistic, mean, p)], "n long, statistic double, mean double, p double")
+
+
+def exact_signed_rank_p(ranks: list[float], statistic: float) -> float:
+    """Share of all signs of the ranks whose smaller sum is at most the statistic."""
+    double = [round(2 * x) for x in ranks]
+    ways = [1] + [0] * sum(double)
+    for x in double:
+        for s in range(len(ways) - 1, x - 1, -1):
+            ways[s] += ways[s - x]
+    return min(1.0, 2 * sum(ways[: round(2 * statistic) + 1]) / 2 ** len(ranks))

@@ -190,6 +190,17 @@ def trend(df: DataFrame, keys: list[str], order: list[str], score: str, **params
     return fold(df, keys, order, lambda: Trend(**params), Trend.step, score, Trend.NEW)
 
 
+def scenario_verdicts(ticks: DataFrame, onsets: DataFrame, keys: list[str], scenario: str, order: str, score: str, **params) -> DataFrame:
+    """keys, verdict, alarm_t, latency, transition, correct of trials: the trend of each trial's ticks (keys, ``order`` from
+    1, score) up to its first alarm, against ``onsets`` (scenario, onset, expected). Without an alarm all but correct,
+    which is then false, is null."""
+    met = trend(ticks, keys, [order], score, **params)
+    alarm = F.min(F.when(F.col("alarm_now"), F.struct(order, F.col("verdict"), F.col("dwell"))))
+    found = met.groupBy(*keys).agg(alarm.alias("_a")).join(F.broadcast(onsets), scenario)  # a row for each scenario
+    at = F.col(f"_a.{order}")
+    return found.select(*keys, F.col("_a.verdict").alias("verdict"), at.alias("alarm_t"), (at - F.col("onset")).alias("latency"), F.col("_a.dwell").alias("transition"), F.coalesce(F.col("_a.verdict") == F.col("expected"), F.lit(False)).alias("correct"))
+
+
 def trajectory(df: DataFrame, keys: list[str], order: list[str], health: str, history: int = 120, least: int = 5, stable: float = 0.005) -> DataFrame:
     """``df`` with robust, smoothed, change, alarm_state, rate (falling per row over the last ``history`` smoothed values;
     null before ``least``) and trend. Rows with a null key part or value have no state and are left out: select them

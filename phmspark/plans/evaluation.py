@@ -6,8 +6,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -142,23 +140,11 @@ def e7_signed_rank(spark, d):
 
 @query("e7_signed_rank_p")
 def e7_signed_rank_p(spark, d):
-    """The signed-rank test with its two-sided p, worked out from the one row of the statistic."""
-    p = F.udf(signed_rank_p, "double")
-    return e7_signed_rank(spark, d).withColumn("p", F.round(p("n", "statistic"), 6))
-
-
-def signed_rank_p(n: int, statistic: float) -> float:
-    """Two-sided p of a signed-rank statistic without ties: exact counts of rank sums up to 50 pairs, else normal."""
-    if n == 0:
-        return 1.0
-    if n <= 50:
-        ways = [1] + [0] * (n * (n + 1) // 2)
-        for rank in range(1, n + 1):
-            for s in range(len(ways) - 1, rank - 1, -1):
-                ways[s] += ways[s - rank]
-        return min(1.0, 2 * sum(ways[: int(statistic) + 1]) / 2**n)
-    mean, sd = n * (n + 1) / 4, math.sqrt(n * (n + 1) * (2 * n + 1) / 24)
-    return min(1.0, math.erfc((mean - statistic) / sd / math.sqrt(2)))
+    """The signed-rank test of the methods by customer, with its two-sided p."""
+    knn = F.avg(F.when(F.col("method") == "knn", F.col("x")))
+    lw = F.avg(F.when(F.col("method") == "mahalanobis", F.col("x")))
+    found = metrics.signed_rank(runs(spark, d).groupBy("cust").agg(F.round(knn - lw, 2).alias("dx")), "dx")
+    return found.select("n", F.round("statistic", 1).alias("statistic"), F.round("mean", 3).alias("mean"), F.round("p", 6).alias("p"))
 
 
 @query("e8_discovery_delay", "WITH s AS (SELECT event_type, min(event_id) AS start FROM events GROUP BY 1), a AS (SELECT event_type, min(event_id) FILTER (value > 90) AS adopted FROM events GROUP BY 1) SELECT event_type, start, adopted, adopted - start AS delay FROM s JOIN a USING (event_type)")

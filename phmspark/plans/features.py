@@ -17,6 +17,9 @@ _STATS_SQL = """sqrt(avg(x * x)) AS rms, avg(x) AS mean, kurtosis_pop(x) + 3 AS
 _NAMES = windows.STATISTICS
 
 
+MOST_CHANNELS = 1000  # more than that is an error, not a cut
+
+
 @query("s1_datasets", "SELECT l_returnflag AS motor, l_linestatus AS rpm, l_returnflag || '/' || l_linestatus AS dataset, count(*) AS n FROM lineitem GROUP BY ALL")
 def s1_datasets(spark, d):
     """Conditions that have rows, with their key."""
@@ -165,7 +168,9 @@ def a2_harmonic_bands(spark, d):
 def a3_feature_rows(spark, d):
     """Windows that have every channel, assembled to one feature array in registry order."""
     e = table(spark, d, "events").select(F.col("user_id").alias("win"), F.col("event_type").alias("channel"), "value")
-    kinds = sorted(r[0] for r in e.select("channel").distinct().limit(64).collect())  # channels are few
+    kinds = sorted(r[0] for r in e.select("channel").distinct().limit(MOST_CHANNELS + 1).collect())  # each is a column of the registry
+    if len(kinds) > MOST_CHANNELS:
+        raise ValueError(f"more than {MOST_CHANNELS} channels")
     wide = windows.assemble(windows.window_stats(e, ["win", "channel"]), ["win"], "channel", kinds)
     return wide.select("win", F.size("f").cast("long").alias("n_features"), F.round(F.col("f")[0], 9).alias("first_rms"), F.round(F.element_at("f", -1), 9).alias("last_mean_abs"))
 
@@ -193,6 +198,29 @@ def x3_run_keys(spark, d):
     return named.select("o_orderkey", key.alias("run_key"), "method")
 
 
+@query(
+    "m6_resolved",
+    """WITH r AS (SELECT o_orderkey, [' Maha ', 'K_NN', 'knn', 'mahalanobis', 'svm', NULL][(o_orderkey % 6 + 1)::INT] AS kind, CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE (o_custkey % 7) / 5 END AS confidence,
+         ['legacy', 'ledoit_wolf', 'oas', 'mcd', 'shrunk'][(o_custkey % 5 + 1)::INT] AS estimator, (o_orderkey // 7) % 5 AS k FROM orders),
+       c AS (SELECT *, CASE lower(trim(kind)) WHEN 'maha' THEN 'mahalanobis' WHEN 'mahalanobis' THEN 'mahalanobis' WHEN 'knn' THEN 'knn' WHEN 'k_nn' THEN 'knn' END AS m FROM r),
+       e AS (SELECT *, CASE WHEN m IS NULL THEN 'openset_method' WHEN confidence IS NULL OR confidence <= 0 OR confidence >= 1 THEN 'confidence' WHEN k < 1 THEN 'knn_neighbors' WHEN estimator = 'shrunk' THEN 'mahalanobis_method' END AS error FROM c)
+       SELECT o_orderkey, error, CASE WHEN error IS NULL THEN CASE WHEN m = 'knn' THEN 'knn/k' || k ELSE 'mahalanobis/' || estimator END END AS method_id,
+         CASE WHEN error IS NULL THEN CASE WHEN m = 'knn' THEN k::VARCHAR ELSE estimator END END AS used, CASE WHEN error IS NULL THEN CASE WHEN m = 'knn' THEN 'mahalanobis_method=' || estimator ELSE 'knn_neighbors=' || k END END AS ignored FROM e""",
+)
+def m6_resolved(spark, d):
+    """Requested configurations, one for each order: the first parameter that is not allowed, or what takes effect and what
+    is ignored."""
+    o = table(spark, d, "orders")
+    kind = F.element_at(F.array(*(F.lit(x) for x in (" Maha ", "K_NN", "knn", "mahalanobis", "svm", None))), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    confidence = F.when(F.col("o_custkey") % 7 != 0, (F.col("o_custkey") % 7) / 5)
+    estimator = F.element_at(F.array(*map(F.lit, (*S.ESTIMATORS, "shrunk"))), (F.col("o_custkey") % 5 + 1).cast("int"))
+    k = F.floor(F.col("o_orderkey") / 7) % 5
+    r = o.select("o_orderkey", S.resolved(kind, confidence, estimator, k).alias("r"))
+    first = F.col("r.ignored")[0]
+    used = F.coalesce(F.col("r.effective")["knn_neighbors"], F.col("r.effective")["mahalanobis_method"])
+    return r.select("o_orderkey", "r.error", "r.method_id", used.alias("used"), F.concat(first["parameter"], F.lit("="), first["value"]).alias("ignored"))
+
+
 @query(
     "x5_sections",
     "SELECT doc_id, i - 1 AS place, len(line) AS n_chars, md5(line) AS line FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE trim(line) <> ''",

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from phmspark.functions import scalars as S
 from phmspark.operators import audits, ranking, reconcile, search
 from phmspark.plans.base import query, table
-from phmspark.sources.scratch import spread
+from phmspark.sources import audit
+from phmspark.sources.scratch import new_path, spread
 
 _LINES = """SELECT l_suppkey AS file, 0 AS pos, CASE WHEN l_suppkey % 5 = 1 THEN 'a,b,b' WHEN l_suppkey % 5 = 2 THEN 'a,c,b' ELSE 'a,b,c' END AS line FROM (SELECT DISTINCT l_suppkey FROM lineitem)
   UNION ALL SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber), l_quantity::BIGINT || ',' || CASE WHEN l_suppkey % 5 = 3 AND l_linenumber = 7 THEN 'x' ELSE l_linenumber::VARCHAR END || CASE WHEN l_suppkey % 5 = 4 AND l_linenumber = 6 THEN '' ELSE ',1' END FROM lineitem"""
@@ -35,6 +36,33 @@ def q1_schema_audit(spark, d):
     return found.select("file", "reason", "rows", "bad", F.coalesce("first_bad", F.lit(-1)).cast("long").alias("first_bad"))
 
 
+@query(
+    "q1_file_audit",
+    """WITH l AS (SELECT l_suppkey AS file, l_suppkey % 8 AS k, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1 AS i FROM lineitem),
+       f AS (SELECT file, k, count(*) AS n, count(*) FILTER (i % 4 = 1) AS bad, list_sort(list(i) FILTER (i % 4 = 1))[1:20] AS places FROM l GROUP BY file, k),
+       r AS (SELECT *, CASE WHEN k BETWEEN 4 AND 6 AND bad = 0 THEN NULL ELSE [NULL, 'unreadable_csv', 'duplicate_header', 'ordered_header_mismatch', 'row_width_mismatch', 'non_numeric', 'non_finite', NULL][(k + 1)::INT] END AS reason FROM f)
+       SELECT file, CASE WHEN reason IS NULL THEN 'VERIFIED' ELSE 'REJECTED' END AS status, reason, CASE k WHEN 1 THEN 0 ELSE n END AS rows, CASE WHEN reason IS NULL OR k = 1 THEN 0 WHEN k < 4 THEN n ELSE bad END AS rejected_rows,
+         CASE WHEN reason IS NOT NULL AND k > 3 THEN array_to_string(places, ',') ELSE '' END AS row_indices, CASE WHEN reason IS NULL THEN CASE k WHEN 7 THEN 'second' ELSE 'first' END END AS schema_version FROM r""",
+)
+def q1_file_audit(spark, d):
+    """Feature files, one for each supplier, written with faults of six kinds (two headers are registered) and audited as
+    bytes."""
+    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("file"), "l_orderkey", "l_linenumber", "l_quantity")
+    k = F.col("file") % 8
+    i = F.row_number().over(Window.partitionBy("file").orderBy("l_orderkey", "l_linenumber")) - 1  # rows of one file
+    odd = i % 4 == 1
+    cells = F.concat_ws(",", F.col("l_quantity").cast("long").cast("string"), F.col("l_linenumber").cast("string"))
+    last = F.when(odd & (k == 5), ",x").when(odd & (k == 6), ",inf").when(odd & (k == 4), "").when((k == 7), ',"1"').otherwise(",1")
+    body = li.select("file", (i + 1).alias("pos"), F.concat(cells, last, F.when((k == 1) & (i == 0), ',"').otherwise("")).alias("value"))
+    heads = F.when(k == 2, "a,b,b").when(k == 3, "a,c,b").when(k == 7, "a,b,d").otherwise("a,b,c")
+    lines = body.unionByName(li.select("file").distinct().select("file", F.lit(0).alias("pos"), heads.alias("value")))
+    path = new_path(spark, "feature-files")
+    lines.repartition("file").sortWithinPartitions("file", "pos").select("file", "value").write.partitionBy("file").text(path)
+    found = audit.audit_files(spark, path, {"first": ["a", "b", "c"], "second": ["a", "b", "d"]})
+    file = F.regexp_extract("file", r"file=(\d+)/", 1).cast("long")
+    return found.select(file.alias("file"), "status", "reason", "rows", "rejected_rows", F.array_join("row_indices", ",").alias("row_indices"), "schema_version")
+
+
 @query(
     "q2_coverage",
     """SELECT user_id, array_to_string(list_sort(list_filter(['click', 'purchase', 'view'], lambda x: NOT list_contains(s, x))), ',') AS missing,
@@ -168,7 +196,10 @@ def w10_origin_offsets(spark, d):
 def j10_row_origins(spark, d):
     """Every seventh pool row back to its file and row there, by a range join."""
     n = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"))
-    asked = n.select("l_returnflag", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(7).cast("long"))).alias("row_idx"))
+    part = F.lit(700_000).cast("long")  # numbers are made part by part: no array grows with the pool
+    parts = n.select("l_returnflag", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / part))).alias("part"))
+    last = F.least(F.col("n") - 1, (F.col("part") + 1) * part - 1)
+    asked = parts.repartition("l_returnflag", "part").select("l_returnflag", F.explode(F.sequence(F.col("part") * part, last, F.lit(7).cast("long"))).alias("row_idx"))
     met = reconcile.range_origins(asked, w10_origin_offsets(spark, d), ["l_returnflag"], "row_idx", "start", "stop")
     return met.select("l_returnflag", "row_idx", "file", (F.col("row_idx") - F.col("start")).alias("csv_row"))
 

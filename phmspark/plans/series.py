@@ -248,3 +248,40 @@ def a26_trial_summary(spark, d):
     trial = t.groupBy("asset").agg(F.max(F.when(F.col("alarm_now"), F.col("t"))).alias("t"), F.max("dwell").alias("dwell"), F.max("verdict").alias("kind")).withColumn("scenario", F.col("asset") % 2)
     right = F.col("kind") == F.when(F.col("scenario") == 0, "sudden").otherwise("gradual")
     return trial.groupBy("scenario").agg(F.count("*").alias("trials"), F.round(F.count("t") / F.count("*"), 6).alias("alarm_rate"), F.round(F.count_if(right) / F.count("*"), 6).alias("correct_rate"), F.round(F.avg("t"), 4).alias("mean_latency"), F.round(F.avg("dwell"), 4).alias("mean_dwell"))
+
+
+# Share of fault rows and ticks of the phases of each scenario, and the verdict it should give. The onset is
+# the length of the first phase.
+PHASES = {"A": ((0.0, 40), (0.25, 50), (0.7, 50), (1.0, 60), (1.0, 60)), "B": ((0.0, 40), (1.0, 120))}
+EXPECTED = {"A": "gradual", "B": "sudden"}
+TRIALS = 20
+_TICK = "('0x' || substr(md5('{s}:' || scenario || ':' || trial || ':' || t), 1, 7))::BIGINT"
+
+
+@query(
+    "r8_scenarios",
+    f"""WITH RECURSIVE ph AS (SELECT * FROM (VALUES {", ".join(f"('{s}', {k}, {r}::DOUBLE, {n}, {sum(m for _, m in ps[:k])})" for s, ps in PHASES.items() for k, (r, n) in enumerate(ps))}) AS x(scenario, k, ratio, len, start)),
+       tick AS (SELECT scenario, trial, start + i AS t, ratio FROM (SELECT *, unnest(range(1, len + 1)) AS i FROM ph), (SELECT unnest(range(0, {TRIALS})) AS trial)),
+       pool AS (SELECT score > 1 AS fault, score, row_number() OVER (PARTITION BY score > 1 ORDER BY md5('4:' || event_id), event_id) - 1 AS r, count(*) OVER (PARTITION BY score > 1) AS size FROM ({SCORES})),
+       sizes AS (SELECT DISTINCT fault, size FROM pool),
+       drawn AS (SELECT scenario, trial, t, {_TICK.format(s=9)} / 268435456.0 < ratio AS fault, {_TICK.format(s=5)} AS h FROM tick),
+       n AS (SELECT scenario || trial AS asset, scenario, trial, t AS event_id, t AS rn, score FROM drawn JOIN sizes USING (fault) JOIN pool ON pool.fault = drawn.fault AND pool.r = h % sizes.size){_EWMA[len(_N):]},
+       w AS (SELECT *, count(*) FILTER (ewma >= 0.2 AND ewma < 0.5) OVER (PARTITION BY asset ORDER BY rn ROWS BETWEEN 120 PRECEDING AND 1 PRECEDING) AS dwell FROM e),
+       f AS (SELECT asset, min(rn) AS alarm_t, min_by(dwell, rn) AS dwell FROM w WHERE rn > 10 AND ewma >= 0.5 GROUP BY asset),
+       v AS (SELECT DISTINCT scenario, trial, alarm_t, dwell, CASE WHEN dwell <= 12 THEN 'sudden' WHEN dwell > 12 THEN 'gradual' END AS verdict FROM n LEFT JOIN f USING (asset))
+       SELECT scenario, trial::INTEGER AS trial, verdict, alarm_t::BIGINT AS alarm_t, (alarm_t - 40)::BIGINT AS latency, dwell::INTEGER AS transition, coalesce(verdict = CASE scenario WHEN 'A' THEN 'gradual' ELSE 'sudden' END, false) AS correct FROM v""",
+)
+def r8_scenarios(spark, d):
+    """Trials of two scenarios, all in one job: every tick draws a row beyond 1 with its phase's share, else one not beyond
+    it; the alarm's latency is counted from the onset."""
+    rows = [(s, r, n, sum(m for _, m in ps[:k])) for s, ps in PHASES.items() for k, (r, n) in enumerate(ps)]
+    phases = spark.createDataFrame(rows, "scenario string, ratio double, len long, start long")
+    ticks = phases.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(TRIALS - 1)))).withColumn("t", F.explode(F.sequence(F.col("start") + 1, F.col("start") + F.col("len"))))
+    key = ("scenario", "trial", "t")
+    pool = ranking.hash_rank(scores(spark, d).select("event_id", "score", (F.col("score") > 1).alias("fault")), ["fault"], "event_id", seed=4, count="size")
+    sizes = F.broadcast(pool.groupBy("fault").agg(F.first("size").alias("size")))  # two rows
+    h = F.conv(F.substring(ranking.hash_of(5, *key), 1, 7), 16, 10).cast("long")
+    drawn = ticks.select(*key, (ranking.uniform(9, *key) < F.col("ratio")).alias("fault"), h.alias("h")).join(sizes, "fault").withColumn("r", F.col("h") % F.col("size"))
+    met = drawn.join(pool.select("fault", "r", "score"), ["fault", "r"]).select(*key, "score")
+    onsets = spark.createDataFrame([(s, ps[0][1], EXPECTED[s]) for s, ps in PHASES.items()], "scenario string, onset long, expected string")
+    return series.scenario_verdicts(met, onsets, ["scenario", "trial"], "scenario", "t", "score")

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from phmspark.functions import scalars as S
 from phmspark.operators import audits, metrics, moments, neighbours, quantiles, ranking, reconcile, series, windows
-from phmspark.plans.evaluation import signed_rank_p
 from phmspark.sources import files
 from phmspark.streaming import discovery
 
@@ -168,9 +167,78 @@ def test_clusters_of_a_hierarchy(spark):
     assert len(first) == len(second) == 1 and first != second and len(got) >= 50
 
 
-def test_signed_rank_p():
-    assert signed_rank_p(5, 0) == pytest.approx(2 / 32)
-    assert signed_rank_p(0, 0) == 1
+@pytest.mark.parametrize("diffs", [[1.0, -2.0, 3.0, 4.0, -5.0], [1.0, 1.0, -1.0, 2.0, 2.0, -3.0, 0.0], [0.5] * 7 + [-0.5] * 3, [3.0]])
+def test_signed_rank_p_equals_all_signs(spark, diffs):
+    from itertools import product
+
+    moved = [x for x in diffs if x]
+    ranks = [sum(abs(y) < abs(x) for y in moved) + (sum(abs(y) == abs(x) for y in moved) + 1) / 2 for x in moved]
+    w = min(sum(r for r, x in zip(ranks, moved) if x > 0), sum(r for r, x in zip(ranks, moved) if x < 0))
+    low = sum(sum(r for r, s in zip(ranks, signs) if s) <= w for signs in product((0, 1), repeat=len(ranks))) / 2 ** len(ranks)
+    got = metrics.signed_rank(spark.createDataFrame([(x,) for x in [*diffs, None]], "d double"), "d").first()
+    assert (got["n"], got["statistic"], got["p"]) == (len(diffs), w, pytest.approx(min(1.0, 2 * low)))
+
+
+def test_signed_rank_of_nothing(spark):
+    none = spark.createDataFrame([], "d double")
+    assert tuple(metrics.signed_rank(none, "d").first()) == (0, None, None, None)
+    assert tuple(metrics.signed_rank(spark.createDataFrame([(0.0,), (0.0,)], "d double"), "d").first()) == (2, 0.0, 0.0, 1.0)
+    many = metrics.signed_rank(spark.createDataFrame([(float(k % 7) - 2.5,) for k in range(200)], "d double"), "d").first()
+    assert 0 < many["p"] < 1
+
+
+@pytest.mark.parametrize(
+    "request_, error, method_id",
+    [
+        (("svm", 0.95, "oas", 5), "openset_method", None),
+        ((None, 0.95, "oas", 5), "openset_method", None),
+        (("knn", 1.0, "oas", 5), "confidence", None),
+        (("knn", float("nan"), "oas", 5), "confidence", None),
+        (("knn", 0.9, "oas", 0), "knn_neighbors", None),
+        (("knn", 0.9, "shrunk", 3), "mahalanobis_method", None),
+        ((" K-NN ", 0.9, "oas", 3), None, "knn/k3"),
+        (("Maha", 0.9, "mcd", 3), None, "mahalanobis/mcd"),
+    ],
+)
+def test_requested_configurations(spark, request_, error, method_id):
+    from phmspark.functions import scalars
+
+    df = spark.createDataFrame([request_], "m string, c double, e string, k int")
+    r = df.select(scalars.resolved(*(F.col(x) for x in ("m", "c", "e", "k"))).alias("r")).first()["r"]
+    assert (r["error"], r["method_id"]) == (error, method_id)
+    if not error:
+        (ignored,) = r["ignored"]
+        assert ignored["parameter"] == ("mahalanobis_method" if "knn" in method_id else "knn_neighbors") and ignored["value"] == ("oas" if "knn" in method_id else "3")
+        assert r["effective"]["confidence"] == "0.9" and ("knn_neighbors" in r["effective"]) == ("knn" in method_id)
+
+
+HEAD = b"a,b\n"
+
+
+@pytest.mark.parametrize(
+    "payload, reason, rows, bad, at",
+    [
+        (b"\xff\xfea,b\n", "unreadable_csv", 0, 0, []),
+        (b'a,b\n1,"2\n', "unreadable_csv", 0, 0, []),
+        (b"", "empty_file", 0, 0, []),
+        (b"a,a\n1,2\n", "duplicate_header", 1, 1, []),
+        (b"b,a\n1,2\n", "ordered_header_mismatch", 1, 1, []),
+        (HEAD, "empty_configuration", 0, 0, []),
+        (HEAD + b"1,2\n3\n4,5\n6,7,8\n", "row_width_mismatch", 4, 2, [1, 3]),
+        (HEAD + b"1,2\nx,3\n4,\n", "non_numeric", 3, 2, [1, 2]),
+        (b"a\n1\n \n2\n", "parsed_shape_mismatch", 3, 3, []),
+        (HEAD + b"1,2\n4,\ninf,3\n4,5\n", "non_finite", 4, 2, [1, 2]),
+        (b"\xef\xbb\xbfa,b\r\n1,\"2\"\r\n3e5,-4\r\n", None, 2, 0, []),
+        (HEAD + b"1,x\n" * 50, "non_numeric", 50, 50, list(range(20))),
+    ],
+)
+def test_files_are_audited_as_bytes(payload, reason, rows, bad, at):
+    from phmspark.sources import audit
+
+    got = audit.audited(payload, {"v1": ("a", "b"), "one": ("a",)})
+    assert got[1:2] + got[3:6] == (reason, rows, bad, at)
+    assert (got[0] == "VERIFIED") == (reason is None) == (got[6] is not None)
+
 
 
 def test_replay_has_every_row_each_lap(spark):
