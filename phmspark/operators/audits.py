@@ -41,16 +41,6 @@ def audit_coverage(df: DataFrame, keys: list[str], item: str, expected: list, ne
     return there.select(*keys, F.array_sort(F.array_except(want, "_s")).alias("missing"), F.array_sort(F.array_except("_s", want)).alias("extra"), F.array_contains("_s", needed).alias("usable"))
 
 
-def first_of_equal(df: DataFrame, cols: list[str], order: str) -> DataFrame:
-    """``df`` with is_first: whether the row is the first of those that are equal in ``cols``."""
-    first = df.groupBy(*cols).agg(F.min(order).alias("_first"))
-    match = [df[c].eqNullSafe(first[c]) for c in cols]
-    cond = match[0]
-    for m in match[1:]:
-        cond &= m
-    return df.join(first, cond).select(df["*"], (F.col(order) == F.col("_first")).alias("is_first"))
-
-
 def unseen(df: DataFrame, manifest: DataFrame, content: str) -> DataFrame:
     """Rows whose content's SHA-256 the manifest (sha) does not have."""
     return df.withColumn("sha", F.sha2(F.col(content).cast("binary"), 256)).join(manifest.select("sha").distinct(), "sha", "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Order of the fifteen statistics, half-widths of the ten harmonic bands (Hz), base frequencies (Hz) by speed.
@@ -43,6 +43,14 @@ def window_stats(samples: DataFrame, keys: list[str], value: str = "value") -> D
     return samples.groupBy(*keys).agg(*(c.alias(n) for n, c in statistics(F.col(value)).items()))
 
 
+def cut_windows(rows: DataFrame, keys: list[str], order: list[str], size: int = 10_000) -> DataFrame:
+    """``rows`` with win (from 0): runs of ``size`` rows of each recorder in order; what does not fill a window is left out."""
+    own = Window.partitionBy(*keys).orderBy(*order)
+    placed = rows.withColumn("_k", F.row_number().over(own) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+    win = F.floor(F.col("_k") / size)
+    return placed.withColumn("win", win).filter((F.col("win") + 1) * size <= F.col("_n")).drop("_k", "_n")
+
+
 def harmonic_bands(windows: DataFrame, samples: str, fs: float, base: str, bandwidths: tuple = BANDWIDTHS) -> DataFrame:
     """``windows`` and bands: for each harmonic h the largest amplitude 2/N |FFT| of the first N/2 bins within
     base * h +- bandwidth (edges included), 0 where no bin is. ``base`` is a column; windows may differ in length."""

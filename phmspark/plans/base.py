@@ -40,7 +40,6 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The same views in SQL
 FEATURES = "SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS f FROM embeddings"
-FEATURES3 = "SELECT vec_id, label, list_transform(embedding[1:3], lambda x: x::DOUBLE) AS f FROM embeddings"
 SCORES = "SELECT user_id AS asset, ts, event_id, value / 50 AS score, event_type AS kind FROM events"
 ROLES = """SELECT *, CASE WHEN r < floor(0.6 * n) THEN 'train' WHEN r < floor(0.6 * n) + greatest(1, floor(0.2 * n)) THEN 'cal' ELSE 'holdout' END AS role
   FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || vec_id), vec_id) - 1 AS r, count(*) OVER (PARTITION BY label) AS n FROM v)"""

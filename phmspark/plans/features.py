@@ -67,10 +67,8 @@ def s5_channels(spark, d):
 def s6_recorder(spark, d):
     """Temperature difference derived, outliers beyond three quartile distances out, full windows of 50 rows of each recorder."""
     kept = quantiles.iqr_filter(table(spark, d, "lineitem").select("l_returnflag", "l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity"), ["l_extendedprice"], ["l_returnflag"], 3.0)
-    w = Window.partitionBy("l_returnflag", "l_suppkey").orderBy("l_orderkey", "l_linenumber")
-    cut = kept.withColumn("win", F.floor((F.row_number().over(w) - 1) / 50)).withColumn("delta_t", F.col("l_extendedprice") - F.col("l_quantity"))
-    full = cut.groupBy("l_returnflag", "l_suppkey", "win").agg(F.count("*").alias("n"), F.round(F.avg("delta_t"), 4).alias("delta_t")).filter("n = 50")
-    return full.drop("n")
+    cut = windows.cut_windows(kept, ["l_returnflag", "l_suppkey"], ["l_orderkey", "l_linenumber"], 50)
+    return cut.groupBy("l_returnflag", "l_suppkey", "win").agg(F.round(F.avg(F.col("l_extendedprice") - F.col("l_quantity")), 4).alias("delta_t"))
 
 
 @query(

@@ -342,20 +342,6 @@ def m7_shared_calibration(spark, d):
     return openset.calibrated(rows, [], "x", (F.col("label") == 0) & (F.col("role") == "cal")).select("vec_id", F.round("score", 5).alias("score"))
 
 
-@query(
-    "m27_model_summary",
-    f"WITH RECURSIVE {_LW} SELECT label, count(*) FILTER (role = 'train') AS n_train, count(*) FILTER (role = 'cal') AS n_cal, count(*) FILTER (role = 'holdout') AS n_holdout, round(any_value(threshold), 5) AS threshold, round(any_value(sh), 6) AS shrinkage, round(any_value(mu)[1], 6) AS centre1, round(sqrt(list_inner_product(any_value(mu), any_value(mu))), 6) AS centre_norm, 'mahalanobis' AS score_type, 'own_p95' AS strategy, 1 AS model_version FROM role JOIN thr ON thr.cls = label JOIN p USING (label) GROUP BY label",
-)
-def m27_model_summary(spark, d):
-    rows, models = lw_models(spark, d)
-    fit = openset.thresholds(class_distances(spark, d).filter("truth = cls AND role = 'cal'"), "cls", "d").withColumnRenamed("cls", "label")
-    counts = rows.groupBy("label").agg(*(F.count_if(F.col("role") == r).alias(f"n_{r}") for r in ("train", "cal", "holdout")))
-    return counts.join(fit, "label").join(models.select("label", "shrinkage", "mu"), "label").select(
-        *("label", "n_train", "n_cal", "n_holdout", F.round("threshold", 5).alias("threshold"), F.round("shrinkage", 6).alias("shrinkage")),
-        *(F.round(F.col("mu")[0], 6).alias("centre1"), F.round(S.norm(F.col("mu")), 6).alias("centre_norm"), F.lit("mahalanobis").alias("score_type"), F.lit("own_p95").alias("strategy"), F.lit(1).alias("model_version")),
-    )
-
-
 # Models of versions: version ver knows the labels up to ver, scales by their training rows and fits each of them; the
 # models' label is 100 * ver + label. "v" is the relation of rows, "upto" the last version
 def versions_sql(v: str, upto: int) -> str:
@@ -388,6 +374,24 @@ def m24_registration(spark, d):
     return told.groupBy(F.col("version").alias("model_version")).agg(*counts, F.round(F.avg("score"), 5).alias("mean_score"))
 
 
+@query(
+    "m27_model_summary",
+    f"""WITH RECURSIVE {versions_sql(FEATURES, 9)}, n AS (SELECT label, count(*) FILTER (role = 'train') AS n_train, count(*) FILTER (role = 'cal') AS n_cal, count(*) FILTER (role = 'holdout') AS n_holdout FROM role_ GROUP BY label)
+        SELECT ver::INTEGER AS model_version, cls::INTEGER AS label, n_train, n_cal, n_holdout, round(threshold, 5) AS threshold, round(sh, 6) AS shrinkage, round(mu[1], 6) AS centre1, round(sqrt(list_inner_product(mu, mu)), 6) AS centre_norm, 'mahalanobis' AS score_type, 'own_p95' AS strategy
+        FROM thr JOIN p ON p.label = 100 * ver + cls JOIN n ON n.label = cls""",
+)
+def m27_model_summary(spark, d):
+    """Each class of each version: its rows by role, threshold, shrinkage and scaled centre."""
+    rows = written(ranking.with_role(features(spark, d), ["label"], "vec_id").select("vec_id", "label", "role", "f"), "roles")
+    every = rows.withColumn("version", F.explode(F.sequence(F.lit(0), F.lit(9)))).filter("label <= version")
+    models, _ = registered.fit(every.select("version", F.col("label").alias("cls"), "role", "f"))
+    counts = rows.groupBy("label").agg(*(F.count_if(F.col("role") == r).alias(f"n_{r}") for r in ("train", "cal", "holdout")))
+    return models.withColumnRenamed("cls", "label").join(counts, "label").select(
+        *(F.col("version").alias("model_version"), "label", "n_train", "n_cal", "n_holdout", F.round("threshold", 5).alias("threshold"), F.round("shrinkage", 6).alias("shrinkage")),
+        *(F.round(F.col("mu")[0], 6).alias("centre1"), F.round(S.norm(F.col("mu")), 6).alias("centre_norm"), F.lit("mahalanobis").alias("score_type"), F.lit("own_p95").alias("strategy")),
+    )
+
+
 @query(
     "m29_group_verdict",
     f"""WITH v AS ({FEATURES}), m AS (SELECT label, i, avg(x) AS a FROM (SELECT label, generate_subscripts(f, 1) AS i, unnest(f) AS x FROM v) GROUP BY ALL), c AS (SELECT label, list(a ORDER BY i) AS centre FROM m GROUP BY label),

@@ -246,9 +246,11 @@ def t4_union_pools(spark, d):
     return a.unionByName(b).groupBy("kind").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
-@query("t5_set_difference", "(SELECT 'only_orders' AS side, o_custkey AS id FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer)) UNION ALL (SELECT 'only_customers', c_custkey FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders))")
+@query("t5_set_difference", "WITH o AS (SELECT o_custkey AS id FROM orders WHERE o_totalprice > 100000), c AS (SELECT c_custkey AS id FROM customer WHERE c_acctbal > 0) SELECT 'only_orders' AS side, id FROM (FROM o EXCEPT FROM c) UNION ALL SELECT 'only_customers', id FROM (FROM c EXCEPT FROM o)")
 def t5_set_difference(spark, d):
-    o, c = table(spark, d, "orders").select(F.col("o_custkey").alias("id")), table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    """Customers of large orders against customers in credit, both ways."""
+    o = table(spark, d, "orders").filter("o_totalprice > 100000").select(F.col("o_custkey").alias("id"))
+    c = table(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("id"))
     return o.subtract(c).select(F.lit("only_orders").alias("side"), "id").unionByName(c.subtract(o).select(F.lit("only_customers").alias("side"), "id"))
 
 

@@ -14,7 +14,7 @@ NAMES = (
     "q1_schema_audit q4_record_rules q6_leakage j8_paired_streams j9_manifest j10_row_origins a13_a14_summaries a23_confusion e6_multiclass e7_signed_rank j7_reconcile "
     "a6_ledoit_wolf a9_pooled m1_mahalanobis m4_legacy_rule m7_shared_calibration m24_registration m29_group_verdict t2_top_scores m13_whitening m15_rays m16_ray_cosines m17_familiarity m18_severity_ranks "
     "a31_cosine_spread a32_median_shift a17_drift a18_strategies m25_a27_transfer a10_detection_rates e1_e4_openset_metrics m5_knn_openset m9_local_outlier r4_attempts x11_half_even x14_canonical_hash q10_result_matrix "
-    "m3_openset m14_polar w2_w3_ewma_cusum w4_w5_alarms w8_alarm_levels a24_session_summary j4_cross_condition r2_trend_stream r10_sessions"
+    "m3_openset m14_polar w2_w3_ewma_cusum w4_w5_alarms w8_alarm_levels a24_session_summary j4_cross_condition r2_trend_stream r10_sessions r1_latest_version r4_quarantine_stream r8_scenarios m6_resolved q1_file_audit m27_model_summary t5_set_difference j3_nearest"
 ).split()
 
 
