@@ -13,7 +13,7 @@ class Seen(Exception):
 
 @pytest.mark.parametrize("name, fit", [("m26_protocols", "fit_mahalanobis"), ("m24_registration", "means")])
 def test_all_components_reach_the_fit(spark, tmp_path, monkeypatch, name, fit):
-    rows = spark.range(40).select(F.col("id").alias("vec_id"), (F.col("id") % 10).cast("int").alias("label"), F.array_repeat(F.lit(1.0), 64).cast("array<float>").alias("embedding"))
+    rows = spark.range(60).select(F.col("id").alias("vec_id"), (F.col("id") % 10).cast("int").alias("label"), F.array_repeat(F.lit(1.0), 64).cast("array<float>").alias("embedding"))
     rows.write.parquet(str(tmp_path / "embeddings.parquet"))
 
     def seen(df, *a, **k):
