@@ -155,6 +155,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 13, max_items_char
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all items; odd rows as said at ``decontaminate``."""
     found = decontaminate(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), contaminated().alias("contaminated"))
 

@@ -344,5 +344,6 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; null and empty pages have the empty text."""
     found = extract(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))

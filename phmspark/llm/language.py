@@ -257,6 +257,7 @@ def label_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole document; odd texts as said at ``label_texts``."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     labelled = label_texts(docs.select("doc_id", "text"), fit_tables(docs))
     return labelled.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))

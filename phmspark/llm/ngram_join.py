@@ -583,4 +583,5 @@ def labelled(search: _Search, rows: DataFrame, nodes: DataFrame, id_col: str) ->
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents; odd texts and ids as said at ``components``."""
     return components(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "n_shingles", "component_id", "set_id")

@@ -253,6 +253,7 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens in sequences."""
     import public_tokenizers
 
     return pack(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), public_tokenizers.path("byte_bpe_50k.json"))

@@ -176,6 +176,7 @@ def score_texts(docs: DataFrame, model: Model | None, base: float, text_col: str
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every whole document."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     model, base = fit_tables(docs, table(spark, sf_dir, "labels"))
     scored = score_texts(docs, model, base)

@@ -93,6 +93,7 @@ def count_tokens(df: DataFrame, tokenizer_path: str, cache_path: str, id_col: st
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of all documents over a cache of its own; odd rows as said at ``count_tokens``."""
     import public_tokenizers
 
     counted = count_tokens(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), public_tokenizers.path("piece_bpe_32k.model"), new_path(spark, "token-cache"))

@@ -199,6 +199,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
 
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 50 as a query, against all others; what takes no part is said at ``top_k``."""
     return top_k(table(spark, sf_dir, "embeddings"), F.col("_id") % 50 == 0)
 
 

@@ -256,6 +256,7 @@ def fit_tables(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> Mod
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every whole document; odd texts as said at ``score_texts``, odd labels at ``fit_tables``."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     model = fit_tables(docs, table(spark, sf_dir, "labels"))
     scored = score_texts(docs, model)

@@ -156,6 +156,7 @@ def damaged(rows: DataFrame) -> DataFrame:
 
 
 def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of a damaged replica of all pages."""
     rows = written(records(table(spark, sf_dir, "pages")), "records")
     found = audit(rows, damaged(rows))
     return found.join(rows.select("segment", "ordinal", "page_id"), ["segment", "ordinal"], "left").select("page_id", "segment", "ordinal", "start", "length", "status", "digest", "found")
