@@ -76,6 +76,8 @@ ORACLE_SQL = None  # learned models, components and packing are beyond SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again; null and repeated rows as each stage says. An empty table
+    gives no rows."""
     docs = spread(table(spark, sf_dir, "documents"))
     for name, stage in STAGES:
         path = new_path(spark, name)
