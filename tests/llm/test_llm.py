@@ -459,4 +459,4 @@ def test_batches_are_cut_by_rows_and_bytes():
 
 
 def test_every_operator_has_its_query():
-    assert [f"op{k}" for k in range(1, 11)] == sorted((n.split("_")[0] for n in queries.QUERIES), key=lambda x: int(x[2:]))
+    assert [f"op{k}" for k in range(1, 14)] == sorted((n.split("_")[0] for n in queries.QUERIES), key=lambda x: int(x[2:]))
