@@ -24,3 +24,18 @@ def test_signed_rank_of_one_sign_or_none(spark, tmp_path, prices):
     spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderpriority string, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
     columns, want = told(tmp_path, "e7_signed_rank")
     assert found(spark, tmp_path, "e7_signed_rank", columns) == want
+
+
+def test_audited_files_hold_header_and_rows(spark, tmp_path):
+    """Also where the shuffles of rows and headers are merged into other runs of partitions."""
+    rows = spark.range(40_000).selectExpr("id % 16 * 3 AS l_suppkey", "id AS l_orderkey", "cast(id % 7 AS int) AS l_linenumber", "cast(id % 50 AS double) AS l_quantity")
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    columns, want = told(tmp_path, "q1_file_audit")
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    for name, x in (("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64kb"), ("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64kb")):
+        spark.conf.set(name, x)
+    try:
+        assert found(spark, tmp_path, "q1_file_audit", columns) == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
