@@ -5,6 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from phmspark.sources.scratch import written
+
+BESIDE_CELLS = 100_000  # numbers of a table of groups that travels to the rows
+
+
+def beside(rows: DataFrame, few: DataFrame, keys: list[str], cells: int) -> DataFrame:
+    """``rows`` with the columns of ``few``, a written table of a row of about ``cells`` numbers for each group. As long as it
+    is small it travels to the rows, so that no task gets all rows of a group; beyond that, groups are many."""
+    if not keys:
+        return rows.crossJoin(F.broadcast(few))  # one row
+    return rows.join(F.broadcast(few) if few.count() * cells <= BESIDE_CELLS else few, keys)
+
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str | list[str], qs: list[float], accuracy: int = 2000) -> DataFrame:
     """keys, q and x (and col, where ``value`` is a list of columns): linearly interpolated quantiles of the non-null
@@ -22,14 +34,14 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str | list[str], qs:
     qs = sorted(set(float(q) for q in qs))
     every = [(j, k) for j in range(len(cols)) for k in range(len(qs))]
     around = [min(1.0, max(0.0, q + side * 2 / accuracy)) for q in qs for side in (-1, 1)]
-    grid = df.groupBy(*keys).agg(*(F.percentile_approx(f"_x{j}", around, accuracy).alias(f"_g{j}") for j in range(len(cols))))
-    beside = lambda rows, few: rows.join(few, keys) if keys else rows.crossJoin(F.broadcast(few))  # noqa: E731  without keys: one row
-    held = beside(df, grid)
+    grid = written(df.groupBy(*keys).agg(*(F.percentile_approx(f"_x{j}", around, accuracy).alias(f"_g{j}") for j in range(len(cols)))), "grid")
+    held = beside(df, grid, keys, 2 * len(every))
     x, low, high = lambda j: F.col(f"_x{j}"), lambda j, k: F.col(f"_g{j}")[2 * k], lambda j, k: F.col(f"_g{j}")[2 * k + 1]
     counts = held.groupBy(*keys).agg(
-        *(c for j in range(len(cols)) for c in (F.count(x(j)).alias(f"_n{j}"), F.first(f"_g{j}").alias(f"_g{j}"))),
+        *(F.count(x(j)).alias(f"_n{j}") for j in range(len(cols))),
         *(c for j, k in every for c in (F.count_if(x(j) < low(j, k)).alias(f"_b{j}_{k}"), F.count_if(x(j) <= high(j, k)).alias(f"_u{j}_{k}"))),
     )
+    counts = beside(counts, grid, keys, 2 * len(every))  # carried through the aggregate, arrays would have it sort all rows
     asked = []
     for j, k in every:
         last = F.col(f"_n{j}") - 1
@@ -38,8 +50,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str | list[str], qs:
         fits = (F.col(f"_b{j}_{k}") <= F.floor(at)) & (F.col(f"_u{j}_{k}") > upper)
         window = (F.when(fits, low(j, k)).otherwise(float("-inf")).alias("a"), F.when(fits, high(j, k)).otherwise(float("nan")).alias("b"))  # NaN is above all
         asked.append(F.struct(F.lit(cols[j]).alias("col"), F.lit(qs[k]).alias("q"), at.alias("at"), F.floor(at).alias("low"), upper.alias("high"), *window, F.when(fits, F.col(f"_b{j}_{k}")).otherwise(0).alias("below")))
-    windows = counts.select(*keys, F.array(*asked).alias("_w"))
-    met = beside(df, windows)
+    windows = written(counts.select(*keys, F.array(*asked).alias("_w")), "windows")
+    met = beside(df, windows, keys, 8 * len(every))
     within = [(x(j) >= F.col("_w")[i]["a"]) & (x(j) <= F.col("_w")[i]["b"]) for i, (j, _) in enumerate(every)]
     some = within[0]
     for w in within[1:]:
@@ -64,8 +76,8 @@ def bounds(df: DataFrame, keys: list[str], cols: list[str], scale: float) -> Dat
 
 def iqr_filter(df: DataFrame, cols: list[str], keys: list[str], scale: float = 1.5) -> DataFrame:
     """Rows whose every column is within its group's bounds; bounds come from the unfiltered columns; edges stay."""
-    wide = bounds(df, keys, cols, scale).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("col", F.struct("low", "high")))).alias("_b"))
-    held = df.join(wide, keys) if keys else df.crossJoin(F.broadcast(wide))  # without keys: one row
+    wide = written(bounds(df, keys, cols, scale).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("col", F.struct("low", "high")))).alias("_b")), "bounds")
+    held = beside(df, wide, keys, 3 * len(cols))
     inside = F.lit(True)
     for c in cols:
         inside &= F.col(c).between(F.col("_b")[c]["low"], F.col("_b")[c]["high"])

@@ -279,3 +279,18 @@ def test_section_search_by_index_and_by_term(spark):
         got = search.best_sections(a, t, {"title": 3, "body": 1}, 3, most_terms=most).collect()
         assert sorted((r["query"], r["rank"], r["section"], r["score"]) for r in got) == sorted(want)
     assert search.best_sections(a.limit(0), t, {"title": 3, "body": 1}, 3).count() == 0
+
+
+def test_quantiles_put_no_group_in_one_task(spark):
+    """Neither a shuffle by group nor a sort of all rows, however few groups there are."""
+    from phmspark.operators import quantiles
+
+    df = spark.range(20_000).selectExpr("id % 2 AS g", "cast(id AS double) AS x")
+    kept = quantiles.iqr_filter(df, ["x"], ["g"])
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    found = quantiles.exact_quantiles(df, ["g"], "x", [0.25, 0.5])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert kept.count() == 20_000
+    assert sorted((r["g"], r["q"], r["x"]) for r in found.collect()) == [(0, 0.25, 4999.5), (0, 0.5, 9999.0), (1, 0.25, 5000.5), (1, 0.5, 10000.0)]
