@@ -16,6 +16,7 @@ from phmspark.sources.scratch import written
 # Rows needed, least cluster, neighbours for core distances, of the density ladder's steps.
 LADDER = ((25, 25, 3), (75, 15, 3), (100, 10, 2))
 SEGMENT = 1 << 18  # edges of the spanning forest that one task merges
+BESIDE_ROWS = 2048  # rows that one task clusters
 
 
 def quarantine(scored: DataFrame, f: str = "f", margin: float = 2.0) -> DataFrame:
@@ -333,6 +334,49 @@ def clusters_of(tree: DataFrame, least: int, segment: int = SEGMENT) -> DataFram
     return found.join(chosen, "frag").select("node", "cluster")
 
 
+def clusters_beside(ids: np.ndarray, x: np.ndarray, least: int, min_samples: int) -> tuple[np.ndarray, np.ndarray]:
+    """Clustered ids and their clusters, as ``density_clusters`` gives them, of a few rows that one task holds."""
+    none = np.empty(0, np.int64)
+    if len(ids) < 2:
+        return none, none
+    order = np.argsort(ids, kind="stable")
+    ids, x = ids[order], x[order]
+    bank, core = neighbours.Bank.of(ids, np.array([""] * len(ids), dtype=object), x), np.zeros(len(ids))
+    for at in range(0, len(ids), BLOCK_ROWS):
+        for query, _, _, _, d in neighbours._best(bank, ids[at : at + BLOCK_ROWS], x[at : at + BLOCK_ROWS], max(1, min_samples - 1), True):
+            np.maximum.at(core, np.searchsorted(ids, query), d)
+    a, b, w = _tree_of(ids, np.column_stack((x, core)))
+    merged = merge_segment(pd.DataFrame({"seg": 0, "w": w, "a": a, "b": b, "x": a, "sx": 1, "y": b, "sy": 1}), least)
+    whole = merged[merged["mass"].notna()]
+    if not len(whole):
+        return none, none
+    links = merged[merged["mass"].isna() & merged["frag"].notna()][["x", "frag"]].astype("int64")
+    found = links.merge(select_fragments(whole), on="frag")
+    return found["x"].to_numpy(), found["cluster"].to_numpy()
+
+
+def first_candidate(held: DataFrame, ends: list[int], order: str, least: int = 25, ladder: tuple = LADDER) -> tuple[int, DataFrame] | None:
+    """The first of ``ends`` at which the rows (vec_id, f) of ``held`` up to it by ``order`` have a candidate, and its
+    vec_ids; None if none has. The ends are the keys of one job; each has at most ``BESIDE_ROWS`` rows."""
+
+    def tried(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, x, top = pdf["vec_id"].to_numpy(), np.stack(pdf["f"].to_numpy()), np.empty(0, np.int64)
+        for needed, smallest, min_samples in ladder:
+            if len(ids) < needed:
+                break
+            rows, cluster = clusters_beside(ids, x, smallest, min_samples)
+            sizes = np.bincount(cluster) if len(rows) else np.zeros(1, np.int64)
+            if sizes.max() >= least:  # the smaller number first
+                top = rows[cluster == sizes.argmax()]
+                break
+        return pd.DataFrame({"end": pdf["end"].iloc[0], "vec_id": top})
+
+    dealt = held.select("vec_id", "f", F.explode(F.filter(F.array(*(F.lit(e).cast("long") for e in ends)), lambda e: e >= F.col(order))).alias("end"))
+    found = written(dealt.repartition(len(ends), "end").groupBy("end").applyInPandas(tried, "end long, vec_id long"), "candidates")
+    first = found.agg(F.min("end")).first()[0]
+    return None if first is None else (first, found.filter(F.col("end") == first).select("vec_id"))
+
+
 def largest(clusters: DataFrame, least: int) -> DataFrame:
     """Rows of the largest cluster of at least ``least`` rows, ties to the smaller number."""
     top = clusters.groupBy("cluster").agg(F.count("*").alias("n")).filter(F.col("n") >= least).agg(F.min(F.struct((-F.col("n")).alias("m"), "cluster")).alias("t")).select("t.cluster")

@@ -19,6 +19,7 @@ from phmspark.operators.registered import ModelTable, verdict
 from phmspark.sources.scratch import written
 from phmspark.streaming import discovery
 
+WAVE = 16  # attempts to cluster that are keys of one job
 LEAST, EVERY, MARGIN = 25, 10, 2.0  # rows held, new rows since the last try, score above which a row is held
 
 
@@ -183,15 +184,26 @@ class Replay:
         n, j, rejected, learned = held.count(), 0, [], None
         boundary: float | None = None
         while True:
-            need = max(1, LEAST - n, EVERY - since)
-            if j + need > len(at):
+            tries: list[tuple[int, int, int]] = []  # n, since, j of the next attempts, as long as none finds a candidate
+            while len(tries) < WAVE:
+                need = max(1, LEAST - n, EVERY - since)
+                if j + need > len(at):
+                    break
+                n, j, since = n + need, j + need, 0
+                if tries and n > discovery.BESIDE_ROWS:
+                    n, since, j = tries[-1]
+                    break
+                tries.append((n, since, j))
+            if not tries:
                 n, since, j = n + len(at) - j, since + len(at) - j, len(at)
                 break
-            n, j, since = n + need, j + need, 0
-            now = written(held.unionByName(far.filter(F.col("k") <= j).select("vec_id", "f", "truth")), "held")
-            top = self._clustered(now, version)
-            if top.isEmpty():
+            met = held.withColumn("k", F.lit(0)).unionByName(far.filter(F.col("k") <= j).select("vec_id", "f", "truth", "k"))
+            found = self._clustered(met, [x[2] for x in tries], tries[0][0], version)
+            if found is None:
                 continue
+            n, since, j = next(x for x in tries if x[2] == found[0])
+            top = found[1]
+            now = written(met.filter(F.col("k") <= j).drop("k"), "held")
             own = written(self.table.score(now.join(top, "vec_id", "left_semi"), version), "cluster")
             boundary = self.table.boundary(version) if boundary is None else boundary
             verdict_, size = discovery.adopt(own, boundary)
@@ -217,10 +229,15 @@ class Replay:
         self.rejections = self._all("rejections", _REJECTION)
         return row
 
-    def _clustered(self, held: DataFrame, version: int) -> DataFrame:
+    def _clustered(self, held: DataFrame, ends: list[int], n: int, version: int) -> tuple[int, DataFrame] | None:
+        """The first of ``ends`` at which rows (vec_id, f, k) up to it have a candidate, and its vec_ids. ``n``: rows at the
+        first end; more than one task holds are clustered by jobs, and are the only end."""
         rows = held.withColumn("version", F.lit(version))
-        z = written(moments.scaled(rows, self.table.scalers(version), ["version"]).select("vec_id", "f"), "scaled")
-        return discovery.candidate(z, LEAST)[1].select("vec_id")
+        z = written(moments.scaled(rows, self.table.scalers(version), ["version"]).select("vec_id", "f", "k"), "scaled")
+        if n <= discovery.BESIDE_ROWS:
+            return discovery.first_candidate(z, ends, "k", LEAST)
+        top = discovery.candidate(z, LEAST)[1].select("vec_id")
+        return None if top.isEmpty() else (ends[0], top)
 
     def _learn(self, number: int, config: str, version: int, cluster: DataFrame, rest: DataFrame, matched: str) -> dict:
         """Registers the cluster as the next class, drops from quarantine what the new version explains, and looks at
