@@ -20,9 +20,13 @@ def moments(df: DataFrame, keys: list[str], f: str = "f") -> DataFrame:
     """keys, n, mu, gram (flat, of centred rows), fourth (sum of the centred rows' squared square lengths).
 
     Two passes, so that large means cost no digits: means, then sums of products, formed for each batch of rows in
-    NumPy and added up cell by cell over the cluster."""
-    mu = means(df, keys, f)
-    centred = df.join(mu, keys) if keys else df.crossJoin(F.broadcast(mu))
+    NumPy and added up cell by cell over the cluster. The means travel to the rows while they are few."""
+    from phmspark.operators.quantiles import beside
+    from phmspark.sources.scratch import written
+
+    mu = written(means(df, keys, f), "means")
+    wide = mu.select(F.size("mu")).first()
+    centred = beside(df, mu, keys, wide[0] if wide else 1)
 
     def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -27,6 +27,20 @@ def hash_rank(df: DataFrame, keys: list[str], id_col: str, seed=42, out: str = "
     return (ranked.withColumn(count, F.col("_rows").cast("long")) if count else ranked).drop("_h", "_part", "_rank", "_before", "_rows")
 
 
+def first_by_hash(df: DataFrame, keys: list[str], id_col: str, n: int, seed=42, digits: int = 3) -> DataFrame:
+    """``df`` with r, each row's rank from 0 by hash within ``keys``, of the first ``n`` rows of each group: as ``hash_rank``,
+    but only the parts of a group that hold these are moved."""
+    from phmspark.operators import quantiles
+    from phmspark.sources.scratch import written
+
+    hashed = df.withColumn("_part", F.substring(hash_of(seed, id_col), 1, digits))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = hashed.groupBy(*keys, "_part").agg(F.count("*").alias("_k")).withColumn("_before", F.coalesce(F.sum("_k").over(before), F.lit(0)))
+    last = written(sizes.filter(F.col("_before") < n).groupBy(*keys).agg(F.max("_part").alias("_last")), "parts")
+    some = quantiles.beside(hashed, last, keys, 1).filter(F.col("_part") <= F.col("_last")).drop("_part", "_last")
+    return hash_rank(some, keys, id_col, seed, count=None, digits=digits).filter(F.col("r") < n)
+
+
 def placed(df: DataFrame, by: list[str], out: str = "n") -> DataFrame:
     """``df`` with each row's number from 1 in the order of ``by``: ranges are numbered each by itself, and the counts of
     those before are added, so that no task sorts all rows."""

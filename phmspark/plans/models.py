@@ -161,8 +161,7 @@ def a8_robust_covariance(spark, d):
     """Minimum covariance determinant of every label, after a projection that holds 95 % of the variance."""
     rows = features(spark, d)
     smallest = rows.groupBy("label").count().agg(F.min("count")).first()[0]
-    z = written(detectors.capped_projection(rows, rows, smallest), "projected")
-    m = detectors.minimum_determinant(z, ["label"], "vec_id")
+    m = detectors.minimum_determinant(detectors.capped_projection(rows, rows, smallest), ["label"], "vec_id")
     return m.select("label", "n", F.size("mu").alias("width"), F.round("logdet", 5).alias("logdet"), F.round("support_logdet", 5).alias("support_logdet"), F.round(F.element_at("mu", 1), 6).alias("m1"))
 
 
