@@ -21,6 +21,7 @@ from phmspark.sources.scratch import written
 
 BROADCAST_VALUES = 4_000_000  # numbers of a bank that travels to the queries (32 MB)
 MOST_CELLS = 1024  # pivots of a bank; each class has one at least
+MET_VALUES = 1_000_000  # distances between queries and bank rows that a task works out at once (8 MB)
 SLACK = 1e-9  # of a distance: what rounding may hide
 
 
@@ -35,21 +36,31 @@ class Bank:
     ids: np.ndarray
     m: np.ndarray
     at: dict[str, np.ndarray]
+    square: np.ndarray  # of a row's length
 
     @classmethod
     def of(cls, ids: np.ndarray, names: np.ndarray, m: np.ndarray) -> Bank:
         order = np.argsort(ids, kind="stable")
-        names = names[order]
-        return cls(ids[order], m[order], {c: np.flatnonzero(names == c) for c in sorted(set(names.tolist()))})
+        names, m = names[order], m[order]
+        return cls(ids[order], m, {c: np.flatnonzero(names == c) for c in sorted(set(names.tolist()))}, np.einsum("ij,ij->i", m, m))
 
 
 def _best(bank: Bank, ids: np.ndarray, m: np.ndarray, k: int, not_self: bool) -> Iterator[tuple[np.ndarray, str, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each class query, class, rank, neighbour and distance of the k nearest rows of the bank, ties to smaller ids."""
-    square = (m * m).sum(axis=1)[:, None] + (bank.m * bank.m).sum(axis=1)[None] - 2 * m @ bank.m.T
+    """For each class query, class, rank, neighbour and distance of the k nearest rows of the bank, ties to smaller ids;
+    so many queries at once that a task holds about ``MET_VALUES`` distances, whatever the size of the bank."""
+    rows = max(1, MET_VALUES // max(1, len(bank.ids)))
+    for start in range(0, len(ids), rows):
+        yield from _best_of(bank, ids[start : start + rows], m[start : start + rows], k, not_self)
+
+
+def _best_of(bank: Bank, ids: np.ndarray, m: np.ndarray, k: int, not_self: bool) -> Iterator[tuple[np.ndarray, str, np.ndarray, np.ndarray, np.ndarray]]:
+    square = (-2 * m) @ bank.m.T
+    square += (m * m).sum(axis=1)[:, None]
+    square += bank.square
     if not_self:
         square[bank.ids[None] == ids[:, None]] = np.inf
     for c, at in bank.at.items():
-        own = square[:, at]
+        own = square[:, at] if len(bank.at) > 1 else square
         few = min(k + 8, len(at))  # a few more than asked for: their distances are worked out exactly
         near = np.sort(at[np.argpartition(own, few - 1, axis=1)[:, :few]], axis=1)  # by id
         exact = np.sqrt(((bank.m[near] - m[:, None]) ** 2).sum(axis=2))
@@ -92,13 +103,12 @@ def _beside_all(q: DataFrame, bank: pa.Table, k: int, not_self: bool, block_rows
     bank = bank.combine_chunks()
     own = Bank.of(bank.column(0).to_numpy(), np.array(bank.column(1).to_pylist(), dtype=object), _matrix(bank.column(2).chunk(0)))
     shared = q.sparkSession.sparkContext.broadcast(own)
-    rows = max(1, min(block_rows, 8_000_000 // max(1, len(own.ids))))  # of a batch of queries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                some = batch.slice(at, rows)
+            for at in range(0, batch.num_rows, block_rows):
+                some = batch.slice(at, block_rows)
                 if meter is not None:
                     meter.add(some.num_rows * len(own.ids))
                 for found in _best(own, some.column(0).to_numpy(), _matrix(some.column(1)), k, not_self):
@@ -179,6 +189,12 @@ def cells(bank: DataFrame, block_rows: int, most_cells: int = MOST_CELLS, aside:
 _BLOCK = pa.schema([("block", pa.int64()), ("cell", pa.int32()), ("radius", pa.float64()), ("n", pa.int32()), ("ids", pa.list_(pa.int64())), ("m", pa.binary())])
 
 
+def unpacked(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and matrix of one packed block of a batch, of its last two columns; nothing is copied."""
+    ids, m = batch.column(batch.num_columns - 2)[at].values.to_numpy(), batch.column(batch.num_columns - 1)[at].as_buffer()
+    return ids, np.frombuffer(m).reshape(len(ids), -1)
+
+
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None] - 2 * x @ y.T))
 
@@ -238,10 +254,11 @@ def _indexed(q: DataFrame, bank: DataFrame, k: int, not_self: bool, block_rows:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = None
             for batch in batches:
-                for row in batch.to_pylist():
-                    ids, m = np.array(row["ids"], dtype=np.int64), np.frombuffer(row["m"]).reshape(row["n"], -1)
-                    if row["side"] == 0:
-                        held = Bank.of(ids, np.array([names_of[row["cell"]]] * len(ids), dtype=object), m)
+                cell, side = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+                for at in range(batch.num_rows):
+                    ids, m = unpacked(batch, at)
+                    if side[at] == 0:
+                        held = Bank.of(ids, np.array([names_of[cell[at]]] * len(ids), dtype=object), m)
                         continue
                     if meter is not None:
                         meter.add(len(ids) * len(held.ids))

@@ -104,12 +104,12 @@ def spanning_edges(rows: DataFrame, id_col: str, min_samples: int, block_rows: i
 
     def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                c = np.frombuffer(row["m"]).reshape(row["n"], -1)[:, -1]
-                yield pa.RecordBatch.from_pydict({"cell": [row["cell"]], "low": [float(c.min())], "high": [float(c.max())]}, schema=pa.schema([("cell", pa.int32()), ("low", pa.float64()), ("high", pa.float64())]))
+            for at in range(batch.num_rows):
+                c = neighbours.unpacked(batch, at)[1][:, -1]
+                yield pa.RecordBatch.from_pydict({"cell": [batch.column(0)[at].as_py()], "low": [float(c.min())], "high": [float(c.max())]}, schema=pa.schema([("cell", pa.int32()), ("low", pa.float64()), ("high", pa.float64())]))
 
     low, high = np.zeros(len(index.pivots)), np.zeros(len(index.pivots))
-    for r in index.blocks.select("cell", "n", "m").mapInArrow(cores, "cell int, low double, high double").groupBy("cell").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect():
+    for r in index.blocks.select("cell", "ids", "m").mapInArrow(cores, "cell int, low double, high double").groupBy("cell").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect():
         low[r["cell"]], high[r["cell"]] = r["low"], r["high"]
     wanted = rows.sparkSession.createDataFrame(_needed(index, low, high), "x int, y int")
     at = index.blocks.select("block", "cell")
@@ -121,9 +121,10 @@ def spanning_edges(rows: DataFrame, id_col: str, min_samples: int, block_rows: i
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = None
         for batch in batches:
-            for row in batch.to_pylist():
-                mine = np.array(row["ids"], dtype=np.int64), np.frombuffer(row["m"]).reshape(row["n"], -1)
-                if row["side"] == 0:
+            side = batch.column(0).to_numpy()
+            for at in range(batch.num_rows):
+                mine = neighbours.unpacked(batch, at)
+                if side[at] == 0:
                     first = mine
                     yield _edges(*mine)
                     continue
