@@ -36,18 +36,22 @@ BLOCK_ROWS = 1024  # rows of a block of the spanning tree; a task holds two
 
 def _tree_of(ids: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """a, b, w: minimum spanning tree of rows under mutual reachability, by growing it row by row. The last component of
-    a row is its core distance."""
-    x, core = m[:, :-1], m[:, -1]
+    a row is its core distance. Rows that are inside are put away from time to time."""
+    x, core, left = m[:, :-1], m[:, -1], ids
     n, at = len(ids), 0
-    least, to, out = np.full(n, np.inf), np.zeros(n, np.int64), np.ones(n, dtype=bool)
+    least, to, out = np.full(n, np.inf), np.full(n, ids[0], np.int64), np.ones(n, dtype=bool)
     a, b, w = np.empty(n - 1, np.int64), np.empty(n - 1, np.int64), np.empty(n - 1)
     for k in range(n - 1):
         out[at] = False
-        d = np.maximum(np.maximum(core, core[at]), np.sqrt(((x - x[at]) ** 2).sum(axis=1)))
+        here, reach, name = x[at], core[at], left[at]
+        if 4 * (n - k - 1) < 3 * len(x):
+            x, core, left, least, to = x[out], core[out], left[out], least[out], to[out]
+            out = np.ones(len(x), dtype=bool)
+        d = np.maximum(np.maximum(core, reach), np.sqrt(((x - here) ** 2).sum(axis=1)))
         closer = out & (d < least)
-        least[closer], to[closer] = d[closer], at
+        least[closer], to[closer] = d[closer], name
         at = int(np.where(out, least, np.inf).argmin())
-        a[k], b[k], w[k] = ids[at], ids[to[at]], least[at]
+        a[k], b[k], w[k] = left[at], to[at], least[at]
     return np.minimum(a, b), np.maximum(a, b), w
 
 
@@ -80,7 +84,7 @@ def _needed(index: neighbours.Cells, low: np.ndarray, high: np.ndarray) -> list[
     return list(zip(there[a].tolist(), there[b].tolist(), strict=True))
 
 
-def spanning_edges(rows: DataFrame, id_col: str, min_samples: int, block_rows: int = BLOCK_ROWS, meter=None) -> DataFrame:
+def spanning_edges(rows: DataFrame, id_col: str, min_samples: int, block_rows: int = BLOCK_ROWS, meter=None, segment: int = SEGMENT) -> DataFrame:
     """a, b, w: minimum spanning tree under mutual reachability (the largest of the two core distances and the distance),
     of all pairs of rows. The core distance is that to the ``min_samples``-th nearest row, the row itself the first.
 
@@ -132,10 +136,45 @@ def spanning_edges(rows: DataFrame, id_col: str, min_samples: int, block_rows: i
                     meter.add(len(first[0]) * len(mine[0]))
                 yield _edges(np.concatenate((first[0], mine[0])), np.concatenate((first[1], mine[1])))
 
-    edges = written(met.select("side", "n", "ids", "m").mapInArrow(trees, "a long, b long, w double").groupBy("a", "b").agg(F.min("w").alias("w")), "edges")
+    edges = met.select("side", "n", "ids", "m").mapInArrow(trees, "a long, b long, w double")
+    if 2 * n <= segment:
+        return lightest(written(edges, "edges"), segment)
+    edges = written(edges.groupBy("a", "b").agg(F.min("w").alias("w")), "edges")
     return grown(edges, own.select(F.col("_id").alias("node")))[0]
 
 
+def _forest(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Places of the edges of the minimum spanning forest, equal weights in the order of a and b."""
+    ends = np.unique(np.concatenate((a, b)), return_inverse=True)[1]
+    up, kept = list(range(int(ends.max(initial=-1)) + 1)), []
+    order = np.lexsort((b, a, w))
+    for k, x, y in zip(order.tolist(), ends[: len(a)][order].tolist(), ends[len(a) :][order].tolist(), strict=True):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        while up[y] != y:
+            up[y] = y = up[up[y]]
+        if x != y:
+            up[x] = y
+            kept.append(k)
+    return np.array(kept, np.int64)
+
+
+def lightest(edges: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """The minimum spanning forest of edges (a, b, w; a written table) between at most half of ``segment`` nodes. Runs of
+    ``segment`` edges leave their own forests, at most half of them, until one run holds the rest: an edge that is not in the
+    forest of a part is not in that of the whole."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [x for x in batches if x.num_rows]
+        if held:
+            t = pa.Table.from_batches(held).combine_chunks()
+            yield from t.take(pa.array(_forest(*(c.to_numpy() for c in t.columns)))).to_batches()
+
+    while (runs := -(-edges.count() // segment)) > 1:
+        edges = written(edges.repartition(runs).mapInArrow(own, "a long, b long, w double"), "edges")
+    return written(edges.coalesce(1).mapInArrow(own, "a long, b long, w double"), "tree")
+
+
 def grown(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges (a, b, w) of the minimum spanning forest, and node, c: the tree of each node. Boruvka rounds: each takes
     every component's least edge outward."""
