@@ -150,11 +150,11 @@ def r4_quarantine_stream(spark, d):
 
 @query("r7_replay")
 def r7_replay(spark, d):
-    """The fault labels injected one after another: what each stage found, and what the last version makes of each
-    configuration's external rows."""
+    """The fault labels injected one after another: what each stage found (matched: the majority of its class), and what the
+    last version makes of each configuration's external rows (n, shares; matched_rate: in a class of that majority)."""
     rows = moved(spark, d)
     labels = [r["label"] for r in rows.filter("label > 0").select("label").distinct().orderBy("label").collect()]  # configurations: a stage each
     run = replay.Replay(rows.select("vec_id", "config", "f"), "c0", [f"c{x}" for x in labels], new_path(spark, "replay"))
     stages = spark.createDataFrame([(s.config, s.ticks, s.discovered, s.matched, s.cluster_size, s.purity, s.pruned, s.held, s.version, s.duplicates, s.own_holdout, s.healthy_holdout) for s in run.run()], "config string, ticks long, discovered boolean, matched string, cluster_size long, purity double, pruned long, held long, version long, duplicates long, own_holdout double, healthy_holdout double")
     rejected = run.rejections.groupBy("config").agg(F.count("*").alias("rejections"))
-    return stages.join(run.external(), "config", "left").join(rejected, "config", "left").na.fill(0, ["rejections"])
+    return stages.join(run.external().withColumnRenamed("matched", "matched_rate"), "config", "left").join(rejected, "config", "left").na.fill(0, ["rejections"])

@@ -1,6 +1,7 @@
 """Registered queries against their SQL on made-up tables at the edges where they differed from it."""
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -39,3 +40,14 @@ def test_audited_files_hold_header_and_rows(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
+
+
+def test_replay_writes_what_a_stage_and_the_last_version_found(spark, tmp_path):
+    """Both have a matched class, or the share of it, under a name of its own."""
+    rng = np.random.default_rng(3)
+    rows = [(k, k % 2, [float(x) + (k % 4 == 3) * 6 for x in rng.normal(0, 0.3, 4)]) for k in range(240)]  # label 1 in two places
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    entry.queries()["r7_replay"](spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    (got,) = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert (got["config"], got["discovered"], got["matched"], got["n"]) == ("c1", True, "c1", 24)
+    assert got["matched_rate"] == got["known"] > 0
