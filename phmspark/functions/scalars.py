@@ -71,6 +71,13 @@ def ratio(a: Column, b: Column) -> Column:
     return a / F.nullif(b.cast("double"), F.lit(0.0))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """The scaled double to its nearest whole number, halves away from zero, scaled back. ``F.round`` takes the double's
+    shortest decimal instead, and differs where scaling makes or unmakes a half."""
+    up = x * F.lit(10.0**digits)
+    return F.when(F.abs(up) < float("inf"), F.round(up, 0) / F.lit(10.0**digits)).otherwise(x)
+
+
 def clip(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high)))
 
